@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -317,7 +318,6 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the decoded text of an array of ids; null gives null, no ids give an empty text."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
