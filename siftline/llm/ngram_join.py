@@ -37,7 +37,8 @@ class Join:
     similarity: float = 0.8
     shingle: int = 5
     target_recall: float = 0.9999
-    #: Buckets of more members are split, at most so many times, on so many sampled tokens each.
+    #: Buckets of more members are split, at most so many times, on so many sampled tokens each. One that
+    #: holds over half of its parent holds near copies, which no split separates: it is compared as it is.
     bucket: int = 256
     depth: int = 3
     fan_out: int = 3
@@ -104,11 +105,12 @@ def buckets(vertices: DataFrame, how: Join) -> DataFrame:
         sizes = paths.groupBy("path").agg(F.count("*").alias("members")).where("members > 1")
         return written(paths.join(sizes, "path"), "paths")
 
+    too_large = (F.col("members") > how.bucket) & (2 * F.col("members") <= F.coalesce("parent", 2 * F.col("members")))
     token = lambda i: F.get(F.col("tokens"), i)
     first = F.array(*[F.xxhash64(F.lit(r), token(F.lit(r % TOKENS))) for r in range(how.runs())])
-    level, done = counted(vertices.select("vertex", F.explode(first).alias("path"))), None
+    level, done = counted(vertices.select("vertex", F.lit(None).cast("long").alias("parent"), F.explode(first).alias("path"))), None
     for depth in range(how.depth):
-        over = F.col("members") > how.bucket if depth + 1 < how.depth else F.lit(False)
+        over = too_large if depth + 1 < how.depth else F.lit(False)
         kept = level.where(~over)
         done = kept if done is None else done.unionByName(kept)
         if depth + 1 == how.depth or level.where(over).isEmpty():
@@ -119,8 +121,8 @@ def buckets(vertices: DataFrame, how: Join) -> DataFrame:
             return F.xxhash64("path", at, token(at))
 
         split = level.where(over).join(vertices.select("vertex", "tokens"), "vertex")
-        level = counted(split.select("vertex", F.explode(F.array_distinct(F.array(*[child(j) for j in range(how.fan_out)]))).alias("path")))
-    return done
+        level = counted(split.select("vertex", F.col("members").alias("parent"), F.explode(F.array_distinct(F.array(*[child(j) for j in range(how.fan_out)]))).alias("path")))
+    return done.drop("parent")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
