@@ -110,10 +110,11 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     return stored.select(*columns) if columns else stored
 
 
-def token_starts(stored: DataFrame) -> DataFrame:
-    """Add start: the ids of all documents before each one. Files' totals give the offsets of the later files."""
+def token_starts(stored: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Add start: the ids of all documents before each one. Files' totals give the offsets of the later files;
+    ``counts``: the columns file and n_tokens of the store, where ``stored`` is dearer to compute."""
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored.groupBy("file").agg(F.sum("n_tokens").alias("__n")).select("file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    offsets = (stored if counts is None else counts).groupBy("file").agg(F.sum("n_tokens").alias("__n")).select("file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         stored.join(offsets, "file")
@@ -141,4 +142,5 @@ def store_report(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | N
     spark = docs.sparkSession
     path = path or fresh_path(spark, "tokens")
     write_tokens(docs, tokenizer, path, end_id)
-    return token_starts(ids_checksums(read_tokens(spark, path))).select("doc_id", "start", "n_tokens", "ids_crc32")
+    counts = read_tokens(spark, path, ["file", "n_tokens"])
+    return token_starts(ids_checksums(read_tokens(spark, path)), counts).select("doc_id", "start", "n_tokens", "ids_crc32")
