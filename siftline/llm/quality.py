@@ -48,10 +48,10 @@ class Rules:
     min_words: int = 50
     most_repeated_percent: int = 50
     #: A histogram judges a text from so many words, or characters, on.
-    judged_words: int = 100
+    judged_words: int = 200
     judged_chars: int = 400
-    max_word_distance: float = 0.72
-    max_class_distance: float = 0.38
+    max_word_distance: float = 0.45
+    max_class_distance: float = 0.3
     #: A language's histogram counts as a reference from so many words on.
     reference_words: int = 2_000
 
