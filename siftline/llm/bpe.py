@@ -72,6 +72,8 @@ class PieceMemory:
 class PairIndexBPE(PieceMemory):
     """A tokenizer file of the kind BPE with word ends, applied to many texts at once."""
 
+    most = 250_000
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -287,6 +289,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
                 flat, starts = bpe.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(starts)), lists], [*part.schema.names, n_tokens, ids])
+        bpe.forget()  # the worker lives on and serves other stages
 
     return rest.mapInArrow(encode, schema)
 
@@ -310,6 +313,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
