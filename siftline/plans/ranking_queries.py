@@ -91,16 +91,16 @@ def vector_pairs(spark: S, sf: str) -> DataFrame:
     return block_pairs(vectors.where("vec_id % 50 = 0"), vectors)
 
 
-@query("JN-02", f"SELECT query_id, vec_id, round(score, 6) AS score FROM ({_PAIRS})")
+@query("JN-02", f"SELECT query_id, vec_id, score FROM ({_PAIRS})")
 def jn02(spark: S, sf: str) -> DataFrame:
-    return vector_pairs(spark, sf).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+    return vector_pairs(spark, sf)
 
 
-@query("TOP-02", f"SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, round(score, 6) AS score FROM ({_PAIRS}) WHERE label <> 3) WHERE rank <= 10")
+@query("TOP-02", f"SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, score FROM ({_PAIRS}) WHERE label <> 3) WHERE rank <= 10")
 def top02(spark: S, sf: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     rows = vector_pairs(spark, sf).join(table(spark, sf, "embeddings").where("label <> 3").select("vec_id"), "vec_id")
-    return rows.withColumn("rank", rank).where("rank <= 10").select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+    return rows.withColumn("rank", rank).where("rank <= 10").select("query_id", "vec_id", "rank", "score")
 
 
 @query("SET-01", rf"""WITH {BASE}, {KEYWORD}, n AS (SELECT r.query_id, r.chunk_id, score, row_number() OVER (PARTITION BY query_id, file_name, trim(regexp_replace(text, '\s+', ' ', 'g')) ORDER BY score DESC, chunk_id) AS nth
