@@ -61,3 +61,39 @@ def mmr_select(candidates: DataFrame, weight: float = 0.78, limit: int = 10) ->
         return pd.DataFrame([(rows[i]["query_id"], n + 1, rows[i]["chunk_id"]) for n, i in enumerate(chosen)], columns=["query_id", "rank", "chunk_id"])
 
     return candidates.groupBy("query_id").applyInPandas(choose, "query_id long, rank int, chunk_id string")
+
+
+def generate_with(rows: DataFrame, generate: Callable[[str, str], str]) -> DataFrame:
+    """query_id, answer and fallback: where the generator fails, the row's template stays, with the reason."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            answers, reasons = [], []
+            for question, template in zip(frame["question"], frame["template"], strict=True):
+                try:
+                    answer, reason = generate(question or "", template or ""), None
+                except Exception as problem:
+                    answer, reason = template, f"{type(problem).__name__}: {problem}"
+                answers.append(answer)
+                reasons.append(reason)
+            yield pd.DataFrame({"query_id": frame["query_id"], "answer": answers, "fallback": reasons})
+
+    return rows.select("query_id", "question", "template").mapInPandas(run, "query_id long, answer string, fallback string")
+
+
+def enrich_with(misses: DataFrame, enrich: Callable[[dict], str], limits: dict[str, int]) -> DataFrame:
+    """key, payload (JSON) and error of requests that a cache lacks; the fields handed on are cut to their limits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            payloads, errors = [], []
+            for row in frame[list(limits)].to_dict("records"):
+                try:
+                    payload, error = enrich({k: str(row[k] or "")[:n] for k, n in limits.items()}), None
+                except Exception as problem:
+                    payload, error = None, f"{type(problem).__name__}: {problem}"
+                payloads.append(payload)
+                errors.append(error)
+            yield pd.DataFrame({"key": frame["key"], "payload": payloads, "error": errors})
+
+    return misses.select("key", *limits).mapInPandas(run, "key string, payload string, error string")

@@ -91,3 +91,16 @@ def missing_counter(seen: DataFrame, runs: DataFrame) -> DataFrame:
 def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
     return rows.withColumn("nth", nth).where("nth = 1").drop("nth")
+
+
+def verify_soak(checked: DataFrame, latest: DataFrame, state: DataFrame, now: object, max_age: int = 900) -> DataFrame:
+    """Chains (user_id, n, valid) whose last event (ts, last_hash) is fresh and agrees with the state (n, last_hash).
+
+    ``now`` is a timestamp column; an event may lie five seconds ahead of it.
+    """
+    stated = state.select("user_id", F.col("n").alias("stated_n"), F.col("last_hash").alias("stated_hash"))
+    rows = checked.join(latest, "user_id").join(stated, "user_id", "left")
+    age = F.unix_seconds(now) - F.unix_seconds(F.col("ts").cast("timestamp"))
+    same = F.coalesce((F.col("n") == F.col("stated_n")) & (F.col("last_hash") == F.col("stated_hash")), F.lit(False))
+    rows = rows.select("user_id", "valid", age.between(-5, max_age).alias("fresh"), same.alias("consistent"))
+    return rows.withColumn("eligible", F.col("valid") & F.col("fresh") & F.col("consistent"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.plans.registry import query
+from siftline.sources.tables import table
 from siftline.streaming import streams
 
 S = SparkSession
@@ -50,3 +51,38 @@ def str09(spark: S, sf: str) -> DataFrame:
     rows = streams.finished(streams.queue_lag(streams.event_stream(spark, sf)))
     depth = F.sum("change").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, 0))  # one row an hour
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "change", depth.alias("depth"))
+
+
+_WHAT = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'started' WHEN 'view' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END"
+
+
+@query("STR-06", f"""WITH e AS (SELECT user_id AS job_id, ts, event_id, {_WHAT} AS what FROM events), s AS (SELECT *, count(*) FILTER (WHERE what = 'queued') OVER (PARTITION BY job_id ORDER BY ts, event_id) AS life FROM e),
+l AS (SELECT *, max(life) OVER (PARTITION BY job_id) AS last_life FROM s), c AS (SELECT *, count(*) FILTER (WHERE what IN ('succeeded', 'cancelled')) OVER (PARTITION BY job_id, life ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM l WHERE life = last_life),
+r AS (SELECT job_id, arg_max(what, (ts, event_id)) AS status, count(*) FILTER (WHERE what = 'started')::INT AS attempts FROM c WHERE ended = 0 GROUP BY 1)
+SELECT *, CASE WHEN status = 'failed' AND attempts < 3 THEN least(pow(2.0, attempts - 1), 30.0) END AS delay, status = 'failed' AND attempts >= 3 AS dead FROM r""")
+def str06(spark: S, sf: str) -> DataFrame:
+    """Users stand for jobs, the types of their events for what befell them."""
+    events = streams.event_stream(spark, sf).withColumn("what", F.expr(_WHAT)).withColumnRenamed("user_id", "job_id")
+    return streams.job_states(streams.finished(streams.job_transitions(events)))
+
+
+@query("STR-07", f"""WITH r AS (SELECT date_trunc('day', ts) AS run, user_id, arg_max(event_id, (ts, event_id)) AS version FROM events GROUP BY 1, 2), o AS (SELECT * FROM r WHERE run + INTERVAL 1 DAY <= {_CLOSED}),
+l AS (SELECT user_id AS item_id, max(run) AS run, arg_max(version, run) AS version FROM o GROUP BY 1), d AS (SELECT DISTINCT run FROM o WHERE day(run) % 6 <> 0)
+SELECT item_id, version, (SELECT count(*) FROM d WHERE d.run > l.run) AS missing, (SELECT count(*) FROM d WHERE d.run > l.run) >= 2 AS deletion_candidate FROM l""")
+def str07(spark: S, sf: str) -> DataFrame:
+    """Users stand for items, days for runs; every sixth day of a month is a partial run."""
+    events = streams.event_stream(spark, sf).select("ts", F.col("user_id").alias("item_id"), F.col("event_id").alias("version"))
+    seen = streams.finished(streams.item_sightings(events))
+    return streams.item_states(seen, seen.select("run").distinct().withColumn("complete", F.day("run") % 6 != 0))
+
+
+@query("STR-08", """SELECT conv_id * 1000 + turn AS message_id, coalesce(text, '') AS text, CASE turn % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'refused' WHEN 2 THEN 'failed' ELSE 'cancelled' END AS status, turn % 4 >= 2 AS partial FROM conversations""")
+def str08(spark: S, sf: str) -> DataFrame:
+    """Turns come as pieces of 20 characters, each twice, and an end that depends on the turn."""
+    stream = spark.readStream.schema(table(spark, sf, "conversations").schema).option("pathGlobFilter", "conversations*.parquet").parquet(sf)
+    text = F.coalesce("text", F.lit(""))
+    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / 20).cast("int")), lambda i: F.struct(i.alias("sequence"), F.lit("delta").alias("what"), text.substr(i * 20 + 1, F.lit(20)).alias("delta")))
+    end = F.when(F.col("turn") % 4 == 0, "done").when(F.col("turn") % 4 == 1, "refusal").when(F.col("turn") % 4 == 2, "error").otherwise("delta")
+    last = F.array(F.struct(F.lit(2_000_000_000).alias("sequence"), end.alias("what"), F.lit("").alias("delta")))
+    deltas = stream.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.inline(F.concat(starts, starts, last)))
+    return streams.finished(streams.assembled_messages(deltas), "complete")

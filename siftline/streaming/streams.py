@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,3 +69,63 @@ def queue_lag(events: DataFrame) -> DataFrame:
 def upserted_chunks(events: DataFrame) -> DataFrame:
     """The newest row of each key over all micro-batches; a replayed batch changes nothing."""
     return events.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("writes"))
+
+
+def job_transitions(events: DataFrame) -> DataFrame:
+    """job_id, ts, event_id, status and attempts after each event that moved a job's state.
+
+    ``events``: job_id, ts, event_id and what (queued, started, succeeded, failed, cancelled). A job begins anew when it is
+    queued; after success or cancellation nothing else moves it. Each key's state is two values.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, attempts = state.get if state.exists else ("unknown", 0)
+        rows = []
+        for e in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
+            if e.what == "queued":
+                status, attempts = "queued", 0
+            elif status in ("succeeded", "cancelled"):
+                continue
+            else:
+                status, attempts = e.what, attempts + (e.what == "started")
+            rows.append((key[0], e.ts, e.event_id, status, attempts))
+        state.update((status, attempts))
+        yield pd.DataFrame(rows, columns=["job_id", "ts", "event_id", "status", "attempts"])
+
+    out = "job_id long, ts timestamp, event_id long, status string, attempts int"
+    return events.select("job_id", "ts", "event_id", "what").groupBy("job_id").applyInPandasWithState(run, out, "status string, attempts int", "append", GroupStateTimeout.NoTimeout)
+
+
+def job_states(transitions: DataFrame, max_attempts: int = 3) -> DataFrame:
+    """The last state of each job, the seconds to its next attempt, and whether it is dead."""
+    last = transitions.groupBy("job_id").agg(F.max_by(F.struct("status", "attempts"), F.struct("ts", "event_id")).alias("s"))
+    failed, n = F.col("s.status") == "failed", F.col("s.attempts")
+    delay = F.when(failed & (n < max_attempts), F.least(F.pow(F.lit(2.0), n - 1), F.lit(30.0)))
+    return last.select("job_id", F.col("s.status").alias("status"), n.alias("attempts"), delay.alias("delay"), (failed & (n >= max_attempts)).alias("dead"))
+
+
+def item_sightings(events: DataFrame, run: str = "1 day") -> DataFrame:
+    """item_id, the run's start and the newest version of each item in each run that the watermark has closed."""
+    rows = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", run), "item_id").agg(F.max_by("version", F.struct("ts", "version")).alias("version"))
+    return rows.select("item_id", F.col("window.start").alias("run"), "version")
+
+
+def item_states(sightings: DataFrame, runs: DataFrame) -> DataFrame:
+    """Last version of each item, complete runs since, and whether it may be deleted (two or more).
+
+    ``runs`` (run, complete) is one row for each run; partial runs do not count.
+    """
+    from pyspark.sql import Window
+
+    counted = runs.withColumn("c", F.sum(F.col("complete").cast("int")).over(Window.orderBy("run")))  # one row a run
+    total = counted.agg(F.coalesce(F.max("c"), F.lit(0)).alias("total"))
+    last = sightings.groupBy("item_id").agg(F.max("run").alias("run"), F.max_by("version", "run").alias("version"))
+    missing = F.col("total") - F.col("c")
+    return last.join(counted, "run").crossJoin(F.broadcast(total)).select("item_id", "version", missing.alias("missing"), (missing >= 2).alias("deletion_candidate"))  # one row
+
+
+def assembled_messages(deltas: DataFrame) -> DataFrame:
+    """Text and status of each message (message_id, sequence, what, delta); a delta that comes twice counts once."""
+    rows = deltas.groupBy("message_id").agg(F.array_sort(F.collect_set(F.when(F.col("what") == "delta", F.struct("sequence", "delta")))).alias("d"), F.max(F.when(F.col("what") != "delta", F.col("what"))).alias("last"))
+    status = F.when(F.col("last") == "done", "completed").when(F.col("last") == "refusal", "refused").when(F.col("last") == "error", "failed").otherwise("cancelled")
+    return rows.select("message_id", F.array_join(F.transform("d", lambda x: x["delta"]), "").alias("text"), status.alias("status"), (status.isin("failed", "cancelled")).alias("partial"))
