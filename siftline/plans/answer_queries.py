@@ -270,7 +270,7 @@ def counted(fields: dict) -> str:
     return f'{{"description": "{fields["kind"]} of {len(fields["text"])}"}}'
 
 
-@query("UDF-03", f"""WITH j AS ({ORACLES['JN-09']}), {PLAIN}, r AS (SELECT any_value(kind) AS kind, any_value(text) AS text, sha256('{{"kind":"' || kind || '","model":"m1","text":"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(9), '\t') || '"}}') AS key FROM typed GROUP BY 3)
+@query("UDF-03", rf"""WITH j AS ({ORACLES['JN-09']}), {PLAIN}, r AS (SELECT any_value(kind) AS kind, any_value(text) AS text, sha256('{{"kind":"' || kind || '","model":"m1","text":"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(9), '\t') || '"}}') AS key FROM typed GROUP BY 3)
 SELECT key, '{{"description": "' || kind || ' of ' || least(length(text), 6000) || '"}}' AS payload, NULL AS error FROM j JOIN r USING (key) WHERE NOT hit""")
 def udf03(spark: S, sf: str) -> DataFrame:
     return hooks.enrich_with(probed(spark, sf).where("first"), counted, {"kind": 200, "text": 6000})

@@ -17,10 +17,10 @@ S = SparkSession
 
 @query("SRC-02", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS flat FROM documents")
 def src02(spark: S, sf: str) -> DataFrame:
-    """The documents as text files (many to a file, a line each) in the shared folder, read back whole."""
+    """The documents as text files (up to 1,000 to a file, a line each) in the shared folder, read back whole."""
     path = f"{folder(spark)}/texts"
     flat = F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))
-    table(spark, sf, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), flat).alias("value")).write.text(path)
+    table(spark, sf, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), flat).alias("value")).write.option("maxRecordsPerFile", 1000).text(path)
     lines = readers.scan_text_files(spark, path).select(F.explode(F.split("text", "\n")).alias("line"))
     return lines.select(F.regexp_extract("line", r"^([0-9]+)", 1).cast("long").alias("doc_id"), F.regexp_replace("line", r"^[0-9]+\s?", "").alias("flat"))
 

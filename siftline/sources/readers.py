@@ -14,7 +14,7 @@ BLOCK_TAG = r"(?i)<br[^>]*>|</?(?:p|div|section|article|h1|h2|h3|li)(?:\s[^>]*)?
 
 def scan_text_files(spark: SparkSession, root: str) -> DataFrame:
     """path and text of the .txt and .md files below a folder, one row a file, normalized."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").option("wholetext", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").text(root, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), normalize_text(F.col("value")).alias("text"))
 
 
