@@ -127,7 +127,7 @@ def test_sources(spark, sf, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in readers.scan_text_files(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": "one\n\ntwo", "b.md": "x" * 100}
     found = {r["path"]: (r["bytes"], r["failure"], r["sha256"] is None) for r in readers.discover_directory(spark, str(tmp_path), "*.{txt,md,bin}", 2, 50).collect()}
-    assert found == {"a.txt": (13, None, False), "c.bin": (2, None, False), "sub/b.md": (100, "too_large", True)}
+    assert found == {"a.txt": ((tmp_path / "a.txt").stat().st_size, None, False), "c.bin": (2, None, False), "sub/b.md": (100, "too_large", True)}
 
 
 def test_public_metadata_keeps_order_of_nothing_private(spark):
