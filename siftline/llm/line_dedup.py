@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
 A rolling hash over the hashes of the last lines decides after which lines a chunk ends, so that
-chunks of a shared passage are the same wherever it stands. Chunks whose hash occurs again
+chunks of a shared passage are the same wherever it stands; a line as long as a passage is a chunk
+of its own. Chunks whose hash occurs again
 anywhere are compared byte by byte; all but the first occurrence are removed.
 """
 
@@ -25,21 +26,30 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("long")
 
 
-def chunk_array(text: Column, window: int, modulus: int) -> Column:
+def passage(line: Column, min_words: int) -> Column:
+    """Whether a line has as many words as a passage."""
+    return F.when(F.length(line) >= 2 * min_words - 1, F.size(F.split(line, r"[\x20\x09-\x0D]+")) >= min_words).otherwise(False)
+
+
+def chunk_array(text: Column, window: int, modulus: int, min_words: int) -> Column:
     """Chunks of a text in order: number of lines, and the lines joined.
 
     A chunk ends after line i if the sum of h[i - j] * 31 ** j over the last ``window`` lines is a
-    multiple of ``modulus``, and at the last line.
+    multiple of ``modulus``, before and after a line of ``min_words`` words, and at the last line.
     """
 
     def of(lines: Column) -> Column:
-        return let(F.transform(lines, line_hash), lambda hashes: with_ends(lines, hashes))
+        alone = F.transform(lines, lambda line: passage(line, min_words))
+        return let(F.transform(lines, line_hash), lambda hashes: let(alone, lambda a: with_ends(lines, hashes, a)))
 
-    def with_ends(lines: Column, hashes: Column) -> Column:
+    def with_ends(lines: Column, hashes: Column, alone: Column) -> Column:
         def rolled(i: Column) -> Column:
             return sum((F.when(i > j, F.get(hashes, i - 1 - j)).otherwise(0) * 31**j for j in range(window)), F.lit(0))
 
-        ends = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == F.size(lines)) | (F.pmod(rolled(i), F.lit(modulus)) == 0))
+        def is_end(i: Column) -> Column:
+            return (i == F.size(lines)) | F.get(alone, i - 1) | F.get(alone, i) | (F.pmod(rolled(i), F.lit(modulus)) == 0)
+
+        ends = F.filter(F.sequence(F.lit(1), F.size(lines)), is_end)
         return let(ends, lambda e: F.transform(e, lambda end, k: chunk(lines, F.when(k > 0, F.get(e, k - 1)).otherwise(0), end)))
 
     def chunk(lines: Column, start: Column, end: Column) -> Column:
@@ -48,27 +58,26 @@ def chunk_array(text: Column, window: int, modulus: int) -> Column:
     return let(F.split(text, "\n"), of)
 
 
-def numbered_chunks(rows: DataFrame, window: int, modulus: int) -> DataFrame:
-    return rows.select("doc_id", "version", F.posexplode(chunk_array(F.col("text"), window, modulus)).alias("ord", "c")).select("doc_id", "version", "ord", "c.n", "c.chunk")
+def numbered_chunks(rows: DataFrame, window: int, modulus: int, min_words: int) -> DataFrame:
+    return rows.select("doc_id", "version", F.posexplode(chunk_array(F.col("text"), window, modulus, min_words)).alias("ord", "c")).select("doc_id", "version", "ord", "c.n", "c.chunk")
 
 
 def eligible(n: Column, chunk: Column, min_lines: int, min_words: int) -> Column:
     """Chunks of several lines, or of one line as long as a passage; with a word in any case."""
-    words = F.size(F.split(chunk, r"[\x20\x09-\x0D]+"))
-    return F.when(n >= min_lines, F.regexp_like(chunk, F.lit(r"[^\x20\x09-\x0D]"))).otherwise((F.length(chunk) >= 2 * min_words - 1) & (words >= min_words))
+    return F.when(n >= min_lines, F.regexp_like(chunk, F.lit(r"[^\x20\x09-\x0D]"))).otherwise(passage(chunk, min_words))
 
 
 def repeated_chunks(docs: DataFrame, window: int = 2, modulus: int = 2, min_lines: int = 2, min_words: int = 50) -> DataFrame:
     """doc_id, version and drop: the numbers of each document's chunks that are repetitions."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
     place = F.struct("doc_id", "version", "ord")
-    chunks = numbered_chunks(rows.where(F.col("text") != ""), window, modulus).where(eligible(F.col("n"), F.col("chunk"), min_lines, min_words))
+    chunks = numbered_chunks(rows.where(F.col("text") != ""), window, modulus, min_words).where(eligible(F.col("n"), F.col("chunk"), min_lines, min_words))
     hashes = written(chunks.select("doc_id", "version", "ord", F.xxhash64("chunk").alias("hash")), "chunks")
     # Rows that repeat a document's id and text are the same document: their chunks have the same place.
     again = hashes.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select("hash")
     marked = hashes.join(again, "hash", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("ord").alias("ords"))
     suspects = rows.join(marked, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
-    texts = suspects.select("doc_id", "version", "ords", F.posexplode(chunk_array(F.col("text"), window, modulus)).alias("ord", "c"))
+    texts = suspects.select("doc_id", "version", "ords", F.posexplode(chunk_array(F.col("text"), window, modulus, min_words)).alias("ord", "c"))
     texts = written(texts.where(F.array_contains("ords", F.col("ord"))).select("doc_id", "version", "ord", "c.chunk"), "suspects")
     owners = texts.groupBy("chunk").agg(F.min(place).alias("owner"))
     # The join compares the bytes of the chunks.
@@ -92,7 +101,7 @@ def dedup_lines(docs: DataFrame, window: int = 2, modulus: int = 2, min_lines: i
         gone = F.aggregate(F.filter(chunks, lambda c, i: F.array_contains(F.col("__drop"), i)), F.lit(0), lambda s, c: s + c["n"])
         return F.struct(F.array_join(F.transform(stay, lambda c: c["chunk"]), "\n").alias("text"), gone.alias("gone"))
 
-    new = F.when(F.col("__drop").isNotNull(), let(chunk_array(F.col("text"), window, modulus), kept))
+    new = F.when(F.col("__drop").isNotNull(), let(chunk_array(F.col("text"), window, modulus, min_words), kept))
     out = joined.withColumn("__new", new)
     columns = [F.coalesce(F.col("__new.text"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != removed]
     return out.select(*columns, *([F.coalesce(F.col("__new.gone"), F.lit(0)).cast("long").alias(removed)] if removed else []))

@@ -79,11 +79,13 @@ WITH line AS (
 ), rolled AS (
   SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT
     + 31 * coalesce(lag(('0x' || substr(md5(line), 1, 7))::BIGINT) OVER w, 0) AS roll,
-    count(*) OVER (PARTITION BY doc_id) AS n
+    length(line) >= 99 AND len(regexp_split_to_array(line, '[\x20\x09-\x0D]+')) >= 50 AS alone
   FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), ended AS (
+  SELECT *, roll % 2 = 0 OR alone OR coalesce(lead(alone) OVER (PARTITION BY doc_id ORDER BY i), false) AS is_end FROM rolled
 ), numbered AS (
-  SELECT *, coalesce(sum(CASE WHEN roll % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ord
-  FROM rolled
+  SELECT *, coalesce(sum(CASE WHEN is_end THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ord
+  FROM ended
 ), chunk AS (
   SELECT doc_id, ord, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, ord
 ), judged AS (

@@ -6,8 +6,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+from oracle import spark_rows, sql_rows
 from pyspark.sql import functions as F
 
 from siftline.llm import ann, bpe, common, license_scan, line_dedup, mixing, ngram_join, quality, queries, sharding, token_store, url_filter
@@ -51,6 +53,21 @@ def test_line_dedup_removes_shared_passages_and_nothing_else(spark):
         assert out[i].gone == len(texts[i].split("\n")) - len(out[i].text.split("\n"))
 
 
+def test_line_dedup_removes_repeated_long_lines_whatever_stands_beside_them(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"before {i}\n{passage}\nafter {i}\nshort") for i in range(30)]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: text if i == 0 else f"before {i}\nafter {i}\nshort" for i, text in rows}
+
+
+@pytest.mark.parametrize("key", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, sf, key):
+    connection = duckdb.connect()
+    for name in ("documents", "pages"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    assert spark_rows(queries.queries()[key](spark, sf)) == sql_rows(connection, queries.oracle_sql()[key])
+
+
 def test_line_dedup_awkward_rows(spark):
     got = line_dedup.dedup_lines(awkward(spark, "removed"), removed="removed").orderBy("doc_id").collect()
     assert len(got) == len(AWKWARD)
