@@ -16,9 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; a document of repetitions only goes whole."""
+    """Repeated passages go whole; a document of repetitions only goes as well."""
     removed = "__removed"
-    out = line_dedup.dedup_lines(docs, removed=removed)
+    out = line_dedup.dedup_passages(docs, removed=removed)
     words = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     out = out.where((F.col(removed) == 0) | words)
     return out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(removed)

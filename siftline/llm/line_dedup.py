@@ -4,6 +4,9 @@ A rolling hash over the hashes of the last lines decides after which lines a chu
 chunks of a shared passage are the same wherever it stands; a line as long as a passage is a chunk
 of its own. Chunks whose hash occurs again
 anywhere are compared byte by byte; all but the first occurrence are removed.
+
+dedup_passages() leaves no chunk to chance: it compares every run of ``min_lines`` lines, from each
+line on, so that a repeated passage goes whole, its ends and its single lines included.
 """
 
 from __future__ import annotations
@@ -86,6 +89,64 @@ def repeated_chunks(docs: DataFrame, window: int = 2, modulus: int = 2, min_line
     return surplus.groupBy("doc_id", "version").agg(F.collect_set("ord").alias("drop"))
 
 
+def units(lines: Column, at: Column, min_lines: int, min_words: int) -> Column:
+    """What may be a repetition from each place of ``at`` on: ``min_lines`` lines with a word, and one line as long as a passage."""
+
+    def run(i: Column) -> Column:
+        text = F.when(i + min_lines <= F.size(lines), F.array_join(F.slice(lines, i + 1, min_lines), "\n"))
+        return F.struct(i.alias("ord"), F.lit(min_lines).alias("n"), text.alias("unit"))
+
+    def line(i: Column) -> Column:
+        return F.struct(i.alias("ord"), F.lit(1).alias("n"), F.get(lines, i).alias("unit"))
+
+    runs = F.filter(F.transform(at, run), lambda u: F.coalesce(F.regexp_like(u["unit"], F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
+    return F.concat(runs, F.filter(F.transform(at, line), lambda u: passage(u["unit"], min_words)))
+
+
+def repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) -> DataFrame:
+    """doc_id, version and drop: the numbers of each document's lines that belong to a repetition.
+
+    A line does if ``min_lines`` lines around it, or it alone if it is as long as a passage, stand
+    earlier (by doc_id and place). The first place of any line is in no such run, so it stays.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
+    place = F.struct("doc_id", "version", "ord")
+
+    def hashed(lines: Column) -> Column:
+        found = units(lines, F.sequence(F.lit(0), F.size(lines) - 1), min_lines, min_words)
+        return F.transform(found, lambda u: F.struct(u["ord"].alias("ord"), F.xxhash64(u["unit"]).alias("hash")))
+
+    def digests(lines: Column) -> Column:
+        found = units(lines, F.col("ords"), min_lines, min_words)
+        return F.transform(found, lambda u: F.struct(u["ord"].alias("ord"), u["n"].alias("n"), F.unhex(F.sha2(u["unit"], 256)).alias("digest")))
+
+    hashes = rows.where(F.col("text") != "").select("doc_id", "version", F.explode(let(F.split("text", "\n"), hashed)).alias("u"))
+    hashes = written(hashes.select("doc_id", "version", "u.ord", "u.hash"), "units")
+    again = hashes.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select("hash")
+    marked = hashes.join(again, "hash", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("ord").alias("ords"))
+    suspects = rows.join(marked, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    found = suspects.select("doc_id", "version", F.explode(let(F.split("text", "\n"), digests)).alias("u"))
+    found = written(found.select("doc_id", "version", "u.ord", "u.n", "u.digest"), "suspects")
+    # Equal SHA-256 digests stand for equal bytes: every line is in several runs, whose texts would move as often.
+    owners = found.groupBy("digest").agg(F.min(place).alias("owner"))
+    surplus = found.join(owners, "digest").where(place != F.col("owner"))
+    lines = surplus.select("doc_id", "version", F.explode(F.sequence(F.col("ord"), F.col("ord") + F.col("n") - 1)).alias("ord"))
+    return lines.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("ord")).alias("drop"))
+
+
+def dedup_passages(docs: DataFrame, min_lines: int = 2, min_words: int = 50, removed: str | None = None) -> DataFrame:
+    """docs with the repeated lines (see repeated_lines()) taken out of text; in all else like dedup_lines()."""
+    drop = repeated_lines(docs, min_lines, min_words)
+
+    def kept(lines: Column) -> Column:
+        gone = F.col("__drop")
+        between = lambda end, k: F.slice(lines, F.coalesce(F.when(k > 0, F.get(gone, k - 1)), F.lit(-1)) + 2, end - F.coalesce(F.when(k > 0, F.get(gone, k - 1)), F.lit(-1)) - 1)
+        stay = F.flatten(F.transform(F.concat(gone, F.array(F.size(lines))), between))
+        return F.struct(F.array_join(stay, "\n").alias("text"), F.size(gone).alias("gone"))
+
+    return _without(docs, drop, F.split("text", "\n"), kept, removed)
+
+
 def dedup_lines(docs: DataFrame, window: int = 2, modulus: int = 2, min_lines: int = 2, min_words: int = 50, removed: str | None = None) -> DataFrame:
     """docs with the repeated chunks taken out of text; all rows and columns stay.
 
@@ -94,15 +155,21 @@ def dedup_lines(docs: DataFrame, window: int = 2, modulus: int = 2, min_lines: i
     doc_id and text are one document and keep the same lines; null ids pass unchanged. ``removed``
     adds a column with the number of lines taken out. An empty table gives an empty table.
     """
-    drop = repeated_chunks(docs, window, modulus, min_lines, min_words).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("drop").alias("__drop"))
-    joined = docs.join(drop, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__version")), "left")
+    drop = repeated_chunks(docs, window, modulus, min_lines, min_words)
 
     def kept(chunks: Column) -> Column:
         stay = F.filter(chunks, lambda c, i: ~F.array_contains(F.col("__drop"), i))
         gone = F.aggregate(F.filter(chunks, lambda c, i: F.array_contains(F.col("__drop"), i)), F.lit(0), lambda s, c: s + c["n"])
         return F.struct(F.array_join(F.transform(stay, lambda c: c["chunk"]), "\n").alias("text"), gone.alias("gone"))
 
-    new = F.when(F.col("__drop").isNotNull(), let(chunk_array(F.col("text"), window, modulus, min_words), kept))
+    return _without(docs, drop, chunk_array(F.col("text"), window, modulus, min_words), kept, removed)
+
+
+def _without(docs: DataFrame, drop: DataFrame, pieces: Column, kept: Callable[[Column], Column], removed: str | None) -> DataFrame:
+    """docs with kept(pieces), of text and gone, where ``drop`` has the row's doc_id and version; there ``__drop`` is its drop."""
+    drop = drop.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("drop").alias("__drop"))
+    joined = docs.join(drop, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__version")), "left")
+    new = F.when(F.col("__drop").isNotNull(), let(pieces, kept))
     out = joined.withColumn("__new", new)
     columns = [F.coalesce(F.col("__new.text"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != removed]
     return out.select(*columns, *([F.coalesce(F.col("__new.gone"), F.lit(0)).cast("long").alias(removed)] if removed else []))

@@ -76,6 +76,37 @@ def test_line_dedup_awkward_rows(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_repeated_passages_go_whole(spark, n):
+    rows = []
+    for i in range(12):
+        passage = "\n".join(" ".join(f"p{i}l{j}w{k}" for k in range(52 // n + 1)) for j in range(n))
+        rows += [(2 * i, f"start {i}\n{passage}\nend {i}"), (2 * i + 1, f"other {i}\n{passage}\nlast {i}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.text, r.gone) for r in line_dedup.dedup_passages(docs, removed="gone").collect()}
+    assert out == {d: (f"other {d // 2}\nlast {d // 2}", n) if d % 2 else (text, 0) for d, text in rows}
+    staged = {r.doc_id: r.text for r in pytest.importorskip("corpus_pipeline").line_dedup_stage(spark, docs.withColumn("n_chars", F.length("text").cast("long")), "").collect()}
+    assert staged == {d: text for d, (text, _) in out.items()}
+
+
+def test_passages_against_plain_python(spark, sf):
+    docs = [(r.doc_id, r.text) for r in docs_of(spark, sf).orderBy("doc_id").collect()]
+    seen, want = set(), {}
+    for d, text in docs:
+        lines, gone = (text or "").split("\n"), set()
+        for i, line in enumerate(lines):
+            for n in (1, 2):
+                unit = "\n".join(lines[i : i + n])
+                if i + n > len(lines) or len(TOKEN.findall(unit)) < (50 if n == 1 else 1):
+                    continue
+                gone |= set(range(i, i + n)) if unit in seen else set()
+                seen.add(unit)
+        want[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text
+    assert {r.doc_id: r.text for r in line_dedup.dedup_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+    got = line_dedup.dedup_passages(awkward(spark, "removed"), removed="removed").collect()
+    assert len(got) == len(AWKWARD) and line_dedup.dedup_passages(empty(spark)).count() == 0
+
+
 # --- 2 ---
 
 
