@@ -169,17 +169,23 @@ def tuned(vectors: DataFrame, queries: DataFrame, how: Search) -> Tables | None:
         tables.width *= 1.25
 
 
+def _one_row_an_id(vectors: DataFrame) -> DataFrame:
+    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+
 def search(vectors: DataFrame, queries: DataFrame, how: Search = Search()) -> DataFrame:
     """query_id, rank, vec_id and score: each query's k nearest found by largest inner product.
 
     Both tables have vec_id and embedding. Vectors that are null, zero, or hold null or non-finite
     components take no part, nor do a vector under its own id as query. Equal scores go to smaller
-    ids. Fewer candidates than k give fewer rows; empty tables an empty table. Repeated rows of an id count once.
+    ids. Fewer candidates than k give fewer rows; empty tables an empty table. Rows that repeat an
+    id count once, with the smallest of its vectors.
     """
     spark = vectors.sparkSession
-    # Repeated rows of an id fall into the same cells and are merged with the candidates.
-    valid = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    asked = queries.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).dropDuplicates(["vec_id"])
+    # Distinct ids before any list is cut to k: copies of one vector share every cell and would fill its places.
+    valid = written(_one_row_an_id(vectors), "vectors")
+    asked = _one_row_an_id(queries)
     tables = tuned(valid, asked, how)
     if tables is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

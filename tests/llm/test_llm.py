@@ -375,6 +375,13 @@ def test_ann_awkward_vectors(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_ann_repeated_ids_leave_room_for_others(spark):
+    rows = [(i, [1.0, 0.0, 0.01 * i]) for i in range(9)] + [(9, [1.0, 0.0, 0.99 - 0.01 * (i % 2)]) for i in range(60)] + [(100, [1.0, 0.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(vectors, vectors.where("vec_id = 100"), ann.Search(k=5)).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [9, 8, 7, 6, 5] and math.isclose(got[0].score, 1.98)
+
+
 # --- 9, 10 ---
 
 
