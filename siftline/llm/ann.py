@@ -169,6 +169,35 @@ def tuned(vectors: DataFrame, queries: DataFrame, how: Search) -> Tables | None:
         tables.width *= 1.25
 
 
+def _ranked(stored: DataFrame, probing: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id and score: the k best of the vectors that share a cell and block with a query."""
+    met = stored.unionByName(probing).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, cuts in whole_groups(batches, 2):
+            asks, ids, x = batch.column(2).to_numpy(), batch.column(3).to_numpy(), _matrix(batch.column(4))
+            out = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                m = a + int(np.searchsorted(asks[a:b], 1))
+                for lo in range(m, b if m > a else m, 512):
+                    hi = min(b, lo + 512)
+                    rough = x[lo:hi] @ x[a:m].T
+                    out += [(int(ids[i]), *_best(ids[a:m], x[a:m], x[i], int(ids[i]), k, rough[i - lo])) for i in range(lo, hi)]
+            out = [r for r in out if len(r[1])]
+            if out:
+                yield _found(out)
+
+    return _top(met.mapInArrow(rank, _FOUND), k).select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _all_pairs(vectors: DataFrame, queries: DataFrame, blocks: int, parts: int, k: int) -> DataFrame:
+    """Exact neighbours of distinct queries, every part of them against every block of the vectors."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    stored = vectors.select("*", every(parts).alias("cell")).select(F.col("cell").cast("long").alias("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "embedding")
+    probing = queries.select("*", every(blocks).alias("block")).select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("long").alias("cell"), "block", F.lit(1).alias("asks"), "vec_id", "embedding")
+    return _ranked(stored, probing, k)
+
+
 def _one_row_an_id(vectors: DataFrame) -> DataFrame:
     rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -179,7 +208,8 @@ def search(vectors: DataFrame, queries: DataFrame, how: Search = Search()) -> Da
 
     Both tables have vec_id and embedding. Vectors that are null, zero, or hold null or non-finite
     components take no part, nor do a vector under its own id as query. Equal scores go to smaller
-    ids. Fewer candidates than k give fewer rows; empty tables an empty table. Rows that repeat an
+    ids. Fewer candidates than k give all of them; a list that comes out shorter is answered by brute
+    force, at the cost of its query times all vectors; empty tables an empty table. Rows that repeat an
     id count once, with the smallest of its vectors.
     """
     spark = vectors.sparkSession
@@ -212,20 +242,15 @@ def search(vectors: DataFrame, queries: DataFrame, how: Search = Search()) -> Da
     sizes = written(members.select("cell").groupBy("cell").agg(F.count("*").alias("size")), "cells").withColumn("blocks", F.ceil(F.col("size") / how.block).cast("int"))
     stored = members.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "embedding")
     probing = asked.mapInArrow(cells(True), schema).join(sizes, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "vec_id", "embedding")
-    met = stored.unionByName(probing).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, cuts in whole_groups(batches, 2):
-            asks, ids, x = batch.column(2).to_numpy(), batch.column(3).to_numpy(), _matrix(batch.column(4))
-            out = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                m = a + int(np.searchsorted(asks[a:b], 1))
-                for lo in range(m, b if m > a else m, 512):
-                    hi = min(b, lo + 512)
-                    rough = x[lo:hi] @ x[a:m].T
-                    out += [(int(ids[i]), *_best(ids[a:m], x[a:m], x[i], int(ids[i]), how.k, rough[i - lo])) for i in range(lo, hi)]
-            out = [r for r in out if len(r[1])]
-            if out:
-                yield _found(out)
-
-    return _top(met.mapInArrow(rank, _FOUND), how.k).select(F.col("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = written(_ranked(stored, probing, how.k), "found")
+
+    # Lists that the probes left short are answered anew from all vectors.
+    n = valid.count()
+    own = valid.select("vec_id", F.lit(1).alias("own"))
+    sized = asked.join(found.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("found")), "vec_id", "left").join(own, "vec_id", "left")
+    all_there = F.least(F.lit(how.k), F.lit(n) - F.coalesce("own", F.lit(0)))
+    short = written(sized.where(F.coalesce("found", F.lit(0)) < all_there).select("vec_id", "embedding"), "short")
+    if (n_short := short.count()) == 0:
+        return found
+    whole = _all_pairs(valid, short, -(-n // how.block), -(-n_short // how.block), how.k)
+    return found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(whole)

@@ -382,6 +382,16 @@ def test_ann_repeated_ids_leave_room_for_others(spark):
     assert [r.vec_id for r in got] == [9, 8, 7, 6, 5] and math.isclose(got[0].score, 1.98)
 
 
+@pytest.mark.parametrize("n", [8, 15, 20])
+def test_ann_gives_all_candidates_if_fewer_than_k(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(vectors, vectors, ann.Search(block=4)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {i: sorted((j for j in range(n) if j != i), key=lambda j, i=i: -float(x[i] @ x[j])) for i in range(n)}
+
+
 # --- 9, 10 ---
 
 
