@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.llm.bpe import small_slices
-from siftline.llm.common import mixed
+from siftline.llm.common import mixed, written
 
 #: Very common words of each language.
 COMMON_WORDS = {
@@ -26,9 +26,6 @@ COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an er",
     "es": "de la que el en y a los del se las por un para con no una su al lo es como más o",
 }
-#: Other languages, and documents of unknown language, share one reference.
-POOLED = "*"
-LANGUAGES = (*COMMON_WORDS, POOLED)
 WORDS = sorted({w for line in COMMON_WORDS.values() for w in line.split()})
 
 LOWER, UPPER, DIGIT, SPACE, LINE, MARK, SYMBOL, OTHER, WIDE, CONTROL = range(10)
@@ -56,11 +53,6 @@ class Rules:
     reference_words: int = 2_000
 
 
-def _language(values: list[str | None]) -> list[int]:
-    place = {x: i for i, x in enumerate(LANGUAGES)}
-    return [place.get(v, place[POOLED]) for v in values]
-
-
 _SLOT = {form: i for i, w in enumerate(WORDS) for form in {w.encode(), w.capitalize().encode(), w.upper().encode()}}
 
 
@@ -87,26 +79,37 @@ def js_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, min(1.0, d / 2))))
 
 
-def language_references(docs: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Histograms of all documents of each language: at most len(LANGUAGES) rows come to the driver."""
+#: Languages whose histograms a task or the driver holds at once.
+HELD = 4096
+
+
+def language_references(docs: DataFrame) -> DataFrame:
+    """lang, classes and common: the histograms of all documents of each value of lang; null has none."""
+
+    def rows(held: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        columns = [pa.array(held, pa.string()), *(pa.array([h[i].tolist() for h in held.values()], pa.list_(pa.int64())) for i in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, ["lang", "classes", "common"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, common = np.zeros((len(LANGUAGES), 10), np.int64), np.zeros((len(LANGUAGES), len(WORDS) + 1), np.int64)
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            languages = _language(batch.column(1).to_pylist())
+            languages = batch.column(1).to_pylist()
             done = 0
             for _, texts in small_slices(batch, 0):
                 for text in texts:
-                    if text:
-                        a, b = histograms(text, text.split())
-                        classes[languages[done]] += a
-                        common[languages[done]] += b
+                    if text and languages[done] is not None:
+                        found = histograms(text, text.split())
+                        for total, part in zip(held.setdefault(languages[done], (np.zeros(10, np.int64), np.zeros(len(WORDS) + 1, np.int64))), found, strict=True):
+                            total += part
                     done += 1
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(LANGUAGES)), pa.int32()), pa.array(classes.tolist()), pa.array(common.tolist())], ["language", "classes", "common"])
+                if len(held) >= HELD:
+                    yield rows(held)
+                    held = {}
+        yield rows(held)
 
-    parts = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(summed, "language int, classes array<long>, common array<long>")
+    parts = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(summed, "lang string, classes array<long>, common array<long>")
     add = [F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c) for c, n in (("classes", 10), ("common", len(WORDS) + 1))]
-    return {r.language: (np.array(r.classes), np.array(r.common)) for r in parts.groupBy("language").agg(*add).collect()}
+    return parts.groupBy("lang").agg(*add)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -143,7 +146,7 @@ VERDICT = T.StructType(
 )
 
 
-def judge(text: bytes, language: int, references: dict[int, tuple[np.ndarray, np.ndarray]], rules: Rules) -> tuple:
+def judge(text: bytes, language: str | None, references: dict[str, tuple[np.ndarray, np.ndarray]], rules: Rules) -> tuple:
     words = text.split()
     classes, common = histograms(text, words)
     blanks = int(classes[SPACE] + classes[LINE])
@@ -167,19 +170,40 @@ def with_verdict(docs: DataFrame, out: str, rules: Rules = Rules()) -> DataFrame
     """Add the struct column ``out`` (see VERDICT) to each row.
 
     Words are runs without ASCII white space. Null and empty texts have no words and fail. Documents
-    of a language without a reference, and texts under the minimum lengths, have distance 0: only
+    of unknown (null) language, and of a language without a reference, and texts under the minimum lengths, have distance 0: only
     the base rules judge them. Ties and repeated rows are judged alike, each by itself; further columns pass.
     """
-    references = language_references(docs)
+    table = written(language_references(docs), "references")
+    words = F.aggregate("common", F.lit(0).cast("long"), lambda n, v: n + v)
+    most = table.orderBy(words.desc(), "lang").limit(HELD).collect()
+    held = {r.lang: (np.array(r.classes), np.array(r.common)) for r in most}
 
     @F.pandas_udf(VERDICT)
     def verdict(texts, languages):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        rows = [judge((t or "").encode(), k, references, rules) for t, k in zip(texts, _language(languages.tolist()), strict=True)]
+        rows = [judge((t or "").encode(), k, held, rules) for t, k in zip(texts, languages.tolist(), strict=True)]
+        return pd.DataFrame(rows, columns=VERDICT.names)
+
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    if len(most) < HELD:
+        return docs.withColumn(out, verdict(text, lang))
+
+    @F.pandas_udf(VERDICT)
+    def verdict_by(texts, classes, common):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        own = [{} if a is None else {None: (np.array(a), np.array(b))} for a, b in zip(classes, common, strict=True)]
+        rows = [judge((t or "").encode(), None, r, rules) for t, r in zip(texts, own, strict=True)]
         return pd.DataFrame(rows, columns=VERDICT.names)
 
-    return docs.withColumn(out, verdict(F.col("text").cast("string"), F.col("lang").cast("string")))
+    # More languages than the driver may hold: the rows of the rarer ones meet their reference by key.
+    names = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in held], "__lang string"))
+    frequent = docs.join(names.withColumn("__held", F.lit(True)), lang == F.col("__lang"), "left").drop("__lang")
+    others = table.select(F.col("lang").alias("__lang"), F.col("classes").alias("__classes"), F.col("common").alias("__common"))
+    rare = frequent.where(F.col("__held").isNull() & lang.isNotNull()).drop("__held").join(others, lang == F.col("__lang"), "left")
+    rare = rare.withColumn(out, verdict_by(text, F.col("__classes"), F.col("__common"))).drop("__lang", "__classes", "__common")
+    return frequent.where(F.col("__held").isNotNull() | lang.isNull()).drop("__held").withColumn(out, verdict(text, lang)).unionByName(rare)
 
 
 def quality_report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -342,6 +342,21 @@ def test_quality_awkward_rows(spark):
     assert quality.quality_report(empty(spark)).count() == 0 and quality.keep_good(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("held", [4096, 2])
+def test_each_language_has_its_own_reference(spark, monkeypatch, held):
+    monkeypatch.setattr(quality, "HELD", held)
+    rng = np.random.default_rng(3)
+
+    def prose(letters):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(300))
+
+    rows = [(i, prose("abcdefghijklmnop"), ("it", "pt", None)[i % 3]) for i in range(90)] + [(100 + i, prose("абвгдежзиклмн"), "ru") for i in range(10)]
+    docs = spark.createDataFrame([*rows, (200, "$$ %% && ## " * 100 + prose("#$%&|<>*"), "it")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality_report(docs).collect()}
+    assert all(got[d].kept for d, _, _ in rows) and len(got) == len(rows) + 1
+    assert got[200].class_distance > 0.3 and all(got[d].class_distance == 0 for d, _, lang in rows if lang is None)
+
+
 # --- 8 ---
 
 
