@@ -335,9 +335,9 @@ def jaccard_classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
     signed = written(embedded(rows, how.shingle), "embedded")
-    best = F.min(F.struct("doc_id", "version", "n", "tokens"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", "n", "tokens"))  # null ids last
     vertices = signed.where("key is not null").groupBy("key").agg(best.alias("best"), F.count("*").alias("copies"))
-    vertices = written(vertices.select(F.xxhash64("key").alias("vertex"), "key", "copies", "best.*"), "vertices")
+    vertices = written(vertices.select(F.xxhash64("key").alias("vertex"), "key", "copies", "best.doc_id", "best.version", "best.n", "best.tokens"), "vertices")
     found = buckets(vertices, how)
     listed = found.groupBy("vertex").agg(F.array_sort(F.collect_set(F.struct("path", "members"))).alias("found"))
     members = listed.join(vertices, "vertex").withColumn("paths", F.transform("found", lambda x: x["path"])).select("*", F.explode("found").alias("bucket"))
@@ -352,7 +352,10 @@ def jaccard_classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
         .sortWithinPartitions(*task)
     )
     active = written(active_members(members, how), "active")
-    texts = active.join(rows, ["doc_id", "version"]).select(*task, "side", "vertex", "copies", "paths", "text")
+    # Groups without any id meet one row of their text.
+    unnamed = rows.where("doc_id is null").dropDuplicates(["version"]).select("version", "text")
+    texts = active.join(rows, ["doc_id", "version"]).unionByName(active.where("doc_id is null").join(unnamed, "version"))
+    texts = texts.select(*task, "side", "vertex", "copies", "paths", "text")
     links = written(verified_links(texts.repartition(*task).sortWithinPartitions(*task), how), "links")
     roots = components(links.where("other is not null").select(F.col("vertex").alias("a"), F.col("other").alias("b")))
     degree = links.where("other is null").groupBy("vertex").agg(F.sum("links").alias("links"))

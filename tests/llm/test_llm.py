@@ -296,6 +296,15 @@ def test_join_against_all_pairs(spark, sf, how):
     assert got == brute_classes(rows)
 
 
+def test_links_of_groups_with_null_ids(spark):
+    near = [text for _, text in near_copies(2)]
+    far = [text.replace("w", "v") for text in near]
+    rows = [(None, near[0]), (2, near[0]), (3, near[0]), (10, near[1]), (None, far[0]), (None, far[0]), (20, far[1])]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 2, 3), (2, 2, 3), (3, 2, 3), (10, 2, 3), (None, 20, 2), (None, 20, 2), (20, 20, 2)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_one_document_of_each_class_stays(spark):
     docs = awkward(spark, "class_id")
     kept = ngram_join.one_of_each(docs)
