@@ -333,6 +333,11 @@ def jaccard_classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
     Classes are the components of the links. Texts without words (null, empty) have no links and
     are classes of their own. Repeated rows link with each other; an empty table gives an empty table.
     """
+    return _classes(docs, how).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, how: Join) -> DataFrame:
+    """The rows of jaccard_classes() with version, the hash of the text, and that of the row with the smallest doc_id and version of the class."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
     signed = written(embedded(rows, how.shingle), "embedded")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", "n", "tokens"))  # null ids last
@@ -359,19 +364,20 @@ def jaccard_classes(docs: DataFrame, how: Join = Join()) -> DataFrame:
     links = written(verified_links(texts.repartition(*task).sortWithinPartitions(*task), how), "links")
     roots = components(links.where("other is not null").select(F.col("vertex").alias("a"), F.col("other").alias("b")))
     degree = links.where("other is null").groupBy("vertex").agg(F.sum("links").alias("links"))
-    classed = vertices.select("vertex", "key", "copies", "doc_id").join(roots, "vertex", "left").join(degree, "vertex", "left")
+    classed = vertices.select("vertex", "key", "copies", "doc_id", "version").join(roots, "vertex", "left").join(degree, "vertex", "left")
     classed = classed.withColumn("root", F.coalesce("root", "vertex"))
-    smallest = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    classed = classed.join(smallest, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "key").join(classed, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    smallest = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("least"))
+    classed = classed.join(smallest, "root").select("key", F.col("least.doc_id").alias("class_id"), F.col("least.version").alias("class_version"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return signed.select("doc_id", "version", "key").join(classed, "key", "left").select("doc_id", "version", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_version", "version").alias("class_version"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """One row of each class of docs: that with the smallest doc_id. Texts without words and null ids stay."""
-    rest = jaccard_classes(docs.where("doc_id is not null"), how).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct()
-    once = docs.join(rest, docs["doc_id"] == rest["__id"], "left_anti")
-    # Equal rows share their doc_id, so no text moves again for this.
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__version").orderBy("__version"))
-    once = once.withColumn("__version", F.xxhash64("text")).withColumn("__nth", nth)
+    """One row of each class of docs: that with the smallest doc_id, and hash of its text. Texts without words and null ids stay."""
+    first = (F.col("doc_id") == F.col("class_id")) & (F.col("version") == F.col("class_version"))
+    rest = _classes(docs.where("doc_id is not null"), how).where(~first).select(F.col("doc_id").alias("__id"), F.col("version").alias("__other")).distinct()
+    once = docs.withColumn("__version", F.xxhash64("text"))
+    once = once.join(rest, (F.col("doc_id") == F.col("__id")) & (F.col("__version") == F.col("__other")), "left_anti")
+    # Equal rows share their doc_id and version, so no text moves again for this.
+    once = once.withColumn("__nth", F.row_number().over(Window.partitionBy("doc_id", "__version").orderBy("__version")))
     wordless = ~F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
     return once.where((F.col("__nth") == 1) | F.col("doc_id").isNull() | wordless).select(*docs.columns)

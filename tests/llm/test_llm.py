@@ -313,6 +313,14 @@ def test_one_document_of_each_class_stays(spark):
     assert ngram_join.jaccard_classes(empty(spark)).count() == 0
 
 
+def test_another_text_under_the_id_of_a_near_copy_stays(spark):
+    near = [text for _, text in near_copies(2)]
+    far = [text.replace("w", "v") for text in near]
+    rows = [(1, near[0]), (5, near[1]), (5, "a text of its own under the same id"), (7, far[0]), (7, far[1])]
+    kept = [tuple(r) for r in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert {rows[0], rows[2]} < set(kept) and len(kept) == 3 and set(kept) & set(rows[3:])
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 90), (90, 95)]
     got = {r.vertex: r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
