@@ -49,8 +49,6 @@ class Rules:
     judged_chars: int = 400
     max_word_distance: float = 0.45
     max_class_distance: float = 0.3
-    #: A language's histogram counts as a reference from so many words on.
-    reference_words: int = 2_000
 
 
 _SLOT = {form: i for i, w in enumerate(WORDS) for form in {w.encode(), w.capitalize().encode(), w.upper().encode()}}
@@ -157,7 +155,7 @@ def judge(text: bytes, language: str | None, references: dict[str, tuple[np.ndar
     failed = n < rules.min_words or 100 * repeated > rules.most_repeated_percent * n
     reference = references.get(language)
     by_class = by_word = 0.0
-    if reference is not None and reference[1].sum() >= rules.reference_words:
+    if reference is not None:
         if word_chars >= rules.judged_chars:
             by_class = js_distance(classes, reference[0])
         if n >= rules.judged_words:

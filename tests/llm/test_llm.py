@@ -374,6 +374,14 @@ def test_each_language_has_its_own_reference(spark, monkeypatch, held):
     assert got[200].class_distance > 0.3 and all(got[d].class_distance == 0 for d, _, lang in rows if lang is None)
 
 
+def test_small_tables_judge_by_distance_too(spark):
+    rng = np.random.default_rng(4)
+    prose = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(n))
+    rows = [(i, prose("abcdefghijklmnop", 120), "it") for i in range(10)] + [(10, prose("#$%&|<>*", 150), "it")]
+    got = {r.doc_id: r.kept for r in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: i < 10 for i in range(11)}
+
+
 # --- 8 ---
 
 
