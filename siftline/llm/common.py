@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -77,6 +76,28 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], value: st
     )
 
 
+#: A key is hot if it holds more than this share of all rows, and more rows than a task takes easily; so at most 1 / HOT_SHARE keys are hot.
+HOT_SHARE, HOT_ROWS = 1e-5, 1000
+
+
+def split_hot(rows: DataFrame, counted: DataFrame, key: str, count: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equality join on ``key`` with a further key column slice, so that no hot key lies in one task.
+
+    ``counted``: one row for each key, with its number of rows in ``count``. Rows of a hot key are
+    dealt over ``slices`` slices by their other columns, and its row in ``counted`` is repeated for
+    each. There are at most 1 / HOT_SHARE hot keys, so their list may be broadcast.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    slices = F.ceil(F.col(count) / F.lit(float(least))).cast("int")
+    hot = F.broadcast(counted.where(F.col(count) > least).select(key, slices.alias("slices")))
+    others = [c for c in rows.columns if c != key]
+    spread = rows.join(hot, key, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    spread = spread.withColumn("slice", F.pmod(F.xxhash64(*others), F.col("slices")).cast("int"))
+    dealt = F.when(F.col(count) > least, slices).otherwise(1)
+    return spread, counted.withColumn("slice", F.explode(F.sequence(F.lit(0), dealt - 1)))
+
+
 # --- words and hashes, inside tasks -------------------------------------------------------------
 
 #: Lower-cases A-Z and turns every other ASCII character that is no letter or digit into a space.
@@ -132,17 +153,3 @@ class Words:
         for j in range(1, k):
             out = out * _STEP + self.hashes[j : j + n]
         return mixed(out)
-
-
-def text_blocks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """Whole texts in blocks of about ``most`` bytes, each with the number of its first."""
-    block, size, first = [], 0, 0
-    for i, text in enumerate(texts):
-        data = (text or "").encode()
-        if block and size + len(data) > most:
-            yield first, block
-            block, size, first = [], 0, i
-        block.append(data)
-        size += len(data)
-    if block:
-        yield first, block

@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks of lines, with DataFrame functions only.
 
-A rolling hash over the hashes of the last lines decides after which lines a chunk ends, so that
-chunks of a shared passage are the same wherever it stands; a line as long as a passage is a chunk
-of its own. Chunks whose hash occurs again
-anywhere are compared byte by byte; all but the first occurrence are removed.
+Rolling hashes over the hashes of the lines before and after a gap decide whether chunks may end
+there, so that a passage brings the boundaries of both its ends along wherever it stands. From each
+boundary a chunk reaches to the first one that is two lines or more away; chunks overlap, so that no
+short tail is lost. Chunks whose hash occurs again anywhere are compared byte by byte; all but the
+first occurrence are removed. long_lines() is an operator beside it for passages that are one line.
 
 dedup_passages() leaves no chunk to chance: it compares every run of ``min_lines`` lines, from each
 line on, so that a repeated passage goes whole, its ends and its single lines included.
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import written
+from siftline.llm.common import split_hot, written
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -35,58 +36,69 @@ def passage(line: Column, min_words: int) -> Column:
     return F.when(F.length(line) >= 2 * min_words - 1, F.regexp_like(line, F.lit(gaps))).otherwise(False)
 
 
-def chunk_array(text: Column, window: int, modulus: int, min_words: int) -> Column:
-    """Chunks of a text in order: number of lines, and the lines joined.
+def rolled(hashes: Column, start: Column, step: int, window: int) -> Column:
+    """The sum of h[start + j * step] * 31 ** j over the ``window`` lines from ``start`` on, as far as there are lines."""
+    at = lambda j: start + j * step
+    return sum((F.when((at(j) >= 0) & (at(j) < F.size(hashes)), F.get(hashes, at(j))).otherwise(0) * 31**j for j in range(window)), F.lit(0))
 
-    A chunk ends after line i if the sum of h[i - j] * 31 ** j over the last ``window`` lines is a
-    multiple of ``modulus``, before and after a line of ``min_words`` words, and at the last line.
-    """
 
-    def of(lines: Column) -> Column:
-        alone = F.transform(lines, lambda line: passage(line, min_words))
-        return let(F.transform(lines, line_hash), lambda hashes: let(alone, lambda a: with_ends(lines, hashes, a)))
+def chunk_bounds(lines: Column, window: int, modulus: int) -> Column:
+    """start and n of the chunks of an array of lines.
 
-    def with_ends(lines: Column, hashes: Column, alone: Column) -> Column:
-        def rolled(i: Column) -> Column:
-            return sum((F.when(i > j, F.get(hashes, i - 1 - j)).otherwise(0) * 31**j for j in range(window)), F.lit(0))
+    The gap before line i is no boundary if the rolling hashes of the ``window`` lines before it and
+    after it are both multiples of ``modulus``; the ends of the text are boundaries. A chunk goes from
+    a boundary to the first one at two lines or more.
+    """
 
-        def is_end(i: Column) -> Column:
-            return (i == F.size(lines)) | F.get(alone, i - 1) | F.get(alone, i) | (F.pmod(rolled(i), F.lit(modulus)) == 0)
+    def of(hashes: Column) -> Column:
+        inner = lambda i: (F.pmod(rolled(hashes, i - 1, -1, window), F.lit(modulus)) != 0) | (F.pmod(rolled(hashes, i, 1, window), F.lit(modulus)) != 0)
+        return let(F.filter(F.sequence(F.lit(0), F.size(hashes)), lambda i: (i == 0) | (i == F.size(hashes)) | inner(i)), chunks)
 
-        ends = F.filter(F.sequence(F.lit(1), F.size(lines)), is_end)
-        return let(ends, lambda e: F.transform(e, lambda end, k: chunk(lines, F.when(k > 0, F.get(e, k - 1)).otherwise(0), end)))
+    def chunks(ends: Column) -> Column:
+        def chunk(start: Column, k: Column) -> Column:
+            end = F.when(F.get(ends, k + 1) - start > 1, F.get(ends, k + 1)).otherwise(F.get(ends, k + 2))
+            return F.struct(start.alias("start"), (end - start).alias("n"))
 
-    def chunk(lines: Column, start: Column, end: Column) -> Column:
-        return F.struct((end - start).alias("n"), F.array_join(F.slice(lines, start + 1, end - start), "\n").alias("chunk"))
+        return F.filter(F.transform(ends, chunk), lambda c: c["n"].isNotNull())
 
-    return let(F.split(text, "\n"), of)
+    return let(F.transform(lines, line_hash), of)
 
 
-def numbered_chunks(rows: DataFrame, window: int, modulus: int, min_words: int) -> DataFrame:
-    return rows.select("doc_id", "version", F.posexplode(chunk_array(F.col("text"), window, modulus, min_words)).alias("ord", "c")).select("doc_id", "version", "ord", "c.n", "c.chunk")
+def long_lines(lines: Column, min_words: int) -> Column:
+    """start and n of the lines that are passages by themselves: of ``min_words`` words or more."""
+    found = F.transform(lines, lambda line, i: F.when(passage(line, min_words), F.struct(i.alias("start"), F.lit(1).alias("n"))))
+    return F.filter(found, lambda c: c.isNotNull())
 
 
-def eligible(n: Column, chunk: Column, min_lines: int, min_words: int) -> Column:
-    """Chunks of several lines, or of one line as long as a passage; with a word in any case."""
-    return F.when(n >= min_lines, F.regexp_like(chunk, F.lit(r"[^\x20\x09-\x0D]"))).otherwise(passage(chunk, min_words))
+def piece(lines: Column, c: Column) -> Column:
+    return F.array_join(F.slice(lines, c["start"] + 1, c["n"]), "\n")
 
 
-def repeated_chunks(docs: DataFrame, window: int = 2, modulus: int = 2, min_lines: int = 2, min_words: int = 50) -> DataFrame:
-    """doc_id, version and drop: the numbers of each document's chunks that are repetitions."""
+def repeated_chunks(docs: DataFrame, window: int = 2, modulus: int = 8, min_words: int = 50) -> DataFrame:
+    """doc_id, version and drop: the sorted numbers of each document's lines that are in a repeated chunk or repeated long line."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    place = F.struct("doc_id", "version", "ord")
-    chunks = numbered_chunks(rows.where(F.col("text") != ""), window, modulus, min_words).where(eligible(F.col("n"), F.col("chunk"), min_lines, min_words))
-    hashes = written(chunks.select("doc_id", "version", "ord", F.xxhash64("chunk").alias("hash")), "chunks")
+    place = F.struct("doc_id", "version", "start", "n")
+    word = F.lit(r"[^\x20\x09-\x0D]")
+
+    def hashed(lines: Column) -> Column:
+        found = F.transform(F.concat(chunk_bounds(lines, window, modulus), long_lines(lines, min_words)), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), piece(lines, c).alias("chunk")))
+        return F.transform(F.filter(found, lambda c: F.regexp_like(c["chunk"], word)), lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), F.xxhash64(c["chunk"]).alias("hash")))
+
+    hashes = rows.where(F.col("text") != "").select("doc_id", "version", F.explode(let(F.split("text", "\n"), hashed)).alias("c"))
+    hashes = written(hashes.select("doc_id", "version", "c.start", "c.n", "c.hash"), "chunks")
     # Rows that repeat a document's id and text are the same document: their chunks have the same place.
-    again = hashes.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select("hash")
-    marked = hashes.join(again, "hash", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("ord").alias("ords"))
+    again = hashes.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("places")).where(F.col("a") != F.col("b")).select("hash", "places")
+    again = written(again, "again")
+    spread, parts = split_hot(hashes, again, "hash", "places")
+    marked = spread.join(parts, ["hash", "slice"]).groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "n", "slice", "slices")).alias("marked"))
     suspects = rows.join(marked, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
-    texts = suspects.select("doc_id", "version", "ords", F.posexplode(chunk_array(F.col("text"), window, modulus, min_words)).alias("ord", "c"))
-    texts = written(texts.where(F.array_contains("ords", F.col("ord"))).select("doc_id", "version", "ord", "c.chunk"), "suspects")
-    owners = texts.groupBy("chunk").agg(F.min(place).alias("owner"))
-    # The join compares the bytes of the chunks.
-    surplus = texts.join(owners, "chunk").where(place != F.col("owner"))
-    return surplus.groupBy("doc_id", "version").agg(F.collect_set("ord").alias("drop"))
+    found = suspects.select("doc_id", "version", F.explode(let(F.split("text", "\n"), lambda lines: F.transform("marked", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["slice"].alias("slice"), c["slices"].alias("slices"), piece(lines, c).alias("chunk"))))).alias("c"))
+    texts = written(found.select("doc_id", "version", "c.*"), "suspects")
+    # Both sides compare the bytes of the chunks; the owner of a hot chunk meets each slice of its places.
+    owners = texts.groupBy("chunk", "slices").agg(F.min(place).alias("owner")).select("chunk", "owner", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    surplus = texts.join(owners, ["chunk", "slice"]).where(place != F.col("owner"))
+    lines = surplus.select("doc_id", "version", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("line"))
+    return lines.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("line")).alias("drop"))
 
 
 def units(lines: Column, at: Column, min_lines: int, min_words: int) -> Column:
@@ -136,40 +148,31 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) ->
 
 def dedup_passages(docs: DataFrame, min_lines: int = 2, min_words: int = 50, removed: str | None = None) -> DataFrame:
     """docs with the repeated lines (see repeated_lines()) taken out of text; in all else like dedup_lines()."""
-    drop = repeated_lines(docs, min_lines, min_words)
+    return without_lines(docs, repeated_lines(docs, min_lines, min_words), removed)
 
-    def kept(lines: Column) -> Column:
-        gone = F.col("__drop")
-        between = lambda end, k: F.slice(lines, F.coalesce(F.when(k > 0, F.get(gone, k - 1)), F.lit(-1)) + 2, end - F.coalesce(F.when(k > 0, F.get(gone, k - 1)), F.lit(-1)) - 1)
-        stay = F.flatten(F.transform(F.concat(gone, F.array(F.size(lines))), between))
-        return F.struct(F.array_join(stay, "\n").alias("text"), F.size(gone).alias("gone"))
-
-    return _without(docs, drop, F.split("text", "\n"), kept, removed)
 
-
-def dedup_lines(docs: DataFrame, window: int = 2, modulus: int = 2, min_lines: int = 2, min_words: int = 50, removed: str | None = None) -> DataFrame:
-    """docs with the repeated chunks taken out of text; all rows and columns stay.
+def dedup_lines(docs: DataFrame, window: int = 2, modulus: int = 8, min_words: int = 50, removed: str | None = None) -> DataFrame:
+    """docs with the repeated chunks, and the repeated lines of ``min_words`` words or more, taken out of text; all rows and columns stay.
 
     The first occurrence, by doc_id and place, stays. The rest of a text keeps its order and line
     ends; a text of repetitions only becomes empty. Null and empty texts pass. Rows that repeat both
     doc_id and text are one document and keep the same lines; null ids pass unchanged. ``removed``
     adds a column with the number of lines taken out. An empty table gives an empty table.
     """
-    drop = repeated_chunks(docs, window, modulus, min_lines, min_words)
+    return without_lines(docs, repeated_chunks(docs, window, modulus, min_words), removed)
 
-    def kept(chunks: Column) -> Column:
-        stay = F.filter(chunks, lambda c, i: ~F.array_contains(F.col("__drop"), i))
-        gone = F.aggregate(F.filter(chunks, lambda c, i: F.array_contains(F.col("__drop"), i)), F.lit(0), lambda s, c: s + c["n"])
-        return F.struct(F.array_join(F.transform(stay, lambda c: c["chunk"]), "\n").alias("text"), gone.alias("gone"))
 
-    return _without(docs, drop, chunk_array(F.col("text"), window, modulus, min_words), kept, removed)
+def without_lines(docs: DataFrame, drop: DataFrame, removed: str | None) -> DataFrame:
+    """docs without the lines that ``drop`` (doc_id, version, sorted line numbers) names."""
 
+    def kept(lines: Column) -> Column:
+        gone = F.col("__drop")
+        before = lambda k: F.coalesce(F.when(k > 0, F.get(gone, k - 1)), F.lit(-1))
+        stay = F.flatten(F.transform(F.concat(gone, F.array(F.size(lines))), lambda end, k: F.slice(lines, before(k) + 2, end - before(k) - 1)))
+        return F.struct(F.array_join(stay, "\n").alias("text"), F.size(gone).alias("gone"))
 
-def _without(docs: DataFrame, drop: DataFrame, pieces: Column, kept: Callable[[Column], Column], removed: str | None) -> DataFrame:
-    """docs with kept(pieces), of text and gone, where ``drop`` has the row's doc_id and version; there ``__drop`` is its drop."""
     drop = drop.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("drop").alias("__drop"))
     joined = docs.join(drop, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__version")), "left")
-    new = F.when(F.col("__drop").isNotNull(), let(pieces, kept))
-    out = joined.withColumn("__new", new)
+    out = joined.withColumn("__new", F.when(F.col("__drop").isNotNull(), let(F.split("text", "\n"), kept)))
     columns = [F.coalesce(F.col("__new.text"), F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns if c != removed]
     return out.select(*columns, *([F.coalesce(F.col("__new.gone"), F.lit(0)).cast("long").alias(removed)] if removed else []))

@@ -73,31 +73,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _OP1 = r"""
-WITH line AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-  FROM documents WHERE text <> ''
-), rolled AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT
-    + 31 * coalesce(lag(('0x' || substr(md5(line), 1, 7))::BIGINT) OVER w, 0) AS roll,
-    length(line) >= 99 AND len(regexp_split_to_array(line, '[\x20\x09-\x0D]+')) >= 50 AS alone
-  FROM line WINDOW w AS (PARTITION BY doc_id ORDER BY i)
-), ended AS (
-  SELECT *, roll % 2 = 0 OR alone OR coalesce(lead(alone) OVER (PARTITION BY doc_id ORDER BY i), false) AS is_end FROM rolled
-), numbered AS (
-  SELECT *, coalesce(sum(CASE WHEN is_end THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ord
-  FROM ended
+WITH doc AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''
+), line AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, len(lines) AS size FROM doc
+), hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM line
+), gap AS (
+  SELECT doc_id, i AS after, size, h + 31 * coalesce(lag(h) OVER w, 0) AS up,
+    lead(h) OVER w + 31 * coalesce(lead(h, 2) OVER w, 0) AS down
+  FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), bound AS (
+  SELECT doc_id, 0 AS g FROM doc UNION ALL SELECT doc_id, after FROM gap WHERE after = size OR up % 8 <> 0 OR down % 8 <> 0
+), span AS (
+  SELECT doc_id, g AS s, CASE WHEN lead(g) OVER w > g + 1 THEN lead(g) OVER w ELSE lead(g, 2) OVER w END AS e
+  FROM bound WINDOW w AS (PARTITION BY doc_id ORDER BY g)
 ), chunk AS (
-  SELECT doc_id, ord, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, ord
-), judged AS (
-  SELECT *, CASE WHEN n >= 2 THEN regexp_matches(chunk, '[^\x20\x09-\x0D]')
-    ELSE length(chunk) >= 99 AND len(regexp_split_to_array(chunk, '[\x20\x09-\x0D]+')) >= 50 END AS eligible
-  FROM chunk
+  SELECT doc_id, s, e, array_to_string(lines[s + 1:e], chr(10)) AS chunk FROM span JOIN doc USING (doc_id) WHERE e IS NOT NULL
+  UNION ALL
+  SELECT doc_id, i - 1, i, line FROM line WHERE length(line) >= 99 AND len(regexp_split_to_array(line, '[\x20\x09-\x0D]+')) >= 50
 ), owned AS (
-  SELECT *, row_number() OVER (PARTITION BY chunk, eligible ORDER BY doc_id, ord) AS nth FROM judged
+  SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, s) AS nth FROM chunk WHERE regexp_matches(chunk, '[^\x20\x09-\x0D]')
+), gone AS (SELECT DISTINCT doc_id, unnest(range(s + 1, e + 1)) AS i FROM owned WHERE nth > 1
 ), kept AS (
-  SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY ord) FILTER (WHERE NOT (eligible AND nth > 1)), '') AS text,
-    coalesce(sum(n) FILTER (WHERE eligible AND nth > 1), 0)::BIGINT AS n_removed
-  FROM owned GROUP BY doc_id
+  SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text, count(g.i) AS n_removed
+  FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
 )
 SELECT d.doc_id, coalesce(k.text, d.text) AS text, coalesce(k.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
