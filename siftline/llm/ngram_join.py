@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.bpe import small_slices
-from siftline.llm.common import Words, drop_written, written
+from siftline.llm.common import Words, drop_written, split_hot, written
 
 TOKENS = 64
 _SEED = np.random.Generator(np.random.PCG64(11))
@@ -342,7 +342,8 @@ def _classes(docs: DataFrame, how: Join) -> DataFrame:
     signed = written(embedded(rows, how.shingle), "embedded")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version", "n", "tokens"))  # null ids last
     vertices = signed.where("key is not null").groupBy("key").agg(best.alias("best"), F.count("*").alias("copies"))
-    vertices = written(vertices.select(F.xxhash64("key").alias("vertex"), "key", "copies", "best.doc_id", "best.version", "best.n", "best.tokens"), "vertices")
+    # Numbers, not hashes, name the vertices: no two sets ever share one. The table is written, so they stay.
+    vertices = written(vertices.select(F.monotonically_increasing_id().alias("vertex"), "key", "copies", "best.doc_id", "best.version", "best.n", "best.tokens"), "vertices")
     found = buckets(vertices, how)
     listed = found.groupBy("vertex").agg(F.array_sort(F.collect_set(F.struct("path", "members"))).alias("found"))
     members = listed.join(vertices, "vertex").withColumn("paths", F.transform("found", lambda x: x["path"])).select("*", F.explode("found").alias("bucket"))
@@ -359,7 +360,7 @@ def _classes(docs: DataFrame, how: Join) -> DataFrame:
     active = written(active_members(members, how), "active")
     # Groups without any id meet one row of their text.
     unnamed = rows.where("doc_id is null").dropDuplicates(["version"]).select("version", "text")
-    texts = active.join(rows, ["doc_id", "version"]).unionByName(active.where("doc_id is null").join(unnamed, "version"))
+    texts = active.join(rows.dropDuplicates(["doc_id", "version"]), ["doc_id", "version"]).unionByName(active.where("doc_id is null").join(unnamed, "version"))
     texts = texts.select(*task, "side", "vertex", "copies", "paths", "text")
     links = written(verified_links(texts.repartition(*task).sortWithinPartitions(*task), how), "links")
     roots = components(links.where("other is not null").select(F.col("vertex").alias("a"), F.col("other").alias("b")))
@@ -367,8 +368,9 @@ def _classes(docs: DataFrame, how: Join) -> DataFrame:
     classed = vertices.select("vertex", "key", "copies", "doc_id", "version").join(roots, "vertex", "left").join(degree, "vertex", "left")
     classed = classed.withColumn("root", F.coalesce("root", "vertex"))
     smallest = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "version")).alias("least"))
-    classed = classed.join(smallest, "root").select("key", F.col("least.doc_id").alias("class_id"), F.col("least.version").alias("class_version"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("doc_id", "version", "key").join(classed, "key", "left").select("doc_id", "version", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_version", "version").alias("class_version"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classed = classed.join(smallest, "root").select("key", "copies", F.col("least.doc_id").alias("class_id"), F.col("least.version").alias("class_version"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    members, classed = split_hot(signed.select("doc_id", "version", "key"), written(classed, "classes"), "key", "copies")
+    return members.join(classed, ["key", "slice"], "left").select("doc_id", "version", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_version", "version").alias("class_version"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, how: Join = Join()) -> DataFrame:
