@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import running_total, written
+from siftline.llm.common import running_total, split_hot, written
 
 
 def differencing(partitions: list[list[int]]) -> list[list[int]]:
@@ -100,7 +100,9 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
         ),
         "texts",
     )
-    groups = written(rows.groupBy("key").agg(F.sum("size").alias("size")), "groups")
-    placed = rows.join(assign_groups(groups, shards), "key").select("doc_id", "size", "text_crc32", F.col("part").alias("shard")).withColumn("one", F.lit(1))
+    groups = written(rows.groupBy("key").agg(F.sum("size").alias("size"), F.count("*").alias("copies")), "groups")
+    parts = assign_groups(groups.select("key", "size"), shards).join(groups.select("key", "copies"), "key")
+    spread, parts = split_hot(rows, written(parts, "parts"), "key", "copies")
+    placed = spread.join(parts, ["key", "slice"]).select("doc_id", "size", "text_crc32", F.col("part").alias("shard")).withColumn("one", F.lit(1))
     slotted = running_total(placed, ["shard"], [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")], "one", "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
