@@ -8,33 +8,30 @@ about one document at most.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql import types as T
 
 from siftline.llm.common import running_total, written
 
 
-@F.pandas_udf(T.LongType())
-def word_count(texts: pd.Series) -> pd.Series:
+def word_count(text: Column) -> Column:
     """Runs without ASCII white space; none in null."""
-    return pd.Series([len(t.encode().split()) if t else 0 for t in texts], dtype="int64")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """source_key, source_null, source_size and target of each source.
+    """__source, __sourceless, source_size and target of each source.
 
-    ``sizes``: source_key, source_null, size, n. Weights go round the sources by code point, null last. Targets
+    ``sizes``: __source, __sourceless, size, n. Weights go round the sources by code point, null last. Targets
     share ``share`` times all sizes by weight; a target stops at ``most`` times its source's size,
     and what is left over goes to the others by weight until none is above. Sources without words get 0.
     """
-    order = [F.col("source_null"), F.col("source_key")]
-    by_source = sizes.groupBy("source_key", "source_null").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")).withColumn("one", F.lit(1))
+    order = [F.col("__sourceless"), F.col("__source")]
+    by_source = sizes.groupBy("__source", "__sourceless").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size")).withColumn("one", F.lit(1))
     ranked = running_total(by_source, [], order, "one", "place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
-    sources = written(ranked.select("source_key", "source_null", "source_size", weight.alias("weight")), "sources")
+    sources = written(ranked.select("__source", "__sourceless", "source_size", weight.alias("weight")), "sources")
     total, level, capped = sources.agg(F.sum("source_size")).first()[0] or 0, None, -1
     while True:
         over = F.lit(False) if level is None else F.col("weight") * F.lit(level) > F.col("source_size") * F.lit(float(most))
@@ -45,11 +42,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
             break
         capped, level = n, (share * total - (held or 0.0)) / free
     target = F.least(F.col("weight") * F.lit(float(level or 0.0)), F.col("source_size") * F.lit(float(most))) if level is not None else F.lit(0.0)
-    return sources.select("source_key", "source_null", "source_size", target.cast("double").alias("target"))
+    return sources.select("__source", "__sourceless", "source_size", target.cast("double").alias("target"))
 
 
 def _keys(size: Column) -> dict[str, Column]:
-    return {"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "source_key": F.coalesce(F.col("source"), F.lit("")), "source_null": F.col("source").isNull(), "__size": size}
+    return {"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__source": F.coalesce(F.col("source"), F.lit("")), "__sourceless": F.col("source").isNull(), "__size": size}
 
 
 def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7, prefix: str = "") -> DataFrame:
@@ -61,15 +58,16 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     """
     rest = docs.drop(*[prefix + c for c in ("size", "source_size", "target", "copies")])
     keys = _keys(word_count(F.col("text").cast("string")) if size is None else size)
-    entries = written(rest.select(*[c.alias(k.replace("__", "e_")) for k, c in keys.items()]), "sizes")
-    entries = entries.withColumnRenamed("e_size", "size").groupBy("e_id", "source_key", "source_null", "size").agg(F.count("*").alias("n"))
+    names = {"__id": "e_id", "__size": "size"}
+    entries = written(rest.select(*[c.alias(names.get(k, k)) for k, c in keys.items()]), "sizes")
+    entries = entries.groupBy("e_id", "__source", "__sourceless", "size").agg(F.count("*").alias("n"))
     sources = source_targets(entries, weights, share, most)
-    placed = running_total(entries, ["source_key", "source_null"], [F.desc("size"), F.xxhash64("e_id", F.lit(seed)), F.col("e_id")], "n", "before").join(sources, ["source_key", "source_null"])
+    placed = running_total(entries, ["__source", "__sourceless"], [F.desc("size"), F.xxhash64("e_id", F.lit(seed)), F.col("e_id")], "n", "before").join(sources, ["__source", "__sourceless"])
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64("source_key", "source_null", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    offset = F.pmod(F.xxhash64("__source", "__sourceless", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     placed = placed.withColumn("taken", (F.floor(factor * (F.col("before") + F.col("n")) + offset) - F.floor(factor * F.col("before") + offset)).cast("long"))
     placed = placed.select(
-        F.col("e_id").alias("__id"), "source_key", "source_null", F.col("size").alias("__size"), F.col("n").alias("__n"), F.col("taken").alias("__taken"),
+        F.col("e_id").alias("__id"), "__source", "__sourceless", F.col("size").alias("__size"), F.col("n").alias("__n"), F.col("taken").alias("__taken"),
         F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
     )
     on = list(keys)
