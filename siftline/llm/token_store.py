@@ -71,8 +71,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, files:
     """Encode the whole text of all documents, append end_id to each, and write them in ascending doc_id order.
 
     Null and empty texts give just the end id. Repeated rows are all written; rows that share a
-    doc_id stand side by side, ordered by text. A null doc_id sorts first. An empty table gives a
-    folder without rows. Further columns of docs are not stored.
+    doc_id stand side by side, ordered by the hash of their text, and may spread over several files.
+    A null doc_id sorts first. An empty table gives a folder without rows. Further columns of docs are not stored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = files or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
@@ -93,8 +93,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, files:
                 row += len(counts)
 
     (
-        rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
         .withColumn("file", F.spark_partition_id())
         .mapInArrow(encode, STORED)
         .write.options(**LAYOUT)
