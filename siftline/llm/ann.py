@@ -13,6 +13,7 @@ taken. If no number of probes does, the cells are widened.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -48,6 +49,8 @@ class Tables:
     width: float
     largest: float
     probes: int = 1
+    #: Share of the sampled neighbours that these probes find.
+    recall: float = 1.0
 
     def __post_init__(self) -> None:
         m = self.planes.shape[1]
@@ -134,7 +137,7 @@ def brute_force(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int
 
 def tuned(vectors: DataFrame, queries: DataFrame, how: Search) -> Tables | None:
     """Tables whose probes reach the wanted recall on the sample; None without vectors."""
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
     largest, dim = vectors.agg(F.max(norm), F.max(F.size("embedding"))).first()
     sample = queries.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(how.seed)), "vec_id").limit(how.tuned_on).collect()
     if not largest or not sample:
@@ -165,6 +168,7 @@ def tuned(vectors: DataFrame, queries: DataFrame, how: Search) -> Tables | None:
         needed = np.sort(rank)[min(len(rank) - 1, int(np.ceil(how.wanted_recall * len(rank))) - 1)]
         if needed <= len(tables.steps) // 3 or tables.width > 64 * np.abs(planes).sum():
             tables.probes = int(min(needed, len(tables.steps)))
+            tables.recall = float((rank <= tables.probes).mean())
             return tables
         tables.width *= 1.25
 
@@ -199,7 +203,10 @@ def _all_pairs(vectors: DataFrame, queries: DataFrame, blocks: int, parts: int,
 
 
 def _one_row_an_id(vectors: DataFrame) -> DataFrame:
-    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    """Usable vectors; single precision stays as it is until a task computes with it."""
+    rows = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding")
+    if rows.schema["embedding"].dataType.elementType.typeName() != "float":
+        rows = rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
@@ -207,18 +214,26 @@ def search(vectors: DataFrame, queries: DataFrame, how: Search = Search()) -> Da
     """query_id, rank, vec_id and score: each query's k nearest found by largest inner product.
 
     Both tables have vec_id and embedding. Vectors that are null, zero, or hold null or non-finite
-    components take no part, nor do a vector under its own id as query. Equal scores go to smaller
+    components take no part, nor do those of another length than the most frequent one (ties: the
+    smaller), nor does a vector under its own id as query. Equal scores go to smaller
     ids. Fewer candidates than k give all of them; a list that comes out shorter is answered by brute
     force, at the cost of its query times all vectors; empty tables an empty table. Rows that repeat an
     id count once, with the smallest of its vectors.
     """
     spark = vectors.sparkSession
     # Distinct ids before any list is cut to k: copies of one vector share every cell and would fill its places.
-    valid = written(_one_row_an_id(vectors), "vectors")
-    asked = _one_row_an_id(queries)
+    length = F.size("embedding")
+    common = vectors.where(usable(F.col("embedding"))).groupBy(length.alias("length")).count().orderBy(F.desc("count"), "length").first()
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if common is None:
+        return nothing
+    valid = written(_one_row_an_id(vectors.where(length == common.length)), "vectors")
+    asked = _one_row_an_id(queries.where(length == common.length))
     tables = tuned(valid, asked, how)
     if tables is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return nothing
+    if tables.recall < how.wanted_recall:
+        warnings.warn(f"no number of probes finds more than {tables.recall:.3f} of the sampled neighbours", stacklevel=2)
 
     def cells(as_query: bool):  # noqa: ANN202
         def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +252,7 @@ def search(vectors: DataFrame, queries: DataFrame, how: Search = Search()) -> Da
 
         return hashed
 
-    schema = "cell long, vec_id long, embedding array<double>"
+    schema = f"cell long, vec_id long, embedding {valid.schema['embedding'].dataType.simpleString()}"
     members = valid.mapInArrow(cells(False), schema)
     sizes = written(members.select("cell").groupBy("cell").agg(F.count("*").alias("size")), "cells").withColumn("blocks", F.ceil(F.col("size") / how.block).cast("int"))
     stored = members.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "embedding")
