@@ -55,7 +55,15 @@ PATTERN_RULES = (
     pattern_rule("paged-listing", r"[?&]page=[0-9]+(&|#|$)", "page"),
     *(pattern_rule(f"session-{w}", rf"[?&;]{w}(=|&|#|$)", w) for w in ("phpsessid", "jsessionid", "sessid")),
     pattern_rule("print-view", r"[?&]print=(1|true)(&|#|$)", "print"),
+    pattern_rule("comment-feed", r"://[^?#]*/comments/feed(/|\?|#|$)", "comments", "feed"),
+    pattern_rule("search-results", r"://[^?#]*/search/?\?([^#]*&)?q=", "search", "q"),
+    pattern_rule("blog-admin", r"://[^?#]*/wp-(admin|login)([^a-z0-9]|$)", "wp"),
+    pattern_rule("campaign-link", r"[?&]utm_source=[^&#]*&utm_medium=", "utm", "source", "medium"),
+    pattern_rule("forum-reply", r"://[^?#]*/posting\.php\?([^#]*&)?mode=reply([^a-z0-9]|$)", "posting", "php", "mode", "reply"),
+    pattern_rule("cart-action", r"[?&]add-to-cart=[0-9]+([^a-z0-9]|$)", "add", "to", "cart"),
 )
+#: Rules (one row for each token) up to which their index is broadcast.
+BROADCAST_RULES = 200_000
 
 
 def lowered(text: Column) -> Column:
@@ -75,39 +83,55 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(lowered(url), "[^a-z0-9]+"), lambda t: t != ""))
 
 
-def rule_index(spark: SparkSession, urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """One row for each rule, keyed by the literal token that the fewest of all URLs hold (ties: code point order).
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """name, pattern, tokens, allow, host_rule and length of each rule, as literals."""
+    row = lambda r: F.struct(F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"), F.array(*[F.lit(t) for t in sorted(set(r.tokens))]).alias("tokens"), F.lit(r.allow).alias("allow"), F.lit(r.host_rule).alias("host_rule"), F.lit(r.length).alias("length"))
+    return spark.range(1).select(F.explode(F.array(*[row(r) for r in rules])).alias("r")).select("r.*")
 
-    The table is as large as the rule set. ``urls``: a column tokens.
+
+def rule_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules with ``token``, the one of their tokens that the fewest of all URLs hold (ties: code point order).
+
+    ``urls``: a column tokens. Tokens are counted only if some rule has them.
     """
-    named = [(r.name, r.pattern, t, r.allow, r.host_rule, r.length) for r in rules for t in sorted(set(r.tokens))]
-    table = spark.createDataFrame(named, "name string, pattern string, token string, allow boolean, host_rule boolean, length int")
-    wanted = F.broadcast(table.select("token").distinct())
-    counts = urls.select(F.explode("tokens").alias("token")).join(wanted, "token").groupBy("token").agg(F.count("*").alias("n"))
+    named = rules.select("name", F.explode(F.array_distinct("tokens")).alias("token"))
+    wanted = named.select("token").distinct()
+    counts = urls.select(F.explode("tokens").alias("token")).join(_bounded(rules)(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
     best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best")
-    return table.join(counts, "token", "left").groupBy("name", "pattern", "allow", "host_rule", "length").agg(best).select("name", "pattern", "allow", "host_rule", "length", F.col("best.token").alias("token"))
+    keys = named.join(counts, "token", "left").groupBy("name").agg(best).select("name", F.col("best.token").alias("token"))
+    return rules.join(keys, "name").select("name", "pattern", "allow", "host_rule", "length", "token")
+
+
+def _bounded(rules: DataFrame):  # noqa: ANN202
+    """Broadcast for rule sets of a checked size, none for larger ones."""
+    return F.broadcast if rules.agg(F.sum(F.size("tokens"))).first()[0] <= BROADCAST_RULES else lambda df: df
+
+
+def fetched_rules(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """rows (with tokens) and the rules that their tokens fetch, one row for each; rows without any keep nulls."""
+    return rows.withColumn("token", F.explode_outer("tokens")).drop("tokens").join(index, "token", "left")
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = (*HOST_RULES, *PATTERN_RULES)) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame | tuple[Rule, ...] = (*HOST_RULES, *PATTERN_RULES)) -> DataFrame:
     """page_id, host, path, rule, verdict and pattern of every row of pages(page_id, url).
 
+    ``rules``: Rule objects, or a table with their fields, whose names differ and which have a token each.
     The longest host rule that fits gives the verdict (equal lengths: block, then the smaller name).
     Without one, a URL that any pattern rule matches is blocked, naming the smallest; others are allowed,
-    also null and malformed ones. Repeated rows each get their row; an empty table gives an empty table.
+    also null and malformed ones. Null ids stay. Repeated rows each get their row; an empty table gives an empty table.
     """
-    spark = pages.sparkSession
-    rows = pages.groupBy(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url")).agg(F.count("*").alias("rows"))
-    rows = rows.withColumn("tokens", F.coalesce(url_tokens(F.col("url")), F.array().cast("array<string>")))
-    index = F.broadcast(rule_index(spark, pages.select(url_tokens(F.col("url").cast("string")).alias("tokens")), rules))
+    table = rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules)
+    url = F.col("url").cast("string")
+    tokens = F.coalesce(url_tokens(url), F.array().cast("array<string>"))
+    index = _bounded(table)(rule_index(pages.select(tokens.alias("tokens")), table))
+    # Each row has a number of its own, so that only verdicts, hosts and paths are shuffled, and repeated rows stay apart.
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", url.alias("url"), tokens.alias("tokens"))
     parts = url_parts(F.col("url"))
-    found = rows.select("page_id", "url", "rows", F.explode_outer("tokens").alias("token")).join(index, "token", "left")
+    found = fetched_rules(rows, index)
     subject = F.when(F.col("host_rule"), F.concat(parts["host"], parts["path"])).otherwise(lowered(F.col("url")))
     fits = F.col("pattern").isNotNull() & F.regexp_like(subject, F.col("pattern"))
     host_fit = F.when(fits & F.col("host_rule"), F.struct((-F.col("length")).alias("a"), F.col("allow").alias("allow"), F.col("name").alias("name")))
-    judged = found.groupBy("page_id", "url", "rows").agg(F.min(host_fit).alias("rule"), F.min(F.when(fits & ~F.col("host_rule"), F.col("name"))).alias("pattern"))
+    found = found.select("row", "page_id", parts["host"].alias("host"), parts["path"].alias("path"), host_fit.alias("host_fit"), F.when(fits & ~F.col("host_rule"), F.col("name")).alias("pattern_fit"))
+    judged = found.groupBy("row", "page_id", "host", "path").agg(F.min("host_fit").alias("rule"), F.min("pattern_fit").alias("pattern"))
     allow = F.coalesce(F.col("rule.allow"), F.col("pattern").isNull())
-    each = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))
-    return judged.select(
-        "page_id", parts["host"].alias("host"), parts["path"].alias("path"), F.col("rule.name").alias("rule"),
-        F.when(allow, "allow").otherwise("block").alias("verdict"), "pattern", each.alias("__row"),
-    ).drop("__row")
+    return judged.select("page_id", "host", "path", F.col("rule.name").alias("rule"), F.when(allow, "allow").otherwise("block").alias("verdict"), "pattern")
