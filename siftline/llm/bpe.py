@@ -11,7 +11,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from itertools import islice
 
@@ -295,7 +294,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids (little-endian, 32 bits) and of their decoded text."""
+    """doc_id, n_tokens and the SHA-256 of the ids (little-endian, 32 bits) and of their decoded text.
+
+    Null and empty texts have no ids and decode to an empty text. Null ids stay; repeated rows each
+    get their row; an empty table gives an empty table. Further columns of docs are not returned.
+    """
     import hashlib
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +324,10 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the decoded text of an array of ids; null gives null, no ids give an empty text."""
+    """Add the decoded text of an array of ids; null gives null, no ids give an empty text.
+
+    Repeated rows each get their text; an empty table gives an empty table. A column named like the new one is replaced.
+    """
 
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
@@ -329,17 +335,3 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "ids", out: str =
         return column.map(lambda x: None if x is None else bpe.decode(np.asarray(x, np.int64)).decode())
 
     return encoded.withColumn(out, decoded(F.col(ids)))
-
-
-def one_word_ids(spec: dict, word: str) -> list[int]:
-    """Plain merge loop over one word, for tests."""
-    rank = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
-    shown = _byte_characters()
-    parts = [shown[b] for b in unicodedata.normalize("NFC", word).encode()]
-    parts[-1] += spec["model"]["end_of_word_suffix"]
-    while True:
-        best = min(((rank.get((a, b), 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(1 << 30, 0))
-        if best[0] == 1 << 30:
-            return [spec["model"]["vocab"][p] for p in parts]
-        i = best[1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]

@@ -60,6 +60,37 @@ def test_line_dedup_removes_repeated_long_lines_whatever_stands_beside_them(spar
     assert out == {i: text if i == 0 else f"before {i}\nafter {i}\nshort" for i, text in rows}
 
 
+def test_share_of_repeated_passages_that_goes(spark):
+    rng = np.random.default_rng(5)
+    line = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(6))
+    rows, owner = [], {}
+    for n in (2, 3, 4, 5, 8, 12):
+        for _ in range(60):
+            passage = [line() for _ in range(n)]
+            for copy in range(3):
+                own = [line() for _ in range(rng.integers(0, 6))], [line() for _ in range(rng.integers(0, 6))]
+                owner[len(rows)] = n, copy, passage, own[0] + own[1]
+                rows.append((len(rows), "\n".join([*own[0], *passage, *own[1]])))
+    surplus, gone = Counter(), Counter()
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        n, copy, passage, own = owner[r.doc_id]
+        left = set(r.text.split("\n"))
+        assert set(own) <= left and (copy or set(passage) <= left)
+        if copy:
+            surplus[n] += n
+            gone[n] += sum(x not in left for x in passage)
+    assert all(gone[n] >= 0.9 * surplus[n] for n in surplus), {n: gone[n] / surplus[n] for n in surplus}
+
+
+def test_hot_chunks_are_dealt_over_tasks(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(5000)] + [(2, 1), (None, 3)], "key long, doc long")
+    counted = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"))
+    spread, parts = common.split_hot(rows, counted, "key", "n")
+    joined = spread.join(parts.drop("n"), ["key", "slice"])
+    assert joined.count() == 5001 and joined.select("doc", "key").distinct().count() == 5001
+    assert max(r["count"] for r in spread.groupBy("key", "slice").count().collect()) < 1500 and spread.where("key is null").count() == 1
+
+
 @pytest.mark.parametrize("key", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, sf, key):
     connection = duckdb.connect()
@@ -131,6 +162,60 @@ def test_license_notice_with_changed_words(spark):
     assert got[0].labels == "mit" and got[0].n_base == 0 and got[0].score > 0.8 and got[1].labels == "" and got[1].score == 0
 
 
+def best_places(template, words, least):
+    """Brute force: every window of the template's words and half as many more."""
+    wide = len(template) + len(template) // 2  # as wide as a band and its margins allow
+    found = (license_scan.in_order(template, words[i : i + wide]) for i in range(max(1, len(words) - len(template) // 2)))
+    return max((f[2] for f in found if f), default=0.0) if len(words) else 0.0
+
+
+def test_license_labels_and_score_against_every_window(spark, sf):
+    notices = [t for t in (*license_scan.BASE, *license_scan.MORE) if not t.phrase]
+    rng = np.random.default_rng(2)
+    texts = []
+    for t in notices:
+        words = t.text.split()
+        for change in (0, 1, 3, len(words) // 2):
+            some = words.copy()
+            for i in rng.choice(len(words), change, replace=False):
+                some[i] = "other"
+            texts.append(" ".join(["own"] * 7 + some[:9] + ["inserted"] * (change == 1) + some[9:] + ["end"] * 5))
+        pairs = [" ".join(p) for p in zip(words, words[1:], strict=False)]
+        texts.append(" ".join(rng.choice(pairs, 900)))
+    texts += [" ".join(rng.permutation(notices[0].text.split())), "bsd license and mozilla public license", "free of charge"]
+    texts += [r.text for r in docs_of(spark, sf).limit(30).collect()]  # of a fixture: the windows are many
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for d, text in enumerate(texts):
+        words = license_scan.plain_words(text)
+        labels, score = set(), 0.0
+        for t in (*license_scan.BASE, *license_scan.MORE):
+            own = t.words()
+            if t.phrase:
+                hit = 1.0 if any(words[i : i + len(own)] == own for i in range(len(words))) else 0.0
+            else:
+                hit = best_places(own, words, 0.7)
+            if hit >= 0.7:
+                labels.add(t.label)
+                score = max(score, hit)
+        assert got[d].labels == ",".join(sorted(labels)), (d, text[:200])
+        assert math.isclose(got[d].score, score, abs_tol=0.08)
+        assert all(s.last - s.first <= 60 for s in got[d].spans)
+
+
+def test_whole_license_texts_from_files(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(80)]
+    text = [str(w) for w in rng.choice(words, 1500)]
+    (tmp_path / "House-1.0.txt").write_text(" ".join(text))
+    templates = license_scan.read_templates(spark, str(tmp_path))
+    assert [(t.label, t.gram(), t.phrase) for t in templates] == [("house-1", 6, False)]
+    changed = [w if i % 12 else "changed" for i, w in enumerate(text)]
+    rows = [(1, "start " * 50 + " ".join(changed) + " end" * 20), (2, " ".join(text[:300])), (3, " ".join(map(str, rng.choice(words, 3000))))]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    assert got[1].labels == "house-1" and 0.85 < got[1].score < 1 and (got[1].spans[0].first, got[1].spans[0].last) == (51, 1550)
+    assert got[2].labels == got[3].labels == ""
+
+
 def test_license_awkward_rows(spark):
     got = license_scan.scan_licenses(awkward(spark, "spans"))
     rows = {r.doc_id: r for r in got.collect()}
@@ -155,6 +240,32 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_thousands_of_rules_from_a_table(spark):
+    rng = np.random.default_rng(7)
+    words = [f"word{i}" for i in range(400)]
+    rules = []
+    for i in range(3000):
+        a, b = rng.choice(words[5:], 2, replace=False)
+        rules.append((f"rule{i:04}", rf"://[^?#]*/{words[i % 5]}/{a}/.*[?&]{b}=", [words[i % 5], str(a), str(b)], False, False, 0))
+    rules.append(("host.net/x/", r"^([^/]*\.)?host\.net/x/", ["host", "net", "x"], True, True, 11))
+    table = spark.createDataFrame(rules, "name string, pattern string, tokens array<string>, allow boolean, host_rule boolean, length int")
+    urls = [f"http://site{i}.com/{words[i % 5]}/{'/'.join(rng.choice(words, 4))}/?{rng.choice(words)}=1&{rng.choice(words)}=2" for i in range(600)]
+    urls += [r[1].replace("://[^?#]*", f"http://made{i}.com").replace(".*[?&]", "page?") + "1" for i, r in enumerate(rules[:200])]
+    urls += ["http://a.host.net/x/1", "http://a.host.net/y", "http://a.com/" + "word7/" * 5000, None, ""]
+    pages = spark.createDataFrame([*enumerate(urls), (None, urls[600]), (3, urls[3])], "page_id long, url string")
+    out = url_filter.filter_urls(pages, table).collect()
+    got = {r.page_id: (r.rule, r.pattern, r.verdict) for r in out}
+    assert len(out) == len(urls) + 2 and got[None] == got[600] and got[600][2] == "block"
+    named = sorted((r[0], re.compile(r[1])) for r in rules[:-1])
+    for i, url in enumerate(urls):
+        first = next((n for n, p in named if p.search((url or "").translate(LOWER))), None)
+        host = "host.net/x/" if i == 800 else None
+        assert got[i] == (host, first, "allow" if host or first is None else "block"), url
+    tokens = pages.select(url_filter.url_tokens(F.col("url")).alias("tokens"))
+    fetched = url_filter.fetched_rules(tokens.where("tokens is not null"), url_filter.rule_index(tokens, table)).where("name is not null").count()
+    assert fetched < 0.02 * len(rules) * len(urls)
+
+
 # --- 4 ---
 
 
@@ -193,6 +304,29 @@ def test_mixing_against_water_filling(spark, sf, rows):
     assert sorted(r.size for r in got) == sorted(len(TOKEN.findall(d.text or "")) for d in docs.collect())
 
 
+def test_mixing_against_a_serial_systematic_sample(spark, sf):
+    docs = docs_of(spark, sf)
+    got = {r.doc_id: r for r in mixing.mix_report(docs).collect()}
+    offset = {r.source: r.o for r in docs.select("source", (F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(7)), F.lit(1 << 30)) / float(1 << 30)).alias("o")).distinct().collect()}
+    place = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)).alias("h")).collect()
+    key = {r.doc_id: r.h for r in place}
+    for source, start in offset.items():
+        own = sorted((d for d in got.values() if d.source == source), key=lambda d: (-d.size, key[d.doc_id]))
+        total, step = start, own[0].target / own[0].source_size if own[0].source_size else 0.0
+        for d in own:
+            copies = math.floor(total + step + 1e-9) - math.floor(total + 1e-9)
+            total += step
+            assert d.taken == copies * d.size, d
+
+
+def test_mixing_leaves_columns_with_clashing_names_alone(spark):
+    names = ["source_key", "source_null", "size", "target", "copies", "place", "weight", "before", "taken", "e_id", "n"]
+    rows = [(i, f"text of {i} " * (i + 1), f"s{i % 2}", *[f"mine{i}"] * len(names)) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.mixed_rows(docs).collect()
+    assert out and all(r[n] == f"mine{r.doc_id}" for r in out for n in names) and set(map(tuple, out)) <= set(rows)
+
+
 def test_mixed_rows_repeat_documents(spark, sf):
     docs = docs_of(spark, sf)
     copies = {r.doc_id: r.taken for r in mixing.mix_report(docs).collect()}
@@ -219,6 +353,23 @@ def test_differencing_gives_consistent_sums():
     assert max(sums) - min(sums) <= 0.01 * sum(sums) / 8
 
 
+def greedy(sizes, k=8):
+    """Largest first into the lightest shard."""
+    sums = [0] * k
+    for s in sorted(sizes, reverse=True):
+        sums[sums.index(min(sums))] += s
+    return max(sums) - min(sums)
+
+
+def test_balance_is_as_good_as_sorted_greedy(spark, sf):
+    got = sharding.shard(docs_of(spark, sf)).collect()
+    groups, sums = Counter(), Counter()
+    for r in got:
+        groups[(r.text_crc32, r.size)] += r.size
+        sums[r.shard] += r.size
+    assert max(sums.values()) - min(sums.values()) <= greedy(groups.values())
+
+
 @pytest.mark.parametrize("in_bucket", [7, 10_000])
 def test_groups_in_many_buckets(spark, in_bucket):
     rows = [(bytes([i // 256, i % 256]), 10 + i % 97) for i in range(900)]
@@ -353,6 +504,41 @@ def test_distance_and_guards():
     assert quality.judge(odd, 0, {}, quality.Rules(most_repeated_percent=100))[-1]
 
 
+CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\x0b\x0c", "\n", ".,;:!?'\"()-", "#*$%&|<>")
+
+
+def plain_distance(a, b):
+    """Jensen-Shannon distance of two counters, from its definition."""
+    p, q = ({k: v / sum(c.values()) for k, v in c.items()} for c in (a, b))
+    half = lambda x: sum(v * math.log2(v / ((p.get(k, 0) + q.get(k, 0)) / 2)) for k, v in x.items() if v)
+    return math.sqrt(max(0.0, (half(p) + half(q)) / 2))
+
+
+def test_distances_and_verdicts_against_brute_force(spark, sf):
+    docs = docs_of(spark, sf).collect()
+
+    def kind(c):
+        return next((i for i, own in enumerate(CLASSES) if c in own), None) if c in "".join(CLASSES) else "other" if 32 < ord(c) < 127 else "wide" if ord(c) > 127 else "control"
+
+    common_words = {form for line in quality.COMMON_WORDS.values() for w in line.split() for form in (w, w.capitalize(), w.upper())}
+    chars = {d.doc_id: Counter(map(kind, d.text or "")) for d in docs}
+    words = {d.doc_id: Counter(w.lower() if w in common_words else "" for w in TOKEN.findall(d.text or "")) for d in docs}
+    by_lang = defaultdict(lambda: (Counter(), Counter()))
+    for d in docs:
+        by_lang[d.lang][0].update(chars[d.doc_id])
+        by_lang[d.lang][1].update(words[d.doc_id])
+    rules, judged = quality.Rules(), 0
+    for r in quality.quality_report(docs_of(spark, sf)).collect():
+        d = next(x for x in docs if x.doc_id == r.doc_id)
+        n_chars = sum(len(w) for w in TOKEN.findall(d.text or ""))
+        by_class = plain_distance(chars[d.doc_id], by_lang[d.lang][0]) if d.lang is not None and n_chars >= rules.judged_chars else 0.0
+        by_word = plain_distance(words[d.doc_id], by_lang[d.lang][1]) if d.lang is not None and r.n_words >= rules.judged_words else 0.0
+        assert math.isclose(r.class_distance, by_class, abs_tol=1e-6) and math.isclose(r.word_distance, by_word, abs_tol=1e-6), d.doc_id
+        assert r.kept == (not r.base_failed and by_class <= rules.max_class_distance and by_word <= rules.max_word_distance)
+        judged += by_class > 0
+    assert judged > 50
+
+
 def test_quality_awkward_rows(spark):
     docs = awkward(spark, "n_words")
     assert quality.quality_report(docs).count() == len(AWKWARD) and quality.keep_good(docs).columns == docs.columns
@@ -432,6 +618,27 @@ def test_ann_gives_all_candidates_if_fewer_than_k(spark, n):
     assert got == {i: sorted((j for j in range(n) if j != i), key=lambda j, i=i: -float(x[i] @ x[j])) for i in range(n)}
 
 
+@pytest.mark.parametrize("shape", ["random", "opposite", "outlier", "lengths", "double"])
+@pytest.mark.parametrize("n", [2, 40, 400])
+def test_ann_lists_have_all_places(spark, shape, n):
+    x = np.random.default_rng(n).standard_normal((n, 12)).astype(np.float32).astype(float)
+    if shape == "opposite":
+        x[1::2] = -x[::2]
+    if shape == "outlier":
+        x[n // 2] *= 1e6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    if shape == "lengths":
+        rows += [(1000 + i, [1.0] * 5) for i in range(n // 2)] + [(5000, [])]
+    vectors = spark.createDataFrame(rows, f"vec_id long, embedding array<{'double' if shape == 'double' else 'float'}>")
+    got = defaultdict(list)
+    for r in ann.search(vectors, vectors.where("vec_id % 5 = 0"), ann.Search(block=64)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    asked = range(0, n, 5)
+    assert sorted(got) == list(asked) and all(len(set(v)) == len(v) == min(20, n - 1) for v in got.values())
+    exact = {q: sorted((j for j in range(n) if j != q), key=lambda j, q=q: -float(x[q] @ x[j]))[:20] for q in asked}
+    assert sum(len(set(got[q]) & set(exact[q])) for q in asked) >= 0.9 * sum(map(len, exact.values()))
+
+
 # --- 9, 10 ---
 
 
@@ -453,6 +660,42 @@ def test_token_store_round_trip(spark, sf, library):
     assert token_store.store_report(empty(spark), queries.tokenizer_file()).count() == 0
 
 
+def test_null_and_repeated_ids_spread_over_files(spark, library):
+    rows = [(None, f"text {i} without id") for i in range(300)] + [(7, f"text {i} of seven") for i in range(300)] + [(9, "twice"), (9, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = common.fresh_path(spark, "tokens")
+    token_store.write_tokens(docs, queries.tokenizer_file(), path, 2, files=8)
+    stored = token_store.token_starts(token_store.read_tokens(spark, path)).orderBy("start").collect()
+    assert [r.doc_id for r in stored] == [None] * 300 + [7] * 300 + [9] * 2
+    assert len({r.file for r in stored if r.doc_id is None}) > 1 and len({r.file for r in stored if r.doc_id == 7}) > 1
+    want = Counter((d, tuple(library.encode(t, add_special_tokens=False).ids + [2])) for d, t in rows)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in stored) == want
+    total = 0
+    for r in stored:
+        assert r.start == total
+        total += len(r.ids)
+    report = token_store.store_report(docs, queries.tokenizer_file()).collect()
+    assert len(report) == len(rows) and sum(r.n_tokens for r in report) == total
+
+
+def test_layout_of_the_files(spark, sf):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = common.fresh_path(spark, "tokens")
+    token_store.write_tokens(docs_of(spark, sf), queries.tokenizer_file(), path, 2, files=2)
+    for file in glob.glob(f"{path.removeprefix('file:')}/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            assert meta.row_group(g).total_byte_size <= 2 * int(token_store.LAYOUT["parquet.block.size"])
+            columns = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i) for i in range(meta.num_columns)}
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            assert "RLE_DICTIONARY" in columns["ids.list.element"].encodings and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+    spans = token_store.read_tokens(spark, path, ["doc_id", "ids"], F.col("doc_id") == 3).collect()
+    assert len(spans) == 1
+
+
 def test_token_store_selective_reads(spark, sf):
     path = common.fresh_path(spark, "tokens")
     token_store.write_tokens(docs_of(spark, sf), queries.tokenizer_file(), path, 2, files=4)
@@ -475,6 +718,33 @@ def test_bpe_equals_library(spark, sf, library):
     assert bpe.encode_digests(empty(spark), queries.tokenizer_file()).count() == 0
 
 
+def test_bpe_null_ids_and_repeated_rows(spark, library):
+    docs = awkward(spark, "n_tokens")
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(docs, queries.tokenizer_file()).collect())
+    want = Counter()
+    for d in docs.collect():
+        ids = library.encode(d.text or "", add_special_tokens=False).ids
+        want[d.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert got == want
+
+
+def test_bpe_against_a_plain_merge_loop(library):
+    import json
+
+    with open(queries.tokenizer_file(), encoding="utf-8") as file:
+        spec = json.load(file)
+    rank = {tuple(m): i for i, m in enumerate(spec["model"]["merges"])}
+    own = bpe.PairIndexBPE(queries.tokenizer_file())
+    for word in ("tokenization", "aaaaaaa", "mississippi", "zzxqj", "a"):
+        parts = [*word[:-1], word[-1] + spec["model"]["end_of_word_suffix"]]
+        while len(parts) > 1:
+            least, i = min((rank.get((a, b), 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if least == 1 << 30:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert own.encode([word.encode()])[0].tolist() == [spec["model"]["vocab"][p] for p in parts]
+
+
 def test_bpe_odd_words(library):
     own = bpe.PairIndexBPE(queries.tokenizer_file())
     for text in ("aaaa aaaaa lalalala mississippi", "İstanbul ΣΑΣ é don't I'LL 12345 ²½ 日本語 がガ \x1c a\x1fb", "<|startoftext|><|endoftext|> <| <|endoftext|", "ǅ ß ẞ ſ µ ª º × ÷ 각 각", ""):
@@ -505,3 +775,22 @@ def test_pipeline_stages(spark, sf):
     for stage in pipeline.STAGES:
         assert stage[1](spark, empty(spark), sf).count() == 0
         stage[1](spark, awkward(spark, "ids"), sf).count()
+
+
+def test_pipeline_stages_on_awkward_rows(spark, sf):
+    """Rows that each stage gives from its own awkward input: ids with the number of their rows."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    good = " ".join(f"{a}{b}" for a in ("the old", "a new", "some of his", "every") for b in range(60))
+    rows = [*AWKWARD, (20, good, "en", "a", len(good), "x"), (21, good, None, "a", len(good), "x")]
+    docs = spark.createDataFrame(rows, CLASH.format("__size"))
+    ids = lambda df: Counter(str(r.doc_id) for r in df.select("doc_id").collect())
+    stages = dict(pipeline.STAGES)
+    assert ids(stages["quality_rules"](spark, docs, sf)) == Counter(["20", "21"])
+    # Documents 5 and 6 are one text, as are 20 and 21; the later goes. Rows of null ids stay.
+    assert ids(stages["line_dedup"](spark, docs, sf)) == Counter(str(r[0]) for r in rows if r[0] not in (6, 21))
+    assert ids(stages["near_duplicates"](spark, docs, sf)) == Counter(["1", "2", "3", "4", "5", "None", "None", "7", "8", "20"])
+    mixed = stages["mix_sources"](spark, docs, sf)
+    taken = {str(r.doc_id): r.copies for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("copies")).collect()}
+    assert mixed.columns == docs.columns and ids(mixed) == Counter({k: v for k, v in taken.items() if v})
+    encoded = stages["bpe_encode"](spark, docs, sf).collect()
+    assert Counter(str(r.doc_id) for r in encoded) == Counter(str(r[0]) for r in rows) and all(len(r.ids) == r.n_tokens for r in encoded)
