@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from siftline.functions.text import STOPWORDS
+from siftline.functions.text import HAN, LONG_STOP, LOWER, MARK, SHORT_RUN, TOKENS, UPPER
 
-_STOP = "array(" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")"
-_HAN = r"[\\x{4e00}-\\x{9fff}]"
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\") + "'"
 
 
 def register(spark: SparkSession) -> None:
     """siftline_tokens, siftline_squash, siftline_jaccard and siftline_cosine."""
-    pairs = f"filter(transform(sequence(1, length(r) - 1), i -> substr(r, i, 2)), p -> NOT array_contains({_STOP}, p))"
-    none = "CAST(array() AS ARRAY<STRING>)"
-    one = f"CASE WHEN array_contains({_STOP}, r) THEN {none} WHEN r RLIKE '^{_HAN}+$' AND length(r) > 2 THEN concat({pairs}, CASE WHEN length(r) <= 6 THEN array(r) ELSE {none} END) ELSE array(r) END"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION siftline_tokens(t STRING) RETURNS ARRAY<STRING> RETURN flatten(transform(transform(regexp_extract_all(t, '[A-Za-z0-9_]+|{_HAN}+', 0), w -> lower(w)), r -> {one}))")
+    low = f"translate(t, '{UPPER}{MARK}', '{LOWER} ')"
+    marked = f"regexp_replace(regexp_replace({low}, {_quoted(LONG_STOP)}, ' '), {_quoted(SHORT_RUN)}, '$1{MARK}$1{MARK}')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION siftline_tokens(t STRING) RETURNS ARRAY<STRING> RETURN CASE WHEN t RLIKE {_quoted(HAN)} THEN regexp_extract_all({marked}, {_quoted(TOKENS)}, 1) ELSE regexp_extract_all({low}, '[a-z0-9_]+', 0) END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION siftline_squash(s DOUBLE) RETURNS DOUBLE RETURN CASE WHEN s > 0 THEN s / (s + 1) ELSE 0D END")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION siftline_jaccard(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE RETURN CASE WHEN size(a) > 0 AND size(b) > 0 THEN size(array_intersect(a, b)) / size(array_union(a, b)) ELSE 0D END")
     spark.sql(

@@ -11,8 +11,23 @@ STOPWORDS = (
 ).split()
 #: Phrases and the terms they stand for.
 ALIASES = {"重复提交": ("幂等", "幂等键"), "重复投递": ("幂等", "幂等键")}
-TOKEN = r"[A-Za-z0-9_]+|[\x{4e00}-\x{9fff}]+"
 HAN = r"[\x{4e00}-\x{9fff}]"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _one_of(words: list[str]) -> str:
+    return "(?:" + "|".join(words) + ")"
+
+
+#: Han runs that are stop words as a whole, of more than two characters.
+LONG_STOP = rf"(?<!{HAN}){_one_of([w for w in STOPWORDS if len(w) > 2])}(?!{HAN})"
+#: Han runs of three to six characters, which are tokens as a whole; each is repeated behind the mark.
+MARK, SHORT_RUN = "\x01", rf"(?<!{HAN})({HAN}{{3,6}})(?!{HAN})"
+#: A token from each place on (group 1), and how far the search moves: over a word, over a repeated run, by one character of a Han run.
+TOKENS = (
+    rf"(?=([a-z0-9_]+|(?<=\x01){HAN}+|(?<!{HAN})(?!{_one_of([w for w in STOPWORDS if len(w) == 1])}){HAN}(?!{HAN})"
+    rf"|(?!{_one_of([w for w in STOPWORDS if len(w) == 2])}){HAN}{{2}}))(?:[a-z0-9_]+|(?<=\x01){HAN}+|{HAN})"
+)
 
 
 def strings(*values: str) -> Column:
@@ -26,16 +41,13 @@ def normalize_text(text: Column) -> Column:
 
 
 def tokenize(text: Column) -> Column:
-    """Lower-cased words; Han runs over two characters give their bigrams, and themselves up to six."""
-    stop = strings(*STOPWORDS)
-
-    def parts(run: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: run.substr(i, F.lit(2)))
-        whole = F.when(F.length(run) <= 6, F.array(run)).otherwise(F.array().cast("array<string>"))
-        long = F.concat(F.filter(pairs, lambda p: ~F.array_contains(stop, p)), whole)
-        return F.when(F.array_contains(stop, run), F.array().cast("array<string>")).when(F.regexp_like(run, F.lit(f"^{HAN}+$")) & (F.length(run) > 2), long).otherwise(F.array(run))
+    """Lower-cased words; Han runs over two characters give their bigrams, and themselves up to six.
 
-    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda r: parts(F.lower(r))))
+    One search of a regular expression over the text, a plain one if it has no Han character; nothing is called for each token.
+    """
+    low = F.translate(text, UPPER + MARK, LOWER + " ")
+    marked = F.regexp_replace(F.regexp_replace(low, LONG_STOP, " "), SHORT_RUN, f"$1{MARK}$1{MARK}")
+    return F.when(F.regexp_like(text, F.lit(HAN)), F.regexp_extract_all(marked, F.lit(TOKENS), F.lit(1))).otherwise(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)))
 
 
 def retrieval_tokens(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
+from siftline.sources.scratch import written
 
 
 def hard_split(docs: DataFrame, size: int = 520, overlap: int = 90) -> DataFrame:
@@ -24,9 +25,17 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("token").agg(F.count("*").alias("df"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: chunks and their mean length in tokens, empty ones included."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tx.tokenize(F.col("text")))).alias("avg_len"))
+def corpus_statistics(chunks: DataFrame) -> DataFrame:
+    """token, df and occurrences, with the number of chunks and their mean length in tokens, empty ones included.
+
+    One row without a token for each chunk goes along, so that the texts are read and tokenized once.
+    """
+    words = chunks.select("chunk_id", tx.tokenize(F.col("text")).alias("tokens"))
+    marked = words.select("chunk_id", F.size("tokens").alias("len"), F.explode(F.array_append("tokens", F.lit(None).cast("string"))).alias("token"))
+    counts = marked.groupBy("chunk_id", "token", "len").agg(F.count("*").alias("tf"))
+    counts = written(counts.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.sum("len").alias("total")), "counts")
+    stats = counts.where("token IS NULL").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avg_len"))
+    return counts.where("token IS NOT NULL").select("token", "df", "occurrences").crossJoin(F.broadcast(stats))  # one row
 
 
 def hash_embed(chunks: DataFrame, key: str, dim: int = 256) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from siftline.functions import scores as sc
 from siftline.functions import text as tx
 from siftline.operators import corpus
+from siftline.operators.vectors import sparse_block_scores
+from siftline.sources.scratch import written
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -19,21 +21,43 @@ def match_postings(terms: DataFrame, post: DataFrame) -> DataFrame:
     return terms.join(post, "token")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score and the distinct matched terms; statistics are those of all chunks.
+#: Question tokens up to which they are broadcast to the corpus (about 40 bytes each).
+BROADCAST_TERMS = 200_000
+
 
-    Postings keep only tokens of some question before they are counted, so that frequent words of the corpus do not move.
+def question_postings(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunk_id, len, token and tf of the questions' tokens in each chunk, and one row without a token for each chunk.
+
+    The corpus is read and tokenized once; tokens that no question has are dropped in the task that found them.
     """
-    terms = query_terms(queries)
-    words = chunks.select("chunk_id", tx.tokenize(F.col("text")).alias("tokens"))
-    lengths = words.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-    post = lengths.join(terms.select("token").distinct(), "token", "left_semi").groupBy("chunk_id", "len", "token").agg(F.count("*").alias("tf"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
-    df = corpus.document_frequency(post)
-    rows = match_postings(terms.join(df, "token"), post).crossJoin(F.broadcast(stats))  # one row
+    wanted = terms.select("token").distinct()
+    if wanted.count() <= BROADCAST_TERMS:
+        wanted = F.broadcast(wanted)
+    words = chunks.select("chunk_id", tx.tokenize(F.col("text")).alias("tokens")).select("chunk_id", F.size("tokens").alias("len"), F.explode(F.array_append("tokens", F.lit(None).cast("string"))).alias("token"))
+    kept = words.join(wanted.withColumn("asked", F.lit(True)), "token", "left").where(F.col("asked") | F.col("token").isNull())
+    # All postings of a chunk lie in one file, so that its scores are summed before they are shuffled.
+    return written(kept.select("chunk_id", "len", "token").repartition("chunk_id").groupBy("chunk_id", "len", "token").agg(F.count("*").alias("tf")), "postings")
+
+
+def scored_postings(terms: DataFrame, post: DataFrame, k1: float, b: float) -> DataFrame:
+    """query_id, chunk_id, token and part: what each shared token adds to a score."""
+    stats = post.where("token IS NULL").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    post = post.where("token IS NOT NULL")
+    rows = match_postings(terms.join(corpus.document_frequency(post), "token"), post).crossJoin(F.broadcast(stats))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1.0))))
-    return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"), F.array_sort(F.collect_set("token")).alias("matched"))
+    return rows.select("query_id", "chunk_id", "token", part.alias("part"))
+
+
+def bm25(queries: DataFrame, chunks: DataFrame, k1: float = 1.5, b: float = 0.75, matched: bool = True) -> DataFrame:
+    """query_id, chunk_id, score and the distinct matched terms; statistics are those of all chunks.
+
+    Only pairs that share a token are scored; a question with a very frequent token meets nearly every chunk.
+    """
+    terms = written(query_terms(queries), "terms")
+    parts = scored_postings(terms, question_postings(terms, chunks), k1, b)
+    tokens = [F.array_sort(F.collect_set("token")).alias("matched")] if matched else []
+    return parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"), *tokens)
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -41,32 +65,52 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    found = bm25(queries, chunks).withColumn("score", F.round(sc.squash(F.col("score")), 9))
-    return top_k(found, k).select("query_id", "rank", "chunk_id", "score", "matched")
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The k best of each question; the matched terms are looked up for these alone."""
+    terms = written(query_terms(queries), "terms")
+    post = question_postings(terms, chunks)
+    found = scored_postings(terms, post, k1, b).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    best = written(top_k(boosted(found.withColumn("score", F.round(sc.squash(F.col("score")), 9)), chunks), k), "best")
+    matched = best.join(terms, "query_id").join(post.select("chunk_id", "token"), ["chunk_id", "token"]).groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_set("token")).alias("matched"))
+    return best.join(matched, ["query_id", "chunk_id"]).select("query_id", "rank", "chunk_id", "score", "matched")
 
 
-def vector_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Cosine of sparse, normalized vectors (key, idx, value): only shared components meet."""
-    q = queries.select("query_id", "idx", F.col("value").alias("q"))
-    return q.join(vectors, "idx").groupBy("query_id", "chunk_id").agg(F.round(F.greatest(F.sum(F.col("q") * F.col("value")), F.lit(0.0)), 9).alias("score"))
+def embedded(rows: DataFrame, key: str) -> DataFrame:
+    """key, idx and value: one sparse vector a row."""
+    entry = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    sparse = corpus.hash_embed(rows, key).groupBy(key).agg(entry.alias("e"))
+    return sparse.select(key, F.transform("e", lambda x: x["idx"].cast("int")).alias("idx"), F.transform("e", lambda x: x["value"]).alias("value"))
 
 
-def embedded(rows: DataFrame, key: str) -> DataFrame:
-    return corpus.hash_embed(rows, key)
+def vector_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, chunk_id and cosine (negative ones 0) of questions and chunks whose hash vectors share a component.
+
+    ``k``: only the k best of each question and block of chunks.
+    """
+    q = written(embedded(queries.select("query_id", F.col("question").alias("text")), "query_id"), "questions")
+    c = written(embedded(chunks, "chunk_id"), "vectors")
+    return sparse_block_scores(q, c, k)
 
 
 def semantic_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    q = embedded(queries.select("query_id", F.col("question").alias("text")), "query_id")
-    return top_k(vector_scores(q, embedded(chunks, "chunk_id")), k).select("query_id", "rank", "chunk_id", "score")
+    scored = vector_scores(queries, chunks, None if "boost" in chunks.columns else k)
+    return top_k(boosted(scored, chunks), k).select("query_id", "rank", "chunk_id", "score")
+
+
+def boosted(scored: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Scores times the boost of the chunk's document, if chunks have a column boost."""
+    if "boost" not in chunks.columns:
+        return scored
+    rows = scored.join(chunks.select("chunk_id", "boost"), "chunk_id")
+    return rows.withColumn("score", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 9)).drop("boost")
 
 
 def hybrid_scores(queries: DataFrame, chunks: DataFrame, weights: tuple[float, float] = (0.62, 0.38)) -> DataFrame:
-    keyword = bm25(queries, chunks).select("query_id", "chunk_id", sc.squash(F.col("score")).alias("keyword"))
-    q = embedded(queries.select("query_id", F.col("question").alias("text")), "query_id")
-    vector = vector_scores(q, embedded(chunks, "chunk_id")).withColumnRenamed("score", "vector")
+    """query_id, chunk_id, keyword, vector and score: weighted parts, times the document's boost if chunks have one."""
+    keyword = bm25(queries, chunks, matched=False).select("query_id", "chunk_id", sc.squash(F.col("score")).alias("keyword"))
+    vector = vector_scores(queries, chunks).withColumnRenamed("score", "vector")
     both = keyword.join(vector, ["query_id", "chunk_id"], "full_outer").na.fill(0.0, ["keyword", "vector"])
-    return both.withColumn("score", F.round(weights[0] * F.col("keyword") + weights[1] * F.col("vector"), 9))
+    return boosted(both.withColumn("score", F.round(weights[0] * F.col("keyword") + weights[1] * F.col("vector"), 9)), chunks)
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:

@@ -10,7 +10,7 @@ from siftline.functions import text as tx
 from siftline.operators import corpus, ranking
 from siftline.plans.registry import query
 from siftline.plans.sql import BM25, COSINE, QUESTIONS, WHOLE, tok
-from siftline.sources.tables import questions, table
+from siftline.sources.tables import dealt, questions, table
 
 S = SparkSession
 BASE = f"{QUESTIONS}, {WHOLE}, {BM25}"
@@ -24,7 +24,7 @@ round(0.62 * coalesce(b.score / (b.score + 1), 0) + 0.38 * coalesce(c.score, 0),
 
 def chunks(spark: S, sf: str) -> DataFrame:
     """Every document as one chunk."""
-    docs = table(spark, sf, "documents")
+    docs = dealt(table(spark, sf, "documents"))
     return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.col("source").alias("file_name"), "lang")
 
 

@@ -10,7 +10,7 @@ from siftline.plans import more_queries, text_queries  # noqa: F401  whose SQL i
 from siftline.plans.registry import ORACLES, QUERIES, query
 from siftline.sources import readers
 from siftline.sources.tables import table
-from siftline.streaming.streams import folder
+from siftline.sources.scratch import fresh_path
 
 S = SparkSession
 
@@ -18,7 +18,7 @@ S = SparkSession
 @query("SRC-02", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) AS flat FROM documents")
 def src02(spark: S, sf: str) -> DataFrame:
     """The documents as text files (up to 1,000 to a file, a line each) in the shared folder, read back whole."""
-    path = f"{folder(spark)}/texts"
+    path = f"{fresh_path(spark, 'files')}/texts"
     flat = F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " "))
     table(spark, sf, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), flat).alias("value")).write.option("maxRecordsPerFile", 1000).text(path)
     lines = readers.scan_text_files(spark, path).select(F.explode(F.split("text", "\n")).alias("line"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import scores as sc
@@ -10,7 +10,7 @@ from siftline.functions import text as tx
 from siftline.operators import corpus
 from siftline.plans.registry import query
 from siftline.plans.sql import CHARACTERS, CHUNKS, HAN_TEXT, LETTERS, QUESTIONS, WHOLE, hashed, tok
-from siftline.sources.tables import blob_inventory, chunk_table, questions, scan_documents, table, url_list_candidates
+from siftline.sources.tables import blob_inventory, chunk_table, dealt, questions, scan_documents, table, url_list_candidates
 
 S = SparkSession
 
@@ -19,6 +19,11 @@ def docs(spark: S, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def dealt_docs(spark: S, sf: str) -> DataFrame:
+    """The documents for heavy work on each text."""
+    return dealt(docs(spark, sf).select("doc_id", "text", "source"))
+
+
 def han(text: str = "text") -> Column:
     return F.translate(F.lower(text), LETTERS, CHARACTERS[:26])
 
@@ -48,7 +53,7 @@ def txt01(spark: S, sf: str) -> DataFrame:
 
 @query("TXT-02", f"SELECT doc_id, {tok('text')} AS tokens, {tok(HAN_TEXT)} AS han_tokens FROM documents")
 def txt02(spark: S, sf: str) -> DataFrame:
-    return docs(spark, sf).select("doc_id", tx.tokenize(F.col("text")).alias("tokens"), tx.tokenize(han()).alias("han_tokens"))
+    return dealt_docs(spark, sf).select("doc_id", tx.tokenize(F.col("text")).alias("tokens"), tx.tokenize(han()).alias("han_tokens"))
 
 
 _PHRASE = "text || CASE WHEN doc_id % 3 = 0 THEN ' 重复提交' WHEN doc_id % 3 = 1 THEN ' 重复投递 幂等' ELSE '' END"
@@ -57,15 +62,13 @@ _PHRASE = "text || CASE WHEN doc_id % 3 = 0 THEN ' 重复提交' WHEN doc_id % 3
 @query("TXT-03", f"""WITH t AS (SELECT doc_id, {_PHRASE} AS text FROM documents), k AS (SELECT doc_id, text, {tok('text')} AS t FROM t)
 SELECT doc_id, list_concat(t, CASE WHEN contains(text, '重复提交') OR contains(text, '重复投递') THEN list_filter(['幂等', '等键', '幂等键'], lambda x: NOT list_contains(t, x)) ELSE [] END) AS tokens FROM k""")
 def txt03(spark: S, sf: str) -> DataFrame:
-    return docs(spark, sf).withColumn("text", F.expr(_PHRASE)).select("doc_id", tx.retrieval_tokens(F.col("text")).alias("tokens"))
+    return dealt_docs(spark, sf).withColumn("text", F.expr(_PHRASE)).select("doc_id", tx.retrieval_tokens(F.col("text")).alias("tokens"))
 
 
 @query("TXT-04", f"""WITH {CHUNKS}, w AS (SELECT chunk_id, {tok('text')} AS w FROM chunks), s AS (SELECT count(*) AS n, round(avg(len(w)), 6) AS avg_len FROM w)
 SELECT token, count(DISTINCT chunk_id) AS df, count(*) AS occurrences, n, avg_len FROM (SELECT chunk_id, unnest(w) AS token FROM w), s GROUP BY token, n, avg_len""")
 def txt04(spark: S, sf: str) -> DataFrame:
-    chunks = chunk_table(spark, sf)
-    counts = corpus.postings(chunks).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
-    return counts.crossJoin(F.broadcast(corpus.corpus_stats(chunks).withColumn("avg_len", F.round("avg_len", 6))))  # one row
+    return corpus.corpus_statistics(chunk_table(spark, sf)).withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query("TXT-08", f"WITH {CHUNKS} SELECT chunk_id, document_id, chunk_index, text FROM chunks")
@@ -75,14 +78,14 @@ def txt08(spark: S, sf: str) -> DataFrame:
 
 @query("TXT-10", f"WITH {WHOLE}, {hashed('v', 'chunks', 'chunk_id', 'text')} SELECT chunk_id, idx, round(value, 6) AS value FROM v")
 def txt10(spark: S, sf: str) -> DataFrame:
-    chunks = docs(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"), "text")
+    chunks = dealt_docs(spark, sf).select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"), "text")
     return corpus.hash_embed(chunks, "chunk_id").withColumn("value", F.round("value", 6))
 
 
 @query("TXT-11", f"""WITH c AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS token FROM documents) WHERE length(token) >= 2 GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, token) AS rank FROM c) SELECT doc_id, rank, token, tf FROM r WHERE rank <= 16""")
 def txt11(spark: S, sf: str) -> DataFrame:
-    return corpus.keywords(docs(spark, sf), "doc_id")
+    return corpus.keywords(dealt_docs(spark, sf), "doc_id")
 
 
 @query("TXT-12", r"""WITH p AS (SELECT doc_id, text, regexp_split_to_array(regexp_replace(text, '([。！？.!?])\s+', '\1' || chr(10), 'g'), '\n+') AS p FROM documents)
@@ -200,8 +203,6 @@ def scl04(spark: S, sf: str) -> DataFrame:
 
 @query("SCL-05", """SELECT event_id, event_type AS stage, floor((greatest(0, coalesce(date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0)) + 5) / 10) / 100.0 AS duration_ms FROM events""")
 def scl05(spark: S, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     following = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return table(spark, sf, "events").select("event_id", F.col("event_type").alias("stage"), (F.floor((F.greatest(F.lit(0), F.coalesce(micros(following) - micros(F.col("ts")), F.lit(0))) + 5) / 10) / 100.0).alias("duration_ms"))
@@ -261,11 +262,10 @@ def set04(spark: S, sf: str) -> DataFrame:
 p AS (SELECT doc_id, t, lead(doc_id) OVER w AS other, lead(t) OVER w AS u FROM t WINDOW w AS (PARTITION BY source ORDER BY doc_id))
 SELECT doc_id, other, round(CASE WHEN len(t) > 0 AND len(u) > 0 THEN len(list_intersect(t, u)) / (len(t) + len(u) - len(list_intersect(t, u))) ELSE 0 END, 6) AS jaccard FROM p WHERE other IS NOT NULL""")
 def set05(spark: S, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    rows = docs(spark, sf).select("doc_id", "source", F.array_distinct(tx.tokenize(F.col("text"))).alias("t"))
-    rows = rows.select("doc_id", "t", F.lead("doc_id").over(w).alias("other"), F.lead("t").over(w).alias("u")).where("other IS NOT NULL")
+    # The neighbour's id first, so that a window holds ids alone; then the texts meet by id.
+    after = docs(spark, sf).select("doc_id", F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("other")).where("other IS NOT NULL")
+    words = dealt_docs(spark, sf).select("doc_id", F.array_distinct(tx.tokenize(F.col("text"))).alias("t"))
+    rows = after.join(words, "doc_id").join(words.select(F.col("doc_id").alias("other"), F.col("t").alias("u")), "other")
     return rows.select("doc_id", "other", F.round(sc.jaccard(F.col("t"), F.col("u")), 6).alias("jaccard"))
 
 
@@ -274,5 +274,5 @@ def udf04(spark: S, sf: str) -> DataFrame:
     from siftline.functions.registered import register
 
     register(spark)
-    docs(spark, sf).createOrReplaceTempView("siftline_documents")
+    dealt_docs(spark, sf).createOrReplaceTempView("siftline_documents")
     return spark.sql("SELECT doc_id, siftline_tokens(text) AS tokens FROM siftline_documents")

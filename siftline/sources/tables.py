@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over all cores, if its files are too small to give each of them a split (a row group is never cut); else as it is."""
+    spark = df.sparkSession
+    cores, split = spark.sparkContext.defaultParallelism, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * split else df
+
+
 def scan_documents(spark: SparkSession, sf_dir: str, knowledge_bases: list[str] | None = None) -> DataFrame:
     """The documents schema, with the language as knowledge base and the source as file name."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("lang").alias("knowledge_base_id"), F.col("source").alias("file_name"), "text")
@@ -47,4 +55,4 @@ def chunk_table(spark: SparkSession, sf_dir: str, size: int = 520, overlap: int
     """chunk_id, document_id, chunk_index and text of fixed windows over every document."""
     from siftline.operators.corpus import hard_split
 
-    return hard_split(scan_documents(spark, sf_dir), size, overlap)
+    return hard_split(dealt(scan_documents(spark, sf_dir)), size, overlap)

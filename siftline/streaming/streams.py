@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siftline.sources.scratch import fresh_path
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, with an event time."""
@@ -19,16 +19,9 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is available, into a Parquet table (append) or the last complete result."""
-    spark, path = stream.sparkSession, folder(stream.sparkSession)
+    spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "stream")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").outputMode("append")
     else:
