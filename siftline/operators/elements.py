@@ -28,30 +28,6 @@ def text_elements(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n", element_id.alias("element_id"), "level", "text", F.array_compact(F.array(*entries)).alias("heading_path"))
 
 
-def split_chunks(elements: DataFrame, size: int = 520, overlap: int = 90) -> DataFrame:
-    """Chunks of a document's elements (doc_id, n, kind, text), packed greedily in order.
-
-    Images, tables, equations and code stand alone; a longer text is cut into windows; the rest is joined by
-    blank lines while it fits, and a full chunk hands its last characters on.
-    """
-    item = F.struct("n", "kind", "text")
-    docs = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("current"))
-
-    def step(acc: Column, e: Column) -> Column:
-        flushed = F.when(acc["current"] != "", F.array_append(acc["out"], acc["current"])).otherwise(acc["out"])
-        alone, long = e["kind"].isin("image", "table", "equation", "code"), F.length(e["text"]) > size
-        windows = F.transform(tx.window_starts(F.length(e["text"]), size, overlap), lambda s: e["text"].substr(s + 1, F.lit(size)))
-        joined = F.when(acc["current"] == "", e["text"]).otherwise(F.concat_ws("\n\n", acc["current"], e["text"]))
-        tail = F.when(acc["current"] == "", e["text"]).otherwise(F.concat_ws("\n\n", F.right(acc["current"], F.lit(overlap)), e["text"]))
-        out = F.when(alone, F.array_append(flushed, e["text"])).when(long, F.concat(flushed, windows)).when(F.length(joined) <= size, acc["out"]).otherwise(flushed)
-        current = F.when(alone | long, "").when(F.length(joined) <= size, joined).otherwise(tail)
-        return F.struct(out.alias("out"), current.alias("current"))
-
-    done = lambda acc: F.when(acc["current"] != "", F.array_append(acc["out"], acc["current"])).otherwise(acc["out"])
-    return docs.select("doc_id", F.posexplode(F.aggregate("items", empty, step, done)).alias("chunk_index", "text"))
-
-
 def prefix_headings(text: Column, path: Column) -> Column:
     """The path in front of the text, unless every heading occurs in it."""
     there = F.forall(path, lambda h: F.contains(F.lower(text), F.lower(h)))
@@ -178,3 +154,40 @@ def content_elements(lists: DataFrame) -> DataFrame:
     )
     n_cells = F.when(kind == "table", F.size(F.split(F.regexp_replace("b.table_body", r"\n", "|"), r"\|")))
     return rows.select("doc_id", "n", kind.alias("kind"), text.alias("text"), page.alias("page"), (F.size("b.bbox") == 4).alias("has_bbox"), n_cells.alias("n_cells")).where("text <> ''")
+
+
+def split_chunks(elements: DataFrame, size: int = 520, overlap: int = 90) -> DataFrame:
+    """Chunks of a document's elements (doc_id, n, element_id, kind, text, page, heading_path), packed greedily in order.
+
+    Images, tables, equations and code stand alone; a longer text is cut into windows; the rest is joined by
+    blank lines while it fits, and a full chunk hands its last characters on. A chunk names its elements in order (and those
+    whose end it was handed), its modality (mixed if theirs differ), their first page and their last heading path. A document
+    is one row here: its elements are bounded by what one source file holds.
+    """
+    item = F.struct("n", "element_id", "kind", "text", "page", "heading_path")
+    docs = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    chunk = "struct<text:string,element_ids:array<string>,kinds:array<string>,page:int,heading_path:array<string>>"
+    nothing = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("element_ids"), F.array().cast("array<string>").alias("kinds"), F.lit(None).cast("int").alias("page"), F.array().cast("array<string>").alias("heading_path")).cast(chunk)
+    start = F.struct(F.array().cast(f"array<{chunk}>").alias("out"), nothing.alias("current"))
+
+    def made(text: Column, e: Column, before: Column | None = None) -> Column:
+        of = lambda name, own: F.array(own) if before is None else F.array_union(before[name], F.array(own))
+        page = e["page"].cast("int") if before is None else F.coalesce(before["page"], e["page"].cast("int"))
+        return F.struct(text.alias("text"), of("element_ids", e["element_id"]).alias("element_ids"), of("kinds", e["kind"]).alias("kinds"), page.alias("page"), e["heading_path"].alias("heading_path")).cast(chunk)
+
+    def step(acc: Column, e: Column) -> Column:
+        now = acc["current"]
+        blank = now["text"] == ""
+        flushed = F.when(blank, acc["out"]).otherwise(F.array_append(acc["out"], now))
+        alone, long = e["kind"].isin("image", "table", "equation", "code"), F.length(e["text"]) > size
+        windows = F.transform(tx.window_starts(F.length(e["text"]), size, overlap), lambda s: made(e["text"].substr(s + 1, F.lit(size)), e))
+        joined = F.when(blank, made(e["text"], e)).otherwise(made(F.concat_ws("\n\n", now["text"], e["text"]), e, now))
+        tail = F.when(blank, made(e["text"], e)).otherwise(made(F.concat_ws("\n\n", F.right(now["text"], F.lit(overlap)), e["text"]), e, now))
+        fits = F.length(joined["text"]) <= size
+        out = F.when(alone, F.array_append(flushed, made(e["text"], e))).when(long, F.concat(flushed, windows)).when(fits, acc["out"]).otherwise(flushed)
+        return F.struct(out.alias("out"), F.when(alone | long, nothing).when(fits, joined).otherwise(tail).alias("current"))
+
+    done = lambda acc: F.when(acc["current"]["text"] != "", F.array_append(acc["out"], acc["current"])).otherwise(acc["out"])
+    rows = docs.select("doc_id", F.posexplode(F.aggregate("items", start, step, done)).alias("chunk_index", "c"))
+    modality = F.when(F.size("c.kinds") == 1, F.get("c.kinds", F.lit(0))).otherwise("mixed")
+    return rows.select("doc_id", "chunk_index", "c.text", "c.element_ids", modality.alias("modality"), "c.page", "c.heading_path")

@@ -13,6 +13,7 @@ RELATION_NAMES = {
     "uses": "uses", "supports": "supports", "contains": "contains_explicit", "includes": "contains_explicit", "depends on": "depends_on", "requires": "requires",
     "使用": "uses", "支持": "supports", "包含": "contains_explicit", "依赖于": "depends_on", "依赖": "depends_on", "需要": "requires",
 }
+#: The grammar of names and relations.
 NAME = r"[A-Za-z][A-Za-z0-9_.-]{1,63}"
 ENGLISH = rf"(?i)({NAME})\s+(uses|supports|contains|includes|depends\s+on|requires)\s+({NAME})"
 STOP = "。；;，,\n"
@@ -57,25 +58,6 @@ def verified_relations(suggested: DataFrame) -> DataFrame:
     return suggested.where((F.trim("span") != "") & F.contains(F.lower("text"), F.lower("span")))
 
 
-def graph_edges(elements: DataFrame) -> DataFrame:
-    """lang, relation, source, target, n_evidence and first_element from lang, doc_id, n, element_id and text.
-
-    Edges are contains (document, element), adjacent (element, next), mentions (element, entity) and the explicit
-    relations; a repeated edge is one row that counts its evidence.
-    """
-    key = F.concat(F.lit("d:"), F.col("doc_id").cast("string"))
-    entity = lambda c: F.concat(F.lit("e:"), tx.normalize_label(F.col(c)))
-    after = F.lead("element_id").over(Window.partitionBy("doc_id").orderBy("n"))
-    row = lambda relation, source, target: [F.col("lang"), relation.alias("relation"), source.alias("source"), target.alias("target"), F.col("element_id")]
-    contains = elements.select(*row(F.lit("contains"), key, F.col("element_id")))
-    adjacent = elements.select("lang", "element_id", after.alias("after")).where("after IS NOT NULL").select(*row(F.lit("adjacent"), F.col("element_id"), F.col("after")))
-    named = elements.select("lang", "element_id", F.explode(F.slice(F.array_distinct(entity_list(F.col("text"))), 1, 32)).alias("name"))
-    mentions = named.select(*row(F.lit("mentions"), F.col("element_id"), entity("name")))
-    explicit = relations_en(elements, ["lang", "element_id"]).select(*row(F.col("relation"), entity("source"), entity("target")))
-    edges = contains.unionByName(adjacent).unionByName(mentions).unionByName(explicit)
-    return edges.groupBy("lang", "relation", "source", "target").agg(F.count("*").alias("n_evidence"), F.min("element_id").alias("first_element"))
-
-
 def orphan_entities(nodes: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels without a mention and without an edge."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("label"))
@@ -102,30 +84,105 @@ def sorted_seeds(seeds: DataFrame, n: int = 12) -> DataFrame:
     return seeds.withColumn("place", place).where(F.col("place") <= n)
 
 
+def allowed_paths(paths: DataFrame, elements: DataFrame) -> DataFrame:
+    """Paths (path_id, score, evidence) of which some evidence is among the elements (element_id); scores lie in 0 to 1."""
+    found = paths.select("path_id", F.explode("evidence").alias("element_id")).join(elements.select("element_id").distinct(), "element_id", "left_semi")
+    kept = found.groupBy("path_id").agg(F.count_distinct("element_id").alias("n_allowed"))
+    return paths.join(kept, "path_id").select("path_id", F.greatest(F.lit(0.0), F.least("score", F.lit(1.0))).alias("score"), "n_allowed")
+
+
+def edge_rows(elements: DataFrame) -> DataFrame:
+    """lang, relation, source, target, element_id and start of every piece of evidence, from lang, doc_id, n, element_id and text.
+
+    Edges are contains (document, element), adjacent (element, next), mentions (element, entity; start is the name's first
+    place in the text) and the explicit relations.
+    """
+    key = F.concat(F.lit("d:"), F.col("doc_id").cast("string"))
+    entity = lambda c: F.concat(F.lit("e:"), tx.normalize_label(F.col(c)))
+    after = F.lead("element_id").over(Window.partitionBy("doc_id").orderBy("n"))
+    none = F.lit(None).cast("int")
+    row = lambda relation, source, target, start: [F.col("lang"), relation.alias("relation"), source.alias("source"), target.alias("target"), F.col("element_id"), start.alias("start")]
+    contains = elements.select(*row(F.lit("contains"), key, F.col("element_id"), none))
+    adjacent = elements.select("lang", "element_id", after.alias("after")).where("after IS NOT NULL").select(*row(F.lit("adjacent"), F.col("element_id"), F.col("after"), none))
+    named = elements.select("lang", "element_id", "text", F.explode(F.slice(F.array_distinct(entity_list(F.col("text"))), 1, 32)).alias("name"))
+    mentions = named.select(*row(F.lit("mentions"), F.col("element_id"), entity("name"), F.expr("instr(text, name) - 1")))
+    explicit = relations_en(elements, ["lang", "element_id"]).select(*row(F.col("relation"), entity("source"), entity("target"), none))
+    return contains.unionByName(adjacent).unionByName(mentions).unionByName(explicit)
+
+
+def graph_edges(rows: DataFrame) -> DataFrame:
+    """One row for each edge of edge_rows(): its evidence counted, its first element, and the first place of a mention."""
+    return rows.groupBy("lang", "relation", "source", "target").agg(F.count("*").alias("n_evidence"), F.min("element_id").alias("first_element"), F.min("start").alias("start"))
+
+
+def graph_nodes(edges: DataFrame) -> DataFrame:
+    """lang, node and type (document, element, entity) of all ends of edges."""
+    kind = F.when(F.startswith("node", F.lit("d:")), "document").when(F.startswith("node", F.lit("e:")), "entity").otherwise("element")
+    return edges.select("lang", F.explode(F.array("source", "target")).alias("node")).distinct().withColumn("type", kind)
+
+
+def graph_summary(rows: DataFrame) -> DataFrame:
+    """Nodes, edges, mentions and distinct evidence elements of each knowledge base, from edge_rows()."""
+    edges = graph_edges(rows)
+    nodes = graph_nodes(edges).groupBy("lang").agg(F.count("*").alias("nodes"))
+    counts = edges.groupBy("lang").agg(F.count("*").alias("edges"), F.count_if(F.col("relation") == "mentions").alias("mentions"))
+    evidence = rows.groupBy("lang").agg(F.count_distinct("element_id").alias("evidence"))
+    return nodes.join(counts, "lang").join(evidence, "lang")
+
+
+#: Evidence that an edge hands on to the paths that use it, its smallest ids.
+EDGE_EVIDENCE = 20
+
+
+def evidenced(relations: DataFrame) -> DataFrame:
+    """Undirected edges a, b, confidence and evidence from rows a, b, doc_id: more rows make an edge surer, up to 1."""
+    rows = relations.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "doc_id").where("a <> b")
+    sure = rows.groupBy("a", "b").agg(F.least(F.lit(1.0), 0.5 + 0.1 * F.count("*")).alias("confidence"))
+    # A hot edge never gathers all its documents: the rank cuts them first.
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("doc_id"))
+    few = rows.distinct().withColumn("rank", rank).where(F.col("rank") <= EDGE_EVIDENCE).groupBy("a", "b").agg(F.array_sort(F.collect_list("doc_id")).alias("evidence"))
+    return sure.join(few, ["a", "b"])
+
+
 def bounded_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
-    """source, target, path, hops and score of a shortest undirected path for each pair (source, target), if there is one.
+    """source, target, path, hops, score and evidence of a shortest undirected path for each pair (source, target), if there is one.
 
-    ``edges``: a, b, confidence. Each hop is one join; a node reached before from a source is not reached again, and
-    of equally short paths the smallest stays, so that a frontier holds at most one row for each source and node.
+    ``edges``: a, b, confidence, evidence. Each hop is one join; a node reached before from a source is not reached again, and
+    of equally short paths the smallest stays, so that a frontier holds at most one row for each source and node. The evidence
+    is the ordered distinct union of that of the edges.
     """
-    one = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("confidence").alias("c")).where("a <> b")
-    both = one.select("a", "b", "c").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
-    step = F.struct(F.col("source").alias("node"), F.lit(0.0).alias("c"))
+    both = edges.select("a", "b", F.col("confidence").alias("c"), F.col("evidence").alias("e"))
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", "e"))
+    step = F.struct(F.col("source").alias("node"), F.lit(0.0).alias("c"), F.array().cast("array<bigint>").alias("e"))
     frontier = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.array(step).alias("path"))
     seen, found = frontier, None
     for _ in range(max(1, min(max_hops, 4))):
-        moved = frontier.join(both, frontier["node"] == both["a"]).select("source", F.col("b").alias("node"), F.array_append("path", F.struct(F.col("b").alias("node"), "c")).alias("path"))
+        moved = frontier.join(both, frontier["node"] == both["a"]).select("source", F.col("b").alias("node"), F.array_append("path", F.struct(F.col("b").alias("node"), "c", "e")).alias("path"))
         frontier = moved.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen.select("source", "node"), ["source", "node"], "left_anti")
         seen = seen.unionByName(frontier)
         hit = pairs.join(frontier.withColumnRenamed("node", "target"), ["source", "target"])
         found = hit if found is None else found.unionByName(hit)
     hops = F.size("path") - 1
     total = F.aggregate("path", F.lit(0.0), lambda s, x: s + x["c"])
-    return found.select("source", "target", F.transform("path", lambda x: x["node"]).alias("path"), hops.alias("hops"), F.round(total / hops, 6).alias("score"))
+    union = F.array_distinct(F.flatten(F.transform("path", lambda x: x["e"])))
+    return found.select("source", "target", F.transform("path", lambda x: x["node"]).alias("path"), hops.alias("hops"), F.round(total / hops, 6).alias("score"), union.alias("evidence"))
 
 
-def allowed_paths(paths: DataFrame, elements: DataFrame) -> DataFrame:
-    """Paths (path_id, score, evidence) of which some evidence is among the elements (element_id); scores lie in 0 to 1."""
-    found = paths.select("path_id", F.explode("evidence").alias("element_id")).join(elements.select("element_id").distinct(), "element_id", "left_semi")
-    kept = found.groupBy("path_id").agg(F.count_distinct("element_id").alias("n_allowed"))
-    return paths.join(kept, "path_id").select("path_id", F.greatest(F.lit(0.0), F.least("score", F.lit(1.0))).alias("score"), "n_allowed")
+def graph_search(queries: DataFrame, seeds: DataFrame, pairs: DataFrame, paths: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+    """For each question its seeds, best paths and evidence (of the paths, else of edges at its seeds), and whether they may answer it.
+
+    They may if there is a path and there are two seeds, or the question asks for several hops.
+    """
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source", "target"))
+    best = pairs.join(paths, ["source", "target"]).withColumn("place", place).where(F.col("place") <= most)
+    item = F.struct("place", "evidence", "score", "path")
+    found = best.groupBy("query_id").agg(F.count("*").alias("paths"), F.max("score").alias("best"), F.array_sort(F.collect_list(item)).alias("l"))
+    found = found.select("query_id", "paths", "best", F.array_distinct(F.flatten(F.transform("l", lambda x: x["evidence"]))).alias("of_paths"), F.transform("l", lambda x: x["path"]).alias("labels"))
+    ends = edges.select(F.explode(F.array("a", "b")).alias("label"), "evidence")
+    near = seeds.join(ends, "label").select("query_id", F.explode("evidence").alias("doc_id")).distinct()
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    near = near.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("of_seeds"))
+    rows = queries.join(seeds.groupBy("query_id").agg(F.count("*").alias("seeds")), "query_id", "left").join(found, "query_id", "left").join(near, "query_id", "left").na.fill(0, ["seeds", "paths"])
+    asks = F.greatest(*[F.contains(F.lower("question"), F.lit(m)) for m in MULTIHOP])
+    eligible = (F.col("paths") > 0) & ((F.col("seeds") >= 2) | asks)
+    return rows.select("query_id", "seeds", "paths", "best", F.coalesce("of_paths", "of_seeds", F.array().cast("array<bigint>")).alias("evidence"), F.coalesce("labels", F.array().cast("array<array<string>>")).alias("labels"), eligible.alias("eligible"))

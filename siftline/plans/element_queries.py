@@ -58,7 +58,22 @@ def txt06(spark: S, sf: str) -> DataFrame:
     return rows.select("doc_id", "n", el.enriched_text(F.col("text"), F.col("lang"), F.col("heading_path")).alias("text"))
 
 
-@query("TXT-07")
+_MADE = lambda t, ids, kinds, page: f"struct_pack(text := {t}, element_ids := {ids}, kinds := {kinds}, page := {page}, heading_path := heading_path)"
+_ALONE = _MADE("e.text", "[element_id]", "[kind]", "page::INT")
+_UNION = lambda l, x: f"CASE WHEN list_contains(now.{l}, {x}) THEN now.{l} ELSE list_append(now.{l}, {x}) END"
+_JOINED = lambda t: f"CASE WHEN now.text = '' THEN {_ALONE} ELSE {_MADE(t, _UNION('element_ids', 'element_id'), _UNION('kinds', 'kind'), 'coalesce(now.page, page::INT)')} END"
+_NOTHING = "struct_pack(text := '', element_ids := []::VARCHAR[], kinds := []::VARCHAR[], page := NULL::INT, heading_path := []::VARCHAR[])"
+
+
+@query("TXT-07", f"""WITH RECURSIVE {ELEMENTS}, e AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k, element_id, kind, text, page, heading_path FROM typed),
+fold AS (SELECT doc_id, 0::BIGINT AS k, [{_NOTHING}][1:0] AS out, {_NOTHING} AS now FROM e GROUP BY doc_id
+UNION ALL SELECT f.doc_id, e.k, CASE WHEN alone THEN list_append(flushed, {_ALONE}) WHEN length(e.text) > 520 THEN list_concat(flushed, list_transform(range(0, (ceil((length(e.text) - 520) / 430.0))::BIGINT + 1), lambda i: {_MADE('substr(e.text, (i * 430)::BIGINT + 1, 520)', '[element_id]', '[kind]', 'page::INT')}))
+WHEN fits THEN f.out ELSE flushed END, CASE WHEN alone OR length(e.text) > 520 THEN {_NOTHING} WHEN fits THEN {_JOINED("now.text || chr(10) || chr(10) || e.text")} ELSE {_JOINED("right(now.text, 90) || chr(10) || chr(10) || e.text")} END
+FROM (SELECT *, CASE WHEN now.text <> '' THEN list_append(out, now) ELSE out END AS flushed FROM fold) f JOIN (SELECT *, kind IN ('image', 'table', 'equation', 'code') AS alone FROM e) e ON f.doc_id = e.doc_id AND e.k = f.k + 1,
+LATERAL (SELECT length(CASE WHEN now.text = '' THEN e.text ELSE now.text || chr(10) || chr(10) || e.text END) <= 520 AS fits)),
+done AS (SELECT doc_id, CASE WHEN now.text <> '' THEN list_append(out, now) ELSE out END AS out FROM fold WHERE (doc_id, k) IN (SELECT doc_id, max(k) FROM e GROUP BY 1)),
+c AS (SELECT doc_id, (generate_subscripts(out, 1) - 1)::INT AS chunk_index, unnest(out) AS c FROM done)
+SELECT doc_id, chunk_index, c.text AS text, c.element_ids AS element_ids, CASE WHEN len(c.kinds) = 1 THEN c.kinds[1] ELSE 'mixed' END AS modality, c.page AS page, c.heading_path AS heading_path FROM c""")
 def txt07(spark: S, sf: str) -> DataFrame:
     return el.split_chunks(typed(spark, sf))
 

@@ -12,6 +12,7 @@ from siftline.operators.entities import ENTITY_STOPWORDS, top_entities
 from siftline.plans.element_queries import PLAIN, marked
 from siftline.plans.registry import query
 from siftline.plans.sql import CHARACTERS, HAN_TEXT, LETTERS, QUESTIONS, tok
+from siftline.sources.scratch import written
 from siftline.sources.tables import questions, table
 
 S = SparkSession
@@ -94,21 +95,30 @@ def _entities(source: str, keys: str) -> str:
 
 
 _EDGES = f"""{PLAIN}, x AS (SELECT lang, doc_id, n, doc_id::VARCHAR || ':element:' || n AS element_id, {_sql_text('t.text')} AS text FROM typed t JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)),
-raw AS (SELECT lang, 'contains' AS relation, 'd:' || doc_id AS source, element_id AS target, element_id FROM x
-UNION ALL SELECT * FROM (SELECT lang, 'adjacent', element_id AS source, lead(element_id) OVER (PARTITION BY doc_id ORDER BY n) AS target, element_id FROM x) WHERE target IS NOT NULL
-UNION ALL SELECT lang, 'mentions', element_id, 'e:' || {_NORM('name')}, element_id FROM ({_entities('x', 'lang, element_id')})
-UNION ALL SELECT lang, relation, 'e:' || {_NORM('source')}, 'e:' || {_NORM('target')}, element_id FROM ({_rel('x', 'lang, element_id')})),
-edges AS (SELECT lang, relation, source, target, count(*) AS n_evidence, min(element_id) AS first_element FROM raw GROUP BY 1, 2, 3, 4)"""
+raw AS (SELECT lang, 'contains' AS relation, 'd:' || doc_id AS source, element_id AS target, element_id, NULL::INT AS start FROM x
+UNION ALL SELECT * FROM (SELECT lang, 'adjacent', element_id AS source, lead(element_id) OVER (PARTITION BY doc_id ORDER BY n) AS target, element_id, NULL::INT FROM x) WHERE target IS NOT NULL
+UNION ALL SELECT lang, 'mentions', element_id, 'e:' || {_NORM('name')}, element_id, position(name IN text) - 1 FROM ({_entities('x', 'lang, element_id, text')})
+UNION ALL SELECT lang, relation, 'e:' || {_NORM('source')}, 'e:' || {_NORM('target')}, element_id, NULL FROM ({_rel('x', 'lang, element_id')})),
+edges AS (SELECT lang, relation, source, target, count(*) AS n_evidence, min(element_id) AS first_element, min(start) AS start FROM raw GROUP BY 1, 2, 3, 4),
+ends AS (SELECT DISTINCT lang, node, CASE WHEN starts_with(node, 'd:') THEN 'document' WHEN starts_with(node, 'e:') THEN 'entity' ELSE 'element' END AS type FROM (SELECT lang, source AS node FROM raw UNION ALL SELECT lang, target FROM raw)),
+summary AS (SELECT lang, (SELECT count(*) FROM ends n WHERE n.lang = e.lang) AS nodes, count(*) AS edges, count(*) FILTER (WHERE relation = 'mentions') AS mentions, (SELECT count(DISTINCT element_id) FROM raw r WHERE r.lang = e.lang) AS evidence FROM edges e GROUP BY lang)"""
 
 
-def edges(spark: S, sf: str) -> DataFrame:
+def edge_rows(spark: S, sf: str) -> DataFrame:
     lang = table(spark, sf, "documents").select("doc_id", "lang")
-    return gr.graph_edges(worded(text_elements(marked(spark, sf)).select("doc_id", "n", "element_id", "text").join(lang, "doc_id")))
+    return gr.edge_rows(worded(text_elements(marked(spark, sf)).select("doc_id", "n", "element_id", "text").join(lang, "doc_id")))
 
 
-@query("GRF-06", f"WITH {_EDGES} SELECT * FROM edges")
+@query("GRF-06", f"""WITH {_EDGES} SELECT 'edge' AS kind, lang, relation AS type, source, target, n_evidence, first_element, start FROM edges UNION ALL SELECT 'node', lang, type, node, NULL, NULL, NULL, NULL FROM ends""")
 def grf06(spark: S, sf: str) -> DataFrame:
-    return edges(spark, sf)
+    edges = gr.graph_edges(edge_rows(spark, sf))
+    nodes = gr.graph_nodes(edges).select(F.lit("node").alias("kind"), "lang", "type", F.col("node").alias("source"))
+    return edges.withColumn("kind", F.lit("edge")).withColumnRenamed("relation", "type").unionByName(nodes, allowMissingColumns=True)
+
+
+@query("AGG-18", f"WITH {_EDGES} SELECT * FROM summary")
+def agg18(spark: S, sf: str) -> DataFrame:
+    return gr.graph_summary(edge_rows(spark, sf))
 
 
 _EXPLICIT = f"{_DOC}, rel AS (SELECT doc_id, lang, relation, {_NORM('source')} AS a, {_NORM('target')} AS b FROM ({_rel('d', 'doc_id, lang')}))"
@@ -152,44 +162,60 @@ def top06(spark: S, sf: str) -> DataFrame:
 
 
 _PATHS = f"""{_EXPLICIT}, {_SEEDS}, {_TOP}, pairs AS (SELECT a.query_id, a.label AS source, b.label AS target FROM top a JOIN top b ON a.query_id = b.query_id AND a.place < b.place),
-one AS (SELECT least(a, b) AS a, greatest(a, b) AS b, least(1.0, 0.5 + 0.1 * count(*)) AS c FROM rel WHERE a <> b GROUP BY 1, 2), both_ways AS (SELECT * FROM one UNION ALL SELECT b, a, c FROM one),
-p1 AS (SELECT DISTINCT source, target, [source, target] AS path, 1 AS hops, c AS score FROM (SELECT DISTINCT source, target FROM pairs) p JOIN both_ways e ON e.a = source AND e.b = target),
-p2 AS (SELECT source, target, min(m) AS m FROM (SELECT p.source, p.target, struct_pack(v := e.b, c := e.c, d := f.c) AS m FROM (SELECT DISTINCT source, target FROM pairs) p JOIN both_ways e ON e.a = p.source JOIN both_ways f ON f.a = e.b AND f.b = p.target
+one AS (SELECT least(a, b) AS a, greatest(a, b) AS b, least(1.0, 0.5 + 0.1 * count(*)) AS c, list_sort(list(DISTINCT doc_id))[1:20] AS e FROM rel WHERE a <> b GROUP BY 1, 2), both_ways AS (SELECT * FROM one UNION ALL SELECT b, a, c, e FROM one),
+p1 AS (SELECT DISTINCT source, target, [source, target] AS path, 1 AS hops, c AS score, e AS evidence FROM (SELECT DISTINCT source, target FROM pairs) p JOIN both_ways e ON e.a = source AND e.b = target),
+p2 AS (SELECT source, target, min(m) AS m FROM (SELECT p.source, p.target, struct_pack(v := e.b, c := e.c, d := f.c, e := e.e, f := f.e) AS m FROM (SELECT DISTINCT source, target FROM pairs) p JOIN both_ways e ON e.a = p.source JOIN both_ways f ON f.a = e.b AND f.b = p.target
 WHERE (p.source, p.target) NOT IN (SELECT (source, target) FROM p1)) GROUP BY 1, 2),
-paths AS (SELECT * FROM p1 UNION ALL SELECT source, target, [source, m.v, target], 2, (m.c + m.d) / 2 FROM p2)"""
+paths AS (SELECT * FROM p1 UNION ALL SELECT source, target, [source, m.v, target], 2, (m.c + m.d) / 2, list_concat(m.e, list_filter(m.f, lambda x: NOT list_contains(m.e, x))) FROM p2)"""
 
 
-def found_paths(spark: S, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Seeds, their pairs for each question, and paths."""
-    top = gr.sorted_seeds(seeds(spark, sf))
+def found_paths(spark: S, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Seeds, their pairs for each question, paths, and the edges."""
+    top = written(gr.sorted_seeds(seeds(spark, sf)), "seeds")
     other = top.select("query_id", F.col("label").alias("target"), F.col("place").alias("after"))
     pairs = top.withColumnRenamed("label", "source").join(other, "query_id").where("place < after").select("query_id", "source", "target")
-    known = explicit(spark, sf).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.least(F.lit(1.0), 0.5 + 0.1 * F.count("*")).alias("confidence"))
-    return top, pairs, gr.bounded_paths(pairs.select("source", "target").distinct(), known)
+    known = written(gr.evidenced(explicit(spark, sf)), "edges")
+    return top, pairs, gr.bounded_paths(pairs.select("source", "target").distinct(), known), known
 
 
-@query("GRF-09", f"WITH {_PATHS} SELECT source, target, path, hops, round(score, 6)::DOUBLE AS score FROM paths")
+@query("GRF-09", f"WITH {_PATHS} SELECT source, target, path, hops, round(score, 6)::DOUBLE AS score, evidence FROM paths")
 def grf09(spark: S, sf: str) -> DataFrame:
     return found_paths(spark, sf)[2]
 
 
-@query("GRF-10", f"""WITH {_PATHS}, n AS (SELECT query_id, count(*) AS paths, round(max(score), 6)::DOUBLE AS best FROM pairs JOIN paths USING (source, target) GROUP BY 1), s AS (SELECT query_id, count(*) AS seeds FROM top GROUP BY 1)
-SELECT q.query_id, coalesce(seeds, 0) AS seeds, least(coalesce(paths, 0), 20) AS paths, best, coalesce(paths, 0) > 0 AND (coalesce(seeds, 0) >= 2) AS eligible FROM questions q LEFT JOIN n USING (query_id) LEFT JOIN s USING (query_id)""")
+_SEARCH = """best AS (SELECT * FROM (SELECT query_id, evidence, path, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, source, target) AS place FROM pairs JOIN paths USING (source, target)) WHERE place <= 20),
+flat AS (SELECT query_id, doc_id, min((place, i)) AS first FROM (SELECT query_id, place, unnest(evidence) AS doc_id, generate_subscripts(evidence, 1) AS i FROM best) GROUP BY 1, 2),
+of_paths AS (SELECT query_id, list(doc_id ORDER BY first) AS evidence FROM flat GROUP BY 1),
+n AS (SELECT query_id, count(*) AS paths, round(max(score), 6)::DOUBLE AS best, list(path ORDER BY place) AS labels FROM best GROUP BY 1), s AS (SELECT query_id, count(*) AS seeds FROM top GROUP BY 1),
+near AS (SELECT query_id, list_sort(list(DISTINCT doc_id))[1:20] AS evidence FROM (SELECT query_id, unnest(e) AS doc_id FROM top JOIN one ON a = label OR b = label) GROUP BY 1),
+graph AS (SELECT q.query_id, coalesce(seeds, 0) AS seeds, coalesce(paths, 0) AS paths, best, coalesce(o.evidence, near.evidence, []) AS evidence, coalesce(labels, []) AS labels,
+coalesce(paths, 0) > 0 AND (coalesce(seeds, 0) >= 2 OR """ + " OR ".join(f"contains(lower(question), '{m}')" for m in gr.MULTIHOP) + """) AS eligible
+FROM questions q LEFT JOIN n USING (query_id) LEFT JOIN s USING (query_id) LEFT JOIN of_paths o USING (query_id) LEFT JOIN near USING (query_id))"""
+
+
+def graph_found(spark: S, sf: str) -> DataFrame:
+    top, pairs, paths, known = found_paths(spark, sf)
+    return gr.graph_search(questions(spark, sf), top, pairs, paths, known)
+
+
+@query("GRF-10", f"WITH {_PATHS}, {_SEARCH} SELECT query_id, seeds, paths, best, evidence, eligible FROM graph")
 def grf10(spark: S, sf: str) -> DataFrame:
-    top, pairs, paths = found_paths(spark, sf)
-    n = pairs.join(paths, ["source", "target"]).groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("best"))
-    rows = questions(spark, sf).join(top.groupBy("query_id").agg(F.count("*").alias("seeds")), "query_id", "left").join(n, "query_id", "left").na.fill(0, ["seeds", "n"])
-    asks = F.greatest(*[F.contains(F.lower("question"), F.lit(m)) for m in gr.MULTIHOP])
-    return rows.select("query_id", "seeds", F.least("n", F.lit(20)).alias("paths"), "best", ((F.col("n") > 0) & ((F.col("seeds") >= 2) | asks)).alias("eligible"))
+    return graph_found(spark, sf).drop("labels")
+
+
+_LISTED = lambda rows, order: f"SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {order}) AS place FROM {rows}"
 
 
-@query("GRF-11", f"""WITH {_EDGES}, t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY relation, source, target) AS place, count(*) OVER (PARTITION BY lang) AS n_edges FROM edges) SELECT * FROM t WHERE place <= 500""")
+@query("GRF-11", f"""WITH {_EDGES}, l AS (SELECT lang, 'edge' AS kind, relation AS type, source, target, n_evidence, place FROM ({_LISTED('edges', 'relation, source, target')}) WHERE place <= 500 UNION ALL SELECT lang, 'node', type, node, NULL, NULL, place FROM ({_LISTED('ends', 'node')}) WHERE place <= 500)
+SELECT l.*, nodes, edges, mentions, evidence FROM l JOIN summary USING (lang)""")
 def grf11(spark: S, sf: str) -> DataFrame:
-    """The first 500 edges of each knowledge base with its number of edges."""
-    rows = edges(spark, sf)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("relation", "source", "target"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n_edges"))
-    return rows.withColumn("place", place).where("place <= 500").join(counts, "lang")
+    """The first 500 nodes and edges of each knowledge base with its totals."""
+    rows = written(edge_rows(spark, sf), "edge_rows")
+    edges = gr.graph_edges(rows)
+    place = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    listed = edges.withColumn("place", place("relation", "source", "target")).where("place <= 500").select("lang", F.lit("edge").alias("kind"), F.col("relation").alias("type"), "source", "target", "n_evidence", "place")
+    nodes = gr.graph_nodes(edges).withColumn("place", place("node")).where("place <= 500").select("lang", F.lit("node").alias("kind"), "type", F.col("node").alias("source"), "place")
+    return listed.unionByName(nodes, allowMissingColumns=True).join(gr.graph_summary(rows), "lang")
 
 
 @query("FLT-07", f"""WITH {_EXPLICIT}, p AS (SELECT a || '>' || b AS path_id, count(*) AS n, list(DISTINCT doc_id) AS ev, count(DISTINCT doc_id) FILTER (WHERE lang IN ('en', 'fr')) AS n_allowed FROM rel GROUP BY 1)

@@ -2,43 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.operators import registry_ops as ops
 from siftline.plans.registry import query
-from siftline.plans.sql import CHUNKS
+from siftline.plans.sql import CHUNKS, tok
 from siftline.sources.tables import chunk_table, scan_documents, table
 
 S = SparkSession
 
 
-@query("SRC-12", f"""WITH {CHUNKS}, incoming AS (SELECT chunk_id, document_id, chunk_index, '~' || text AS text FROM chunks WHERE chunk_index % 3 = 0 UNION ALL SELECT 'new-' || chunk_id, document_id, chunk_index, text FROM chunks WHERE chunk_index % 5 = 4)
-SELECT coalesce(i.chunk_id, c.chunk_id) AS chunk_id, coalesce(i.document_id, c.document_id) AS document_id, coalesce(i.chunk_index, c.chunk_index) AS chunk_index, CASE WHEN i.chunk_id IS NOT NULL THEN i.text ELSE c.text END AS text FROM chunks c FULL JOIN incoming i ON c.chunk_id = i.chunk_id""")
-def src12(spark: S, sf: str) -> DataFrame:
-    chunks = chunk_table(spark, sf)
-    changed = chunks.where("chunk_index % 3 = 0").withColumn("text", F.concat(F.lit("~"), "text"))
-    added = chunks.where("chunk_index % 5 = 4").withColumn("chunk_id", F.concat(F.lit("new-"), "chunk_id"))
-    return ops.upsert(chunks, changed.unionByName(added), ["chunk_id"])
-
-
 @query("SRC-13", f"WITH {CHUNKS} SELECT chunk_id, document_id FROM chunks WHERE document_id NOT IN (SELECT doc_id::VARCHAR FROM labels WHERE toxic = 1)")
 def src13(spark: S, sf: str) -> DataFrame:
     toxic = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id"))
     return chunk_table(spark, sf).join(toxic, "document_id", "left_anti").select("chunk_id", "document_id")
 
 
-@query("SRC-14", """SELECT conv_id, '# Conversation ' || conv_id || chr(10) || string_agg('## ' || role || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
-def src14(spark: S, sf: str) -> DataFrame:
-    return ops.export_markdown(table(spark, sf, "conversations"))
-
-
-@query("SRC-16", """SELECT (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM orders) AS target_rows, true AS same FROM (SELECT 1)""")
-def src16(spark: S, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders")
-    return ops.compare_tables(orders, ops.upsert(orders, orders, ["o_orderkey"]))
-
-
 @query("JN-03", "SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name")
 def jn03(spark: S, sf: str) -> DataFrame:
     rows = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
@@ -87,12 +67,6 @@ def jn08(spark: S, sf: str) -> DataFrame:
     return snapshots(spark, sf)
 
 
-@query("AGG-17", f"""WITH {_NEW} SELECT count(*) FILTER (WHERE action <> 'missing') AS discovered, count(*) FILTER (WHERE action = 'unchanged') AS unchanged, count(*) FILTER (WHERE action = 'updated') AS updated,
-count(*) FILTER (WHERE action = 'new') AS added, count(*) FILTER (WHERE action = 'missing') AS missing, 'succeeded' AS status FROM diff""")
-def agg17(spark: S, sf: str) -> DataFrame:
-    return ops.sync_run_summary(snapshots(spark, sf))
-
-
 @query("JN-10", """WITH f AS (SELECT lang, md5(text) AS h, min(doc_id) AS first_id FROM documents GROUP BY 1, 2) SELECT d.doc_id, f.first_id AS existing_id, d.doc_id <> f.first_id AS duplicate FROM documents d JOIN f ON d.lang = f.lang AND md5(d.text) = f.h""")
 def jn10(spark: S, sf: str) -> DataFrame:
     return ops.dedupe_against_index(table(spark, sf, "documents"))
@@ -137,141 +111,261 @@ def set02(spark: S, sf: str) -> DataFrame:
     return saved.unionByName(table(spark, sf, "documents").where("source = 'src1'").select("doc_id", F.lit("feedback").alias("origin")), allowMissingColumns=True)
 
 
-@query("SET-03", "SELECT DISTINCT ON (h) h AS candidate_id, doc_id FROM (SELECT md5(text) AS h, doc_id FROM documents WHERE doc_id % 2 = 1) WHERE h NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0) ORDER BY h, doc_id")
-def set03(spark: S, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.md5("text").alias("candidate_id"), "doc_id")
-    return ops.insert_new(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "candidate_id", "doc_id")
+@query("AGG-10", "SELECT count(*) AS questions, greatest(0, 1000 - count(*)) AS remaining, count(DISTINCT conv_id) AS conversations, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations WHERE role = 'user' AND length(text) > 0")
+def agg10(spark: S, sf: str) -> DataFrame:
+    asked = table(spark, sf, "conversations").where("role = 'user' AND length(text) > 0")
+    return asked.agg(F.count("*").alias("questions"), F.greatest(F.lit(0), 1000 - F.count("*")).alias("remaining"), F.count_distinct("conv_id").alias("conversations"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+
+
+@query("AGG-12", "SELECT event_type AS name, substr(props, 1, 80) AS labels, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def agg12(spark: S, sf: str) -> DataFrame:
+    return ops.metric_counters(table(spark, sf, "events"))
+
+
+_BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+
+
+@query("FLT-05", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '\\.html$') AND NOT regexp_matches(url, '/(test|vendor|changelog)') AND strlen(html) BETWEEN 800 AND 200000")
+def flt05(spark: S, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return pages.where(F.regexp_like("url", F.lit(r"\.html$")) & ~F.regexp_like("url", F.lit("/(test|vendor|changelog)")) & F.octet_length("html").between(800, 200_000)).select("page_id", "url")
+
+
+@query("FLT-04", "WITH j AS (SELECT event_id, event_type, ts + to_seconds(3600) AS lease FROM events WHERE event_type IN ('view', 'click')) SELECT event_id, CASE WHEN event_type = 'click' THEN 'cancelled' ELSE 'queued' END AS next_status FROM j WHERE lease <= TIMESTAMP '2024-01-15 00:00:00'")
+def flt04(spark: S, sf: str) -> DataFrame:
+    jobs = table(spark, sf, "events").where(F.col("event_type").isin("view", "click")).withColumn("lease", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
+    return jobs.where("lease <= TIMESTAMP_NTZ'2024-01-15 00:00:00'").select("event_id", F.when(F.col("event_type") == "click", "cancelled").otherwise("queued").alias("next_status"))
+
+
+@query("FLT-03", "SELECT event_id, try_cast(CASE WHEN event_id % 11 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) IS NULL OR ts <= TIMESTAMP '2024-01-10 00:00:00' AS expired FROM events")
+def flt03(spark: S, sf: str) -> DataFrame:
+    shown = F.when(F.col("event_id") % 11 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return ops.expired(table(spark, sf, "events").withColumn("expires_at", shown), "2024-01-10 00:00:00").select("event_id", "expired")
+
+
+_SENT = """incoming AS (SELECT 1 AS batch, vec_id, label + 100 AS label, CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 7 = 0 THEN embedding[1:9] ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 3 = 0
+UNION ALL SELECT 2, CASE WHEN vec_id % 12 = 0 THEN -1 - vec_id ELSE vec_id END, label + 200, embedding FROM embeddings WHERE vec_id % 6 = 0)"""
+
+
+@query("SRC-12", f"""WITH {_SENT}, every AS (SELECT 0 AS batch, vec_id, label, embedding FROM embeddings UNION ALL SELECT * FROM incoming),
+good AS (SELECT vec_id, batch, label FROM every WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings))
+SELECT vec_id, max(batch) AS batch, arg_max(label, batch) AS label, 'stored' AS status FROM good GROUP BY vec_id UNION ALL SELECT vec_id, batch, label, 'rejected' FROM incoming WHERE embedding IS NULL OR len(embedding) <> (SELECT max(len(embedding)) FROM embeddings)""")
+def src12(spark: S, sf: str) -> DataFrame:
+    """Two batches: in the first some vectors are short or absent, the second brings new ids as well."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    broken = F.when(F.col("vec_id") % 11 == 0, None).when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding"))
+    one = vectors.where("vec_id % 3 = 0").select("vec_id", (F.col("label") + 100).alias("label"), broken.alias("embedding"), F.lit(1).alias("batch"))
+    ident = F.when(F.col("vec_id") % 12 == 0, -1 - F.col("vec_id")).otherwise(F.col("vec_id"))
+    two = vectors.where("vec_id % 6 = 0").select(ident.alias("vec_id"), (F.col("label") + 200).alias("label"), "embedding", F.lit(2).alias("batch"))
+    dim = vectors.agg(F.max(F.size("embedding"))).first()[0]
+    stored, rejected = ops.upsert_vectors(vectors, one.unionByName(two), "vec_id", dim or 0)
+    return stored.select("vec_id", "batch", "label", F.lit("stored").alias("status")).unionByName(rejected.select("vec_id", "batch", "label", F.lit("rejected").alias("status")))
+
+
+@query("SRC-14", """WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+m AS (SELECT conv_id, turn, '## ' || role || chr(10) || text || CASE WHEN before IS NULL THEN '' ELSE chr(10) || '[1] ' || substr(before, 1, 600) || CASE WHEN turn % 2 = 1 THEN ' (page ' || turn || ')' ELSE '' END || chr(10) || '[2] ' || substr(text, 1, 600) END AS part FROM t)
+SELECT conv_id, '# Conversation ' || conv_id || chr(10) || string_agg(part, chr(10) ORDER BY turn) AS markdown FROM m GROUP BY conv_id""")
+def src14(spark: S, sf: str) -> DataFrame:
+    """Each turn after the first cites the turn before it, some with a page, and itself."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    cite = lambda text, page: F.struct(text.alias("text"), page.cast("int").alias("page"))
+    page = F.when(F.col("turn") % 2 == 1, F.col("turn"))
+    turns = table(spark, sf, "conversations").withColumn("before", before)
+    cited = F.when(F.col("before").isNotNull(), F.array(cite(F.col("before"), page), cite(F.coalesce("text", F.lit("")), F.lit(None))))
+    return ops.export_markdown(turns.withColumn("citations", cited))
+
+
+_OLDER = "older AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), source AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders)"
+
+
+@query("SRC-16", f"""WITH {_OLDER}, target AS (SELECT * FROM source UNION ALL SELECT * FROM older WHERE o_orderkey NOT IN (SELECT o_orderkey FROM source)),
+same AS (SELECT NOT EXISTS (SELECT * FROM source EXCEPT SELECT * FROM older) AND NOT EXISTS (SELECT * FROM older EXCEPT SELECT * FROM source) AS a, NOT EXISTS (SELECT * FROM source EXCEPT SELECT * FROM target) AND NOT EXISTS (SELECT * FROM target EXCEPT SELECT * FROM source) AS b)
+SELECT step, source_rows, target_rows, same FROM (SELECT 'before' AS step, (SELECT count(*) FROM source) AS source_rows, (SELECT count(*) FROM older) AS target_rows, a AS same FROM same UNION ALL SELECT 'after', (SELECT count(*) FROM source), (SELECT count(*) FROM target), b FROM same)""")
+def src16(spark: S, sf: str) -> DataFrame:
+    """The orders into an older copy, in which a third of them is absent and some prices differ."""
+    source = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    price = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return ops.copy_verified(source, source.where("o_orderkey % 3 <> 0").withColumn("o_totalprice", price), ["o_orderkey"])
+
 
+_ROW = """'{"o_custkey":"' || o_custkey || '","o_orderkey":"' || o_orderkey || '","o_orderstatus":"' || o_orderstatus || '","o_totalprice":"' || CAST(o_totalprice AS DECIMAL(18, 2)) || '"}'"""
 
-@query("AGG-06", """WITH q AS (SELECT d.doc_id, d.lang, length(text) AS n, CASE l.quality WHEN 1 THEN 90 WHEN 0 THEN 60 ELSE 80 END AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
-SELECT lang, count(*) AS documents, sum(n)::BIGINT AS chars, round(avg(q), 6) AS mean_quality, count(*) FILTER (WHERE q >= 85) AS high, count(*) FILTER (WHERE q >= 70 AND q < 85) AS medium, count(*) FILTER (WHERE q < 70) AS low FROM q GROUP BY lang""")
+
+@query("AGG-16", f"WITH h AS (SELECT sha256({_ROW}) AS h FROM orders) SELECT count(*) AS rows, " + " || '-' || ".join(f"coalesce(sum(('0x' || substr(h, {1 + 12 * i}, 12))::BIGINT)::HUGEINT, 0)::VARCHAR" for i in range(5)) + " AS digest FROM h")
+def agg16(spark: S, sf: str) -> DataFrame:
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    return ops.content_fingerprint(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", price.alias("o_totalprice")))
+
+
+@query("AGG-17", f"""WITH {_NEW}, f AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), d AS (SELECT diff.doc_id, action, f.doc_id IS NOT NULL AS failed FROM diff LEFT JOIN f ON diff.doc_id = f.doc_id),
+c AS (SELECT count(*) FILTER (WHERE action <> 'missing') AS discovered, count(*) FILTER (WHERE action = 'unchanged' AND NOT failed) AS unchanged, count(*) FILTER (WHERE action = 'updated' AND NOT failed) AS updated, count(*) FILTER (WHERE action = 'new' AND NOT failed) AS added,
+count(*) FILTER (WHERE action <> 'missing' AND failed) AS failed, count(*) FILTER (WHERE action = 'missing') AS deletions FROM d)
+SELECT *, CASE WHEN failed = 0 THEN 'succeeded' WHEN failed < discovered THEN 'partial' ELSE 'failed' END AS status FROM c""")
+def agg17(spark: S, sf: str) -> DataFrame:
+    """Toxic documents could not be read."""
+    return ops.sync_run_summary(snapshots(spark, sf), table(spark, sf, "labels").where("toxic = 1").select("doc_id"))
+
+
+@query("AGG-06", f"""WITH {CHUNKS}, n AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1), q AS (SELECT d.doc_id, d.lang, length(text) AS n, CASE l.quality WHEN 1 THEN 90 WHEN 0 THEN 60 ELSE 80 END AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+worst AS (SELECT lang, list(doc_id ORDER BY r) AS low_documents FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY q, doc_id) AS r FROM q WHERE q < 70) WHERE r <= 5 GROUP BY 1),
+theme AS (SELECT lang, list(token ORDER BY n) AS themes FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, token) AS n FROM (SELECT lang, token, count(*) AS c FROM (SELECT lang, unnest({tok('text')}) AS token FROM documents) WHERE length(token) >= 2 GROUP BY 1, 2)) WHERE n <= 12 GROUP BY 1),
+asked AS (SELECT list(text ORDER BY conv_id DESC, turn DESC) AS recent FROM (SELECT * FROM conversations WHERE role = 'user' AND text <> '' ORDER BY conv_id DESC, turn DESC LIMIT 6))
+SELECT q.lang, count(*) AS documents, coalesce(sum(n.n), 0)::BIGINT AS chunks, sum(q.n)::BIGINT AS chars, round(avg(q), 6) AS mean_quality, count(*) FILTER (WHERE q >= 85) AS high, count(*) FILTER (WHERE q >= 70 AND q < 85) AS medium, count(*) FILTER (WHERE q < 70) AS low,
+any_value(low_documents) AS low_documents, any_value(themes) AS themes, (SELECT recent FROM asked) AS recent, CASE WHEN count(*) FILTER (WHERE q < 70) > 0 THEN 'review low quality' ELSE 'none' END AS suggestion
+FROM q LEFT JOIN n ON q.doc_id::VARCHAR = n.document_id LEFT JOIN worst ON q.lang = worst.lang LEFT JOIN theme ON q.lang = theme.lang GROUP BY q.lang""")
 def agg06(spark: S, sf: str) -> DataFrame:
-    return ops.corpus_overview(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return ops.corpus_overview(table(spark, sf, "documents"), table(spark, sf, "labels"), chunk_table(spark, sf), table(spark, sf, "conversations"))
 
 
-@query("AGG-07", """SELECT count(*) AS operations, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 6) AS mean_value, count(DISTINCT user_id) AS users, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations WHERE role = 'user') AS questions FROM events""")
+_JOBS = "jobs AS (SELECT user_id AS job_id, event_type AS status, count(*) AS attempts, max(event_id) AS last FROM events GROUP BY 1, 2)"
+
+
+@query("AGG-07", f"""WITH {_JOBS} SELECT 'knowledge' AS block, 'documents' AS name, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'knowledge', 'characters', sum(length(text)) FROM documents
+UNION ALL SELECT 'answering', 'questions', count(*) FILTER (WHERE role = 'user') FROM conversations UNION ALL SELECT 'answering', 'answers', count(*) FILTER (WHERE role = 'assistant') FROM conversations UNION ALL SELECT 'answering', 'mean_length', round(avg(length(text)) FILTER (WHERE role = 'assistant'), 6) FROM conversations
+UNION ALL SELECT 'operations', 'total', count(*) FROM events UNION ALL SELECT 'operations', 'errors', count(*) FILTER (WHERE event_type = 'error') FROM events UNION ALL SELECT 'operations', 'mean_value', round(avg(value), 6) FROM events UNION ALL SELECT 'operations', 'users', count(DISTINCT user_id) FROM events
+UNION ALL SELECT 'type', event_type, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'level', CASE WHEN value < 1 THEN 'low' WHEN value < 10 THEN 'normal' ELSE 'high' END, count(*) FROM events GROUP BY 2
+UNION ALL SELECT 'ingestion', 'jobs', count(*) FROM jobs UNION ALL SELECT 'ingestion', 'retries', sum(greatest(0, attempts - 1)) FROM jobs UNION ALL SELECT 'graph', 'entities', count(DISTINCT source) FROM documents UNION ALL SELECT 'graph', 'relations', count(DISTINCT (lang, source)) FROM documents
+UNION ALL SELECT 'recommendation', 'check_errors', (count(*) FILTER (WHERE event_type = 'error') * 20 > count(*))::INT FROM events UNION ALL SELECT 'recommendation', 'check_retries', (sum(greatest(0, attempts - 1)) > count(*))::INT FROM jobs""")
 def agg07(spark: S, sf: str) -> DataFrame:
-    return ops.system_metrics(table(spark, sf, "events"), table(spark, sf, "documents"), table(spark, sf, "conversations"))
+    jobs = table(spark, sf, "events").groupBy(F.col("user_id").alias("job_id"), F.col("event_type").alias("status")).agg(F.count("*").alias("attempts"))
+    return ops.system_metrics(table(spark, sf, "events"), table(spark, sf, "documents"), table(spark, sf, "conversations"), jobs)
+
+
+_KIND = "coalesce(nullif(CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' ELSE '' END, ''), 'unclassified')"
 
 
-@query("AGG-08", "SELECT coalesce(nullif(CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' ELSE '' END, ''), 'unclassified') AS failure_type, count(*) AS total, count(*) FILTER (WHERE quality = 1) AS up, count(*) FILTER (WHERE quality = 0) AS down FROM labels GROUP BY 1")
+@query("AGG-08", f"""WITH f AS (SELECT doc_id, quality, {_KIND} AS failure_type FROM labels), r AS (SELECT failure_type, list(doc_id ORDER BY n) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY failure_type ORDER BY doc_id DESC) AS n FROM f) WHERE n <= 8 GROUP BY 1)
+SELECT failure_type, count(*) AS total, count(*) FILTER (WHERE quality = 1) AS up, count(*) FILTER (WHERE quality = 0) AS down, any_value(recent) AS recent FROM f JOIN r USING (failure_type) GROUP BY 1""")
 def agg08(spark: S, sf: str) -> DataFrame:
     kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "quality").otherwise("")
     return ops.feedback_stats(table(spark, sf, "labels").withColumn("failure_type", kind))
 
 
-@query("AGG-09", "SELECT count(*) AS messages, count(*) FILTER (WHERE text IS NULL OR text = '') AS failed, round(avg(length(text)), 6) AS mean_chars FROM (SELECT * FROM conversations WHERE role = 'assistant' ORDER BY conv_id DESC, turn DESC LIMIT 100)")
+@query("AGG-09", """WITH m AS (SELECT *, '{"timing": {"first_token_ms": ' || (turn * 10 + length(coalesce(text, '')) % 7) || '}}' AS meta FROM conversations WHERE role = 'assistant' ORDER BY conv_id DESC, turn DESC LIMIT 100)
+SELECT count(*) AS messages, count(*) FILTER (WHERE turn % 5 = 3) AS cancelled, count(*) FILTER (WHERE text IS NULL OR text = '') AS failed, round(avg((meta ->> '$.timing.first_token_ms')::INT), 6) AS mean_first_token_ms, round(avg(length(text)), 6) AS mean_chars FROM m""")
 def agg09(spark: S, sf: str) -> DataFrame:
-    last = table(spark, sf, "conversations").where("role = 'assistant'").orderBy(F.desc("conv_id"), F.desc("turn")).limit(100)
-    return last.agg(F.count("*").alias("messages"), F.count_if(F.col("text").isNull() | (F.col("text") == "")).alias("failed"), F.round(F.avg(F.length("text")), 6).alias("mean_chars"))
-
-
-@query("AGG-10", "SELECT count(*) AS questions, greatest(0, 1000 - count(*)) AS remaining, count(DISTINCT conv_id) AS conversations, min(turn) AS first_turn, max(turn) AS last_turn FROM conversations WHERE role = 'user' AND length(text) > 0")
-def agg10(spark: S, sf: str) -> DataFrame:
-    asked = table(spark, sf, "conversations").where("role = 'user' AND length(text) > 0")
-    return asked.agg(F.count("*").alias("questions"), F.greatest(F.lit(0), 1000 - F.count("*")).alias("remaining"), F.count_distinct("conv_id").alias("conversations"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    """The last 100 answers; every fifth turn counts as cancelled, and the first token's time is in nested JSON."""
+    timing = F.to_json(F.struct(F.struct((F.col("turn") * 10 + F.length(F.coalesce("text", F.lit(""))) % 7).alias("first_token_ms")).alias("timing")))
+    status = F.when(F.col("turn") % 5 == 3, "cancelled").when(F.coalesce("text", F.lit("")) == "", "failed").otherwise("done")
+    turns = table(spark, sf, "conversations").where("role = 'assistant'")
+    return ops.conversation_metrics(turns.select("conv_id", "turn", "text", timing.alias("meta"), (F.col("turn") % 5 == 3).alias("cancelled"), status.alias("status")), 100)
 
 
-@query("AGG-11", "SELECT count(*) AS total, count(*) FILTER (WHERE quality IS NULL) AS draft, count(*) FILTER (WHERE quality IS NOT NULL) AS reviewed, greatest(0, 200 - count(*) FILTER (WHERE quality = 1)) AS remaining FROM documents LEFT JOIN labels USING (doc_id)")
+@query("AGG-11", "SELECT count(*) AS total, count(*) FILTER (WHERE quality IS NULL) AS draft, count(*) FILTER (WHERE quality IS NOT NULL) AS reviewed, count(*) FILTER (WHERE quality IS NOT NULL AND toxic = 0) AS human_reviewed, greatest(0, 200 - count(*) FILTER (WHERE quality IS NOT NULL AND toxic = 0)) AS remaining FROM documents LEFT JOIN labels USING (doc_id)")
 def agg11(spark: S, sf: str) -> DataFrame:
+    """Labelled documents are reviewed cases, those not toxic by a person."""
     rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
-    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("quality").isNull()).alias("draft"), F.count_if(F.col("quality").isNotNull()).alias("reviewed"), F.greatest(F.lit(0), 200 - F.count_if(F.col("quality") == 1)).alias("remaining"))
-
-
-@query("AGG-12", "SELECT event_type AS name, substr(props, 1, 80) AS labels, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
-def agg12(spark: S, sf: str) -> DataFrame:
-    return ops.metric_counters(table(spark, sf, "events"))
-
-
-_BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
+    human = F.count_if(F.col("quality").isNotNull() & (F.col("toxic") == 0))
+    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("quality").isNull()).alias("draft"), F.count_if(F.col("quality").isNotNull()).alias("reviewed"), human.alias("human_reviewed"), F.greatest(F.lit(0), 200 - human).alias("remaining"))
 
 
-@query("AGG-13", "WITH v AS (SELECT event_type, greatest(value, 0) AS v FROM events) " + " UNION ALL ".join(f"SELECT event_type, '{b}' AS le, count(*) FILTER (WHERE v <= {b}) AS n FROM v GROUP BY 1" for b in _BUCKETS) + " UNION ALL SELECT event_type, '+Inf', count(*) FROM v GROUP BY 1")
+@query("AGG-13", "WITH v AS (SELECT event_type, greatest(value, 0) AS v FROM events), b AS (" + " UNION ALL ".join(f"SELECT event_type, '{b}' AS le, count(*) FILTER (WHERE v <= {b}) AS n FROM v GROUP BY 1" for b in _BUCKETS) + " UNION ALL SELECT event_type, '+Inf', count(*) FROM v GROUP BY 1), s AS (SELECT event_type, round(sum(v), 4) AS total FROM v GROUP BY 1) SELECT event_type, le, n, total FROM b JOIN s USING (event_type)")
 def agg13(spark: S, sf: str) -> DataFrame:
     return ops.metric_histogram(table(spark, sf, "events"), _BUCKETS)
 
 
-@query("AGG-15", "SELECT count(*) AS vectors, count(DISTINCT vec_id) AS ids, list_sort(list(DISTINCT len(embedding))) AS dimensions, (SELECT count(*) FROM documents) AS documents FROM embeddings")
+@query("AGG-15", """SELECT (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT vec_id) FROM embeddings) AS ids, (SELECT list_sort(list(DISTINCT len(embedding))) FROM embeddings) AS dimensions, (SELECT count(*) FROM documents) AS documents,
+(SELECT count(*) FROM labels JOIN documents USING (doc_id)) AS joined_citations, (SELECT min(doc_id) FROM documents) AS sample_id, (SELECT md5(text) FROM documents ORDER BY doc_id LIMIT 1) AS sample_hash, true AS same_as_before""")
 def agg15(spark: S, sf: str) -> DataFrame:
-    own = table(spark, sf, "embeddings").agg(F.count("*").alias("vectors"), F.count_distinct("vec_id").alias("ids"), F.array_sort(F.collect_set(F.size("embedding").cast("long"))).alias("dimensions"))
-    return own.crossJoin(table(spark, sf, "documents").agg(F.count("*").alias("documents")))  # one row each
-
-
-@query("AGG-16", "SELECT count(*) AS rows, sum(o_orderkey)::BIGINT AS key_sum, round(sum(o_totalprice), 2) AS value_sum, count(DISTINCT o_orderkey) AS keys FROM orders")
-def agg16(spark: S, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").agg(F.count("*").alias("rows"), F.sum("o_orderkey").cast("long").alias("key_sum"), F.round(F.sum("o_totalprice"), 2).alias("value_sum"), F.count_distinct("o_orderkey").alias("keys"))
+    parts = table(spark, sf, "embeddings"), table(spark, sf, "documents"), table(spark, sf, "labels")
+    return ops.compare_snapshots(ops.consistency_snapshot(*parts), ops.consistency_snapshot(*(p.repartition(3) for p in parts)))
 
 
-_TOPICS = {"deployment": ["docker", "nginx"], "database": ["schema", "table"], "interface": ["api", "request"], "performance": ["latency", "cache"], "tests": ["test", "recall"], "security": ["token", "secret"], "media": ["ocr", "video"]}
+_STATUSES = ("view", "click", "purchase", "error", "signup", "paused")
 
 
-@query("AGG-19", "WITH t(topic, word) AS (VALUES " + ", ".join(f"('{t}', '{w}')" for t, ws in _TOPICS.items() for w in ws) + ") SELECT topic, count(DISTINCT doc_id) AS documents, count(doc_id) = 0 AS missing FROM t LEFT JOIN documents ON contains(lower(text), word) GROUP BY topic")
-def agg19(spark: S, sf: str) -> DataFrame:
-    return ops.topic_coverage(table(spark, sf, "documents"), _TOPICS)
+@query("AGG-20", "WITH s(status) AS (VALUES " + ", ".join(f"('{x}')" for x in _STATUSES) + "), d AS (SELECT count(*) FILTER (WHERE n >= 3) AS dead FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)) SELECT status, count(event_id) AS n, (SELECT count(*) FROM events WHERE event_type IN ('view', 'click')) AS queue_depth, (SELECT dead FROM d) AS dead_letters FROM s LEFT JOIN events ON event_type = status GROUP BY 1")
+def agg20(spark: S, sf: str) -> DataFrame:
+    """Users are jobs: views and clicks wait, and three errors make a dead letter."""
+    return ops.status_counts(table(spark, sf, "events"), list(_STATUSES), ("view", "click"), 3)
 
 
-@query("AGG-20", "WITH s(status) AS (VALUES ('view'), ('click'), ('purchase'), ('error'), ('signup'), ('paused')) SELECT status, count(event_id) AS n FROM s LEFT JOIN events ON event_type = status GROUP BY 1")
-def agg20(spark: S, sf: str) -> DataFrame:
-    return ops.status_counts(table(spark, sf, "events"), ["view", "click", "purchase", "error", "signup", "paused"])
+#: Topics and the words that show them, in questions and in documents.
+_TOPICS = {"deployment": ["docker", "there"], "database": ["schema", "thand"], "interface": ["api", "ering"], "performance": ["latency", "ation"], "tests": ["test", "recall"], "security": ["token", "der"], "media": ["ocr", "video"]}
 
 
-@query("AGG-18", """SELECT lang, count(DISTINCT source) AS nodes, count(DISTINCT (source, substr(text, 1, 1))) AS edges, count(*) AS mentions, count(DISTINCT doc_id) AS evidence FROM documents GROUP BY lang""")
-def agg18(spark: S, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").withColumn("head", F.substring("text", 1, 1))
-    return docs.groupBy("lang").agg(F.count_distinct("source").alias("nodes"), F.count_distinct("source", "head").alias("edges"), F.count("*").alias("mentions"), F.count_distinct("doc_id").alias("evidence"))
+@query("AGG-19", "WITH t(topic, word) AS (VALUES " + ", ".join(f"('{t}', '{w}')" for t, ws in _TOPICS.items() for w in ws) + """), q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS question FROM conversations WHERE role = 'user'),
+corpus AS (SELECT DISTINCT topic FROM t JOIN documents ON doc_id % 2 = 0 AND contains(lower(source || chr(10) || text), word)),
+hit AS (SELECT conv_id, turn, topic, list_sort(list(word)) AS words FROM q JOIN t ON contains(question, word) GROUP BY 1, 2, 3),
+cited AS (SELECT DISTINCT conv_id FROM conversations JOIN labels ON doc_id = conv_id)
+SELECT conv_id, turn, topic AS gap, words FROM hit WHERE topic NOT IN (SELECT topic FROM corpus) UNION ALL SELECT conv_id, turn, 'direct evidence', list_sort(list_distinct(""" + tok("question") + """))[1:8] FROM q WHERE conv_id NOT IN (SELECT conv_id FROM cited)
+UNION ALL SELECT -1, count(*)::INT, 'feedback: ' || """ + _KIND + """, [] FROM labels WHERE quality = 0 GROUP BY """ + _KIND)
+def agg19(spark: S, sf: str) -> DataFrame:
+    """User turns are questions, even documents the corpus, labels the feedback and, by number, the citations of a conversation."""
+    asked = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"))
+    labels = table(spark, sf, "labels")
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "quality").otherwise("")
+    feedback = labels.select(F.when(F.col("quality") == 0, "down").otherwise("up").alias("rating"), kind.alias("failure_type"))
+    return ops.knowledge_gaps(asked, table(spark, sf, "documents").where("doc_id % 2 = 0"), labels.select(F.col("doc_id").alias("conv_id")).distinct(), feedback, _TOPICS)
 
 
-@query("FLT-05", "SELECT page_id, url FROM pages WHERE regexp_matches(url, '\\.html$') AND NOT regexp_matches(url, '/(test|vendor|changelog)') AND strlen(html) BETWEEN 800 AND 200000")
-def flt05(spark: S, sf: str) -> DataFrame:
-    pages = table(spark, sf, "pages")
-    return pages.where(F.regexp_like("url", F.lit(r"\.html$")) & ~F.regexp_like("url", F.lit("/(test|vendor|changelog)")) & F.octet_length("html").between(800, 200_000)).select("page_id", "url")
+_LICENSE = "CASE doc_id % 4 WHEN 0 THEN 'MIT' WHEN 1 THEN ' apache-2.0 ' WHEN 2 THEN 'proprietary' END"
+_LICENSE_URL = "CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'https://licenses.example/' || doc_id END"
 
 
-@query("FLT-06", "SELECT doc_id, CASE WHEN contains(lower(text), 'mit license') THEN 'mit' WHEN contains(lower(text), 'apache license') THEN 'apache' END AS license, contains(lower(text), 'mit license') OR contains(lower(text), 'apache license') AS licensed FROM documents")
+@query("FLT-06", f"""WITH d AS (SELECT doc_id, lower(trim({_LICENSE})) AS license, {_LICENSE_URL} AS url FROM documents)
+SELECT doc_id, license, coalesce(license IN ('mit', 'apache-2.0', 'bsd-3-clause', 'cc-by-4.0'), false) AND url <> '' AS licensed, CASE WHEN license IS NULL THEN 'no_license' WHEN license NOT IN ('mit', 'apache-2.0', 'bsd-3-clause', 'cc-by-4.0') THEN 'not_allowed' WHEN url = '' THEN 'no_url' END AS failure FROM d""")
 def flt06(spark: S, sf: str) -> DataFrame:
-    low = F.lower("text")
-    name = F.when(F.contains(low, F.lit("mit license")), "mit").when(F.contains(low, F.lit("apache license")), "apache")
-    return table(spark, sf, "documents").select("doc_id", name.alias("license"), name.isNotNull().alias("licensed"))
+    rows = table(spark, sf, "documents").select("doc_id", F.expr(_LICENSE).alias("license"), F.expr(_LICENSE_URL).alias("license_url"))
+    return ops.licensed_only(rows, ["mit", "apache-2.0", "bsd-3-clause", "cc-by-4.0"]).select("doc_id", "license", "licensed", "failure")
 
 
-@query("FLT-04", "WITH j AS (SELECT event_id, event_type, ts + to_seconds(3600) AS lease FROM events WHERE event_type IN ('view', 'click')) SELECT event_id, CASE WHEN event_type = 'click' THEN 'cancelled' ELSE 'queued' END AS next_status FROM j WHERE lease <= TIMESTAMP '2024-01-15 00:00:00'")
-def flt04(spark: S, sf: str) -> DataFrame:
-    jobs = table(spark, sf, "events").where(F.col("event_type").isin("view", "click")).withColumn("lease", F.col("ts") + F.expr("INTERVAL 1 HOUR"))
-    return jobs.where("lease <= TIMESTAMP_NTZ'2024-01-15 00:00:00'").select("event_id", F.when(F.col("event_type") == "click", "cancelled").otherwise("queued").alias("next_status"))
+_META = """'{"origin": "' || CASE WHEN conv_id % 3 = 0 THEN 'human' ELSE 'test' END || '", "user_id": "' || CASE WHEN conv_id % 4 = 1 THEN '' ELSE 'u' || conv_id END || '", "workspace_id": "w' || turn || '"}'"""
 
 
-@query("FLT-03", "SELECT event_id, try_cast(CASE WHEN event_id % 11 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) IS NULL OR ts <= TIMESTAMP '2024-01-10 00:00:00' AS expired FROM events")
-def flt03(spark: S, sf: str) -> DataFrame:
-    shown = F.when(F.col("event_id") % 11 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    return ops.expired(table(spark, sf, "events").withColumn("expires_at", shown), "2024-01-10 00:00:00").select("event_id", "expired")
+@query("FLT-08", f"SELECT conv_id, turn, 'u' || conv_id AS user_id FROM conversations WHERE role = 'user' AND conv_id % 3 = 0 AND conv_id % 4 <> 1 AND trim(coalesce(text, '')) <> ''")
+def flt08(spark: S, sf: str) -> DataFrame:
+    """Metadata attest a human, a user and a workspace for some conversations."""
+    return ops.real_usage(table(spark, sf, "conversations").withColumn("meta", F.expr(_META))).select("conv_id", "turn", "user_id")
 
 
-@query("FLT-08", "SELECT event_id, user_id, (props ->> '$.k')::INT AS k FROM events WHERE event_type = 'purchase' AND (props ->> '$.k')::INT >= 50")
-def flt08(spark: S, sf: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, sf, "events").where((F.col("event_type") == "purchase") & (k >= 50)).select("event_id", "user_id", k.alias("k"))
+_MANIFEST = "m AS (SELECT doc_id, md5(CASE WHEN doc_id % 50 = 3 THEN text || 'x' ELSE text END) AS declared, md5(text) AS actual, CASE WHEN doc_id % 20 = 7 THEN '' ELSE 'https://files.example/' || (doc_id - doc_id % 10 // 9) END AS url, CASE WHEN doc_id % 30 = 11 THEN NULL ELSE 'mit' END AS license FROM documents)"
 
 
-@query("EVL-12", "WITH m AS (SELECT doc_id, md5(CASE WHEN doc_id % 50 = 3 THEN text || 'x' ELSE text END) AS declared, md5(text) AS actual, count(*) OVER (PARTITION BY md5(text)) AS same FROM documents) SELECT doc_id, declared <> actual AS checksum_mismatch, same > 1 AS duplicate_hash, declared = actual AND same = 1 AS valid FROM m")
+@query("EVL-12", f"""WITH {_MANIFEST}, w AS (SELECT *, count(*) OVER (PARTITION BY actual) AS same, count(*) OVER (PARTITION BY url) AS same_url, (SELECT count(*) FROM m) >= 200 AS enough FROM m)
+SELECT doc_id, declared <> actual AS checksum_mismatch, same > 1 AS duplicate_hash, url = '' AS missing_url, url <> '' AND same_url > 1 AS duplicate_url, license IS NULL AS missing_license, enough,
+declared = actual AND same = 1 AND url <> '' AND same_url = 1 AND license IS NOT NULL AND enough AS valid FROM w""")
 def evl12(spark: S, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     declared = F.md5(F.when(F.col("doc_id") % 50 == 3, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
-    return ops.verify_manifest(docs.select("doc_id", declared.alias("declared"), F.md5("text").alias("actual")))
+    url = F.when(F.col("doc_id") % 20 == 7, "").otherwise(F.concat(F.lit("https://files.example/"), (F.col("doc_id") - F.floor(F.col("doc_id") % 10 / 9)).cast("string")))
+    license = F.when(F.col("doc_id") % 30 != 11, "mit")
+    return ops.verify_manifest(docs.select("doc_id", declared.alias("declared"), F.md5("text").alias("actual"), url.alias("url"), license.alias("license")), 200)
+
+
+_OBJECT = "CASE WHEN doc_id % 40 = 5 THEN '../' ELSE '' END || md5(text)"
 
 
-@query("EVL-15", "WITH a AS (SELECT md5(text) AS object_key, doc_id, length(text) AS size FROM documents), o AS (SELECT md5(text) AS object_key, max(length(text)) AS size FROM documents WHERE doc_id % 9 <> 2 GROUP BY 1) SELECT a.doc_id, o.object_key IS NOT NULL AS present, coalesce(o.size = a.size, false) AS same_size FROM a LEFT JOIN o ON a.object_key = o.object_key")
+@query("EVL-15", f"""WITH a AS (SELECT {_OBJECT} AS object_key, doc_id, length(text) AS size, sha256(CASE WHEN doc_id % 25 = 4 THEN text || 'x' ELSE text END) AS digest FROM documents), o AS (SELECT {_OBJECT} AS object_key, min(length(text)) AS size, min(sha256(text)) AS digest FROM documents WHERE doc_id % 9 <> 2 GROUP BY 1),
+g AS (SELECT object_key, count(DISTINCT (size, digest)) = 1 AS agrees FROM a GROUP BY 1)
+SELECT a.doc_id, contains(a.object_key, '..') AS unsafe, agrees, o.object_key IS NOT NULL AS present, coalesce(o.size = a.size, false) AS same_size, coalesce(o.digest = a.digest, false) AS same_digest, NOT contains(a.object_key, '..') AND agrees AND coalesce(o.size = a.size AND o.digest = a.digest, false) AS valid FROM a JOIN g USING (object_key) LEFT JOIN o USING (object_key)""")
 def evl15(spark: S, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select(F.md5("text").alias("object_key"), "doc_id", F.length("text").alias("size"))
-    return ops.verify_copies(docs, docs.where("doc_id % 9 <> 2"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.expr(_OBJECT).alias("object_key"), F.length("text").alias("size"))
+    told = F.sha2(F.when(F.col("doc_id") % 25 == 4, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256)
+    objects = docs.where("doc_id % 9 <> 2").groupBy("object_key").agg(F.min("size").alias("size"), F.min(F.sha2("text", 256)).alias("digest"))
+    return ops.verify_copies(docs.select("doc_id", "object_key", "size", told.alias("digest")), objects)
 
 
 @query("JN-12", "SELECT l_orderkey, min(l_linenumber) AS first_rank FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) GROUP BY 1")
 def jn12(spark: S, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("element_ids"))
     wanted = table(spark, sf, "orders").where("o_totalprice > 100000").select(F.col("o_orderkey").alias("l_orderkey"))
-    return rows.join(wanted, "l_orderkey", "left_semi").select("l_orderkey", F.explode("element_ids").alias("r")).groupBy("l_orderkey").agg(F.min("r").alias("first_rank"))
+    return table(spark, sf, "lineitem").join(wanted, "l_orderkey", "left_semi").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("first_rank"))
 
 
-@query("TOP-05", "WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CASE lang WHEN 'de' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END, doc_id) AS n FROM documents) SELECT source, doc_id, n FROM r WHERE n <= 10")
+_PATH = "CASE WHEN doc_id % 7 = 0 THEN 'zh-cn/' WHEN doc_id % 7 < 3 THEN 'docs/' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'README.md' ELSE 'page' || doc_id || '.md' END"
+_ORDER = "CASE WHEN contains(lower(path), 'zh-cn') THEN 0 ELSE 1 END, CASE WHEN contains(lower(path), 'docs/') THEN 0 ELSE 1 END, CASE WHEN contains(lower(path), 'readme') THEN 0 ELSE 1 END, path, doc_id"
+
+
+@query("TOP-05", f"""WITH f AS (SELECT doc_id, source, {_PATH} AS path FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_ORDER}) AS n FROM f), c AS (SELECT *, row_number() OVER (ORDER BY n, source, doc_id) AS place FROM r WHERE n <= 10)
+SELECT source, doc_id, n, (SELECT count(DISTINCT source) FROM c WHERE place <= 60) >= 5 AS enough_sources FROM c WHERE place <= 60""")
 def top05(spark: S, sf: str) -> DataFrame:
-    return ops.corpus_pick(table(spark, sf, "documents"), 10)
+    """Ten files of a source at most, 60 in all, from five sources at least."""
+    return ops.corpus_pick(table(spark, sf, "documents").select("doc_id", "source", F.expr(_PATH).alias("path")), 10, 60, 5)
+
+
+@query("SET-03", """WITH b AS (SELECT CASE WHEN doc_id % 10 = 9 THEN ' ' ELSE md5(text) END AS h, doc_id FROM documents WHERE doc_id % 2 = 1), g AS (SELECT h, doc_id, row_number() OVER (PARTITION BY h ORDER BY doc_id) AS n, trim(h) <> '' AND h NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0) AS fresh FROM b)
+SELECT h AS candidate_id, doc_id, (SELECT count(*) FROM g WHERE fresh AND n = 1) AS created, (SELECT count(*) FROM g WHERE NOT (fresh AND n = 1)) AS deduped FROM g WHERE fresh AND n = 1""")
+def set03(spark: S, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    batch = docs.where("doc_id % 2 = 1").select(F.when(F.col("doc_id") % 10 == 9, " ").otherwise(F.md5("text")).alias("candidate_id"), "doc_id")
+    return ops.insert_new(docs.where("doc_id % 2 = 0").select(F.md5("text").alias("candidate_id")), batch, "candidate_id", "doc_id")

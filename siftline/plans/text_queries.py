@@ -40,12 +40,6 @@ def src05(spark: S, sf: str) -> DataFrame:
     return url_list_candidates(table(spark, sf, "pages"), 100)
 
 
-@query("SRC-11", """SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS n_references, max(strlen(coalesce(text, ''))) AS size_bytes,
-substr(sha256(coalesce(text, '')), 1, 2) || '/' || sha256(coalesce(text, '')) AS object_key FROM documents GROUP BY 1""")
-def src11(spark: S, sf: str) -> DataFrame:
-    return blob_inventory(docs(spark, sf))
-
-
 @query("TXT-01", r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents""")
 def txt01(spark: S, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", tx.normalize_text(F.col("text")).alias("text"))
@@ -276,3 +270,9 @@ def udf04(spark: S, sf: str) -> DataFrame:
     register(spark)
     dealt_docs(spark, sf).createOrReplaceTempView("siftline_documents")
     return spark.sql("SELECT doc_id, siftline_tokens(text) AS tokens FROM siftline_documents")
+
+
+@query("SRC-11", """WITH k AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS size FROM documents), r AS (SELECT sha256, count(*) AS n FROM labels JOIN k USING (doc_id) GROUP BY 1), b AS (SELECT sha256, max(size) AS size_bytes, count(*) AS n_blobs FROM k GROUP BY 1)
+SELECT sha256, substr(sha256, 1, 2) || '/' || sha256 AS object_key, size_bytes, n_blobs, coalesce(n, 0) AS n_references, n IS NULL AS unreferenced FROM b LEFT JOIN r USING (sha256)""")
+def src11(spark: S, sf: str) -> DataFrame:
+    return blob_inventory(docs(spark, sf), table(spark, sf, "labels"))

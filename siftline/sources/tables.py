@@ -38,11 +38,13 @@ def url_list_candidates(urls: DataFrame, max_items: int) -> DataFrame:
     return head.unionByName(rest).select("url", "first_seen", "position", F.col("position").isNull().alias("over_cap"))
 
 
-def blob_inventory(blobs: DataFrame) -> DataFrame:
-    """One row for each content: key, size and number of references."""
-    return blobs.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).agg(
-        F.count("*").alias("n_references"), F.max(F.octet_length(F.coalesce("text", F.lit("")))).cast("long").alias("size_bytes")
-    ).withColumn("object_key", F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256")))
+def blob_inventory(blobs: DataFrame, references: DataFrame) -> DataFrame:
+    """One row for each content of blobs (doc_id, text): key, size, blobs and references (doc_id) to them."""
+    keyed = blobs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    named = references.select("doc_id").join(keyed, "doc_id").groupBy("sha256").agg(F.count("*").alias("n"))
+    rows = keyed.groupBy("sha256").agg(F.count("*").alias("n_blobs"), F.max("size").alias("size_bytes")).join(named, "sha256", "left")
+    key = F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"))
+    return rows.select("sha256", key.alias("object_key"), "size_bytes", "n_blobs", F.coalesce("n", F.lit(0)).alias("n_references"), F.col("n").isNull().alias("unreferenced"))
 
 
 def questions(spark: SparkSession, sf_dir: str, words: int = 12) -> DataFrame:
