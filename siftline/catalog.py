@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.plans import answer_queries, element_queries, graph_queries, more_queries, ranking_queries, relational_queries, source_queries, streaming_queries, text_queries, window_queries  # noqa: F401  they register
+from siftline.plans import answer_queries, element_queries, evaluation_queries, graph_queries, more_queries, ranking_queries, relational_queries, source_queries, streaming_queries, text_queries, window_queries  # noqa: F401  they register
 from siftline.plans.registry import ORACLES, QUERIES, Query
 
 

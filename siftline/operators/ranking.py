@@ -65,12 +65,12 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The k best of each question; the matched terms are looked up for these alone."""
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, boosts: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The k best of each question, times the boost (chunk_id, boost) of the chunk's document; the matched terms are looked up for these alone."""
     terms = written(query_terms(queries), "terms")
     post = question_postings(terms, chunks)
     found = scored_postings(terms, post, k1, b).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    best = written(top_k(boosted(found.withColumn("score", F.round(sc.squash(F.col("score")), 9)), chunks), k), "best")
+    best = written(top_k(boosted(found.withColumn("score", F.round(sc.squash(F.col("score")), 9)), boosts), k), "best")
     matched = best.join(terms, "query_id").join(post.select("chunk_id", "token"), ["chunk_id", "token"]).groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_set("token")).alias("matched"))
     return best.join(matched, ["query_id", "chunk_id"]).select("query_id", "rank", "chunk_id", "score", "matched")
 
@@ -82,39 +82,38 @@ def embedded(rows: DataFrame, key: str) -> DataFrame:
     return sparse.select(key, F.transform("e", lambda x: x["idx"].cast("int")).alias("idx"), F.transform("e", lambda x: x["value"]).alias("value"))
 
 
-def vector_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None) -> DataFrame:
-    """query_id, chunk_id and cosine (negative ones 0) of questions and chunks whose hash vectors share a component.
+def vector_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None, boosts: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id and cosine (negative ones 0) of questions and chunks whose hash vectors share a component, times the boosts.
 
     ``k``: only the k best of each question and block of chunks.
     """
     q = written(embedded(queries.select("query_id", F.col("question").alias("text")), "query_id"), "questions")
-    c = written(embedded(chunks, "chunk_id"), "vectors")
-    return sparse_block_scores(q, c, k)
+    c = embedded(chunks, "chunk_id")
+    c = c if boosts is None else c.join(boosts, "chunk_id", "left").na.fill(1.0, ["boost"])
+    return sparse_block_scores(q, written(c, "vectors"), k)
 
 
-def semantic_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    scored = vector_scores(queries, chunks, None if "boost" in chunks.columns else k)
-    return top_k(boosted(scored, chunks), k).select("query_id", "rank", "chunk_id", "score")
+def semantic_search(queries: DataFrame, chunks: DataFrame, k: int = 5, boosts: DataFrame | None = None) -> DataFrame:
+    return top_k(vector_scores(queries, chunks, k, boosts), k).select("query_id", "rank", "chunk_id", "score")
 
 
-def boosted(scored: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Scores times the boost of the chunk's document, if chunks have a column boost."""
-    if "boost" not in chunks.columns:
+def boosted(scored: DataFrame, boosts: DataFrame | None) -> DataFrame:
+    """Scores times the boost of the chunk's document."""
+    if boosts is None:
         return scored
-    rows = scored.join(chunks.select("chunk_id", "boost"), "chunk_id")
-    return rows.withColumn("score", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 9)).drop("boost")
+    return scored.join(boosts, "chunk_id", "left").withColumn("score", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 9)).drop("boost")
 
 
-def hybrid_scores(queries: DataFrame, chunks: DataFrame, weights: tuple[float, float] = (0.62, 0.38)) -> DataFrame:
-    """query_id, chunk_id, keyword, vector and score: weighted parts, times the document's boost if chunks have one."""
+def hybrid_scores(queries: DataFrame, chunks: DataFrame, weights: tuple[float, float] = (0.62, 0.38), boosts: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id, keyword, vector and score: weighted parts, times the document's boost."""
     keyword = bm25(queries, chunks, matched=False).select("query_id", "chunk_id", sc.squash(F.col("score")).alias("keyword"))
     vector = vector_scores(queries, chunks).withColumnRenamed("score", "vector")
     both = keyword.join(vector, ["query_id", "chunk_id"], "full_outer").na.fill(0.0, ["keyword", "vector"])
-    return boosted(both.withColumn("score", F.round(weights[0] * F.col("keyword") + weights[1] * F.col("vector"), 9)), chunks)
+    return boosted(both.withColumn("score", F.round(weights[0] * F.col("keyword") + weights[1] * F.col("vector"), 9)), boosts)
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    return top_k(hybrid_scores(queries, chunks), k).select("query_id", "rank", "chunk_id", F.round("keyword", 6).alias("keyword"), F.round("vector", 6).alias("vector"), F.round("score", 6).alias("score"))
+def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, boosts: DataFrame | None = None) -> DataFrame:
+    return top_k(hybrid_scores(queries, chunks, boosts=boosts), k).select("query_id", "rank", "chunk_id", F.round("keyword", 6).alias("keyword"), F.round("vector", 6).alias("vector"), F.round("score", 6).alias("score"))
 
 
 def dedupe_candidates(scored: DataFrame) -> DataFrame:
@@ -124,19 +123,30 @@ def dedupe_candidates(scored: DataFrame) -> DataFrame:
     return scored.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
+def refusal_decision(queries: DataFrame, ranked: DataFrame, threshold: float = 0.05) -> DataFrame:
+    top = ranked.groupBy("query_id").agg(F.max("score").alias("top_score"), F.max(F.size("matched")).alias("matches"))
+    rows = queries.select("query_id").join(top, "query_id", "left")
+    reason = F.when(F.col("top_score").isNull(), "no_evidence").when(F.col("top_score") < threshold, "below_threshold").when((F.col("matches") == 0) & (F.col("top_score") < 0.15), "weak_grounding")
+    return rows.select("query_id", "top_score", reason.alias("reason"), F.when(reason.isNull(), "answered").otherwise("refused").alias("decision"))
+
+
 def keyword_rerank(queries: DataFrame, ranked: DataFrame) -> DataFrame:
-    """0.72 score + 0.2 coverage of the question's tokens + 0.12 if the whole question stands in the text."""
-    q = queries.select("query_id", "question", F.array_distinct(tx.tokenize(F.col("question"))).alias("terms"))
+    """0.72 score + 0.2 coverage of the question's tokens + 0.12 if the whole question stands in the text + 0.05 if one of its tokens
+    stands in the heading path (heading_path, if ranked has it)."""
+    q = queries.select("query_id", "question", F.array_distinct(tx.retrieval_tokens(F.col("question"))).alias("terms"))
     rows = ranked.join(q, "query_id")
     cover = F.size(F.array_intersect("terms", tx.tokenize(F.col("text")))) / F.greatest(F.size("terms"), F.lit(1))
-    score = 0.72 * F.col("score") + 0.2 * cover + F.when(F.contains("text", "question"), 0.12).otherwise(0.0)
+    score = 0.72 * F.col("score") + 0.2 * cover + F.when((F.trim("question") != "") & F.contains("text", F.trim("question")), 0.12).otherwise(0.0)
+    if "heading_path" in ranked.columns:
+        path = F.lower(F.array_join("heading_path", " "))
+        score += F.when(F.exists("terms", lambda t: F.contains(path, t)), 0.05).otherwise(0.0)
     out = rows.withColumn("rerank_score", F.round(score, 9))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id"))
     return out.select("query_id", "chunk_id", rank.alias("rerank"), "rerank_score")
 
 
 def graph_rrf(scored: DataFrame, evidence: DataFrame, weight: float = 0.35) -> DataFrame:
-    """Reciprocal rank fusion of the base rank and the best rank of a chunk's graph evidence."""
+    """Reciprocal rank fusion of the base rank and the best rank of a chunk's graph evidence; questions without evidence keep their scores."""
     base = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     best = evidence.groupBy("query_id", "chunk_id").agg(F.min("graph_rank").alias("graph_rank"))
     rows = scored.withColumn("base_rank", base).join(best, ["query_id", "chunk_id"], "left")
@@ -145,8 +155,95 @@ def graph_rrf(scored: DataFrame, evidence: DataFrame, weight: float = 0.35) -> D
     return rows.select("query_id", "chunk_id", "base_rank", "graph_rank", F.round(F.when(has, fused).otherwise(F.col("score")), 9).alias("fused"))
 
 
-def refusal_decision(queries: DataFrame, ranked: DataFrame, threshold: float = 0.05) -> DataFrame:
-    top = ranked.groupBy("query_id").agg(F.max("score").alias("top_score"), F.max(F.size("matched")).alias("matches"))
-    rows = queries.select("query_id").join(top, "query_id", "left")
-    reason = F.when(F.col("top_score").isNull(), "no_evidence").when(F.col("top_score") < threshold, "below_threshold").when((F.col("matches") == 0) & (F.col("top_score") < 0.15), "weak_grounding")
-    return rows.select("query_id", "top_score", reason.alias("reason"), F.when(reason.isNull(), "answered").otherwise("refused").alias("decision"))
+def compare_profiles(runs: dict[str, DataFrame], sources: DataFrame) -> DataFrame:
+    """For each profile (query_id, rank, chunk_id, score) and question: rows, top score and source, and whether it is the question's best.
+
+    Ties go to the profile that stands first in ``runs``. ``sources``: chunk_id and file_name.
+    """
+    rows = None
+    for i, (name, df) in enumerate(runs.items()):
+        one = df.select(F.lit(i).alias("i"), F.lit(name).alias("profile"), "query_id", "rank", "chunk_id", "score")
+        rows = one if rows is None else rows.unionByName(one)
+    found = rows.groupBy("i", "profile", "query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("top_score"), F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("chunk_id"))
+    found = found.join(sources.select("chunk_id", F.col("file_name").alias("top_source")), "chunk_id", "left")
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("top_score"), "i"))
+    return found.select("profile", "query_id", "n", "top_score", F.col("chunk_id").alias("top_chunk"), "top_source", (first == 1).alias("best"))
+
+
+def profile_metrics(cases: DataFrame, ranked: DataFrame, refuse_below: float = 0.05) -> DataFrame:
+    """Recall, MRR, precision and accuracy without answer of each profile over all cases (query_id, keywords).
+
+    ``ranked``: profile, query_id, rank, score and text, up to k rows a question. A case without keywords is right if nothing is found or the best
+    score is low; a case without rows counts as a miss.
+    """
+    every = ranked.select("profile").distinct().crossJoin(F.broadcast(cases.withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>")))))  # profiles are few
+    hit = F.exists("keywords", lambda w: F.contains(F.lower("text"), F.lower(w)))
+    rows = every.join(ranked, ["profile", "query_id"], "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
+    rows = rows.groupBy("profile", "query_id", "keywords").agg(F.count("rank").alias("n"), F.count_if("hit").alias("relevant"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.max("score").alias("top"))
+    none, silent = F.size("keywords") == 0, F.coalesce(F.col("top") < refuse_below, F.lit(True))
+    right = F.when(none, silent).otherwise(F.col("first").isNotNull())
+    precision = F.when(none, silent.cast("double")).otherwise(F.col("relevant") / F.greatest(F.col("n"), F.lit(1)))
+    mean = lambda c: F.round(F.avg(c), 4)
+    return rows.groupBy("profile").agg(
+        F.count("*").alias("cases"), mean(right.cast("double")).alias("recall"), mean(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"), mean(precision).alias("precision"),
+        F.round(F.coalesce(F.try_divide(F.count_if(none & silent), F.count_if(none)), F.lit(0.0)), 4).alias("no_answer"),
+    )
+
+
+def scoped(rows: DataFrame, **wanted: DataFrame | None) -> DataFrame:
+    """Rows whose value of each named column is in that table's column; no table, or an empty one, is no filter. Null counts as default."""
+    for column, values in wanted.items():
+        if values is not None and not values.isEmpty():
+            given = F.coalesce(F.col(column).cast("string"), F.lit("default"))
+            rows = rows.withColumn("__wanted", given).join(values.select(F.col(column).cast("string").alias("__wanted")).distinct(), "__wanted", "left_semi").drop("__wanted")
+    return rows
+
+
+def template_answers(queries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """query_id and answer: a line for each ranked row with its text up to 150 characters, its place and its score."""
+    place = F.concat(F.lit(" ("), "file_name", F.lit(", chunk "), "chunk_id", F.lit(", score "), F.col("score").cast("decimal(10,4)").cast("string"), F.lit(")"))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), tx.truncate_text(F.col("text"), 150), place)
+    rows = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
+    rows = rows.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("answer"))
+    return queries.select("query_id").join(rows, "query_id", "left").na.fill("no evidence", ["answer"])
+
+
+def search_pipeline(
+    asked: DataFrame, rewrites: DataFrame, per_question: int, scope: DataFrame, boosts: DataFrame, evidence: DataFrame,
+    weights: tuple[float, float] = (0.62, 0.38), graph_weight: float = 0.25, candidates: int = 24, mmr_weight: float = 0.78, min_score: float = 0.0, k: int = 5,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The whole search, stage by stage: base scores, deduplicated rows, candidates in order of MMR, results, and the scope.
+
+    ``asked``: query_id, question; ``rewrites``: the same with query_id * per_question and up. ``scope``: the chunks in scope
+    (chunk_id, document_id, doc_id, file_name, chunk_index, text). ``boosts``: document_id, boost. ``evidence``: query_id, doc_id and graph_rank.
+    """
+    from siftline.operators.hooks import mmr_select
+
+    scope = written(scope, "scope")
+    one = F.floor(F.col("query_id") / per_question).alias("query_id")
+    best = lambda df: df.groupBy(one, "chunk_id").agg(F.max("score").alias("score"))
+    keyword = best(bm25(rewrites, scope, matched=False)).withColumn("keyword", sc.squash(F.col("score"))).drop("score")
+    vector = best(vector_scores(rewrites, scope)).withColumnRenamed("score", "vector")
+    base = keyword.join(vector, ["query_id", "chunk_id"], "full_outer").na.fill(0.0, ["keyword", "vector"])
+    base = base.join(scope.select("chunk_id", "document_id", "doc_id"), "chunk_id").join(boosts, "document_id")
+    score = F.round(F.round(weights[0] * F.col("keyword") + weights[1] * F.col("vector"), 9) * F.col("boost"), 9)
+    base = written(base.select("query_id", "chunk_id", "doc_id", "keyword", "vector", score.alias("score")), "base")
+    near = base.join(evidence, ["query_id", "doc_id"]).select("query_id", "chunk_id", "graph_rank")
+    fused = graph_rrf(base.select("query_id", "chunk_id", "score"), near, graph_weight).select("query_id", "chunk_id", F.col("fused").alias("score"))
+    once = written(dedupe_candidates(fused.join(scope.select("chunk_id", "file_name", "text"), "chunk_id")), "once")
+    pool = written(top_k(once, candidates).select("query_id", "chunk_id", "score", "text"), "candidates")
+    picked = mmr_select(pool.select("query_id", "chunk_id", "score", F.array_distinct(tx.tokenize(F.col("text"))).alias("tokens")), mmr_weight, candidates)
+    picked = written(picked.select("query_id", "chunk_id", F.col("rank").alias("mmr_rank")), "picked")
+    found = keyword_rerank(asked, pool).where(F.col("rerank_score") >= min_score).join(picked, ["query_id", "chunk_id"])
+    return base, once, picked, top_k(found.select("query_id", "chunk_id", "mmr_rank", F.col("rerank_score").alias("score")), k), scope
+
+
+def search_trace(asked: DataFrame, base: DataFrame, once: DataFrame, picked: DataFrame, found: DataFrame, scope: DataFrame, chunks: DataFrame, weights: tuple[float, float] = (0.62, 0.38)) -> DataFrame:
+    """For each question the rows at each stage of search_pipeline(), the weights and its distinct tokens."""
+    n = lambda df, name: df.groupBy("query_id").agg(F.count("*").alias(name))
+    hits = base.groupBy("query_id").agg(F.count_if(F.col("keyword") > 0).alias("keyword_hits"), F.count_if(F.col("vector") > 0).alias("vector_hits"), F.count("*").alias("scored"))
+    rows = asked.select("query_id", F.size(F.array_distinct(tx.tokenize(F.col("question")))).alias("query_tokens"))
+    for part in (hits, n(once, "deduped"), n(picked, "selected"), n(found, "returned")):
+        rows = rows.join(part, "query_id", "left")
+    rows = rows.na.fill(0).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("total")))).crossJoin(F.broadcast(scope.agg(F.count("*").alias("available"))))  # one row each
+    return rows.withColumn("keyword_weight", F.lit(weights[0])).withColumn("vector_weight", F.lit(weights[1]))

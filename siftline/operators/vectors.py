@@ -44,7 +44,7 @@ def sparse_block_scores(queries: DataFrame, chunks: DataFrame, k: int | None = N
     """query_id, chunk_id and cosine (negative ones 0) of normalized sparse vectors (idx, value) that share a component.
 
     Blocks of both sides meet in one group each. With ``k``, a block gives only its k best of each question (ties to the
-    smaller chunk_id), so that the rows grow with the questions and not with the pairs.
+    smaller chunk_id), so that the rows grow with the questions and not with the pairs. A column boost of chunks multiplies their scores.
     """
     left, right = block_sides(queries, chunks, "query_id", "chunk_id", block)
 
@@ -58,7 +58,10 @@ def sparse_block_scores(queries: DataFrame, chunks: DataFrame, k: int | None = N
     def compare(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         q, c = q.sort_values("a_id"), c.sort_values("b_id")
         x, y = dense(q["a_idx"], q["a_value"]), dense(c["b_idx"], c["b_value"])
-        score, shared = np.round(np.maximum(x @ y.T, 0), 9), ((x != 0).astype(np.float32) @ (y != 0).T.astype(np.float32)) > 0
+        score = np.round(np.maximum(x @ y.T, 0), 9)
+        if "b_boost" in c.columns:
+            score = np.round(score * c["b_boost"].to_numpy()[None, :], 9)
+        shared = ((x != 0).astype(np.float32) @ (y != 0).T.astype(np.float32)) > 0
         if k is not None and len(c) > k:
             place = np.argsort(np.where(shared, -score, np.inf), axis=1, kind="stable")[:, :k]
             chosen = np.zeros(shared.shape, bool)

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.functions import scores as sc
 from siftline.functions import text as tx
 from siftline.operators import answers as an
 from siftline.operators import corpus, hooks, ranking, records, windows
+from siftline.operators import registry_ops as ops
 from siftline.operators.elements import text_elements
-from siftline.plans import more_queries, text_queries, window_queries  # noqa: F401  whose SQL is used here
+from siftline.plans import evaluation_queries, more_queries, text_queries, window_queries  # noqa: F401  whose SQL is used here
 from siftline.plans.element_queries import _MD, KIND, PLAIN, marked
-from siftline.plans.more_queries import _MARKED
-from siftline.plans.ranking_queries import BASE, HYBRID, KEYWORD, TOP, chunks, keyword
+from siftline.plans.graph_queries import _PATHS, _SEARCH, graph_found
+from siftline.plans.more_queries import _MARKED, mmr_sql
+from siftline.plans.ranking_queries import BASE, BOOSTS, KEYWORD, TOP, boosts, chunks, keyword
 from siftline.plans.registry import ORACLES, QUERIES, query
 from siftline.plans.sql import BM25, CHARACTERS, CHUNKS, COSINE, HAN_TEXT, LETTERS, QUESTIONS, WHOLE, tok
 from siftline.sources.tables import chunk_table, questions, table
@@ -53,7 +54,7 @@ _FLAT = lambda t: rf"trim(regexp_replace({t}, '\s+', ' ', 'g'))"
 @query("TXT-26", f"""WITH {CHUNKS}, p AS (SELECT document_id, list({_CUT(_FLAT('text'), 90)} ORDER BY chunk_index) AS key_points FROM chunks WHERE chunk_index < 4 GROUP BY 1),
 k AS (SELECT doc_id::VARCHAR AS document_id, list(token ORDER BY rank) AS concepts FROM ({ORACLES['TXT-11']}) WHERE rank <= 10 GROUP BY 1),
 s AS (SELECT doc_id::VARCHAR AS document_id, {_CUT(_FLAT('sentence'), 120)} AS one_sentence FROM ({ORACLES['TXT-12']}))
-SELECT document_id, one_sentence, coalesce(key_points, []) AS key_points, coalesce(concepts, []) AS concepts FROM s LEFT JOIN p USING (document_id) LEFT JOIN k USING (document_id)""")
+SELECT document_id, one_sentence, coalesce(key_points, []) AS key_points, coalesce(concepts, []) AS concepts, list_concat(['What is this document about?'], list_transform(coalesce(concepts, [])[1:3], lambda c: 'What does it say about ' || c || '?')) AS suggested_questions FROM s LEFT JOIN p USING (document_id) LEFT JOIN k USING (document_id)""")
 def txt26(spark: S, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     point = F.struct("chunk_index", tx.truncate_text(F.col("text"), 90).alias("point"))
@@ -63,7 +64,8 @@ def txt26(spark: S, sf: str) -> DataFrame:
     words = words.select("document_id", F.transform("k", lambda x: x["token"]).alias("concepts"))
     head = docs.select(F.col("doc_id").cast("string").alias("document_id"), tx.truncate_text(tx.first_sentence(F.col("text")), 120).alias("one_sentence"))
     none = F.array().cast("array<string>")
-    return head.join(points, "document_id", "left").join(words, "document_id", "left").select("document_id", "one_sentence", F.coalesce("key_points", none).alias("key_points"), F.coalesce("concepts", none).alias("concepts"))
+    rows = head.join(points, "document_id", "left").join(words, "document_id", "left").select("document_id", "one_sentence", F.coalesce("key_points", none).alias("key_points"), F.coalesce("concepts", none).alias("concepts"))
+    return rows.withColumn("suggested_questions", an.suggested_questions(F.col("concepts")))
 
 
 _CITED = "cited AS (SELECT query_id, rank, score, chunk_id, file_name, text, matched FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 5)"
@@ -111,13 +113,14 @@ g AS (SELECT m.*, CASE WHEN len(marks) > 0 THEN marks WHEN len(named) > 0 THEN n
 o AS (SELECT g.query_id, g.place, any_value(s) AS s, any_value(len(refers) > 0 AND len(list_filter(refers, lambda r: r < 1 OR r > n)) = 0) AS valid, coalesce(max(len(list_intersect(claim, list_distinct({tok('text')}))) / greatest(len(claim), 1)) FILTER (WHERE list_contains(refers, rank)), 0) AS overlap
 FROM g LEFT JOIN cited USING (query_id) GROUP BY 1, 2),
 r AS (SELECT query_id, count(s) AS n_sentences, count(*) FILTER (WHERE valid) AS supported, count(*) FILTER (WHERE valid AND overlap >= 0.34) AS grounded, count(*) FILTER (WHERE valid AND overlap < 0.34) AS weak,
-coalesce(list(s ORDER BY place) FILTER (WHERE NOT valid), [])[1:6] AS unsupported_claims FROM o GROUP BY 1),
-z AS (SELECT a.query_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(supported, 0) AS supported, coalesce(grounded, 0) AS grounded, coalesce(weak, 0) AS weak, coalesce(unsupported_claims, []) AS unsupported_claims,
+coalesce(list(s ORDER BY place) FILTER (WHERE NOT valid), [])[1:6] AS unsupported_claims, coalesce(list(s ORDER BY place) FILTER (WHERE valid AND overlap < 0.34), [])[1:6] AS weak_claims FROM o GROUP BY 1),
+z AS (SELECT a.query_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(supported, 0) AS supported, coalesce(grounded, 0) AS grounded, coalesce(weak, 0) AS weak, coalesce(unsupported_claims, []) AS unsupported_claims, coalesce(weak_claims, []) AS weak_claims,
 coalesce(supported / nullif(n_sentences, 0), 0)::DOUBLE AS cov, coalesce(grounded / nullif(supported, 0), 0)::DOUBLE AS gro, coalesce(n, 0) AS n, coalesce(top_score, 0) AS c FROM answer a LEFT JOIN r USING (query_id) LEFT JOIN n USING (query_id))"""
 
 
-@query("EVL-03", f"""WITH {BASE}, {KEYWORD}, {_CITED}, {_ANSWER}, {_SENT} SELECT query_id, n_sentences, supported, grounded, weak, unsupported_claims, round(cov, 4) AS coverage, round(gro, 4) AS grounding,
-CASE WHEN n = 0 THEN 'unknown' WHEN c >= 0.35 AND n >= 3 AND cov >= 0.65 AND gro >= 0.65 THEN 'strong' WHEN c >= 0.16 AND n >= 2 AND cov >= 0.45 AND gro >= 0.45 THEN 'medium' ELSE 'weak' END AS trust FROM z""")
+@query("EVL-03", f"""WITH {BASE}, {KEYWORD}, {_CITED}, {_ANSWER}, {_SENT} SELECT query_id, n_sentences, supported, grounded, weak, unsupported_claims, weak_claims, round(cov, 4) AS coverage, round(gro, 4) AS grounding,
+CASE WHEN n = 0 THEN 'unknown' WHEN c >= 0.35 AND n >= 3 AND cov >= 0.65 AND gro >= 0.65 THEN 'strong' WHEN c >= 0.16 AND n >= 2 AND cov >= 0.45 AND gro >= 0.45 THEN 'medium' ELSE 'weak' END AS trust,
+list_filter([CASE WHEN n = 0 THEN 'add sources' END, CASE WHEN supported < n_sentences THEN 'cite every sentence' END, CASE WHEN weak > 0 THEN 'check weak citations' END, CASE WHEN c < 0.12 THEN 'ask more narrowly' END], lambda x: x IS NOT NULL) AS recommendations FROM z""")
 def evl03(spark: S, sf: str) -> DataFrame:
     return an.audit_citations(QUERIES["EVL-02"](spark, sf), cited(spark, sf).select("query_id", "rank", "file_name", "text", "score"))
 
@@ -144,33 +147,6 @@ def ret11(spark: S, sf: str) -> DataFrame:
     return an.diagnose(q, keyword(spark, sf), chunks(spark, sf).agg(F.count("*").alias("n")), 0.95, True, "keyword")
 
 
-_SCOPED = WHOLE.replace("FROM documents", "FROM documents WHERE lang IN ('en', 'fr')")
-_BOOST = "round((0.94 + CASE WHEN quality = 1 THEN 90 WHEN quality = 0 THEN 60 ELSE 80 END / 1000.0), 4)"
-_ASKED = QUESTIONS.replace("questions AS", "asked AS")
-
-
-@query("RET-08", f"""WITH {_ASKED}, rw AS (SELECT query_id * 2 AS query_id, question FROM asked UNION ALL SELECT query_id * 2 + 1, array_to_string(string_split(question, ' ')[1:6], ' ') FROM asked), questions AS (SELECT * FROM rw), {_SCOPED}, {BM25}, {COSINE}, {HYBRID},
-b AS (SELECT query_id // 2 AS query_id, chunk_id, max(score) AS score FROM hybrid GROUP BY 1, 2),
-w AS (SELECT query_id, chunk_id, file_name, text, round(score * {_BOOST}, 9) AS score FROM b JOIN chunks USING (chunk_id) LEFT JOIN labels ON doc_id::VARCHAR || ':0' = chunk_id),
-d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_name, {_FLAT('text')} ORDER BY score DESC, chunk_id) AS nth FROM w) WHERE nth = 1),
-c AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM d) WHERE rank <= 24),
-r AS (SELECT c.query_id, chunk_id, round(0.72 * score + 0.2 * len(list_intersect(list_distinct({tok('question')}), list_distinct({tok('text')}))) / greatest(len(list_distinct({tok('question')})), 1) + CASE WHEN contains(text, question) THEN 0.12 ELSE 0 END, 9) AS score FROM c JOIN asked USING (query_id))
-SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, {TOP} AS rank FROM r WHERE score >= 0.3) WHERE rank <= 5""")
-def ret08(spark: S, sf: str) -> DataFrame:
-    """Two languages, each question and its first six words: hybrid scores, boosts by quality, and reranking."""
-    asked = questions(spark, sf)
-    first = F.array_join(F.slice(F.split("question", " "), 1, 6), " ")
-    rewrites = asked.select((F.col("query_id") * 2).alias("query_id"), "question").unionByName(asked.select((F.col("query_id") * 2 + 1).alias("query_id"), first.alias("question")))
-    scope = chunks(spark, sf).where(F.col("lang").isin("en", "fr"))
-    best = ranking.hybrid_scores(rewrites, scope).groupBy(F.floor(F.col("query_id") / 2).alias("query_id"), "chunk_id").agg(F.max("score").alias("score"))
-    boost = sc.document_boost(F.when(F.col("quality") == 1, 90).when(F.col("quality") == 0, 60), F.lit(1.0))
-    labels = table(spark, sf, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"), "quality")
-    rows = best.join(scope, "chunk_id").join(labels, "chunk_id", "left").withColumn("score", F.round(F.col("score") * boost, 9))
-    pool = ranking.top_k(ranking.dedupe_candidates(rows.select("query_id", "chunk_id", "file_name", "text", "score")), 24)
-    found = ranking.keyword_rerank(asked, pool).where("rerank_score >= 0.3")
-    return ranking.top_k(found.select("query_id", "chunk_id", F.col("rerank_score").alias("score")), 5).withColumn("score", F.round("score", 6))
-
-
 @query("JN-09", rf"""WITH {PLAIN}, r AS (SELECT doc_id, n, sha256('{{"kind":"' || kind || '","model":"m1","text":"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(9), '\t') || '"}}') AS key FROM typed),
 c AS (SELECT DISTINCT key FROM r JOIN labels USING (doc_id)) SELECT key, count(*) AS n_requests, bool_or(key IN (SELECT key FROM c)) AS hit, CASE WHEN key IN (SELECT key FROM c) THEN 0 ELSE 1 END AS computed FROM r GROUP BY key""")
 def jn09(spark: S, sf: str) -> DataFrame:
@@ -185,18 +161,6 @@ def probed(spark: S, sf: str) -> DataFrame:
     return records.cache_probe(rows, cache, fields, ["doc_id", "n"])
 
 
-_EXPECTED = "CASE WHEN d.doc_id % 2 = 0 THEN text ELSE ' ' END"
-
-
-@query("EVL-10", f"""SELECT d.doc_id AS query_id, CASE WHEN d.doc_id % 2 = 0 AND len({tok('text')}) > 0 THEN list_filter({tok('text')}[1:8], lambda x, i: list_position({tok('text')}, x) = i) ELSE CASE WHEN lang = source THEN [lang] ELSE [lang, source] END END AS keywords,
-CASE WHEN toxic = 1 THEN 'toxic' ELSE 'bad_answer' END AS failure_type, 'draft' AS status FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 0""")
-def evl10(spark: S, sf: str) -> DataFrame:
-    """Documents of low quality are answers rated down."""
-    rows = table(spark, sf, "documents").alias("d").join(table(spark, sf, "labels"), "doc_id")
-    rows = rows.select(F.col("doc_id").alias("query_id"), F.when(F.col("quality") == 0, "down").otherwise("up").alias("rating"), F.expr(_EXPECTED.replace("d.", "")).alias("expected_answer"), F.array("lang", "source", "lang").alias("matched"), F.when(F.col("toxic") == 1, "toxic").otherwise("").alias("failure_type"))
-    return an.feedback_cases(rows)
-
-
 @query("EVL-11", rf"""WITH d AS (SELECT doc_id, source AS title, CASE WHEN lang = 'de' THEN 'zh' ELSE lang END AS lang, {_MD} AS text FROM documents), h AS (SELECT *, regexp_extract(text, '(?:^|\n)#{{1,4}}[ \t]+([^\n]+)', 1) AS head FROM d),
 t AS (SELECT *, substr(trim(CASE WHEN head = '' THEN title ELSE head END), 1, 160) AS topic FROM h)
 SELECT doc_id, sha256('human-review-v1:' || sha256(text)) AS candidate_id, CASE WHEN lang = 'zh' THEN '请根据《' || title || '》说明其中关于“' || topic || '”的核心结论。' ELSE 'According to "' || title || '", what is the key guidance about "' || topic || '"?' END AS question, 'draft' AS status FROM t""")
@@ -224,32 +188,6 @@ def evl16(spark: S, sf: str) -> DataFrame:
     return windows.verify_soak(checked, latest, state, F.col("now").cast("timestamp"), 86_400)
 
 
-_SOAK = "soak AS (SELECT bool_and(event_id >= 0) AS valid, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS seconds, count(*) = count(DISTINCT event_id) AS restored FROM events)"
-
-
-@query("EVL-14", f"""WITH {_SOAK} SELECT (SELECT count(DISTINCT source) FROM documents) AS licensed_materials, (SELECT count(*) FROM documents) AS non_fixture_documents, (SELECT count(*) FROM labels) AS annotated_questions,
-(SELECT count(*) FROM conversations WHERE role = 'user') AS real_questions, round(seconds / 86400, 6) AS soak_days, restored::INT AS restore_drill, (restored AND seconds >= 14 * 86400)::INT AS no_data_loss FROM soak""")
-def evl14(spark: S, sf: str) -> DataFrame:
-    """Documents with their ids are manifest and index; the events are a chain that was kept and restored."""
-    docs = table(spark, sf, "documents")
-    hashed = docs.select(F.sha2(F.concat_ws(":", "doc_id", "text"), 256).alias("sha256"), F.col("source").alias("license"))
-    ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    soak = table(spark, sf, "events").agg(F.bool_and(F.col("event_id") >= 0).alias("valid"), (F.max(ts) - F.min(ts)).alias("seconds"), (F.count("*") == F.count_distinct("event_id")).alias("restored"))
-    return an.release_evidence(hashed, hashed.select("sha256"), table(spark, sf, "labels"), table(spark, sf, "conversations").where("role = 'user'"), soak)
-
-
-_GATE = "MAP {" + ", ".join(f"'{g}': {v}" for g, v in an.GATES.items()) + "}"
-_EVIDENCE = ["licensed_materials", "non_fixture_documents", "annotated_questions", "real_questions", "soak_days", "restore_drill", "no_data_loss"]
-_METRICS = {"recall_at_5": "recall", "mrr": "mrr", "citation_accuracy": "first_citation"}
-
-
-@query("EVL-13", f"""WITH e AS ({ORACLES['EVL-14']}), m AS ({ORACLES['EVL-08']}), g AS ({" UNION ALL ".join(f"SELECT '{c}' AS gate, {c}::DOUBLE AS observed FROM e" for c in _EVIDENCE)}
-UNION ALL {" UNION ALL ".join(f"SELECT '{g}', actual::DOUBLE FROM m WHERE metric = '{c}'" for g, c in _METRICS.items())} UNION ALL SELECT unnest(['citation_coverage', 'refusal_accuracy', 'answer_acceptance']), 0.0),
-r AS (SELECT gate, observed, {_GATE}[gate]::DOUBLE AS required, observed >= {_GATE}[gate] AS passed FROM g) SELECT *, bool_and(passed) OVER () AS ready FROM r""")
-def evl13(spark: S, sf: str) -> DataFrame:
-    metrics = QUERIES["EVL-08"](spark, sf)
-    wide = metrics.agg(*[F.max(F.when(F.col("metric") == c, F.col("actual"))).alias(g) for g, c in _METRICS.items()])
-    return an.release_gates(QUERIES["EVL-14"](spark, sf).crossJoin(F.broadcast(wide)))  # one row each
 
 
 def shortest(question: str, template: str) -> str:
@@ -274,3 +212,90 @@ def counted(fields: dict) -> str:
 SELECT key, '{{"description": "' || kind || ' of ' || least(length(text), 6000) || '"}}' AS payload, NULL AS error FROM j JOIN r USING (key) WHERE NOT hit""")
 def udf03(spark: S, sf: str) -> DataFrame:
     return hooks.enrich_with(probed(spark, sf).where("first"), counted, {"kind": 200, "text": 6000})
+
+
+@query("EVL-10", f"""WITH {BASE}, {KEYWORD}, c AS (SELECT query_id, token, min((rank, i)) AS first FROM (SELECT query_id, rank, unnest(matched) AS token, generate_subscripts(matched, 1) AS i FROM ranked WHERE rank <= 3) GROUP BY 1, 2), m AS (SELECT query_id, list(token ORDER BY first)[1:8] AS matched FROM c GROUP BY 1),
+f AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN text ELSE ' ' END AS expected, CASE item_id % 4 WHEN 0 THEN 'wrong_citation' ELSE '' END AS kind FROM benchmark WHERE item_id % 2 = 0)
+SELECT query_id, CASE WHEN len({tok('expected')}) > 0 THEN list_filter({tok('expected')}[1:8], lambda x, i: list_position({tok('expected')}, x) = i) ELSE coalesce(matched, []) END AS keywords, CASE WHEN kind = '' THEN 'bad_answer' ELSE kind END AS failure_type, 'draft' AS status FROM f LEFT JOIN m USING (query_id)""")
+def evl10(spark: S, sf: str) -> DataFrame:
+    """Answers to every second question are rated down; some come with the answer that was expected."""
+    item = F.col("item_id")
+    told = table(spark, sf, "benchmark").select(item.alias("query_id"), F.when(item % 2 == 0, "down").otherwise("up").alias("rating"), F.when(item % 3 == 0, F.col("text")).otherwise(" ").alias("expected_answer"), F.when(item % 4 == 0, "wrong_citation").otherwise("").alias("failure_type"))
+    cited_terms = keyword(spark, sf, 3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "matched"))).alias("l"))
+    return an.feedback_cases(told.join(cited_terms.select("query_id", F.flatten(F.transform("l", lambda x: x["matched"])).alias("matched")), "query_id", "left"))
+
+
+_HALVES = "restored AS (SELECT * FROM events WHERE event_id % 2 = 0 UNION ALL SELECT * FROM events WHERE event_id % 2 = 1)"
+_SOAK = "soak AS (SELECT bool_and(event_id >= 0) AS valid, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS seconds, (SELECT NOT EXISTS (SELECT * FROM events EXCEPT ALL SELECT * FROM restored) AND NOT EXISTS (SELECT * FROM restored EXCEPT ALL SELECT * FROM events)) AS restored FROM events)"
+
+
+@query("EVL-14", f"""WITH {_HALVES}, {_SOAK} SELECT (SELECT count(DISTINCT source) FROM documents) AS licensed_materials, (SELECT count(*) FROM documents) AS non_fixture_documents, (SELECT count(*) FROM labels) AS annotated_questions,
+(SELECT count(*) FROM conversations WHERE role = 'user') AS real_questions, round(seconds / 86400, 6) AS soak_days, restored::INT AS restore_drill, (restored AND seconds >= 14 * 86400)::INT AS no_data_loss FROM soak""")
+def evl14(spark: S, sf: str) -> DataFrame:
+    """Documents with their ids are manifest and index; the events are a chain, and are restored from two partial backups."""
+    docs, events = table(spark, sf, "documents"), table(spark, sf, "events")
+    hashed = docs.select(F.sha2(F.concat_ws(":", "doc_id", "text"), 256).alias("sha256"), F.col("source").alias("license"))
+    ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    drill = ops.copy_verified(events, events.where("event_id % 2 = 0"), ["event_id"]).where("step = 'after'").select(F.col("same").alias("restored"))
+    soak = events.agg(F.bool_and(F.col("event_id") >= 0).alias("valid"), (F.max(ts) - F.min(ts)).alias("seconds")).crossJoin(drill)  # one row each
+    return an.release_evidence(hashed, hashed.select("sha256"), table(spark, sf, "labels"), table(spark, sf, "conversations").where("role = 'user'"), soak)
+
+
+_GATE = "MAP {" + ", ".join(f"'{g}': {v}" for g, v in an.GATES.items()) + "}"
+_EVIDENCE = ["licensed_materials", "non_fixture_documents", "annotated_questions", "real_questions", "soak_days", "restore_drill", "no_data_loss"]
+_MEASURED = {"recall_at_5": "recall_at_5", "mrr": "mrr", "citation_accuracy": "citation_accuracy", "refusal_accuracy": "refusal_accuracy", "answer_acceptance": "answer_acceptance_accuracy"}
+
+
+@query("EVL-13", f"""WITH e AS ({ORACLES['EVL-14']}), m AS ({ORACLES['EVL-08']}), g AS ({" UNION ALL ".join(f"SELECT '{c}' AS gate, {c}::DOUBLE AS observed FROM e" for c in _EVIDENCE)}
+UNION ALL {" UNION ALL ".join(f"SELECT '{g}', actual::DOUBLE FROM m WHERE metric = '{c}'" for g, c in _MEASURED.items())} UNION ALL SELECT 'citation_coverage', round(coalesce(avg(coverage), 0), 6) FROM ({ORACLES['EVL-03']})),
+r AS (SELECT gate, observed, {_GATE}[gate]::DOUBLE AS required, observed >= {_GATE}[gate] AS passed FROM g) SELECT *, count(*) FILTER (WHERE passed) OVER () AS n_passed, bool_and(passed) OVER () AS ready FROM r""")
+def evl13(spark: S, sf: str) -> DataFrame:
+    metrics = QUERIES["EVL-08"](spark, sf)
+    wide = metrics.agg(*[F.max(F.when(F.col("metric") == c, F.col("actual"))).alias(g) for g, c in _MEASURED.items()])
+    coverage = QUERIES["EVL-03"](spark, sf).agg(F.round(F.coalesce(F.avg("coverage"), F.lit(0.0)), 6).alias("citation_coverage"))
+    return an.release_gates(QUERIES["EVL-14"](spark, sf).crossJoin(F.broadcast(wide)).crossJoin(F.broadcast(coverage)))  # one row each
+
+
+_ASKED = QUESTIONS.replace("questions AS", "asked AS")
+_PIECES = CHUNKS.replace("chunks AS", "pieces AS") + ", chunks AS (SELECT p.*, source AS file_name, d.doc_id FROM pieces p JOIN documents d ON d.doc_id::VARCHAR = document_id WHERE lang IN ('en', 'fr'))"
+_STAGES = f"""graph AS (SELECT * FROM (WITH {_PATHS}, {_SEARCH} SELECT query_id, evidence FROM graph)), {_ASKED},
+questions AS (SELECT query_id * 2 AS query_id, question FROM asked UNION ALL SELECT query_id * 2 + 1, array_to_string(string_split(question, ' ')[1:6], ' ') FROM asked), {_PIECES}, {BM25}, {COSINE}, {BOOSTS},
+kb AS (SELECT query_id // 2 AS query_id, chunk_id, max(score) AS s FROM bm25 GROUP BY 1, 2), vb AS (SELECT query_id // 2 AS query_id, chunk_id, max(score) AS s FROM cos GROUP BY 1, 2),
+base AS (SELECT query_id, chunk_id, keyword, vector, round(round(0.62 * keyword + 0.38 * vector, 9) * boost, 9) AS score FROM (SELECT query_id, chunk_id, coalesce(k.s / (k.s + 1), 0) AS keyword, coalesce(v.s, 0) AS vector FROM kb k FULL JOIN vb v USING (query_id, chunk_id)) JOIN chunks USING (chunk_id) JOIN boosts b ON b.chunk_id = document_id || ':0'),
+ev AS (SELECT query_id, unnest(evidence) AS doc_id, generate_subscripts(evidence, 1) AS graph_rank FROM graph),
+fused AS (SELECT b.query_id, b.chunk_id, keyword, vector, row_number() OVER w AS base_rank, graph_rank, CASE WHEN bool_or(graph_rank IS NOT NULL) OVER (PARTITION BY b.query_id) THEN round(61 * (0.75 / (60 + row_number() OVER w) + coalesce(0.25 / (60 + graph_rank), 0)), 9) ELSE score END AS score
+FROM base b JOIN chunks c ON b.chunk_id = c.chunk_id LEFT JOIN ev ON ev.query_id = b.query_id AND ev.doc_id = c.doc_id WINDOW w AS (PARTITION BY b.query_id ORDER BY score DESC, b.chunk_id)),
+once AS (SELECT * FROM (SELECT f.*, file_name, text, row_number() OVER (PARTITION BY query_id, file_name, {_FLAT('text')} ORDER BY score DESC, f.chunk_id) AS nth FROM fused f JOIN chunks c ON f.chunk_id = c.chunk_id) WHERE nth = 1),
+cand AS (SELECT query_id, chunk_id, score, text, list_distinct({tok('text')}) AS w FROM (SELECT *, {TOP} AS place FROM once) WHERE place <= 24), {mmr_sql(24)},
+r AS (SELECT c.query_id, c.chunk_id, p.rank AS mmr_rank, round(0.72 * score + 0.2 * len(list_intersect(list_distinct({tok('question')}), w)) / greatest(len(list_distinct({tok('question')})), 1) + CASE WHEN contains(text, question) THEN 0.12 ELSE 0 END, 9) AS score FROM cand c JOIN picked p ON p.query_id = c.query_id AND p.chunk_id = c.chunk_id JOIN asked a ON a.query_id = c.query_id),
+top5 AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM r WHERE score >= 0.3) WHERE rank <= 5)"""
+
+
+def search_stages(spark: S, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Base scores, deduplicated rows, candidates in order of MMR, results, and all chunks in scope."""
+    asked = questions(spark, sf)
+    first = F.array_join(F.slice(F.split("question", " "), 1, 6), " ")
+    rewrites = asked.select((F.col("query_id") * 2).alias("query_id"), "question").unionByName(asked.select((F.col("query_id") * 2 + 1).alias("query_id"), first.alias("question")))
+    known = table(spark, sf, "documents").where(F.col("lang").isin("en", "fr")).select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", F.col("source").alias("file_name"))
+    scope = chunk_table(spark, sf).join(known, "document_id")
+    weight = boosts(spark, sf).select(F.split("chunk_id", ":").getItem(0).alias("document_id"), "boost")
+    evidence = graph_found(spark, sf).select("query_id", F.posexplode("evidence").alias("place", "doc_id"))
+    return ranking.search_pipeline(asked, rewrites, 2, scope, weight, evidence.select("query_id", "doc_id", (F.col("place") + 1).alias("graph_rank")), graph_weight=0.25, candidates=24, min_score=0.3, k=5)
+
+
+@query("RET-08", f"""WITH RECURSIVE {_STAGES}, w AS (SELECT chunk_id, array_agg(chunk_id) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS window_ids FROM chunks)
+SELECT query_id, chunk_id, rank, mmr_rank, round(score, 6) AS score, window_ids FROM top5 JOIN w USING (chunk_id)""")
+def ret08(spark: S, sf: str) -> DataFrame:
+    """Two languages, each question and its first six words: hybrid scores, boosts, graph fusion, deduplication, MMR, reranking, a least score and neighbours."""
+    *_, found, scope = search_stages(spark, sf)
+    around = windows.parent_context(scope, 1).select("chunk_id", F.col("ids").alias("window_ids"))
+    return found.join(around, "chunk_id").select("query_id", "chunk_id", "rank", "mmr_rank", F.round("score", 6).alias("score"), "window_ids")
+
+
+@query("RET-09", f"""WITH RECURSIVE {_STAGES}, n AS (SELECT query_id, count(*) FILTER (WHERE keyword > 0) AS keyword_hits, count(*) FILTER (WHERE vector > 0) AS vector_hits, count(*) AS scored FROM base GROUP BY 1),
+o AS (SELECT query_id, count(*) AS deduped FROM once GROUP BY 1), p AS (SELECT query_id, count(*) AS selected FROM picked GROUP BY 1), t AS (SELECT query_id, count(*) AS returned FROM top5 GROUP BY 1)
+SELECT query_id, (SELECT count(*) FROM pieces) AS total, (SELECT count(*) FROM chunks) AS available, coalesce(keyword_hits, 0) AS keyword_hits, coalesce(vector_hits, 0) AS vector_hits, coalesce(scored, 0) AS scored, coalesce(deduped, 0) AS deduped, coalesce(selected, 0) AS selected, coalesce(returned, 0) AS returned,
+0.62::DOUBLE AS keyword_weight, 0.38::DOUBLE AS vector_weight, len(list_distinct({tok('question')})) AS query_tokens FROM asked LEFT JOIN n USING (query_id) LEFT JOIN o USING (query_id) LEFT JOIN p USING (query_id) LEFT JOIN t USING (query_id)""")
+def ret09(spark: S, sf: str) -> DataFrame:
+    """Rows at each stage of RET-08."""
+    return ranking.search_trace(questions(spark, sf), *search_stages(spark, sf), chunk_table(spark, sf))

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
-from siftline.operators import entities, hooks, ranking
+from siftline.operators import entities, hooks
 from siftline.operators.entities import ENTITY_STOPWORDS
-from siftline.plans.ranking_queries import BASE, BOTH, HYBRID, KEYWORD, _CASES, _RELEVANT, case_rows, chunks, keyword
+from siftline.plans.ranking_queries import BASE, KEYWORD, chunks, keyword
 from siftline.plans.registry import query
+from siftline.plans.sql import tok
 from siftline.sources.tables import questions, table
 
 S = SparkSession
@@ -51,55 +52,30 @@ def udf01(spark: S, sf: str) -> DataFrame:
 
 
 def overlap(asked: pd.Series, texts: pd.Series) -> pd.Series:
-    """Share of the question's words that the text holds."""
+    """Share of the question's words that the text holds, a small default of rerank_with."""
     return pd.Series([len(set(q.split()) & set((t or "").lower().split())) / max(len(set(q.split())), 1) for q, t in zip(asked, texts, strict=True)])
 
 
-@query("RET-06")
+_SHARED = r"len(list_intersect(list_distinct(list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> '')), list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')))) / greatest(len(list_distinct(list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> ''))), 1)"
+
+
+@query("RET-06", f"WITH {BASE}, {KEYWORD}, s AS (SELECT query_id, chunk_id, round(0.55 * {_SHARED} + 0.45 * score, 9) AS rerank_score FROM ranked JOIN chunks USING (chunk_id) JOIN questions USING (query_id) WHERE rank <= 20) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rerank, rerank_score FROM s")
 def ret06(spark: S, sf: str) -> DataFrame:
     rows = keyword(spark, sf, 20).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf), "query_id")
     return hooks.rerank_with(rows, overlap)
 
 
-@query("RET-04")
+def mmr_sql(limit: int, weight: float = 0.78) -> str:
+    """Greedy choice among cand(query_id, chunk_id, score, w: distinct tokens), as mmr(query_id, k, chosen)."""
+    return f"""sim AS (SELECT a.query_id, a.chunk_id, map_from_entries(list((b.chunk_id, CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0.0 ELSE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END))) AS near FROM cand a JOIN cand b USING (query_id) GROUP BY 1, 2),
+placed AS (SELECT query_id, chunk_id, score, near, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM cand JOIN sim USING (query_id, chunk_id)),
+mmr AS (SELECT query_id, 1 AS k, [chunk_id] AS chosen FROM placed WHERE place = 1 UNION ALL
+SELECT query_id, k + 1, list_append(chosen, arg_max(chunk_id, (value, -place))) FROM (SELECT m.query_id, m.k, m.chosen, p.chunk_id, p.place, {weight}::DOUBLE * p.score - (1 - {weight}::DOUBLE) * list_max(list_transform(m.chosen, lambda x: p.near[x])) AS value
+FROM mmr m JOIN placed p ON p.query_id = m.query_id AND NOT list_contains(m.chosen, p.chunk_id) WHERE m.k < {limit}) GROUP BY query_id, k, chosen),
+picked AS (SELECT query_id, generate_subscripts(chosen, 1) AS rank, unnest(chosen) AS chunk_id FROM (SELECT query_id, arg_max(chosen, k) AS chosen FROM mmr GROUP BY 1))"""
+
+
+@query("RET-04", f"WITH RECURSIVE {BASE}, {KEYWORD}, cand AS (SELECT query_id, chunk_id, score, list_distinct({tok('text')}) AS w FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 24), {mmr_sql(10)} SELECT * FROM picked")
 def ret04(spark: S, sf: str) -> DataFrame:
     rows = keyword(spark, sf, 24).join(chunks(spark, sf), "chunk_id")
     return hooks.mmr_select(rows.select("query_id", "chunk_id", "score", F.array_distinct(tx.tokenize(F.col("text"))).alias("tokens")))
-
-
-_LIMITS = {"recall": 0.9, "mrr": 0.75, "first_citation": 0.75}
-_SUMMARY = "s AS (SELECT round(avg(hit::INT), 6) AS recall, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr, round(avg(coalesce((first_rank = 1)::INT, 0)), 6) AS first_citation FROM cases)"
-
-
-@query("EVL-08", f"WITH {BASE}, {KEYWORD}, {_RELEVANT}, {_CASES}, {_SUMMARY} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS actual, {v} AS minimum, {m} >= {v} AS passed FROM s" for m, v in _LIMITS.items()))
-def evl08(spark: S, sf: str) -> DataFrame:
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    mrr = F.round(F.avg(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))), 6)
-    summary = case_rows(spark, sf).agg(share(F.col("hit")).alias("recall"), mrr.alias("mrr"), share(F.col("first_rank") == 1).alias("first_citation"), F.lit(0).alias("one"))
-    limits = spark.createDataFrame(list(_LIMITS.items()), "metric string, minimum double")
-    return summary.unpivot("one", list(_LIMITS), "metric", "actual").join(limits, "metric").select("metric", "actual", "minimum", (F.col("actual") >= F.col("minimum")).alias("passed"))
-
-
-@query("EVL-09", f"""WITH {BOTH}, {HYBRID}, p AS (SELECT 'keyword' AS profile, query_id, chunk_id, round(score / (score + 1), 9) AS score FROM bm25 UNION ALL SELECT 'semantic', query_id, chunk_id, score FROM cos UNION ALL SELECT 'hybrid', query_id, chunk_id, score FROM hybrid),
-r AS (SELECT *, row_number() OVER (PARTITION BY profile, query_id ORDER BY score DESC, chunk_id) AS rank FROM p),
-f AS (SELECT profile, query_id, min(rank) FILTER (WHERE contains(c.text, b.text)) AS first_rank FROM r JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = r.query_id WHERE rank <= 5 GROUP BY 1, 2)
-SELECT profile, count(*) AS cases, round(avg((first_rank IS NOT NULL)::INT), 6) AS recall, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr FROM f GROUP BY 1""")
-def evl09(spark: S, sf: str) -> DataFrame:
-    q, c = questions(spark, sf), chunks(spark, sf)
-    runs = {"keyword": ranking.keyword_search(q, c), "semantic": ranking.semantic_search(q, c), "hybrid": ranking.hybrid_search(q, c)}
-    rows = None
-    for name, df in runs.items():
-        one = df.select(F.lit(name).alias("profile"), "query_id", "rank", "chunk_id")
-        rows = one if rows is None else rows.unionByName(one)
-    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    rows = rows.join(c.select("chunk_id", "text"), "chunk_id").join(passages, "query_id")
-    first = rows.groupBy("profile", "query_id").agg(F.min(F.when(F.contains("text", "passage"), F.col("rank"))).alias("first_rank"))
-    return first.groupBy("profile").agg(F.count("*").alias("cases"), F.round(F.avg(F.col("first_rank").isNotNull().cast("int")), 6).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))), 6).alias("mrr"))
-
-
-@query("RET-09", f"""WITH {BOTH}, {HYBRID} SELECT query_id, (SELECT count(*) FROM chunks) AS total, count(*) FILTER (WHERE keyword > 0) AS keyword_hits, count(*) FILTER (WHERE vector > 0) AS vector_hits, count(*) AS scored, least(count(*), 5) AS returned FROM hybrid GROUP BY query_id""")
-def ret09(spark: S, sf: str) -> DataFrame:
-    scored = ranking.hybrid_scores(questions(spark, sf), chunks(spark, sf))
-    counts = scored.groupBy("query_id").agg(F.count_if(F.col("keyword") > 0).alias("keyword_hits"), F.count_if(F.col("vector") > 0).alias("vector_hits"), F.count("*").alias("scored"))
-    total = chunks(spark, sf).agg(F.count("*").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).withColumn("returned", F.least("scored", F.lit(5)))  # one row

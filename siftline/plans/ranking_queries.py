@@ -10,6 +10,7 @@ from siftline.functions import text as tx
 from siftline.operators import corpus, ranking
 from siftline.plans.registry import query
 from siftline.plans.sql import BM25, COSINE, QUESTIONS, WHOLE, tok
+from siftline.sources.scratch import written
 from siftline.sources.tables import dealt, questions, table
 
 S = SparkSession
@@ -17,19 +18,28 @@ BASE = f"{QUESTIONS}, {WHOLE}, {BM25}"
 BOTH = f"{BASE}, {COSINE}"
 SQUASH = "score / (score + 1)"
 TOP = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
-KEYWORD = f"ranked AS (SELECT *, {TOP} AS rank FROM (SELECT query_id, chunk_id, round({SQUASH}, 9) AS score, matched FROM bm25))"
-HYBRID = """hybrid AS (SELECT query_id, chunk_id, coalesce(b.score / (b.score + 1), 0) AS keyword, coalesce(c.score, 0) AS vector,
-round(0.62 * coalesce(b.score / (b.score + 1), 0) + 0.38 * coalesce(c.score, 0), 9) AS score FROM bm25 b FULL JOIN cos c USING (query_id, chunk_id))"""
+BOOSTS = """boosts AS (SELECT d.doc_id::VARCHAR || ':0' AS chunk_id, round_even((0.94 + CASE quality WHEN 1 THEN 90.0 WHEN 0 THEN 60.0 ELSE 80.0 END / 1000) * CASE WHEN d.doc_id % 5 = 0 THEN 1.0 ELSE greatest(0.7, least(1.3, (d.doc_id % 5) / 2.0)) END, 4) AS boost FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+KEYWORD = f"{BOOSTS}, ranked AS (SELECT *, {TOP} AS rank FROM (SELECT query_id, chunk_id, round(round({SQUASH}, 9) * boost, 9) AS score, matched FROM bm25 JOIN boosts USING (chunk_id)))"
+SEMANTIC = "semantic AS (SELECT query_id, chunk_id, round(score * boost, 9) AS score FROM cos JOIN boosts USING (chunk_id))"
+HYBRID = """hybrid AS (SELECT query_id, chunk_id, keyword, vector, round(score * boost, 9) AS score FROM (SELECT query_id, chunk_id, coalesce(b.score / (b.score + 1), 0) AS keyword, coalesce(c.score, 0) AS vector,
+round(0.62 * coalesce(b.score / (b.score + 1), 0) + 0.38 * coalesce(c.score, 0), 9) AS score FROM bm25 b FULL JOIN cos c USING (query_id, chunk_id)) JOIN boosts USING (chunk_id))"""
+
+
+def boosts(spark: S, sf: str) -> DataFrame:
+    """chunk_id and boost: quality from the labels, priority from the ids."""
+    rows = table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels"), "doc_id", "left")
+    quality = F.when(F.col("quality") == 1, 90.0).when(F.col("quality") == 0, 60.0)
+    return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"), sc.document_boost(quality, (F.col("doc_id") % 5) / F.lit(2.0)).alias("boost"))
 
 
 def chunks(spark: S, sf: str) -> DataFrame:
     """Every document as one chunk."""
     docs = dealt(table(spark, sf, "documents"))
-    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.col("source").alias("file_name"), "lang")
+    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.col("source").alias("file_name"), "lang", F.array(F.regexp_extract("text", r"^[^\n]{0,40}", 0)).alias("heading_path"))
 
 
 def keyword(spark: S, sf: str, k: int = 5) -> DataFrame:
-    return ranking.keyword_search(questions(spark, sf), chunks(spark, sf), k)
+    return ranking.keyword_search(questions(spark, sf), chunks(spark, sf), k, boosts(spark, sf))
 
 
 @query("JN-01", f"WITH {BASE} SELECT query_id, chunk_id, token, tf FROM term JOIN posting USING (token)")
@@ -48,20 +58,10 @@ def ret01(spark: S, sf: str) -> DataFrame:
     return keyword(spark, sf)
 
 
-@query("RET-02", f"WITH {QUESTIONS}, {WHOLE}, {COSINE} SELECT * FROM (SELECT query_id, {TOP} AS rank, chunk_id, score FROM cos) WHERE rank <= 5")
-def ret02(spark: S, sf: str) -> DataFrame:
-    return ranking.semantic_search(questions(spark, sf), chunks(spark, sf))
-
-
-@query("RET-03", f"WITH {BOTH}, {HYBRID} SELECT * FROM (SELECT query_id, {TOP} AS rank, chunk_id, round(keyword, 6) AS keyword, round(vector, 6) AS vector, round(score, 6) AS score FROM hybrid) WHERE rank <= 5")
-def ret03(spark: S, sf: str) -> DataFrame:
-    return ranking.hybrid_search(questions(spark, sf), chunks(spark, sf))
-
-
-@query("WIN-03", f"WITH {BASE}, {KEYWORD} SELECT query_id, chunk_id, rank FROM ranked")
+@query("WIN-03", f"WITH {BASE}, {KEYWORD} SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 50")
 def win03(spark: S, sf: str) -> DataFrame:
-    scored = ranking.bm25(questions(spark, sf), chunks(spark, sf)).withColumn("score", F.round(sc.squash(F.col("score")), 9))
-    return ranking.top_k(scored, 2**31 - 1).select("query_id", "chunk_id", "rank")
+    """Base ranks of the first fifty chunks of each question."""
+    return keyword(spark, sf, 50).select("query_id", "chunk_id", "rank")
 
 
 @query("TOP-01", f"WITH {BASE}, {KEYWORD} SELECT query_id, rank, chunk_id FROM ranked WHERE rank <= 20")
@@ -96,13 +96,6 @@ def jn02(spark: S, sf: str) -> DataFrame:
     return vector_pairs(spark, sf)
 
 
-@query("TOP-02", f"SELECT * FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, score FROM ({_PAIRS}) WHERE label <> 3) WHERE rank <= 10")
-def top02(spark: S, sf: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    rows = vector_pairs(spark, sf).join(table(spark, sf, "embeddings").where("label <> 3").select("vec_id"), "vec_id")
-    return rows.withColumn("rank", rank).where("rank <= 10").select("query_id", "vec_id", "rank", "score")
-
-
 @query("SET-01", rf"""WITH {BASE}, {KEYWORD}, n AS (SELECT r.query_id, r.chunk_id, score, row_number() OVER (PARTITION BY query_id, file_name, trim(regexp_replace(text, '\s+', ' ', 'g')) ORDER BY score DESC, chunk_id) AS nth
 FROM ranked r JOIN chunks USING (chunk_id) WHERE rank <= 50) SELECT query_id, chunk_id, score FROM n WHERE nth = 1""")
 def set01(spark: S, sf: str) -> DataFrame:
@@ -110,25 +103,11 @@ def set01(spark: S, sf: str) -> DataFrame:
     return ranking.dedupe_candidates(rows).select("query_id", "chunk_id", "score")
 
 
-@query("FLT-01", "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2')")
-def flt01(spark: S, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where(F.col("lang").isin("en", "de") & F.col("source").isin("src0", "src1", "src2")).select("doc_id", "lang", "source")
-
-
 @query("FLT-02", f"WITH {BASE}, {KEYWORD} SELECT query_id, chunk_id, score FROM ranked WHERE rank <= 20 AND score >= 0.9")
 def flt02(spark: S, sf: str) -> DataFrame:
     return keyword(spark, sf, 20).where(F.coalesce(F.col("score"), F.lit(0.0)) >= 0.9).select("query_id", "chunk_id", "score")
 
 
-_RERANK = f"""rr AS (SELECT r.query_id, r.chunk_id, round(0.72 * score + 0.2 * len(list_intersect(list_distinct({tok('question')}), list_distinct({tok('text')}))) / greatest(len(list_distinct({tok('question')})), 1)
-+ CASE WHEN contains(text, question) THEN 0.12 ELSE 0 END, 9) AS rerank_score FROM ranked r JOIN chunks USING (chunk_id) JOIN questions USING (query_id) WHERE rank <= 20)"""
-
-
-@query("RET-05", f"WITH {BASE}, {KEYWORD}, {_RERANK} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rerank, rerank_score FROM rr")
-def ret05(spark: S, sf: str) -> DataFrame:
-    return ranking.keyword_rerank(questions(spark, sf), keyword(spark, sf, 20).join(chunks(spark, sf), "chunk_id"))
-
-
 _EVIDENCE = "evidence AS (SELECT query_id, chunk_id, 1 + abs(hash_id) % 7 AS graph_rank FROM (SELECT query_id, chunk_id, string_split(chunk_id, ':')[1]::BIGINT AS hash_id FROM ranked WHERE rank <= 20) WHERE hash_id % 3 = 0)"
 
 
@@ -142,17 +121,6 @@ def ret07(spark: S, sf: str) -> DataFrame:
     return ranking.graph_rrf(ranked.select("query_id", "chunk_id", "score"), evidence)
 
 
-@query("RET-10", f"""WITH {BOTH}, {HYBRID}, p AS (SELECT 'keyword' AS profile, query_id, chunk_id, round({SQUASH}, 9) AS score FROM bm25 UNION ALL SELECT 'semantic', query_id, chunk_id, score FROM cos UNION ALL SELECT 'hybrid', query_id, chunk_id, score FROM hybrid),
-r AS (SELECT *, row_number() OVER (PARTITION BY profile, query_id ORDER BY score DESC, chunk_id) AS rank FROM p)
-SELECT profile, query_id, count(*) AS n, round(max(score), 6) AS top_score, max(chunk_id) FILTER (WHERE rank = 1) AS top_chunk FROM r WHERE rank <= 5 GROUP BY 1, 2""")
-def ret10(spark: S, sf: str) -> DataFrame:
-    q, c = questions(spark, sf), chunks(spark, sf)
-    runs = {"keyword": ranking.keyword_search(q, c), "semantic": ranking.semantic_search(q, c), "hybrid": ranking.hybrid_search(q, c)}
-    rows = [df.select(F.lit(name).alias("profile"), "query_id", "rank", "chunk_id", "score") for name, df in runs.items()]
-    both = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return both.groupBy("profile", "query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("top_score"), F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("top_chunk"))
-
-
 @query("EVL-01", f"""WITH {BASE}, {KEYWORD}, t AS (SELECT query_id, max(score) AS top_score, max(len(matched)) AS m FROM ranked WHERE rank <= 5 GROUP BY 1)
 SELECT q.query_id, top_score, CASE WHEN top_score IS NULL THEN 'no_evidence' WHEN top_score < 0.05 THEN 'below_threshold' WHEN m = 0 AND top_score < 0.15 THEN 'weak_grounding' END AS reason,
 CASE WHEN top_score IS NULL OR top_score < 0.05 OR (m = 0 AND top_score < 0.15) THEN 'refused' ELSE 'answered' END AS decision FROM questions q LEFT JOIN t USING (query_id)""")
@@ -160,60 +128,97 @@ def evl01(spark: S, sf: str) -> DataFrame:
     return ranking.refusal_decision(questions(spark, sf), keyword(spark, sf))
 
 
-_RELEVANT = f"""rel AS (SELECT r.query_id, r.chunk_id, rank, contains(c.text, b.text) AS relevant FROM ranked r JOIN chunks c USING (chunk_id) JOIN benchmark b ON b.item_id = r.query_id WHERE rank <= 5)"""
+@query("TXT-14", f"""WITH {BASE}, {KEYWORD}, p AS (SELECT query_id, chunk_id, text, coalesce(list_min(list_filter(list_transform(matched, lambda t: position(t IN lower(text))), lambda x: x > 0)) - 1, 0) AS centre FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 5),
+s AS (SELECT *, greatest(centre - 60, 0) AS a, least(greatest(centre - 60, 0) + 180, length(text)) AS b FROM p)
+SELECT query_id, chunk_id, CASE WHEN a > 0 THEN '...' ELSE '' END || trim(substr(text, a + 1, b - a)) || CASE WHEN b < length(text) THEN '...' ELSE '' END AS snippet FROM s""")
+def txt14(spark: S, sf: str) -> DataFrame:
+    rows = keyword(spark, sf).join(chunks(spark, sf), "chunk_id")
+    return rows.select("query_id", "chunk_id", tx.snippet(F.col("text"), F.col("matched")).alias("snippet"))
 
 
-def relevance(spark: S, sf: str) -> DataFrame:
-    """A document that holds the whole passage is relevant."""
-    cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return keyword(spark, sf).join(chunks(spark, sf), "chunk_id").join(cases, "query_id").select("query_id", "chunk_id", "rank", F.contains("text", "passage").alias("relevant"))
+@query("RET-02", f"WITH {QUESTIONS}, {WHOLE}, {COSINE}, {BOOSTS}, {SEMANTIC} SELECT * FROM (SELECT query_id, {TOP} AS rank, chunk_id, score FROM semantic) WHERE rank <= 5")
+def ret02(spark: S, sf: str) -> DataFrame:
+    return ranking.semantic_search(questions(spark, sf), chunks(spark, sf), boosts=boosts(spark, sf))
 
 
-@query("EVL-05", f"WITH {BASE}, {KEYWORD}, {_RELEVANT} SELECT * FROM rel")
-def evl05(spark: S, sf: str) -> DataFrame:
-    return relevance(spark, sf)
+@query("RET-03", f"WITH {BOTH}, {BOOSTS}, {HYBRID} SELECT * FROM (SELECT query_id, {TOP} AS rank, chunk_id, round(keyword, 6) AS keyword, round(vector, 6) AS vector, round(score, 6) AS score FROM hybrid) WHERE rank <= 5")
+def ret03(spark: S, sf: str) -> DataFrame:
+    return ranking.hybrid_search(questions(spark, sf), chunks(spark, sf), boosts=boosts(spark, sf))
 
 
-_CASES = "cases AS (SELECT q.query_id, coalesce(bool_or(relevant), false) AS hit, min(rank) FILTER (WHERE relevant) AS first_rank FROM questions q LEFT JOIN rel USING (query_id) GROUP BY 1)"
+@query("TOP-02", f"""WITH p AS ({_PAIRS}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM p WHERE query_id % 100 <> 0 OR label IN (1, 2, 3)), k AS (SELECT * FROM r WHERE query_id % 100 = 0 OR place <= 24)
+SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, score FROM k WHERE label <> 3""")
+def top02(spark: S, sf: str) -> DataFrame:
+    """Questions with a scope (labels 1 to 3) rank all vectors of it, the others their 24 nearest; one modality (label 3) goes after ranking."""
+    pairs = vector_pairs(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
+    scoped = F.col("query_id") % 100 == 0
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    wide = pairs.where(scoped & F.col("label").isin(1, 2, 3))
+    near = pairs.where(~scoped).withColumn("place", F.row_number().over(order)).where("place <= 24").drop("place")
+    return wide.unionByName(near).where("label <> 3").withColumn("rank", F.row_number().over(order)).select("query_id", "vec_id", "rank", "score")
 
 
-def case_rows(spark: S, sf: str) -> DataFrame:
-    found = relevance(spark, sf).groupBy("query_id").agg(F.bool_or("relevant").alias("hit"), F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_rank"))
-    return questions(spark, sf).select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("hit", F.lit(False)).alias("hit"), "first_rank")
+@query("FLT-01", "SELECT doc_id, lang, CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' ELSE 'image' END AS modality FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AND coalesce(lang, 'default') IN ('en', 'de', 'default') AND doc_id % 3 < 2")
+def flt01(spark: S, sf: str) -> DataFrame:
+    """Documents of good quality, two languages and the default, and two modalities."""
+    modality = F.when(F.col("doc_id") % 3 == 0, "text").when(F.col("doc_id") % 3 == 1, "table").otherwise("image")
+    rows = table(spark, sf, "documents").select("doc_id", "lang", modality.alias("modality"))
+    wanted = lambda column, *values: spark.createDataFrame([(v,) for v in values], f"{column} string")
+    return ranking.scoped(rows, doc_id=table(spark, sf, "labels").where("quality = 1").select("doc_id"), lang=wanted("lang", "en", "de", "default"), modality=wanted("modality", "text", "table"), source=None)
 
 
-@query("EVL-06", f"WITH {BASE}, {KEYWORD}, {_RELEVANT}, {_CASES} SELECT query_id, hit, first_rank, coalesce(first_rank = 1, false) AS first_citation FROM cases")
-def evl06(spark: S, sf: str) -> DataFrame:
-    return case_rows(spark, sf).withColumn("first_citation", F.coalesce(F.col("first_rank") == 1, F.lit(False)))
+_HEAD = r"lower(regexp_extract(text, '^[^\n]{0,40}'))"
+RERANK = f"""rr AS (SELECT r.query_id, r.chunk_id, round(0.72 * score + 0.2 * len(list_intersect(list_distinct({tok('question')}), list_distinct({tok('text')}))) / greatest(len(list_distinct({tok('question')})), 1)
++ CASE WHEN trim(question) <> '' AND contains(text, trim(question)) THEN 0.12 ELSE 0 END + CASE WHEN len(list_filter({tok('question')}, lambda t: contains({_HEAD}, t))) > 0 THEN 0.05 ELSE 0 END, 9) AS rerank_score FROM ranked r JOIN chunks USING (chunk_id) JOIN questions USING (query_id) WHERE rank <= 20)"""
 
 
-@query("AGG-14", f"WITH {BASE}, {KEYWORD}, {_RELEVANT}, {_CASES} SELECT count(*) AS n, round(avg(hit::INT), 6) AS recall, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr, round(avg(coalesce((first_rank = 1)::INT, 0)), 6) AS first_citation FROM cases")
-def agg14(spark: S, sf: str) -> DataFrame:
-    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    mrr = F.round(F.avg(F.coalesce(1.0 / F.col("first_rank"), F.lit(0.0))), 6)
-    return case_rows(spark, sf).agg(F.count("*").alias("n"), share(F.col("hit")).alias("recall"), mrr.alias("mrr"), share(F.col("first_rank") == 1).alias("first_citation"))
+@query("RET-05", f"WITH {BASE}, {KEYWORD}, {RERANK} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rerank, rerank_score FROM rr")
+def ret05(spark: S, sf: str) -> DataFrame:
+    return ranking.keyword_rerank(questions(spark, sf), keyword(spark, sf, 20).join(chunks(spark, sf), "chunk_id"))
 
 
-@query("EVL-07", f"""WITH {BASE}, {KEYWORD} SELECT q.query_id, coalesce(bool_or(list_contains({tok('text')}, {tok('question')}[1])), false) AS passed
-FROM questions q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r USING (query_id) LEFT JOIN chunks USING (chunk_id) GROUP BY 1""")
-def evl07(spark: S, sf: str) -> DataFrame:
-    rows = keyword(spark, sf).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf), "query_id")
-    hit = rows.groupBy("query_id").agg(F.bool_or(F.array_contains(tx.tokenize(F.col("text")), F.get(tx.tokenize(F.col("question")), F.lit(0)))).alias("passed"))
-    return questions(spark, sf).select("query_id").join(hit, "query_id", "left").na.fill(False, ["passed"])
+_RUNS = f"""p AS (SELECT 0 AS i, 'keyword' AS profile, query_id, chunk_id, score FROM ranked UNION ALL SELECT 1, 'semantic', query_id, chunk_id, score FROM semantic UNION ALL SELECT 2, 'hybrid', query_id, chunk_id, score FROM hybrid),
+fr AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM hybrid), hr AS ({RERANK.split('rr AS (', 1)[1][:-1].replace('FROM ranked r', 'FROM fr r')}),
+runs AS (SELECT i, profile, query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY profile, query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT * FROM p UNION ALL SELECT 3, 'rerank', query_id, chunk_id, rerank_score FROM hr)) WHERE rank <= 5)"""
+PROFILES = f"{BOTH}, {KEYWORD}, {SEMANTIC}, {HYBRID}, {_RUNS}"
 
 
-@query("EVL-02", f"""WITH {BASE}, {KEYWORD} SELECT q.query_id, coalesce(string_agg('[' || rank || '] ' || CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 150 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 150)) || '...' END, chr(10) ORDER BY rank), 'no evidence') AS answer
-FROM questions q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 3) r USING (query_id) LEFT JOIN chunks USING (chunk_id) GROUP BY 1""")
-def evl02(spark: S, sf: str) -> DataFrame:
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), tx.truncate_text(F.col("text"), 150))
-    rows = keyword(spark, sf, 3).join(chunks(spark, sf), "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("lines"))
-    rows = rows.select("query_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("answer"))
-    return questions(spark, sf).select("query_id").join(rows, "query_id", "left").na.fill("no evidence", ["answer"])
+def profile_runs(spark: S, sf: str, k: int = 5) -> dict[str, DataFrame]:
+    """Four profiles' first rows: query_id, rank, chunk_id and score."""
+    q, c, b = questions(spark, sf), chunks(spark, sf), boosts(spark, sf)
+    hybrid = written(ranking.top_k(ranking.hybrid_scores(q, c, boosts=b), 20).select("query_id", "rank", "chunk_id", "score"), "hybrid")
+    reranked = ranking.keyword_rerank(q, hybrid.join(c, "chunk_id")).where(F.col("rerank") <= k)
+    return {
+        "keyword": keyword(spark, sf, k), "semantic": ranking.semantic_search(q, c, k, b), "hybrid": hybrid.where(F.col("rank") <= k),
+        "rerank": reranked.select("query_id", F.col("rerank").alias("rank"), "chunk_id", F.col("rerank_score").alias("score")),
+    }
 
 
-@query("TXT-14", f"""WITH {BASE}, {KEYWORD}, p AS (SELECT query_id, chunk_id, text, coalesce(list_min(list_filter(list_transform(matched, lambda t: position(t IN lower(text))), lambda x: x > 0)) - 1, 0) AS centre FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 5),
-s AS (SELECT *, greatest(centre - 60, 0) AS a, least(greatest(centre - 60, 0) + 180, length(text)) AS b FROM p)
-SELECT query_id, chunk_id, CASE WHEN a > 0 THEN '...' ELSE '' END || trim(substr(text, a + 1, b - a)) || CASE WHEN b < length(text) THEN '...' ELSE '' END AS snippet FROM s""")
-def txt14(spark: S, sf: str) -> DataFrame:
-    rows = keyword(spark, sf).join(chunks(spark, sf), "chunk_id")
-    return rows.select("query_id", "chunk_id", tx.snippet(F.col("text"), F.col("matched")).alias("snippet"))
+@query("RET-10", f"""WITH {PROFILES}, t AS (SELECT i, profile, query_id, count(*) AS n, round(max(score), 6) AS top_score, max(chunk_id) FILTER (WHERE rank = 1) AS top_chunk FROM runs GROUP BY 1, 2, 3)
+SELECT profile, query_id, n, top_score, top_chunk, file_name AS top_source, row_number() OVER (PARTITION BY query_id ORDER BY top_score DESC, i) = 1 AS best FROM t JOIN chunks ON chunk_id = top_chunk""")
+def ret10(spark: S, sf: str) -> DataFrame:
+    return ranking.compare_profiles(profile_runs(spark, sf), chunks(spark, sf))
+
+
+@query("EVL-09", f"""WITH {PROFILES}, cases AS (SELECT item_id AS query_id, CASE WHEN item_id % 8 = 3 THEN [] ELSE {tok('text')}[13:15] END AS keywords FROM benchmark),
+x AS (SELECT f.profile, c.query_id, keywords, count(rank) AS n, count(*) FILTER (WHERE hit) AS relevant, min(rank) FILTER (WHERE hit) AS first, max(score) AS top FROM (SELECT DISTINCT profile FROM runs) f CROSS JOIN cases c LEFT JOIN
+(SELECT r.*, len(list_filter((SELECT keywords FROM cases k WHERE k.query_id = r.query_id), lambda w: contains(lower(text), w))) > 0 AS hit FROM runs r JOIN chunks USING (chunk_id)) r ON f.profile = r.profile AND c.query_id = r.query_id GROUP BY 1, 2, 3),
+y AS (SELECT *, len(keywords) = 0 AS none, coalesce(top < 0.05, true) AS silent FROM x)
+SELECT profile, count(*) AS cases, round(avg(CASE WHEN none THEN silent ELSE first IS NOT NULL END::INT), 4) AS recall, round(avg(coalesce(1.0 / first, 0)), 4) AS mrr, round(avg(CASE WHEN none THEN silent::INT ELSE relevant / greatest(n, 1) END), 4) AS precision,
+round(coalesce(count(*) FILTER (WHERE none AND silent) / nullif(count(*) FILTER (WHERE none), 0), 0), 4) AS no_answer FROM y GROUP BY 1""")
+def evl09(spark: S, sf: str) -> DataFrame:
+    """Cases expect three words of their passage; every eighth expects no answer."""
+    words = F.when(F.col("item_id") % 8 == 3, F.array().cast("array<string>")).otherwise(F.slice(tx.tokenize(F.col("text")), 13, 3))
+    cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("keywords"))
+    rows = None
+    for name, df in profile_runs(spark, sf).items():
+        one = df.select(F.lit(name).alias("profile"), "query_id", "rank", "chunk_id", "score")
+        rows = one if rows is None else rows.unionByName(one)
+    return ranking.profile_metrics(cases, rows.join(chunks(spark, sf).select("chunk_id", "text"), "chunk_id"))
+
+
+@query("EVL-02", f"""WITH {BASE}, {KEYWORD} SELECT q.query_id, coalesce(string_agg('[' || rank || '] ' || CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 150 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE rtrim(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 150)) || '...' END
+|| ' (' || file_name || ', chunk ' || chunk_id || ', score ' || CAST(score AS DECIMAL(10, 4)) || ')', chr(10) ORDER BY rank), 'no evidence') AS answer
+FROM questions q LEFT JOIN (SELECT * FROM ranked WHERE rank <= 3) r USING (query_id) LEFT JOIN chunks USING (chunk_id) GROUP BY 1""")
+def evl02(spark: S, sf: str) -> DataFrame:
+    return ranking.template_answers(questions(spark, sf), keyword(spark, sf, 3).join(chunks(spark, sf), "chunk_id"))
