@@ -53,3 +53,10 @@ def trust_label(confidence: Column, evidence: Column, coverage: Column, groundin
         return (confidence >= c) & (evidence >= e) & (coverage >= v) & (grounding >= g)
 
     return F.when(evidence == 0, "unknown").when(reaches(0.35, 3, 0.65, 0.65), "strong").when(reaches(0.16, 2, 0.45, 0.45), "medium").otherwise("weak")
+
+
+def lifecycle_event(stage: Column, start: Column, stop: Column, error: Column, retries: Column) -> Column:
+    """stage, duration in ms (two decimals, 0 at least and if there is no end), error and retries of one step."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    duration = F.floor((F.greatest(F.lit(0), F.coalesce(micros(stop) - micros(start), F.lit(0))) + 5) / 10) / 100.0
+    return F.struct(stage.alias("stage"), duration.alias("duration_ms"), error.alias("error"), retries.alias("retries"))

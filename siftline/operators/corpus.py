@@ -61,18 +61,22 @@ def duplicate_chunk_ratio(chunks: DataFrame) -> DataFrame:
 
 
 def document_quality(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Points from 100 down, with a fixed deduction for each sign of a bad document."""
+    """Points from 100 down, with a fixed deduction for each sign of a bad document, its signs and up to four suggestions.
+
+    ``docs``: document_id, text, pages, ocr (its status) and indexed; null is unknown and costs nothing.
+    """
     parts = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.avg(F.length("text")).alias("mean_length"))
     rows = docs.join(parts, "document_id", "left").join(duplicate_chunk_ratio(chunks), "document_id", "left")
     text = F.trim(F.coalesce("text", F.lit("")))
     n, mean = F.coalesce("n_chunks", F.lit(0)), F.coalesce("mean_length", F.lit(0.0))
-    points = (
-        F.lit(100)
-        - F.when(text == "", 45).when(F.length(text) < 200, 10).otherwise(0)
-        - F.when(n == 0, 35).when(mean < 120, 8).when(mean > 900, 8).otherwise(0)
-        - F.when(tx.weird_ratio(F.col("text")) > 0.08, 14).otherwise(0)
-        - F.when(F.coalesce("duplicate_ratio", F.lit(0.0)) > 0.25, 10).otherwise(0)
-    )
-    score = F.greatest(F.lit(0), F.least(F.lit(100), points))
+    signs = [  # sign, points, condition, suggestion; of one name the first that holds counts
+        ("no_text", 45, text == "", "import the text again"), ("short_text", 10, (text != "") & (F.length(text) < 200), "add more material"),
+        ("no_chunk", 35, n == 0, "split the document"), ("short_chunks", 8, (n > 0) & (mean < 120), "join small chunks"), ("long_chunks", 8, (n > 0) & (mean > 900), "split long chunks"),
+        ("no_page", 8, F.col("pages") == 0, "keep page numbers"), ("strange_characters", 14, tx.weird_ratio(F.col("text")) > 0.08, "check the encoding"),
+        ("repetitions", 10, F.col("duplicate_ratio") > 0.25, "remove repeated parts"), ("ocr", 12, F.col("ocr") != "ok", "repeat the recognition"), ("not_indexed", 22, ~F.col("indexed"), "index the document"),
+    ]
+    holds = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(name).alias("sign"), F.lit(p).alias("points"), F.lit(advice).alias("advice"))) for name, p, c, advice in signs]))
+    rows = rows.select("document_id", n.alias("n_chunks"), holds.alias("signs"))
+    score = F.greatest(F.lit(0), 100 - F.aggregate("signs", F.lit(0), lambda total, x: total + x["points"]))
     level = F.when(score >= 85, "excellent").when(score >= 70, "good").when(score >= 50, "fair").otherwise("poor")
-    return rows.select("document_id", n.alias("n_chunks"), score.alias("score"), level.alias("level"))
+    return rows.select("document_id", "n_chunks", score.alias("score"), level.alias("level"), F.transform("signs", lambda x: x["sign"]).alias("signals"), F.slice(F.transform("signs", lambda x: x["advice"]), 1, 4).alias("suggestions"))

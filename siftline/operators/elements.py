@@ -95,7 +95,9 @@ def multimodal_quality(elements: DataFrame) -> DataFrame:
         F.round(F.avg(F.when(kind("image"), F.col("confidence"))), 4).alias("image_confidence"),
         share(kind("image") & (F.trim("caption") != ""), kind("image")).alias("caption_alignment"),
         share(kind("table") & (widths == 1), kind("table")).alias("table_structure"),
+        share(kind("equation") & (F.trim("formula") != ""), kind("equation")).alias("formula_share"),
         F.count_if(kind("image") & (F.trim("caption") == "")).alias("orphan_assets"),
+        F.coalesce(F.round(F.try_divide(F.count_if("in_graph"), F.count("*")), 4), F.lit(0.0)).alias("graph_coverage"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from siftline.plans.more_queries import _MARKED, mmr_sql
 from siftline.plans.ranking_queries import BASE, BOOSTS, KEYWORD, TOP, boosts, chunks, keyword
 from siftline.plans.registry import ORACLES, QUERIES, query
 from siftline.plans.sql import BM25, CHARACTERS, CHUNKS, COSINE, HAN_TEXT, LETTERS, QUESTIONS, WHOLE, tok
+from siftline.sources.scratch import written
 from siftline.sources.tables import chunk_table, questions, table
 
 S = SparkSession
@@ -89,12 +92,17 @@ def txt28(spark: S, sf: str) -> DataFrame:
 _TURNS = r"t AS (SELECT conv_id, turn, role, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS question, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS a FROM conversations)"
 _BARE = rf"list_transform(list_filter(string_split(a, chr(10)), lambda x: length(trim(x)) >= 8), lambda x: regexp_replace(x, '^[ \-0-9.、]+|[ \-0-9.、]+$', '', 'g'))"
 _BULLETS = lambda n: f"array_to_string(list_transform((CASE WHEN len({_BARE}) > 0 THEN {_BARE} ELSE [a] END)[1:{n}], lambda x: '- ' || {_CUT(_FLAT('x'), 120)}), chr(10))"
-_STYLES = {
-    "short": _BULLETS(3), "detailed": "'背景：' || question || chr(10) || chr(10) || '方法：系统基于混合检索、重排和引用审计生成回答。' || chr(10) || chr(10) || '结果：' || a || chr(10) || chr(10) || '限制：仍需检查引用上下文和资料覆盖范围。'",
-    "briefing": f"'这个问题是“' || question || '”。系统先通过混合检索定位资料，再用重排和引用审计筛掉弱证据。从当前证据看，核心结论是：' || {_CUT(_FLAT('a'), 180)} || '如果证据不足，系统会明确拒答并把失败样本沉淀到评测集。'",
-    "study": f"'学习笔记' || chr(10) || chr(10) || '概念：' || {_CUT(_FLAT('question'), 60)} || chr(10) || chr(10) || '要点：' || chr(10) || {_BULLETS(4)} || chr(10) || chr(10) || '易错点：注意区分检索证据和模型推断。'",
-    "faq": f"'Q1：这个问题问什么？' || chr(10) || 'A：' || question || chr(10) || chr(10) || 'Q2：当前答案是什么？' || chr(10) || 'A：' || {_CUT(_FLAT('a'), 160)} || chr(10) || chr(10) || 'Q3：如何确认答案可信？' || chr(10) || 'A：查看引用片段、覆盖率和未支持句子。'",
-}
+_PARTS = {"q": "question", "a": "a", "brief": _CUT(_FLAT("a"), 180), "less": _CUT(_FLAT("a"), 160), "topic": _CUT(_FLAT("question"), 60), "points": _BULLETS(4)}
+_CITE = f"CASE WHEN turn > 0 THEN '- before: ' || {_CUT(_FLAT('question'), 86)} || chr(10) ELSE '' END || '- own: ' || {_CUT(_FLAT('a'), 86)}"
+
+
+def _filled(template: str) -> str:
+    pieces = re.split(r"\{(\w+)\}", template)
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    return " || ".join(_PARTS[p] if i % 2 else quoted(p) for i, p in enumerate(pieces) if i % 2 or p)
+
+
+_STYLES = {"short": _BULLETS(3), "highlights": _CITE} | {s: _filled(t) for s, t in an.STYLES.items()}
 
 
 @query("TXT-29", f"WITH {_TURNS} " + " UNION ALL ".join(f"SELECT conv_id, turn, '{s}' AS style, {text} AS rewritten FROM t WHERE role = 'assistant'" for s, text in _STYLES.items()))
@@ -102,7 +110,10 @@ def txt29(spark: S, sf: str) -> DataFrame:
     """Assistant turns as answers to the turns before them."""
     before = F.coalesce(F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
     rows = table(spark, sf, "conversations").withColumn("question", before).where("role = 'assistant'")
-    return an.rewrite_answers(rows.select("conv_id", "turn", "question", F.coalesce("text", F.lit("")).alias("answer")))
+    own = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    cite = lambda name, text: F.struct(F.lit(name).alias("file_name"), text.alias("text"))
+    both = F.when(F.col("turn") > 0, F.array(cite("before", F.col("question")), cite("own", own))).otherwise(F.array(cite("own", own)))
+    return an.rewrite_answers(rows.select("conv_id", "turn", "question", F.coalesce("text", F.lit("")).alias("answer"), both.alias("citations")))
 
 
 _SENT = f"""sent AS (SELECT query_id, {_sentences('answer')} AS l FROM answer), num AS (SELECT query_id, unnest(l) AS s, generate_subscripts(l, 1) AS place FROM sent),
@@ -125,21 +136,6 @@ def evl03(spark: S, sf: str) -> DataFrame:
     return an.audit_citations(QUERIES["EVL-02"](spark, sf), cited(spark, sf).select("query_id", "rank", "file_name", "text", "score"))
 
 
-@query("EVL-04", f"SELECT query_id, decision, reason, CASE WHEN decision = 'answered' THEN answer END AS answer, coverage, grounding, trust FROM ({ORACLES['EVL-01']}) JOIN ({ORACLES['EVL-02']}) USING (query_id) JOIN ({ORACLES['EVL-03']}) USING (query_id)")
-def evl04(spark: S, sf: str) -> DataFrame:
-    parts = [QUERIES[k](spark, sf) for k in ("EVL-01", "EVL-02", "EVL-03")]
-    rows = parts[0].join(parts[1], "query_id").join(parts[2], "query_id")
-    return rows.select("query_id", "decision", "reason", F.when(F.col("decision") == "answered", F.col("answer")).alias("answer"), "coverage", "grounding", "trust")
-
-
-@query("RET-12", f"SELECT r.query_id, r.chunk_id, r.rank, round(r.score, 4) AS score, round(e.rerank_score, 4) AS rerank_score, snippet, ['lang=' || lang] AS metadata FROM ({ORACLES['RET-01']}) r JOIN ({ORACLES['RET-05']}) e ON r.query_id = e.query_id AND r.chunk_id = e.chunk_id JOIN ({ORACLES['TXT-14']}) t ON r.query_id = t.query_id AND r.chunk_id = t.chunk_id JOIN documents ON doc_id::VARCHAR || ':0' = r.chunk_id")
-def ret12(spark: S, sf: str) -> DataFrame:
-    rows = ranking.keyword_rerank(questions(spark, sf), cited(spark, sf)).select("query_id", "chunk_id", "rerank_score").join(cited(spark, sf), ["query_id", "chunk_id"])
-    meta = records.public_metadata(F.create_map(F.lit("lang"), F.col("lang"), F.lit("File_Path"), F.col("file_name")))
-    shown = F.transform(F.map_entries(meta), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return rows.select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"), F.round("rerank_score", 4).alias("rerank_score"), tx.snippet(F.col("text"), F.col("matched")).alias("snippet"), shown.alias("metadata"))
-
-
 @query("RET-11", f"""WITH {BASE}, {KEYWORD}, t AS (SELECT query_id, max(score) AS best FROM ranked WHERE rank <= 5 GROUP BY 1), q AS (SELECT item_id AS query_id, substr(text, 1, 1 + item_id % 9) AS question FROM benchmark)
 SELECT query_id, unnest(list_filter([CASE WHEN best IS NULL THEN 'nothing_above_threshold' WHEN best < 0.95 THEN 'low_confidence' END, CASE WHEN length(trim(question)) <= 4 THEN 'short_question' END, CASE WHEN best IS NULL THEN 'narrow_scope' END], lambda x: x IS NOT NULL)) AS finding FROM q LEFT JOIN t USING (query_id)""")
 def ret11(spark: S, sf: str) -> DataFrame:
@@ -163,7 +159,7 @@ def probed(spark: S, sf: str) -> DataFrame:
 
 @query("EVL-11", rf"""WITH d AS (SELECT doc_id, source AS title, CASE WHEN lang = 'de' THEN 'zh' ELSE lang END AS lang, {_MD} AS text FROM documents), h AS (SELECT *, regexp_extract(text, '(?:^|\n)#{{1,4}}[ \t]+([^\n]+)', 1) AS head FROM d),
 t AS (SELECT *, substr(trim(CASE WHEN head = '' THEN title ELSE head END), 1, 160) AS topic FROM h)
-SELECT doc_id, sha256('human-review-v1:' || sha256(text)) AS candidate_id, CASE WHEN lang = 'zh' THEN '请根据《' || title || '》说明其中关于“' || topic || '”的核心结论。' ELSE 'According to "' || title || '", what is the key guidance about "' || topic || '"?' END AS question, 'draft' AS status FROM t""")
+SELECT doc_id, sha256('human-review-v1:' || sha256(text)) AS candidate_id, CASE WHEN lang = 'zh' THEN '《' || title || '》怎样谈“' || topic || '”？' ELSE 'What does ''' || title || ''' say on ''' || topic || '''?' END AS question, 'draft' AS status FROM t""")
 def evl11(spark: S, sf: str) -> DataFrame:
     lang = F.when(F.col("lang") == "de", "zh").otherwise(F.col("lang"))
     return an.annotation_queue(marked(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), lang.alias("lang")), "doc_id"))
@@ -267,8 +263,8 @@ fused AS (SELECT b.query_id, b.chunk_id, keyword, vector, row_number() OVER w AS
 FROM base b JOIN chunks c ON b.chunk_id = c.chunk_id LEFT JOIN ev ON ev.query_id = b.query_id AND ev.doc_id = c.doc_id WINDOW w AS (PARTITION BY b.query_id ORDER BY score DESC, b.chunk_id)),
 once AS (SELECT * FROM (SELECT f.*, file_name, text, row_number() OVER (PARTITION BY query_id, file_name, {_FLAT('text')} ORDER BY score DESC, f.chunk_id) AS nth FROM fused f JOIN chunks c ON f.chunk_id = c.chunk_id) WHERE nth = 1),
 cand AS (SELECT query_id, chunk_id, score, text, list_distinct({tok('text')}) AS w FROM (SELECT *, {TOP} AS place FROM once) WHERE place <= 24), {mmr_sql(24)},
-r AS (SELECT c.query_id, c.chunk_id, p.rank AS mmr_rank, round(0.72 * score + 0.2 * len(list_intersect(list_distinct({tok('question')}), w)) / greatest(len(list_distinct({tok('question')})), 1) + CASE WHEN contains(text, question) THEN 0.12 ELSE 0 END, 9) AS score FROM cand c JOIN picked p ON p.query_id = c.query_id AND p.chunk_id = c.chunk_id JOIN asked a ON a.query_id = c.query_id),
-top5 AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM r WHERE score >= 0.3) WHERE rank <= 5)"""
+reranked AS (SELECT c.query_id, c.chunk_id, p.rank AS mmr_rank, round(0.72 * score + 0.2 * len(list_intersect(list_distinct({tok('question')}), w)) / greatest(len(list_distinct({tok('question')})), 1) + CASE WHEN contains(text, question) THEN 0.12 ELSE 0 END, 9) AS score FROM cand c JOIN picked p ON p.query_id = c.query_id AND p.chunk_id = c.chunk_id JOIN asked a ON a.query_id = c.query_id),
+top5 AS (SELECT * FROM (SELECT *, {TOP} AS rank FROM reranked WHERE score >= 0.3) WHERE rank <= 5)"""
 
 
 def search_stages(spark: S, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -299,3 +295,41 @@ SELECT query_id, (SELECT count(*) FROM pieces) AS total, (SELECT count(*) FROM c
 def ret09(spark: S, sf: str) -> DataFrame:
     """Rows at each stage of RET-08."""
     return ranking.search_trace(questions(spark, sf), *search_stages(spark, sf), chunk_table(spark, sf))
+
+
+def search_citations(spark: S, sf: str) -> DataFrame:
+    """The results of the whole search with their texts, files, and the tokens they share with the question."""
+    *_, found, scope = search_stages(spark, sf)
+    rows = found.join(scope.select("chunk_id", "file_name", "text"), "chunk_id").join(questions(spark, sf), "query_id")
+    shared = F.array_intersect(tx.tokenize(F.col("question")), tx.tokenize(F.col("text")))
+    return written(rows.select("query_id", "rank", "chunk_id", "score", "file_name", "text", shared.alias("matched")), "citations")
+
+
+_FOUND = f"{_STAGES}, cited AS (SELECT t.query_id, rank, t.chunk_id, t.score, file_name, text, list_intersect(list_distinct({tok('question')}), list_distinct({tok('text')})) AS matched FROM top5 t JOIN chunks c ON c.chunk_id = t.chunk_id JOIN asked a ON a.query_id = t.query_id)"
+_TOLD = f"""answer AS (SELECT q.query_id, coalesce(string_agg('[' || rank || '] ' || {_CUT(_FLAT('text'), 150)} || ' (' || file_name || ', chunk ' || chunk_id || ', score ' || CAST(score AS DECIMAL(10, 4)) || ')', chr(10) ORDER BY rank), 'no evidence') AS answer FROM asked q LEFT JOIN (SELECT * FROM cited WHERE rank <= 3) c USING (query_id) GROUP BY 1)"""
+
+
+@query("EVL-04", f"""WITH RECURSIVE {_FOUND}, {_TOLD}, {_SENT}, best AS (SELECT query_id, max(score) AS top_score, max(len(matched)) AS m FROM cited GROUP BY 1),
+d AS (SELECT query_id, CASE WHEN b.top_score IS NULL THEN 'no_evidence' WHEN b.top_score < 0.05 THEN 'below_threshold' WHEN m = 0 AND b.top_score < 0.15 THEN 'weak_grounding' END AS reason FROM asked LEFT JOIN best b USING (query_id))
+SELECT query_id, CASE WHEN reason IS NULL THEN 'answered' ELSE 'refused' END AS decision, reason, CASE WHEN reason IS NULL THEN answer END AS answer, round(cov, 4) AS coverage, round(gro, 4) AS grounding,
+CASE WHEN z.n = 0 THEN 'unknown' WHEN c >= 0.35 AND z.n >= 3 AND cov >= 0.65 AND gro >= 0.65 THEN 'strong' WHEN c >= 0.16 AND z.n >= 2 AND cov >= 0.45 AND gro >= 0.45 THEN 'medium' ELSE 'weak' END AS trust FROM d JOIN answer USING (query_id) JOIN z USING (query_id)""")
+def evl04(spark: S, sf: str) -> DataFrame:
+    """The whole search, the decision, the answer and its audit."""
+    found = search_citations(spark, sf)
+    answer = ranking.template_answers(questions(spark, sf), found.where("rank <= 3"))
+    rows = ranking.refusal_decision(questions(spark, sf), found).join(answer, "query_id").join(an.audit_citations(answer, found), "query_id")
+    return rows.select("query_id", "decision", "reason", F.when(F.col("decision") == "answered", F.col("answer")).alias("answer"), "coverage", "grounding", "trust")
+
+
+@query("RET-12", f"""WITH RECURSIVE {_FOUND}, around AS (SELECT chunk_id, string_agg(text, chr(10)) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS context FROM chunks),
+p AS (SELECT *, coalesce(list_min(list_filter(list_transform(matched, lambda t: position(t IN lower(text))), lambda x: x > 0)) - 1, 0) AS centre FROM cited), s AS (SELECT *, greatest(centre - 60, 0) AS a, least(greatest(centre - 60, 0) + 180, length(text)) AS b FROM p)
+SELECT query_id, chunk_id, rank, round(score, 4) AS score, CASE WHEN a > 0 THEN '...' ELSE '' END || trim(substr(text, a + 1, b - a)) || CASE WHEN b < length(text) THEN '...' ELSE '' END AS snippet, context, ['lang=' || lang] AS metadata FROM s JOIN around USING (chunk_id) JOIN (SELECT doc_id, lang FROM documents) ON doc_id::VARCHAR = string_split(chunk_id, ':')[1]""")
+def ret12(spark: S, sf: str) -> DataFrame:
+    """Public rows of the whole search: rounded scores, snippets, the context of neighbours, and metadata without private fields."""
+    found = search_citations(spark, sf)
+    around = windows.parent_context(chunk_table(spark, sf), 1).select("chunk_id", "context")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "lang")
+    rows = found.withColumn("document_id", F.split("chunk_id", ":").getItem(0)).join(around, "chunk_id").join(docs, "document_id")
+    meta = records.public_metadata(F.create_map(F.lit("lang"), F.col("lang"), F.lit("File_Path"), F.col("file_name")))
+    shown = F.transform(F.map_entries(meta), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"), tx.snippet(F.col("text"), F.col("matched")).alias("snippet"), "context", shown.alias("metadata"))

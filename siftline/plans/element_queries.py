@@ -114,14 +114,27 @@ def txt25(spark: S, sf: str) -> DataFrame:
 @query("AGG-05", f"""WITH {PLAIN}, r AS (SELECT *, page IS NOT NULL AND n % 2 = 0 AS box, kind = 'image' AND n % 3 = 0 AS cap FROM typed)
 SELECT doc_id, count(*) FILTER (WHERE kind = 'text') AS n_text, count(*) FILTER (WHERE kind = 'heading') AS n_heading, count(*) FILTER (WHERE kind = 'image') AS n_image, count(*) FILTER (WHERE kind = 'table') AS n_table, count(*) FILTER (WHERE kind = 'equation') AS n_equation,
 coalesce(round(count(*) FILTER (WHERE box) / nullif(count(page), 0), 4), 1.0)::DOUBLE AS bbox_coverage, round(avg((n % 10) / 10.0) FILTER (WHERE kind = 'image'), 4)::DOUBLE AS image_confidence,
-coalesce(round(count(*) FILTER (WHERE cap) / nullif(count(*) FILTER (WHERE kind = 'image'), 0), 4), 1.0)::DOUBLE AS caption_alignment, 1.0::DOUBLE AS table_structure, count(*) FILTER (WHERE kind = 'image' AND NOT cap) AS orphan_assets FROM r GROUP BY 1""")
+coalesce(round(count(*) FILTER (WHERE cap) / nullif(count(*) FILTER (WHERE kind = 'image'), 0), 4), 1.0)::DOUBLE AS caption_alignment, 1.0::DOUBLE AS table_structure, coalesce(round(count(*) FILTER (WHERE kind = 'equation' AND n % 4 <> 0) / nullif(count(*) FILTER (WHERE kind = 'equation'), 0), 4), 1.0)::DOUBLE AS formula_share,
+count(*) FILTER (WHERE kind = 'image' AND NOT cap) AS orphan_assets, round(count(*) FILTER (WHERE n % 5 <> 0) / count(*), 4)::DOUBLE AS graph_coverage FROM r GROUP BY 1""")
 def agg05(spark: S, sf: str) -> DataFrame:
     rows = cells(typed(spark, sf)).withColumn("confidence", (F.col("n") % 10) / 10)
     bbox = F.when(F.col("page").isNotNull() & (F.col("n") % 2 == 0), F.array(*[F.lit(float(i)) for i in range(4)])).otherwise(F.array().cast("array<double>"))
+    rows = rows.withColumn("formula", F.when(F.col("n") % 4 != 0, F.col("text")).otherwise("")).withColumn("in_graph", F.col("n") % 5 != 0)
     return el.multimodal_quality(rows.withColumn("bbox", bbox).withColumn("caption", F.when(F.col("n") % 3 == 0, F.col("text")).otherwise("")))
 
 
-@query("WIN-02")
+_LEFT = "(2000 - a.used - CASE WHEN len(a.out) > 0 THEN 2 ELSE 0 END)"
+_SHOWN = f"CASE WHEN e.d = 0 THEN substr(e.text, 1, greatest({_LEFT}, 0)) ELSE e.text END"
+_FITS = f"({_LEFT} > 0 AND length({_SHOWN}) <= {_LEFT} AND e.text <> '')"
+_BLANK = "[]::STRUCT(n INT, text VARCHAR)[]"
+
+
+@query("WIN-02", f"""WITH {ELEMENTS}, near AS (SELECT doc_id, n, CASE WHEN page IS NULL THEN list(struct_pack(n := n, text := text)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) ELSE list(struct_pack(n := n, text := text)) OVER (PARTITION BY doc_id ORDER BY page RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) END AS l FROM typed),
+o AS (SELECT doc_id, n, list_transform(list_sort(list_transform(l, lambda e: struct_pack(d := abs(e.n - n), n := e.n, text := e.text))), lambda e: struct_pack(d := e.d::INT, n := e.n, text := e.text, used := 0, out := {_BLANK})) AS l FROM near),
+r AS (SELECT doc_id, n, list_reduce(list_concat([struct_pack(d := 0, n := 0, text := '', used := 0, out := {_BLANK})], l), lambda a, e: struct_pack(d := 0, n := 0, text := '',
+used := (CASE WHEN {_FITS} THEN a.used + CASE WHEN len(a.out) > 0 THEN 2 ELSE 0 END + length({_SHOWN}) ELSE a.used END)::INT, out := CASE WHEN {_FITS} THEN list_append(a.out, struct_pack(n := e.n, text := {_SHOWN})) ELSE a.out END)).out AS c FROM o),
+t AS (SELECT doc_id, n, list_transform(list_sort(c), lambda e: e.n) AS members, array_to_string(list_transform(list_sort(c), lambda e: e.text), chr(10) || chr(10)) AS text FROM r)
+SELECT doc_id, n, members, md5(text) AS text_md5, length(text) AS chars, ceil(length(text) / 4)::BIGINT AS tokens, length(text) >= 2000 AS truncated FROM t""")
 def win02(spark: S, sf: str) -> DataFrame:
     return el.element_context(typed(spark, sf), max_chars=2000)
 

@@ -22,11 +22,6 @@ _ENTITY = rf"""e AS (SELECT doc_id, regexp_replace(e, '[.\-_]+$', '') AS entity,
 named AS (SELECT doc_id, entity, min(i) AS i FROM e WHERE regexp_matches(entity, '^[A-Z]|[0-9_.\-]') AND length(entity) >= 2 AND NOT list_contains({_STOP}, lower(entity)) GROUP BY 1, 2)"""
 
 
-@query("GRF-01", f"WITH {_ENTITY} SELECT doc_id, entity FROM named")
-def grf01(spark: S, sf: str) -> DataFrame:
-    return entities.extract_entities(table(spark, sf, "documents"))
-
-
 @query("TOP-04", f"WITH {_ENTITY} SELECT doc_id, n - 1 AS place, entity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM named) WHERE n <= 32")
 def top04(spark: S, sf: str) -> DataFrame:
     return entities.top_entities(table(spark, sf, "documents"))
@@ -46,7 +41,7 @@ def hash_batch(texts: list[str]) -> list[list[float]]:
     return [[b / 255 for b in hashlib.sha256(t.encode()).digest()[:8]] for t in texts]
 
 
-@query("UDF-01")
+@query("UDF-01", "SELECT doc_id, list_transform(range(0, 8), lambda i: ('0x' || substr(sha256(coalesce(text, '')), (2 * i + 1)::BIGINT, 2))::INT / 255.0::DOUBLE) AS embedding, NULL AS error FROM documents")
 def udf01(spark: S, sf: str) -> DataFrame:
     return hooks.embed_with(table(spark, sf, "documents"), "doc_id", hash_batch)
 
@@ -79,3 +74,10 @@ picked AS (SELECT query_id, generate_subscripts(chosen, 1) AS rank, unnest(chose
 def ret04(spark: S, sf: str) -> DataFrame:
     rows = keyword(spark, sf, 24).join(chunks(spark, sf), "chunk_id")
     return hooks.mmr_select(rows.select("query_id", "chunk_id", "score", F.array_distinct(tx.tokenize(F.col("text"))).alias("tokens")))
+
+
+@query("GRF-01", f"WITH {_ENTITY}, told AS (SELECT doc_id, text, unnest(['Apache', lang, source, string_split(text, ' ')[1]]) AS entity FROM documents) SELECT doc_id, entity FROM named UNION SELECT doc_id, trim(entity) FROM told WHERE trim(entity) <> '' AND contains(text, trim(entity))")
+def grf01(spark: S, sf: str) -> DataFrame:
+    """Enrichment suggests a fixed name, the language, the source and the first word."""
+    told = F.array(F.lit("Apache"), "lang", "source", F.get(F.split("text", " "), F.lit(0)))
+    return entities.extract_entities(table(spark, sf, "documents").withColumn("enriched", told))

@@ -25,12 +25,6 @@ def src02(spark: S, sf: str) -> DataFrame:
     return lines.select(F.regexp_extract("line", r"^([0-9]+)", 1).cast("long").alias("doc_id"), F.regexp_replace("line", r"^[0-9]+\s?", "").alias("flat"))
 
 
-@query("SRC-03")
-def src03(spark: S, sf: str) -> DataFrame:
-    """The tables' own files: large ones and those past the cap are failures."""
-    return readers.discover_directory(spark, sf, "*.parquet", max_items=12, max_bytes=4_000_000)
-
-
 @query("SRC-04", "SELECT doc_id::VARCHAR AS path, sha256(text) AS sha256 FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1) OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def src04(spark: S, sf: str) -> DataFrame:
     """The manifest holds the good documents; toxic ones have changed since."""
@@ -123,3 +117,16 @@ def scl14(spark: S, sf: str) -> DataFrame:
     clean = records.scrub_record(F.from_json(F.expr(record), "map<string,string>"))
     shown = F.array_sort(F.transform(F.map_entries(clean), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return table(spark, sf, "pages").select("page_id", shown.alias("record"))
+
+
+@query("SRC-03", """WITH f AS (SELECT 'lang=' || lang || '/source=' || source AS folder, string_agg(doc_id || chr(9) || trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')) || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY 1),
+p AS (SELECT folder, strlen(content) AS bytes, sha256(content) AS sha256, row_number() OVER (ORDER BY folder || '/') AS place FROM f), r AS (SELECT folder, bytes, CASE WHEN bytes > 60000 THEN 'too_large' WHEN place > 12 THEN 'over_cap' END AS failure, sha256 FROM p)
+SELECT folder, bytes, CASE WHEN failure IS NULL THEN sha256 END AS sha256, failure, (SELECT count(failure) = 0 FROM r) AS complete, (SELECT count(*) = count(failure) FROM r) AS empty_result FROM r""")
+def src03(spark: S, sf: str) -> DataFrame:
+    """A folder with a file for each language and source: large ones and those past the cap are failures."""
+    root = fresh_path(spark, "folder")
+    line = F.concat_ws("\t", F.col("doc_id").cast("string"), F.trim(F.regexp_replace("text", r"[ \t\r\n]+", " ")))
+    docs = table(spark, sf, "documents").select("lang", "source", "doc_id", line.alias("value"))
+    docs.repartition("lang", "source").sortWithinPartitions("lang", "source", "doc_id").drop("doc_id").write.partitionBy("lang", "source").text(root)
+    found = readers.discover_directory(spark, root, "*.txt", max_items=12, max_bytes=60_000)
+    return found.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "bytes", "sha256", "failure", "complete", "empty_result")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftline.operators.corpus import hard_split
 from siftline.plans.registry import query
+from siftline.plans.sql import CHUNKS
 from siftline.sources.tables import table
 from siftline.streaming import streams
 
@@ -14,16 +16,6 @@ S = SparkSession
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
-@query("STR-01", "SELECT event_id, user_id, event_type FROM events")
-def str01(spark: S, sf: str) -> DataFrame:
-    return streams.finished(streams.ingest(streams.event_stream(spark, sf))).select("event_id", "user_id", "event_type")
-
-
-@query("STR-02", "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS writes FROM events GROUP BY 1, 2")
-def str02(spark: S, sf: str) -> DataFrame:
-    return streams.finished(streams.upserted_chunks(streams.event_stream(spark, sf)), "complete")
-
-
 @query("STR-03", f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= {_CLOSED}")
 def str03(spark: S, sf: str) -> DataFrame:
     rows = streams.finished(streams.metric_windows(streams.event_stream(spark, sf)))
@@ -66,16 +58,6 @@ def str06(spark: S, sf: str) -> DataFrame:
     return streams.job_states(streams.finished(streams.job_transitions(events)))
 
 
-@query("STR-07", f"""WITH r AS (SELECT date_trunc('day', ts) AS run, user_id, arg_max(event_id, (ts, event_id)) AS version FROM events GROUP BY 1, 2), o AS (SELECT * FROM r WHERE run + INTERVAL 1 DAY <= {_CLOSED}),
-l AS (SELECT user_id AS item_id, max(run) AS run, arg_max(version, run) AS version FROM o GROUP BY 1), d AS (SELECT DISTINCT run FROM o WHERE day(run) % 6 <> 0)
-SELECT item_id, version, (SELECT count(*) FROM d WHERE d.run > l.run) AS missing, (SELECT count(*) FROM d WHERE d.run > l.run) >= 2 AS deletion_candidate FROM l""")
-def str07(spark: S, sf: str) -> DataFrame:
-    """Users stand for items, days for runs; every sixth day of a month is a partial run."""
-    events = streams.event_stream(spark, sf).select("ts", F.col("user_id").alias("item_id"), F.col("event_id").alias("version"))
-    seen = streams.finished(streams.item_sightings(events))
-    return streams.item_states(seen, seen.select("run").distinct().withColumn("complete", F.day("run") % 6 != 0))
-
-
 @query("STR-08", """SELECT conv_id * 1000 + turn AS message_id, coalesce(text, '') AS text, CASE turn % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'refused' WHEN 2 THEN 'failed' ELSE 'cancelled' END AS status, turn % 4 >= 2 AS partial FROM conversations""")
 def str08(spark: S, sf: str) -> DataFrame:
     """Turns come as pieces of 20 characters, each twice, and an end that depends on the turn."""
@@ -86,3 +68,36 @@ def str08(spark: S, sf: str) -> DataFrame:
     last = F.array(F.struct(F.lit(2_000_000_000).alias("sequence"), end.alias("what"), F.lit("").alias("delta")))
     deltas = stream.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.inline(F.concat(starts, starts, last)))
     return streams.finished(streams.assembled_messages(deltas), "complete")
+
+
+@query("STR-01", r"SELECT event_id, user_id, lower(trim(regexp_replace(props, '\s+', ' ', 'g'))) AS props, sha256(lower(trim(regexp_replace(props, '\s+', ' ', 'g')))) AS content_hash FROM events")
+def str01(spark: S, sf: str) -> DataFrame:
+    """Every event is delivered twice."""
+    twice = streams.event_stream(spark, sf).withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
+    return streams.finished(streams.ingest(twice, "props")).select("event_id", "user_id", "props", "content_hash")
+
+
+@query("STR-02", f"WITH {CHUNKS} SELECT chunk_id, document_id, md5(text) AS text_md5 FROM chunks")
+def str02(spark: S, sf: str) -> DataFrame:
+    """The documents as a stream; every chunk comes in an older version as well."""
+    stream = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
+    docs = stream.select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    versions = hard_split(docs).withColumn("version", F.explode(F.array(F.lit(2), F.lit(1))))
+    text = F.when(F.col("version") == 1, F.concat(F.lit("~"), "text")).otherwise(F.col("text"))
+    rows = versions.select("chunk_id", "document_id", "version", F.md5(text).alias("text_md5"))
+    return streams.upserted(rows, "chunk_id", "version").select("chunk_id", "document_id", "text_md5")
+
+
+_RUN_STATUS = "CASE WHEN day(run) % 6 = 0 THEN 'partial' WHEN day(run) % 7 = 1 THEN 'not_modified' ELSE 'complete' END"
+
+
+@query("STR-07", f"""WITH r AS (SELECT date_trunc('day', ts) AS run, user_id, arg_max(event_id, (ts, event_id)) AS version FROM events GROUP BY 1, 2), o AS (SELECT *, {_RUN_STATUS} AS status FROM r WHERE run + INTERVAL 1 DAY <= {_CLOSED}),
+l AS (SELECT user_id AS item_id, max(run) AS run, arg_max(version, run) AS version FROM o WHERE status <> 'not_modified' GROUP BY 1), d AS (SELECT DISTINCT run FROM o WHERE status = 'complete')
+SELECT item_id, version, (SELECT count(*) FROM d WHERE d.run > l.run) AS missing, (SELECT count(*) FROM d WHERE d.run > l.run) >= 2 AS deletion_candidate FROM l""")
+def str07(spark: S, sf: str) -> DataFrame:
+    """Users stand for items, days for runs; some days are partial runs, some were not modified, and the day after the last found nothing."""
+    events = streams.event_stream(spark, sf).select("ts", F.col("user_id").alias("item_id"), F.col("event_id").alias("version"))
+    seen = streams.finished(streams.item_sightings(events))
+    runs = seen.select("run").distinct().withColumn("status", F.expr(_RUN_STATUS))
+    nothing = seen.agg((F.max("run") + F.expr("INTERVAL 1 DAY")).alias("run")).where("run IS NOT NULL").withColumn("status", F.lit("empty"))
+    return streams.item_states(seen, runs.unionByName(nothing))

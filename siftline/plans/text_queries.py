@@ -149,18 +149,6 @@ def agg04(spark: S, sf: str) -> DataFrame:
     return corpus.duplicate_chunk_ratio(chunk_table(spark, sf)).withColumn("duplicate_ratio", F.round("duplicate_ratio", 6))
 
 
-@query("AGG-02", rf"""WITH {CHUNKS},
-g AS (SELECT document_id, count(*) AS n, avg(length(text)) AS m, 1 - count(DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) / count(*) AS d FROM chunks GROUP BY 1),
-p AS (SELECT doc_id::VARCHAR AS document_id, coalesce(n, 0) AS n_chunks, 100
-  - CASE WHEN trim(coalesce(text, '')) = '' THEN 45 WHEN length(trim(text)) < 200 THEN 10 ELSE 0 END
-  - CASE WHEN coalesce(n, 0) = 0 THEN 35 WHEN coalesce(m, 0) < 120 THEN 8 WHEN m > 900 THEN 8 ELSE 0 END
-  - CASE WHEN length(text) > 0 AND len(regexp_extract_all(text, '[\x{{fffd}}\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{{80}}-\x{{9f}}]')) / length(text) > 0.08 THEN 14 ELSE 0 END
-  - CASE WHEN coalesce(d, 0) > 0.25 THEN 10 ELSE 0 END AS score FROM documents LEFT JOIN g ON doc_id::VARCHAR = g.document_id)
-SELECT document_id, n_chunks, greatest(0, least(100, score)) AS score, CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS level FROM p""")
-def agg02(spark: S, sf: str) -> DataFrame:
-    return corpus.document_quality(scan_documents(spark, sf), chunk_table(spark, sf))
-
-
 @query("SCL-01", "SELECT event_id, round(CASE WHEN value - 10 > 0 THEN (value - 10) / (value - 9) ELSE 0 END, 6) AS squashed FROM events")
 def scl01(spark: S, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.round(sc.squash(F.col("value") - 10), 6).alias("squashed"))
@@ -195,13 +183,6 @@ def scl04(spark: S, sf: str) -> DataFrame:
     return rows.select("doc_id", sc.document_boost(quality, (F.col("doc_id") % 5) / F.lit(2.0)).alias("boost"))
 
 
-@query("SCL-05", """SELECT event_id, event_type AS stage, floor((greatest(0, coalesce(date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0)) + 5) / 10) / 100.0 AS duration_ms FROM events""")
-def scl05(spark: S, sf: str) -> DataFrame:
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    following = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf, "events").select("event_id", F.col("event_type").alias("stage"), (F.floor((F.greatest(F.lit(0), F.coalesce(micros(following) - micros(F.col("ts")), F.lit(0))) + 5) / 10) / 100.0).alias("duration_ms"))
-
-
 @query("SCL-07", """SELECT doc_id, sha256('{"content_hash":"' || sha256(text) || '","dimension":256,"document":"' || doc_id || '","source":"' || source || '"}') AS index_key FROM documents""")
 def scl07(spark: S, sf: str) -> DataFrame:
     record = F.struct(F.sha2("text", 256).alias("content_hash"), F.lit(256).alias("dimension"), F.col("doc_id").cast("string").alias("document"), "source")
@@ -276,3 +257,35 @@ def udf04(spark: S, sf: str) -> DataFrame:
 SELECT sha256, substr(sha256, 1, 2) || '/' || sha256 AS object_key, size_bytes, n_blobs, coalesce(n, 0) AS n_references, n IS NULL AS unreferenced FROM b LEFT JOIN r USING (sha256)""")
 def src11(spark: S, sf: str) -> DataFrame:
     return blob_inventory(docs(spark, sf), table(spark, sf, "labels"))
+
+
+_SIGNS = {
+    "no_text": (45, "trim(coalesce(text, '')) = ''", "import the text again"), "short_text": (10, "trim(coalesce(text, '')) <> '' AND length(trim(text)) < 200", "add more material"),
+    "no_chunk": (35, "coalesce(n, 0) = 0", "split the document"), "short_chunks": (8, "n > 0 AND m < 120", "join small chunks"), "long_chunks": (8, "n > 0 AND m > 900", "split long chunks"), "no_page": (8, "doc_id % 6 = 0", "keep page numbers"),
+    "strange_characters": (14, r"length(text) > 0 AND len(regexp_extract_all(text, '[\x{fffd}\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{80}-\x{9f}]')) / length(text) > 0.08", "check the encoding"),
+    "repetitions": (10, "d > 0.25", "remove repeated parts"), "ocr": (12, "doc_id % 7 = 2", "repeat the recognition"), "not_indexed": (22, "doc_id % 5 = 3", "index the document"),
+}
+_SIGNED = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN struct_pack(sign := '{n}', points := {p}, advice := '{a}') END" for n, (p, c, a) in _SIGNS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query("AGG-02", rf"""WITH {CHUNKS},
+g AS (SELECT document_id, count(*) AS n, avg(length(text)) AS m, 1 - count(DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) / count(*) AS d FROM chunks GROUP BY 1),
+p AS (SELECT doc_id::VARCHAR AS document_id, coalesce(n, 0) AS n_chunks, {_SIGNED} AS s FROM documents LEFT JOIN g ON doc_id::VARCHAR = g.document_id),
+q AS (SELECT *, greatest(0, 100 - coalesce(list_sum(list_transform(s, lambda x: x.points)), 0)) AS score FROM p)
+SELECT document_id, n_chunks, score, CASE WHEN score >= 85 THEN 'excellent' WHEN score >= 70 THEN 'good' WHEN score >= 50 THEN 'fair' ELSE 'poor' END AS level, list_transform(s, lambda x: x.sign) AS signals, list_transform(s, lambda x: x.advice)[1:4] AS suggestions FROM q""")
+def agg02(spark: S, sf: str) -> DataFrame:
+    """Every sixth document has no page, others failed recognition or are not indexed."""
+    ident = F.col("document_id").cast("long")
+    docs = scan_documents(spark, sf).withColumns({"pages": ident % 6, "ocr": F.when(ident % 7 == 2, "failed").otherwise("ok"), "indexed": ident % 5 != 3})
+    return corpus.document_quality(docs, chunk_table(spark, sf))
+
+
+@query("SCL-05", """SELECT event_id, event_type AS stage, floor((greatest(0, coalesce(date_diff('microsecond', ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), 0)) + 5) / 10) / 100.0 AS duration_ms,
+CASE WHEN event_type = 'error' THEN 'failed' END AS error, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1)::INT AS retries FROM events""")
+def scl05(spark: S, sf: str) -> DataFrame:
+    """Each event lasts to the user's next one; the user's events of the same type before it are its retries."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    again = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")) - 1
+    rows = table(spark, sf, "events").withColumn("stop", F.lead("ts").over(order)).withColumn("retries", again)
+    event = sc.lifecycle_event(F.col("event_type"), F.col("ts"), F.col("stop"), F.when(F.col("event_type") == "error", "failed"), F.col("retries"))
+    return rows.select("event_id", event.alias("e")).select("event_id", "e.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.text import normalize_text
@@ -18,21 +18,6 @@ def scan_text_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), normalize_text(F.col("value")).alias("text"))
 
 
-def discover_directory(spark: SparkSession, root: str, pattern: str, max_items: int, max_bytes: int) -> DataFrame:
-    """path (below the root), bytes, sha256 and failure (too_large, over_cap) of a folder's files in order of path.
-
-    Sizes come from the listing; only files within both caps are opened.
-    """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    listed = read.load(root).select("path", "length").withColumn("place", F.row_number().over(Window.orderBy("path")))  # a listing, no contents
-    ok = (F.col("length") <= max_bytes) & (F.col("place") <= max_items)
-    failure = F.when(F.col("length") > max_bytes, "too_large").when(F.col("place") > max_items, "over_cap")
-    hashes = read.load(root).where(F.col("length") <= max_bytes).select("path", F.sha2("content", 256).alias("sha256"))
-    rows = listed.join(hashes, "path", "left")
-    return rows.select(path.alias("path"), F.col("length").alias("bytes"), F.when(ok, F.col("sha256")).alias("sha256"), failure.alias("failure"))
-
-
 def incremental_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose path and hash are not in the manifest."""
     return files.join(manifest, ["path", "sha256"], "left_anti")
@@ -105,7 +90,21 @@ def markdown_report(checks: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws("\n", F.lit("| metric | actual | minimum | result |"), F.lit("| --- | --- | --- | --- |"), "lines").alias("report"))
 
 
-def write_eval_report(checks: DataFrame, folder: str) -> None:
-    """The checks as JSON and their table as Markdown text, in a folder that executors share."""
-    checks.write.mode("overwrite").json(f"{folder}/checks")
-    markdown_report(checks).write.mode("overwrite").text(f"{folder}/report")
+def discover_directory(spark: SparkSession, root: str, pattern: str, max_items: int, max_bytes: int) -> DataFrame:
+    """path (below the root), bytes, sha256 and failure (too_large, over_cap) of a folder's files in order of path, and of the whole
+    run whether it is complete (no failure) and its result empty.
+
+    Sizes and places come from the listing; only files within both caps are opened, ``max_items`` at most.
+    """
+    read = lambda path: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    listed = read(root).select("path", "length")
+    inside = {r.path for r in listed.orderBy("path").limit(max_items).collect()}
+    small = listed.where(F.col("path").isin(*inside) & (F.col("length") <= max_bytes))
+    opened = [r.path for r in small.select("path").collect()]
+    none = spark.createDataFrame([], "path string, sha256 string")
+    hashes = read(opened).select("path", F.sha2("content", 256).alias("sha256")) if opened else none
+    failure = F.when(F.col("length") > max_bytes, "too_large").when(~F.col("path").isin(*inside), "over_cap")
+    rows = listed.join(F.broadcast(hashes), "path", "left").withColumn("failure", failure)  # max_items rows
+    whole = rows.agg((F.count_if(F.col("failure").isNotNull()) == 0).alias("complete"), (F.count_if(F.col("failure").isNull()) == 0).alias("empty_result"))
+    path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    return rows.select(path.alias("path"), F.col("length").alias("bytes"), "sha256", "failure").crossJoin(F.broadcast(whole))  # one row

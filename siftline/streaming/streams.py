@@ -31,11 +31,6 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
-def ingest(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop re-deliveries of a key within the watermark."""
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-
-
 def metric_windows(events: DataFrame, size: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Counts and sums for each type and tumbling window, once the watermark has passed it."""
     rows = events.withWatermark("ts", delay).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
@@ -59,11 +54,6 @@ def queue_lag(events: DataFrame) -> DataFrame:
     return rows.select(F.col("window.start").alias("start"), "change")
 
 
-def upserted_chunks(events: DataFrame) -> DataFrame:
-    """The newest row of each key over all micro-batches; a replayed batch changes nothing."""
-    return events.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("writes"))
-
-
 def job_transitions(events: DataFrame) -> DataFrame:
     """job_id, ts, event_id, status and attempts after each event that moved a job's state.
 
@@ -103,22 +93,41 @@ def item_sightings(events: DataFrame, run: str = "1 day") -> DataFrame:
     return rows.select("item_id", F.col("window.start").alias("run"), "version")
 
 
+def assembled_messages(deltas: DataFrame) -> DataFrame:
+    """Text and status of each message (message_id, sequence, what, delta); a delta that comes twice counts once."""
+    rows = deltas.groupBy("message_id").agg(F.array_sort(F.collect_set(F.when(F.col("what") == "delta", F.struct("sequence", "delta")))).alias("d"), F.max(F.when(F.col("what") != "delta", F.col("what"))).alias("last"))
+    status = F.when(F.col("last") == "done", "completed").when(F.col("last") == "refusal", "refused").when(F.col("last") == "error", "failed").otherwise("cancelled")
+    return rows.select("message_id", F.array_join(F.transform("d", lambda x: x["delta"]), "").alias("text"), status.alias("status"), (status.isin("failed", "cancelled")).alias("partial"))
+
+
+def ingest(events: DataFrame, content: str, delay: str = "1 hour") -> DataFrame:
+    """Content with white space and case made even, its hash, and no re-delivery of a key within the watermark."""
+    even = F.lower(F.trim(F.regexp_replace(content, r"\s+", " ")))
+    rows = events.withColumn(content, even).withColumn("content_hash", F.sha2(content, 256))
+    return rows.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def upserted(stream: DataFrame, key: str, version: str) -> DataFrame:
+    """The last row of each key by batch and version; every micro-batch is a partition of its own, which a replay overwrites."""
+    spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "stream")
+    query = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    last = F.max_by(F.struct(*stream.columns), F.struct("batch", version))
+    return rows.groupBy(key).agg(last.alias("last")).select("last.*")
+
+
 def item_states(sightings: DataFrame, runs: DataFrame) -> DataFrame:
     """Last version of each item, complete runs since, and whether it may be deleted (two or more).
 
-    ``runs`` (run, complete) is one row for each run; partial runs do not count.
+    ``runs`` (run, status) is one row for each run. Partial runs show items, but do not count; runs that were not modified or
+    found nothing neither show items nor count.
     """
     from pyspark.sql import Window
 
-    counted = runs.withColumn("c", F.sum(F.col("complete").cast("int")).over(Window.orderBy("run")))  # one row a run
+    counted = runs.withColumn("c", F.sum((F.col("status") == "complete").cast("int")).over(Window.orderBy("run")))  # one row a run
     total = counted.agg(F.coalesce(F.max("c"), F.lit(0)).alias("total"))
-    last = sightings.groupBy("item_id").agg(F.max("run").alias("run"), F.max_by("version", "run").alias("version"))
+    shown = sightings.join(runs.where(F.col("status").isin("complete", "partial")).select("run"), "run", "left_semi")
+    last = shown.groupBy("item_id").agg(F.max("run").alias("run"), F.max_by("version", "run").alias("version"))
     missing = F.col("total") - F.col("c")
     return last.join(counted, "run").crossJoin(F.broadcast(total)).select("item_id", "version", missing.alias("missing"), (missing >= 2).alias("deletion_candidate"))  # one row
-
-
-def assembled_messages(deltas: DataFrame) -> DataFrame:
-    """Text and status of each message (message_id, sequence, what, delta); a delta that comes twice counts once."""
-    rows = deltas.groupBy("message_id").agg(F.array_sort(F.collect_set(F.when(F.col("what") == "delta", F.struct("sequence", "delta")))).alias("d"), F.max(F.when(F.col("what") != "delta", F.col("what"))).alias("last"))
-    status = F.when(F.col("last") == "done", "completed").when(F.col("last") == "refusal", "refused").when(F.col("last") == "error", "failed").otherwise("cancelled")
-    return rows.select("message_id", F.array_join(F.transform("d", lambda x: x["delta"]), "").alias("text"), status.alias("status"), (status.isin("failed", "cancelled")).alias("partial"))
