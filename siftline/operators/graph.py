@@ -147,11 +147,14 @@ def evidenced(relations: DataFrame) -> DataFrame:
 def bounded_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
     """source, target, path, hops, score and evidence of a shortest undirected path for each pair (source, target), if there is one.
 
-    ``edges``: a, b, confidence, evidence. Each hop is one join; a node reached before from a source is not reached again, and
+    ``edges``: a, b, confidence and, if it is known, evidence. Each hop is one join; a node reached before from a source is not reached again, and
     of equally short paths the smallest stays, so that a frontier holds at most one row for each source and node. The evidence
     is the ordered distinct union of that of the edges.
     """
-    both = edges.select("a", "b", F.col("confidence").alias("c"), F.col("evidence").alias("e"))
+    if "evidence" not in edges.columns:
+        edges = edges.withColumn("evidence", F.array().cast("array<bigint>"))
+    one = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("confidence").alias("c"), F.max_by("evidence", "confidence").alias("e")).where("a <> b")
+    both = one.select("a", "b", "c", "e")
     both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", "e"))
     step = F.struct(F.col("source").alias("node"), F.lit(0.0).alias("c"), F.array().cast("array<bigint>").alias("e"))
     frontier = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.array(step).alias("path"))
