@@ -1,7 +1,7 @@
 """BPE encoding by a pair occurrence index, and decoding.
 
-A batch of texts is cut into white-space pieces; the words of the distinct pieces lie one after
-another in one array of symbols. An index maps each mergeable pair, by its rank, to all its
+A slice of a batch, of about 4 MB of texts, is cut into white-space pieces; the words of its pieces that
+the worker has not met yet lie one after another in one array of symbols. An index maps each mergeable pair, by its rank, to all its
 positions. Ranks that occur are applied in ascending order with one array operation for all
 positions of a pair; only the lists of the pairs beside a merge are updated.
 """
