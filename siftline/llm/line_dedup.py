@@ -134,14 +134,16 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) ->
 
     hashes = rows.where(F.col("text") != "").select("doc_id", "version", F.explode(let(F.split("text", "\n"), hashed)).alias("u"))
     hashes = written(hashes.select("doc_id", "version", "u.ord", "u.hash"), "units")
-    again = hashes.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b")).where(F.col("a") != F.col("b")).select("hash")
-    marked = hashes.join(again, "hash", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("ord").alias("ords"))
+    again = hashes.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("places")).where(F.col("a") != F.col("b")).select("hash", "places")
+    spread, parts = split_hot(hashes, written(again, "again"), "hash", "places")
+    marked = spread.join(parts, ["hash", "slice"]).groupBy("doc_id", "version").agg(F.collect_set("ord").alias("ords"))
     suspects = rows.join(marked, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
     found = suspects.select("doc_id", "version", F.explode(let(F.split("text", "\n"), digests)).alias("u"))
     found = written(found.select("doc_id", "version", "u.ord", "u.n", "u.digest"), "suspects")
     # Equal SHA-256 digests stand for equal bytes: every line is in several runs, whose texts would move as often.
-    owners = found.groupBy("digest").agg(F.min(place).alias("owner"))
-    surplus = found.join(owners, "digest").where(place != F.col("owner"))
+    owners = written(found.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("places")).where("places > 1"), "owners")
+    spread, parts = split_hot(found, owners, "digest", "places")
+    surplus = spread.join(parts, ["digest", "slice"]).where(place != F.col("owner"))
     lines = surplus.select("doc_id", "version", F.explode(F.sequence(F.col("ord"), F.col("ord") + F.col("n") - 1)).alias("ord"))
     return lines.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("ord")).alias("drop"))
 
