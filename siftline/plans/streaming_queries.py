@@ -48,12 +48,13 @@ def str09(spark: S, sf: str) -> DataFrame:
 _WHAT = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'started' WHEN 'view' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END"
 
 
-@query("STR-06", f"""WITH e AS (SELECT user_id AS job_id, ts, event_id, {_WHAT} AS what FROM events), s AS (SELECT *, count(*) FILTER (WHERE what = 'queued') OVER (PARTITION BY job_id ORDER BY ts, event_id) AS life FROM e),
+@query("STR-06", f"""WITH passed AS (SELECT epoch_ms(max(ts)) - 3600000 AS w FROM events), e AS (SELECT user_id AS job_id, ts, event_id, {_WHAT} AS what FROM events WHERE epoch_ms(ts) < (SELECT w FROM passed)), s AS (SELECT *, count(*) FILTER (WHERE what = 'queued') OVER (PARTITION BY job_id ORDER BY ts, event_id) AS life FROM e),
 l AS (SELECT *, max(life) OVER (PARTITION BY job_id) AS last_life FROM s), c AS (SELECT *, count(*) FILTER (WHERE what IN ('succeeded', 'cancelled')) OVER (PARTITION BY job_id, life ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM l WHERE life = last_life),
-r AS (SELECT job_id, arg_max(what, (ts, event_id)) AS status, count(*) FILTER (WHERE what = 'started')::INT AS attempts FROM c WHERE ended = 0 GROUP BY 1)
+o AS (SELECT job_id, arg_max(what, (ts, event_id)) AS status, max(ts) AS moved, count(*) FILTER (WHERE what = 'started')::INT AS attempts FROM c WHERE ended = 0 GROUP BY 1),
+r AS (SELECT job_id, CASE WHEN status = 'started' AND epoch_us(moved + INTERVAL 6 HOUR) < (SELECT w FROM passed) * 1000 THEN 'failed' ELSE status END AS status, attempts FROM o)
 SELECT *, CASE WHEN status = 'failed' AND attempts < 3 THEN least(pow(2.0, attempts - 1), 30.0) END AS delay, status = 'failed' AND attempts >= 3 AS dead FROM r""")
 def str06(spark: S, sf: str) -> DataFrame:
-    """Users stand for jobs, the types of their events for what befell them."""
+    """Users stand for jobs, the types of their events for what befell them; what the watermark has not passed is not told yet."""
     events = streams.event_stream(spark, sf).withColumn("what", F.expr(_WHAT)).withColumnRenamed("user_id", "job_id")
     return streams.job_states(streams.finished(streams.job_transitions(events)))
 

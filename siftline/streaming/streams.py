@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,29 +55,48 @@ def queue_lag(events: DataFrame) -> DataFrame:
     return rows.select(F.col("window.start").alias("start"), "change")
 
 
-def job_transitions(events: DataFrame) -> DataFrame:
-    """job_id, ts, event_id, status and attempts after each event that moved a job's state.
+def job_transitions(events: DataFrame, delay: str = "1 hour", lease: float = 6 * 3600.0) -> DataFrame:
+    """job_id, ts, event_id, status and attempts after each event, or end of a lease, that moved a job's state.
 
     ``events``: job_id, ts, event_id and what (queued, started, succeeded, failed, cancelled). A job begins anew when it is
-    queued; after success or cancellation nothing else moves it. Each key's state is two values.
+    queued; after success or cancellation nothing else moves it. A job started fails ``lease`` seconds later (event_id null)
+    unless another event comes first. Events wait in the state until the watermark has passed them and are then taken by ts
+    and event_id, so their order does not depend on micro-batches; those that come later than ``delay``, or have no ts, are
+    dropped. A key's state holds the events of one delay.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts = state.get if state.exists else ("unknown", 0)
+        status, attempts, until, waiting = state.get if state.exists else ("unknown", 0, None, "[]")
+        events = [tuple(e) for e in json.loads(waiting)]
+        if not state.hasTimedOut:
+            events += [(int(e.at), int(e.event_id), e.what) for f in frames for e in f.itertuples()]
+        events.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = [e for e in events if e[0] // 1000 * 1000 < passed]
         rows = []
-        for e in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
-            if e.what == "queued":
+        for at, event_id, what in [*ready, (passed, None, None)]:
+            if status == "started" and until < at:
+                status = "failed"
+                rows.append((key[0], until, None, status, attempts))
+            if what == "queued":
                 status, attempts = "queued", 0
-            elif status in ("succeeded", "cancelled"):
+            elif what is None or status in ("succeeded", "cancelled"):
                 continue
             else:
-                status, attempts = e.what, attempts + (e.what == "started")
-            rows.append((key[0], e.ts, e.event_id, status, attempts))
-        state.update((status, attempts))
-        yield pd.DataFrame(rows, columns=["job_id", "ts", "event_id", "status", "attempts"])
-
-    out = "job_id long, ts timestamp, event_id long, status string, attempts int"
-    return events.select("job_id", "ts", "event_id", "what").groupBy("job_id").applyInPandasWithState(run, out, "status string, attempts int", "append", GroupStateTimeout.NoTimeout)
+                status, attempts = what, attempts + (what == "started")
+            until = at + int(lease * 1e6) if status == "started" else None
+            rows.append((key[0], at, event_id, status, attempts))
+        events = events[len(ready) :]
+        state.update((status, attempts, until, json.dumps(events)))
+        due = [e[0] for e in events[:1]] + [until] * (status == "started")
+        if due:
+            state.setTimeoutTimestamp(max(min(due), passed) // 1000 + 1)
+        yield pd.DataFrame(rows, columns=["job_id", "at", "event_id", "status", "attempts"]).astype({"event_id": "Int64"})
+
+    held = events.where("ts is not null").withWatermark("ts", delay).select("job_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "what")
+    out, kept = "job_id long, at long, event_id long, status string, attempts int", "status string, attempts int, until long, waiting string"
+    moved = held.groupBy("job_id").applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+    return moved.select("job_id", F.timestamp_micros("at").alias("ts"), "event_id", "status", "attempts")
 
 
 def job_states(transitions: DataFrame, max_attempts: int = 3) -> DataFrame:
