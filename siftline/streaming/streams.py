@@ -91,7 +91,8 @@ def job_transitions(events: DataFrame, delay: str = "1 hour", lease: float = 6 *
         due = [e[0] for e in events[:1]] + [until] * (status == "started")
         if due:
             state.setTimeoutTimestamp(max(min(due), passed) // 1000 + 1)
-        yield pd.DataFrame(rows, columns=["job_id", "at", "event_id", "status", "attempts"]).astype({"event_id": "Int64"})
+        if rows:
+            yield pd.DataFrame(rows, columns=["job_id", "at", "event_id", "status", "attempts"]).astype({"event_id": "Int64"})
 
     held = events.where("ts is not null").withWatermark("ts", delay).select("job_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "what")
     out, kept = "job_id long, at long, event_id long, status string, attempts int", "status string, attempts int, until long, waiting string"
