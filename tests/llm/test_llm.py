@@ -120,6 +120,16 @@ def test_repeated_passages_go_whole(spark, n):
     assert staged == {d: text for d, (text, _) in out.items()}
 
 
+@pytest.mark.parametrize("least", [7, 1000])
+def test_hot_passages_are_split_without_a_loss(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "HOT_ROWS", least)
+    rows = [(i, f"own {i}\nshared head\nshared tail\nlast {i}") for i in range(300)] + [(300, "lone line\nshared head\nof its own")]
+    rows += [(300 + i, f"rare {i // 2} a\nrare {i // 2} b\nend {i}") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = dict(rows) | {i: f"own {i}\nlast {i}" for i in range(1, 300)} | {300 + i: f"end {i}" for i in range(3, 12, 2)}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_passages(docs).collect()} == want
+
+
 def test_passages_against_plain_python(spark, sf):
     docs = [(r.doc_id, r.text) for r in docs_of(spark, sf).orderBy("doc_id").collect()]
     seen, want = set(), {}
