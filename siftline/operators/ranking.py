@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import scores as sc
@@ -116,10 +116,18 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k: int = 5, boosts: Dat
     return top_k(hybrid_scores(queries, chunks, boosts=boosts), k).select("query_id", "rank", "chunk_id", F.round("keyword", 6).alias("keyword"), F.round("vector", 6).alias("vector"), F.round("score", 6).alias("score"))
 
 
+def content_key(text: Column) -> Column:
+    """A digest that texts share if they are equal with white space collapsed."""
+    return F.unhex(F.sha2(F.trim(F.regexp_replace(text, r"\s+", " ")), 256))
+
+
 def dedupe_candidates(scored: DataFrame) -> DataFrame:
-    """The best row for each file and text with white space collapsed."""
-    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    nth = F.row_number().over(Window.partitionBy("query_id", "file_name", flat).orderBy(F.desc("score"), "chunk_id"))
+    """The best row of each question for each file and content.
+
+    Rows have a text, or in its place the content_key() of it, so that no text moves once for each question that it meets.
+    """
+    content = F.col("content") if "content" in scored.columns else content_key(F.col("text"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "file_name", content).orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
@@ -219,7 +227,7 @@ def search_pipeline(
     """
     from siftline.operators.hooks import mmr_select
 
-    scope = written(scope, "scope")
+    scope = written(scope.withColumn("content", content_key(F.col("text"))), "scope")
     one = F.floor(F.col("query_id") / per_question).alias("query_id")
     best = lambda df: df.groupBy(one, "chunk_id").agg(F.max("score").alias("score"))
     keyword = best(bm25(rewrites, scope, matched=False)).withColumn("keyword", sc.squash(F.col("score"))).drop("score")
@@ -230,8 +238,9 @@ def search_pipeline(
     base = written(base.select("query_id", "chunk_id", "doc_id", "keyword", "vector", score.alias("score")), "base")
     near = base.join(evidence, ["query_id", "doc_id"]).select("query_id", "chunk_id", "graph_rank")
     fused = graph_rrf(base.select("query_id", "chunk_id", "score"), near, graph_weight).select("query_id", "chunk_id", F.col("fused").alias("score"))
-    once = written(dedupe_candidates(fused.join(scope.select("chunk_id", "file_name", "text"), "chunk_id")), "once")
-    pool = written(top_k(once, candidates).select("query_id", "chunk_id", "score", "text"), "candidates")
+    once = written(dedupe_candidates(fused.join(scope.select("chunk_id", "file_name", "content"), "chunk_id")).select("query_id", "chunk_id", "score"), "once")
+    # Texts join the candidates of each question only, not all the rows that were scored.
+    pool = written(top_k(once, candidates).join(scope.select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "score", "text"), "candidates")
     picked = mmr_select(pool.select("query_id", "chunk_id", "score", F.array_distinct(tx.tokenize(F.col("text"))).alias("tokens")), mmr_weight, candidates)
     picked = written(picked.select("query_id", "chunk_id", F.col("rank").alias("mmr_rank")), "picked")
     found = keyword_rerank(asked, pool).where(F.col("rerank_score") >= min_score).join(picked, ["query_id", "chunk_id"])
