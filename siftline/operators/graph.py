@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
 from siftline.operators.entities import entity_list
+from siftline.sources.scratch import written
 
 #: Words of a relation and its name.
 RELATION_NAMES = {
@@ -148,7 +149,8 @@ def bounded_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2) -> Data
     """source, target, path, hops, score and evidence of a shortest undirected path for each pair (source, target), if there is one.
 
     ``edges``: a, b, confidence and, if it is known, evidence. Each hop is one join; a node reached before from a source is not reached again, and
-    of equally short paths the smallest stays, so that a frontier holds at most one row for each source and node. The evidence
+    of equally short paths the smallest stays, so that a frontier holds at most one row for each source and node. Frontiers are
+    written, so that no hop computes the hops before it again. The evidence
     is the ordered distinct union of that of the edges.
     """
     if "evidence" not in edges.columns:
@@ -159,16 +161,18 @@ def bounded_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2) -> Data
     step = F.struct(F.col("source").alias("node"), F.lit(0.0).alias("c"), F.array().cast("array<bigint>").alias("e"))
     frontier = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.array(step).alias("path"))
     seen, found = frontier, None
-    for _ in range(max(1, min(max_hops, 4))):
+    hops = max(1, min(max_hops, 4))
+    for hop in range(hops):
         moved = frontier.join(both, frontier["node"] == both["a"]).select("source", F.col("b").alias("node"), F.array_append("path", F.struct(F.col("b").alias("node"), "c", "e")).alias("path"))
         frontier = moved.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen.select("source", "node"), ["source", "node"], "left_anti")
+        frontier = written(frontier, "frontier") if hop + 1 < hops else frontier
         seen = seen.unionByName(frontier)
         hit = pairs.join(frontier.withColumnRenamed("node", "target"), ["source", "target"])
         found = hit if found is None else found.unionByName(hit)
-    hops = F.size("path") - 1
+    length = F.size("path") - 1
     total = F.aggregate("path", F.lit(0.0), lambda s, x: s + x["c"])
     union = F.array_distinct(F.flatten(F.transform("path", lambda x: x["e"])))
-    return found.select("source", "target", F.transform("path", lambda x: x["node"]).alias("path"), hops.alias("hops"), F.round(total / hops, 6).alias("score"), union.alias("evidence"))
+    return found.select("source", "target", F.transform("path", lambda x: x["node"]).alias("path"), length.alias("hops"), F.round(total / length, 6).alias("score"), union.alias("evidence"))
 
 
 def graph_search(queries: DataFrame, seeds: DataFrame, pairs: DataFrame, paths: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
