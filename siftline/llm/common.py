@@ -47,6 +47,12 @@ def drop_written(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_all(*tables: DataFrame) -> None:
+    """Delete written tables that only other written tables were made from."""
+    for df in tables:
+        drop_written(df.sparkSession, df)
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same (non-null) keys that come earlier in ``order``.
 

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import split_hot, written
+from siftline.llm.common import drop_all, split_hot, written
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,6 +94,7 @@ def repeated_chunks(docs: DataFrame, window: int = 2, modulus: int = 8, min_word
     suspects = rows.join(marked, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
     found = suspects.select("doc_id", "version", F.explode(let(F.split("text", "\n"), lambda lines: F.transform("marked", lambda c: F.struct(c["start"].alias("start"), c["n"].alias("n"), c["slice"].alias("slice"), c["slices"].alias("slices"), piece(lines, c).alias("chunk"))))).alias("c"))
     texts = written(found.select("doc_id", "version", "c.*"), "suspects")
+    drop_all(hashes, again)
     # Both sides compare the bytes of the chunks; the owner of a hot chunk meets each slice of its places.
     owners = texts.groupBy("chunk", "slices").agg(F.min(place).alias("owner")).select("chunk", "owner", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     surplus = texts.join(owners, ["chunk", "slice"]).where(place != F.col("owner"))
@@ -135,11 +136,13 @@ def repeated_lines(docs: DataFrame, min_lines: int = 2, min_words: int = 50) ->
     hashes = rows.where(F.col("text") != "").select("doc_id", "version", F.explode(let(F.split("text", "\n"), hashed)).alias("u"))
     hashes = written(hashes.select("doc_id", "version", "u.ord", "u.hash"), "units")
     again = hashes.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("places")).where(F.col("a") != F.col("b")).select("hash", "places")
-    spread, parts = split_hot(hashes, written(again, "again"), "hash", "places")
+    again = written(again, "again")
+    spread, parts = split_hot(hashes, again, "hash", "places")
     marked = spread.join(parts, ["hash", "slice"]).groupBy("doc_id", "version").agg(F.collect_set("ord").alias("ords"))
     suspects = rows.join(marked, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
     found = suspects.select("doc_id", "version", F.explode(let(F.split("text", "\n"), digests)).alias("u"))
     found = written(found.select("doc_id", "version", "u.ord", "u.n", "u.digest"), "suspects")
+    drop_all(hashes, again)
     # Equal SHA-256 digests stand for equal bytes: every line is in several runs, whose texts would move as often.
     owners = written(found.groupBy("digest").agg(F.min(place).alias("owner"), F.count("*").alias("places")).where("places > 1"), "owners")
     spread, parts = split_hot(found, owners, "digest", "places")
