@@ -30,11 +30,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes an execution's shuffle files at its end, not at the driver's next garbage collection.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    The table takes the place of the shuffles that made it, so their files go as soon as it is written.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(spark: SparkSession, df: DataFrame) -> None:
