@@ -110,28 +110,37 @@ def language_references(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang").agg(*add)
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words in 3-word windows that occur at least twice in the text."""
-    if len(words) < 4:
+def first_places(words: list[bytes]) -> np.ndarray:
+    """For each word the place of the first equal one."""
+    first: dict[bytes, int] = {}
+    return np.fromiter(map(first.setdefault, words, range(len(words))), np.uint64, len(words))
+
+
+def repeated_places(places: np.ndarray) -> int:
+    """Words in 3-word windows that occur at least twice, from the first_places() of a text's words."""
+    if len(places) < 4:
         return 0
-    number: dict[bytes, int] = {}
-    n = np.array([number.setdefault(w, len(number)) for w in words], np.uint64)
-    k = np.uint64(len(number))
-    if len(number) < 1 << 21:
-        windows = (n[:-2] * k + n[1:-1]) * k + n[2:]
+    k = np.uint64(len(places))
+    if len(places) < 1 << 21:
+        windows = (places[:-2] * k + places[1:-1]) * k + places[2:]
     else:
-        windows = mixed(mixed(n[:-2] * k + n[1:-1]) + n[2:])
+        windows = mixed(mixed(places[:-2] * k + places[1:-1]) + places[2:])
     order = np.argsort(windows, kind="stable")
     same = np.diff(windows[order]) == 0
     twice = np.zeros(len(windows), bool)
     twice[order[:-1]] |= same
     twice[order[1:]] |= same
-    covered = np.zeros(len(words), bool)
+    covered = np.zeros(len(places), bool)
     for j in range(3):
         covered[j : j + len(twice)] |= twice
     return int(covered.sum())
 
 
+def repeated_words(words: list[bytes]) -> int:
+    """Words in 3-word windows that occur at least twice in the text."""
+    return repeated_places(first_places(words))
+
+
 def duplicate_lines(text: bytes) -> int:
     """Lines with a word that equal an earlier line."""
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]

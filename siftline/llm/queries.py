@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import ann, bpe, license_scan, line_dedup, mixing, ngram_join, quality, sharding, token_store, url_filter
+from siftline.llm import ann, bpe, classifier, hard_negatives, license_scan, line_dedup, mixing, ngram_join, quality, sharding, spelling, token_store, url_filter
 
 
 def tokenizer_file() -> str:
@@ -66,8 +66,26 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op11_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_url_filter, op4_mixing, op5_sharding, op6_ngram_join, op7_quality, op8_ann, op9_token_store, op10_bpe)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_line_dedup, op2_license_scan, op3_url_filter, op4_mixing, op5_sharding, op6_ngram_join, op7_quality, op8_ann, op9_token_store, op10_bpe,
+            op11_classifier, op12_hard_negatives, op13_spelling,
+        )
+    }
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -140,6 +158,23 @@ FROM documents d JOIN class c ON d.doc_id = c.a LEFT JOIN degree g ON d.doc_id =
 """
 
 
+_OP12 = """
+WITH part AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, x.vec_id, a.label = x.label AS same, list_dot_product(a.v, x.v)::BIGINT AS score
+  FROM part a JOIN part x ON a.vec_id % 100 = 0 AND a.vec_id <> x.vec_id
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others use hashes, models or the tokenizer, which SQL cannot express; tests hold them against brute force."""
-    return {"op1_line_dedup": _OP1, "op3_url_filter": _op3(), "op6_ngram_join": _OP6}
+    return {"op1_line_dedup": _OP1, "op3_url_filter": _op3(), "op6_ngram_join": _OP6, "op12_hard_negatives": _OP12}
