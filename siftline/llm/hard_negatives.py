@@ -352,8 +352,10 @@ def mine(vectors: DataFrame, anchors: DataFrame, how: Mining = Mining()) -> Data
     the first vectors of its own label are its positives, and of each positive the first vectors of other labels
     whose score lies between two shares of the positive's are its negatives; higher scores come first, ties by
     smaller vec_id. An anchor without positives, or a positive without negatives (so one with a negative score),
-    has no rows. Zero vectors take part with score 0. Empty tables give an empty table.
+    has no rows. Zero vectors take part with score 0. Empty tables, and tables without anchors, give an empty table.
     """
+    if anchors.isEmpty():
+        return vectors.sparkSession.createDataFrame([], "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long")
     lists, members = clustered(anchors, how)
     block = F.pmod(F.xxhash64("vec_id"), F.greatest(F.lit(1), F.ceil(F.count("*").over(Window.partitionBy("cluster")) / how.block))).cast("long")
     members = written(members.withColumn("block", block), "members")
