@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions import scores as sc
 from siftline.functions import text as tx
-from siftline.operators import corpus
+from siftline.operators import cells, corpus, inverted
+from siftline.operators.order import ranked_all
 from siftline.operators.vectors import sparse_block_scores
 from siftline.sources.scratch import written
 
@@ -21,22 +22,17 @@ def match_postings(terms: DataFrame, post: DataFrame) -> DataFrame:
     return terms.join(post, "token")
 
 
-#: Question tokens up to which they are broadcast to the corpus (about 40 bytes each).
-BROADCAST_TERMS = 200_000
-
-
-def question_postings(terms: DataFrame, chunks: DataFrame) -> DataFrame:
+def question_postings(terms: DataFrame, chunks: DataFrame, together: bool = True) -> DataFrame:
     """chunk_id, len, token and tf of the questions' tokens in each chunk, and one row without a token for each chunk.
 
-    The corpus is read and tokenized once; tokens that no question has are dropped in the task that found them.
+    The corpus is read and tokenized once; tokens that no question has are dropped in the task that found them. ``together``: all
+    postings of a chunk lie in one file, so that its scores are summed before they are shuffled; else repeated tokens are
+    counted before the shuffle.
     """
-    wanted = terms.select("token").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
+    wanted = inverted.small(terms.select("token").distinct())
     words = chunks.select("chunk_id", tx.tokenize(F.col("text")).alias("tokens")).select("chunk_id", F.size("tokens").alias("len"), F.explode(F.array_append("tokens", F.lit(None).cast("string"))).alias("token"))
-    kept = words.join(wanted.withColumn("asked", F.lit(True)), "token", "left").where(F.col("asked") | F.col("token").isNull())
-    # All postings of a chunk lie in one file, so that its scores are summed before they are shuffled.
-    return written(kept.select("chunk_id", "len", "token").repartition("chunk_id").groupBy("chunk_id", "len", "token").agg(F.count("*").alias("tf")), "postings")
+    kept = words.join(wanted.withColumn("asked", F.lit(True)), "token", "left").where(F.col("asked") | F.col("token").isNull()).select("chunk_id", "len", "token")
+    return written((kept.repartition("chunk_id") if together else kept).groupBy("chunk_id", "len", "token").agg(F.count("*").alias("tf")), "postings")
 
 
 def scored_postings(terms: DataFrame, post: DataFrame, k1: float, b: float) -> DataFrame:
@@ -65,16 +61,27 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, boosts: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """The k best of each question, times the boost (chunk_id, boost) of the chunk's document; the matched terms are looked up for these alone."""
+def keyword_index(queries: DataFrame, chunks: DataFrame, boosts: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, inverted.InvertedIndex]:
+    """The questions' terms, and the index of their tokens in the chunks."""
     terms = written(query_terms(queries), "terms")
-    post = question_postings(terms, chunks)
-    found = scored_postings(terms, post, k1, b).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    best = written(top_k(boosted(found.withColumn("score", F.round(sc.squash(F.col("score")), 9)), boosts), k), "best")
-    matched = best.join(terms, "query_id").join(post.select("chunk_id", "token"), ["chunk_id", "token"]).groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_set("token")).alias("matched"))
+    return terms, inverted.build_index(question_postings(terms, chunks, together=False), boosts, k1, b)
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int = 5, boosts: DataFrame | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """The k best of each question, times the boost (chunk_id, boost) of the chunk's document, without scoring all pairs; the matched
+    terms are looked up for these alone."""
+    terms, index = keyword_index(queries, chunks, boosts, k1, b)
+    best = written(inverted.top_chunks(terms, index, k), "best")
+    matched = best.join(terms, "query_id").join(index.postings.select("chunk_id", "token"), ["chunk_id", "token"]).groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_set("token")).alias("matched"))
     return best.join(matched, ["query_id", "chunk_id"]).select("query_id", "rank", "chunk_id", "score", "matched")
 
 
+def rank_base(queries: DataFrame, chunks: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
+    """query_id, chunk_id and rank of every scored chunk of each question, however many they are."""
+    scored = boosted(bm25(queries, chunks, matched=False).withColumn("score", F.round(sc.squash(F.col("score")), 9)), boosts)
+    return ranked_all(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")]).select("query_id", "chunk_id", "rank")
+
+
 def embedded(rows: DataFrame, key: str) -> DataFrame:
     """key, idx and value: one sparse vector a row."""
     entry = F.array_sort(F.collect_list(F.struct("idx", "value")))
@@ -93,8 +100,16 @@ def vector_scores(queries: DataFrame, chunks: DataFrame, k: int | None = None, b
     return sparse_block_scores(q, written(c, "vectors"), k)
 
 
+def vector_index(queries: DataFrame, chunks: DataFrame, boosts: DataFrame | None = None) -> tuple[DataFrame, cells.CellIndex]:
+    """The questions' hash vectors, and the cells of the chunks'."""
+    q = written(embedded(queries.select("query_id", F.col("question").alias("text")), "query_id"), "questions")
+    c = embedded(chunks, "chunk_id")
+    return q, cells.build_cells(written(c if boosts is None else c.join(boosts, "chunk_id", "left").na.fill(1.0, ["boost"]), "vectors"))
+
+
 def semantic_search(queries: DataFrame, chunks: DataFrame, k: int = 5, boosts: DataFrame | None = None) -> DataFrame:
-    return top_k(vector_scores(queries, chunks, k, boosts), k).select("query_id", "rank", "chunk_id", "score")
+    """The k best of each question by cosine, from the cells that can hold them."""
+    return cells.nearest(*vector_index(queries, chunks, boosts), k)
 
 
 def boosted(scored: DataFrame, boosts: DataFrame | None) -> DataFrame:
@@ -154,13 +169,16 @@ def keyword_rerank(queries: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def graph_rrf(scored: DataFrame, evidence: DataFrame, weight: float = 0.35) -> DataFrame:
-    """Reciprocal rank fusion of the base rank and the best rank of a chunk's graph evidence; questions without evidence keep their scores."""
-    base = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    """Reciprocal rank fusion of the base rank and the best rank of a chunk's graph evidence; questions without evidence keep their scores.
+
+    Base ranks come from the sorted parts of all scores (ranked_all), so that no task holds all chunks of a question.
+    """
     best = evidence.groupBy("query_id", "chunk_id").agg(F.min("graph_rank").alias("graph_rank"))
-    rows = scored.withColumn("base_rank", base).join(best, ["query_id", "chunk_id"], "left")
+    rows = ranked_all(scored.select("query_id", "chunk_id", "score"), ["query_id"], [F.desc("score"), F.col("chunk_id")], "base_rank").join(best, ["query_id", "chunk_id"], "left")
     fused = 61 * ((1 - weight) / (60 + F.col("base_rank")) + F.coalesce(weight / (60 + F.col("graph_rank")), F.lit(0.0)))
-    has = F.max(F.col("graph_rank").isNotNull()).over(Window.partitionBy("query_id"))
-    return rows.select("query_id", "chunk_id", "base_rank", "graph_rank", F.round(F.when(has, fused).otherwise(F.col("score")), 9).alias("fused"))
+    # Evidence of a chunk without a score gives its question no fusion.
+    has = best.join(scored.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi").select("query_id").distinct().withColumn("has", F.lit(True))
+    return rows.join(has, "query_id", "left").select("query_id", "chunk_id", "base_rank", "graph_rank", F.round(F.when(F.col("has"), fused).otherwise(F.col("score")), 9).alias("fused"))
 
 
 def compare_profiles(runs: dict[str, DataFrame], sources: DataFrame) -> DataFrame:

@@ -58,10 +58,10 @@ def ret01(spark: S, sf: str) -> DataFrame:
     return keyword(spark, sf)
 
 
-@query("WIN-03", f"WITH {BASE}, {KEYWORD} SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 50")
+@query("WIN-03", f"WITH {BASE}, {KEYWORD} SELECT query_id, chunk_id, rank FROM ranked")
 def win03(spark: S, sf: str) -> DataFrame:
-    """Base ranks of the first fifty chunks of each question."""
-    return keyword(spark, sf, 50).select("query_id", "chunk_id", "rank")
+    """Base ranks of all scored chunks of each question."""
+    return ranking.rank_base(questions(spark, sf), chunks(spark, sf), boosts(spark, sf))
 
 
 @query("TOP-01", f"WITH {BASE}, {KEYWORD} SELECT query_id, rank, chunk_id FROM ranked WHERE rank <= 20")
