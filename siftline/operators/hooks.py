@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,16 +30,31 @@ def embed_with(rows: DataFrame, key: str, embed_batch: Callable[[list[str]], lis
     return rows.select(key, "text").mapInPandas(run, f"{key} {kind}, embedding array<double>, error string")
 
 
-def rerank_with(ranked: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], own: float = 0.55) -> DataFrame:
-    """Ranks by 0.55 of the scorer's score for (question, text) and 0.45 of the row's."""
+def rerank_with(ranked: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None, own: float = 0.55) -> DataFrame:
+    """query_id, chunk_id, rerank, rerank_score, status and error: ranks by 0.55 of the scorer's score for (question, text) and 0.45 of the row's.
 
-    def scored(questions: pd.Series, texts: pd.Series) -> pd.Series:
-        return scorer(questions, texts).astype("float64")
-
-    external = F.pandas_udf(scored, T.DoubleType())
-    rows = ranked.withColumn("rerank_score", F.round(own * external("question", "text") + (1 - own) * F.col("score"), 9))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id"))
-    return rows.select("query_id", "chunk_id", rank.alias("rerank"), "rerank_score")
+    The scorer gets a question's candidates together, which are few. If it fails for a question, that question keeps the order of
+    its own scores, with the status fallback and the error; no scorer keeps all orders (disabled). Scores that are null or not finite are failures.
+    """
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "chunk_id"))
+    if scorer is None:
+        rows = ranked.select("query_id", "chunk_id", F.col("score").alias("rerank_score"), F.lit("disabled").alias("status"), F.lit(None).cast("string").alias("error"))
+        return rows.select("query_id", "chunk_id", order.alias("rerank"), "rerank_score", "status", "error")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        status, error, score = "success", None, rows["score"].astype("float64")
+        try:
+            external = pd.Series(scorer(rows["question"], rows["text"])).astype("float64").to_numpy()
+            if len(external) != len(rows) or not np.isfinite(external).all():
+                raise ValueError("a score for each candidate is needed")
+            score = (own * external + (1 - own) * score).round(9)
+        except Exception as problem:
+            status, error = "fallback", f"{type(problem).__name__}: {problem}"
+        return pd.DataFrame({"query_id": rows["query_id"], "chunk_id": rows["chunk_id"], "rerank_score": score, "status": status, "error": error})
+
+    kinds = dict(ranked.dtypes)
+    rows = ranked.select("query_id", "chunk_id", "score", "question", "text").groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, rerank_score double, status string, error string")
+    return rows.select("query_id", "chunk_id", order.alias("rerank"), "rerank_score", "status", "error")
 
 
 def mmr_select(candidates: DataFrame, weight: float = 0.78, limit: int = 10) -> DataFrame:

@@ -146,10 +146,25 @@ def dedupe_candidates(scored: DataFrame) -> DataFrame:
     return scored.withColumn("nth", nth).where("nth = 1").drop("nth")
 
 
-def refusal_decision(queries: DataFrame, ranked: DataFrame, threshold: float = 0.05) -> DataFrame:
-    top = ranked.groupBy("query_id").agg(F.max("score").alias("top_score"), F.max(F.size("matched")).alias("matches"))
-    rows = queries.select("query_id").join(top, "query_id", "left")
-    reason = F.when(F.col("top_score").isNull(), "no_evidence").when(F.col("top_score") < threshold, "below_threshold").when((F.col("matches") == 0) & (F.col("top_score") < 0.15), "weak_grounding")
+#: Matched terms that carry no information.
+LOW_INFORMATION = (
+    "api", "app", "store", "系统", "流程", "方式", "功能", "参数", "配置", "应该", "需要",
+    "问题", "资料", "文档", "项目", "目的", "规则", "内容", "相关", "什么", "怎么", "如何",
+    "多少", "是否", "提供", "哪些", "当前", "自动",
+)
+
+
+def refusal_decision(queries: DataFrame, ranked: DataFrame, threshold: float = 0.05, least_score: float = 0.15, hashed: bool = True) -> DataFrame:
+    """query_id, top_score, reason and decision, from the first row of each question (rank, score, matched).
+
+    No row, and a score under the threshold, are refused. With hash vectors (``hashed``), whose closeness proves little, so is a row whose
+    matched terms all carry no information; with any vectors, one without matched terms and with a low score.
+    """
+    top = ranked.groupBy("query_id").agg(F.min_by(F.struct("score", "matched"), "rank").alias("top"))
+    rows = queries.select("query_id").join(top, "query_id", "left").select("query_id", F.col("top.score").alias("top_score"), F.transform(F.coalesce("top.matched", F.array().cast("array<string>")), lambda t: F.lower(t)).alias("terms"))
+    telling = F.size(F.array_except("terms", tx.strings(*LOW_INFORMATION)))
+    weak = ((telling == 0) if hashed else F.lit(False)) | ((F.size("terms") == 0) & (F.col("top_score") < least_score))
+    reason = F.when(F.col("top_score").isNull(), "no_evidence").when(F.col("top_score") < threshold, "below_threshold").when(weak, "weak_grounding")
     return rows.select("query_id", "top_score", reason.alias("reason"), F.when(reason.isNull(), "answered").otherwise("refused").alias("decision"))
 
 

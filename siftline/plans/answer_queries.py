@@ -16,7 +16,7 @@ from siftline.plans import evaluation_queries, more_queries, text_queries, windo
 from siftline.plans.element_queries import _MD, KIND, PLAIN, marked
 from siftline.plans.graph_queries import _PATHS, _SEARCH, graph_found
 from siftline.plans.more_queries import _MARKED, mmr_sql
-from siftline.plans.ranking_queries import BASE, BOOSTS, KEYWORD, TOP, boosts, chunks, keyword
+from siftline.plans.ranking_queries import REASON, BASE, BOOSTS, KEYWORD, TOP, boosts, chunks, keyword
 from siftline.plans.registry import ORACLES, QUERIES, query
 from siftline.plans.sql import BM25, CHARACTERS, CHUNKS, COSINE, HAN_TEXT, LETTERS, QUESTIONS, WHOLE, tok
 from siftline.sources.scratch import written
@@ -309,8 +309,8 @@ _FOUND = f"{_STAGES}, cited AS (SELECT t.query_id, rank, t.chunk_id, t.score, fi
 _TOLD = f"""answer AS (SELECT q.query_id, coalesce(string_agg('[' || rank || '] ' || {_CUT(_FLAT('text'), 150)} || ' (' || file_name || ', chunk ' || chunk_id || ', score ' || CAST(score AS DECIMAL(10, 4)) || ')', chr(10) ORDER BY rank), 'no evidence') AS answer FROM asked q LEFT JOIN (SELECT * FROM cited WHERE rank <= 3) c USING (query_id) GROUP BY 1)"""
 
 
-@query("EVL-04", f"""WITH RECURSIVE {_FOUND}, {_TOLD}, {_SENT}, best AS (SELECT query_id, max(score) AS top_score, max(len(matched)) AS m FROM cited GROUP BY 1),
-d AS (SELECT query_id, CASE WHEN b.top_score IS NULL THEN 'no_evidence' WHEN b.top_score < 0.05 THEN 'below_threshold' WHEN m = 0 AND b.top_score < 0.15 THEN 'weak_grounding' END AS reason FROM asked LEFT JOIN best b USING (query_id))
+@query("EVL-04", f"""WITH RECURSIVE {_FOUND}, {_TOLD}, {_SENT}, best AS (SELECT query_id, score AS best_score, matched FROM cited WHERE rank = 1),
+d AS (SELECT query_id, {REASON.replace("top_score", "best_score")} AS reason FROM asked LEFT JOIN best b USING (query_id))
 SELECT query_id, CASE WHEN reason IS NULL THEN 'answered' ELSE 'refused' END AS decision, reason, CASE WHEN reason IS NULL THEN answer END AS answer, round(cov, 4) AS coverage, round(gro, 4) AS grounding,
 CASE WHEN z.n = 0 THEN 'unknown' WHEN c >= 0.35 AND z.n >= 3 AND cov >= 0.65 AND gro >= 0.65 THEN 'strong' WHEN c >= 0.16 AND z.n >= 2 AND cov >= 0.45 AND gro >= 0.45 THEN 'medium' ELSE 'weak' END AS trust FROM d JOIN answer USING (query_id) JOIN z USING (query_id)""")
 def evl04(spark: S, sf: str) -> DataFrame:

@@ -9,7 +9,7 @@ from siftline.functions import text as tx
 from siftline.operators import evaluation as ev
 from siftline.operators import ranking
 from siftline.plans.graph_queries import _PATHS, _SEARCH, graph_found
-from siftline.plans.ranking_queries import KEYWORD, boosts, chunks
+from siftline.plans.ranking_queries import REASON, KEYWORD, boosts, chunks
 from siftline.plans.registry import query
 from siftline.plans.sql import BM25, QUESTIONS, WHOLE, tok
 from siftline.sources.scratch import written
@@ -59,8 +59,8 @@ def evl05(spark: S, sf: str) -> DataFrame:
 _HOLDS = lambda words: f"bool_or(len(list_filter({words}, lambda w: NOT contains(lower(text), lower(w)))) = 0)"
 _BARE = lambda t: rf"lower(regexp_replace({t}, '\s+', '', 'g'))"
 _ROWS = f"""graph AS (SELECT * FROM (WITH {_PATHS}, {_SEARCH} SELECT query_id, labels, evidence FROM graph)),
-t AS (SELECT query_id, max(score) AS top_score, max(len(matched)) AS m FROM cited GROUP BY 1),
-dec AS (SELECT q.query_id, CASE WHEN top_score IS NULL OR top_score < 0.05 OR (m = 0 AND top_score < 0.15) THEN 'refused' ELSE 'answered' END AS decision FROM questions q LEFT JOIN t USING (query_id)),
+t AS (SELECT query_id, score AS top_score, matched FROM cited WHERE rank = 1),
+dec AS (SELECT q.query_id, CASE WHEN {REASON} IS NULL THEN 'answered' ELSE 'refused' END AS decision FROM questions q LEFT JOIN t USING (query_id)),
 f AS (SELECT query_id, min(rank) FILTER (WHERE hit) AS first_rank, bool_or(rank = 1 AND hit) AS first_hit, max(score) AS top_score, {_HOLDS('cells')} AS cell, {_HOLDS('caption')} AS caption_hit, bool_or(contains({_BARE('text')}, {_BARE('formula')})) AS formula_hit, list(DISTINCT doc_id) AS cited
 FROM (SELECT *, {_RIGHT} AS hit FROM cited JOIN cs USING (query_id)) GROUP BY 1),
 result AS (SELECT query_id, category, modality, should_answer, sources, decision, CASE WHEN should_answer THEN decision <> 'refused' ELSE decision = 'refused' END AS decision_correct, CASE WHEN should_answer THEN first_rank IS NOT NULL END AS recall_hit, first_rank,

@@ -14,6 +14,7 @@ from siftline.operators.entities import ENTITY_STOPWORDS
 from siftline.plans.ranking_queries import BASE, KEYWORD, chunks, keyword
 from siftline.plans.registry import query
 from siftline.plans.sql import tok
+from siftline.sources.scratch import written
 from siftline.sources.tables import questions, table
 
 S = SparkSession
@@ -54,10 +55,20 @@ def overlap(asked: pd.Series, texts: pd.Series) -> pd.Series:
 _SHARED = r"len(list_intersect(list_distinct(list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> '')), list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')))) / greatest(len(list_distinct(list_filter(regexp_split_to_array(question, '\s+'), lambda x: x <> ''))), 1)"
 
 
-@query("RET-06", f"WITH {BASE}, {KEYWORD}, s AS (SELECT query_id, chunk_id, round(0.55 * {_SHARED} + 0.45 * score, 9) AS rerank_score FROM ranked JOIN chunks USING (chunk_id) JOIN questions USING (query_id) WHERE rank <= 20) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, chunk_id) AS rerank, rerank_score FROM s")
+def moody(asked: pd.Series, texts: pd.Series) -> pd.Series:
+    """overlap() that fails for some questions."""
+    if len(asked.iloc[0]) % 5 == 0:
+        raise RuntimeError("the model is away")
+    return overlap(asked, texts)
+
+
+@query("RET-06", f"""WITH {BASE}, {KEYWORD}, c AS (SELECT query_id, chunk_id, score, question, text, length(question) % 5 = 0 AS away FROM ranked JOIN chunks USING (chunk_id) JOIN questions USING (query_id) WHERE rank <= 20),
+s AS (SELECT query_id, chunk_id, false AS off, CASE WHEN away THEN score ELSE round(0.55 * {_SHARED} + 0.45 * score, 9) END AS rerank_score, CASE WHEN away THEN 'fallback' ELSE 'success' END AS status, CASE WHEN away THEN 'RuntimeError: the model is away' END AS error FROM c
+UNION ALL SELECT query_id, chunk_id, true, score, 'disabled', NULL FROM c) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id, off ORDER BY rerank_score DESC, chunk_id) AS rerank, rerank_score, status, error FROM s""")
 def ret06(spark: S, sf: str) -> DataFrame:
-    rows = keyword(spark, sf, 20).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf), "query_id")
-    return hooks.rerank_with(rows, overlap)
+    """A scorer that fails for some questions, and no scorer."""
+    rows = written(keyword(spark, sf, 20).join(chunks(spark, sf), "chunk_id").join(questions(spark, sf), "query_id"), "candidates")
+    return hooks.rerank_with(rows, moody).unionByName(hooks.rerank_with(rows, None))
 
 
 def mmr_sql(limit: int, weight: float = 0.78) -> str:

@@ -121,11 +121,22 @@ def ret07(spark: S, sf: str) -> DataFrame:
     return ranking.graph_rrf(ranked.select("query_id", "chunk_id", "score"), evidence)
 
 
-@query("EVL-01", f"""WITH {BASE}, {KEYWORD}, t AS (SELECT query_id, max(score) AS top_score, max(len(matched)) AS m FROM ranked WHERE rank <= 5 GROUP BY 1)
-SELECT q.query_id, top_score, CASE WHEN top_score IS NULL THEN 'no_evidence' WHEN top_score < 0.05 THEN 'below_threshold' WHEN m = 0 AND top_score < 0.15 THEN 'weak_grounding' END AS reason,
-CASE WHEN top_score IS NULL OR top_score < 0.05 OR (m = 0 AND top_score < 0.15) THEN 'refused' ELSE 'answered' END AS decision FROM questions q LEFT JOIN t USING (query_id)""")
+#: The words of LOW_INFORMATION for SQL, and the reason of a refusal from top_score and the matched terms of the first row.
+LOW_LIST = "[" + ", ".join(f"'{w}'" for w in ranking.LOW_INFORMATION) + "]"
+REASON = f"CASE WHEN top_score IS NULL THEN 'no_evidence' WHEN top_score < 0.05 THEN 'below_threshold' WHEN len(list_filter(matched, lambda t: NOT list_contains({LOW_LIST}, lower(t)))) = 0 THEN 'weak_grounding' END"
+_VAGUE = f"""asked AS (SELECT * FROM ({QUESTIONS.split('AS (', 1)[1]}), questions AS (SELECT query_id, CASE query_id % 5 WHEN 0 THEN 'api 系统 store' WHEN 1 THEN md5(question) WHEN 2 THEN question || ' api' ELSE question END AS question FROM asked),
+{WHOLE.replace("text, source", "text || CASE doc_id % 4 WHEN 0 THEN ' API' WHEN 1 THEN ' 系统' ELSE '' END AS text, source")}, {BM25}"""
+
+
+@query("EVL-01", f"""WITH {_VAGUE}, {KEYWORD}, t AS (SELECT query_id, score AS top_score, matched FROM ranked WHERE rank = 1), r AS (SELECT q.query_id, top_score, {REASON} AS reason FROM questions q LEFT JOIN t USING (query_id))
+SELECT query_id, top_score, reason, CASE WHEN reason IS NULL THEN 'answered' ELSE 'refused' END AS decision FROM r""")
 def evl01(spark: S, sf: str) -> DataFrame:
-    return ranking.refusal_decision(questions(spark, sf), keyword(spark, sf))
+    """Half of the documents hold a word that says nothing; every fifth question has only such words, and every fifth one that nobody knows."""
+    kind, doc = F.col("query_id") % 5, F.col("document_id").cast("long") % 4
+    said = F.when(kind == 0, "api 系统 store").when(kind == 1, F.md5("question")).when(kind == 2, F.concat("question", F.lit(" api"))).otherwise(F.col("question"))
+    asked = questions(spark, sf).withColumn("question", said)
+    texts = chunks(spark, sf).withColumn("text", F.concat("text", F.when(doc == 0, " API").when(doc == 1, " 系统").otherwise("")))
+    return ranking.refusal_decision(asked, ranking.keyword_search(asked, texts, 5, boosts(spark, sf)))
 
 
 @query("TXT-14", f"""WITH {BASE}, {KEYWORD}, p AS (SELECT query_id, chunk_id, text, coalesce(list_min(list_filter(list_transform(matched, lambda t: position(t IN lower(text))), lambda x: x > 0)) - 1, 0) AS centre FROM ranked JOIN chunks USING (chunk_id) WHERE rank <= 5),
