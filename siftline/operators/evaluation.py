@@ -24,11 +24,11 @@ def case_relevance(cases: DataFrame, citations: DataFrame) -> DataFrame:
     return rows.select("query_id", "chunk_id", "rank", relevant(F.col("text"), F.col("file_name"), F.col("sources"), F.col("keywords")).alias("relevant"))
 
 
-def evaluate_cases(cases: DataFrame, citations: DataFrame, decisions: DataFrame, graph: DataFrame) -> DataFrame:
+def evaluate_cases(cases: DataFrame, citations: DataFrame, decisions: DataFrame, graph: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row for each case: its decision, hits, ranks and what its modality asks for.
 
     ``cases``: query_id, should_answer, category, modality, sources, keywords, cells, caption, formula, path. ``citations``: the
-    rows returned (rank, score, file_name, text, doc_id). ``graph``: labels of paths and evidence. What a case does not expect is null.
+    rows returned (rank, score, file_name, text, doc_id). ``graph``: labels of paths; ``evidence``: query_id and doc_id, distinct rows. What a case does not expect is null.
     """
     low = F.lower("text")
     holds = lambda words: F.forall(words, lambda w: F.contains(low, F.lower(w)))
@@ -37,19 +37,22 @@ def evaluate_cases(cases: DataFrame, citations: DataFrame, decisions: DataFrame,
     rows = rows.withColumn("hit", relevant(F.col("text"), F.col("file_name"), F.col("sources"), F.col("keywords")))
     found = rows.groupBy("query_id").agg(
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("first_rank"), F.bool_or((F.col("rank") == 1) & F.col("hit")).alias("first_hit"), F.max("score").alias("top_score"),
-        F.bool_or(holds("cells")).alias("cell"), F.bool_or(holds("caption")).alias("caption_hit"), F.bool_or(F.contains(bare(F.col("text")), bare(F.col("formula")))).alias("formula_hit"), F.collect_set("doc_id").alias("cited"),
+        F.bool_or(holds("cells")).alias("cell"), F.bool_or(holds("caption")).alias("caption_hit"), F.bool_or(F.contains(bare(F.col("text")), bare(F.col("formula")))).alias("formula_hit"),
     )
-    out = cases.join(decisions.select("query_id", "decision"), "query_id").join(found, "query_id", "left").join(graph.select("query_id", "labels", "evidence"), "query_id", "left")
+    out = cases.join(decisions.select("query_id", "decision"), "query_id").join(found, "query_id", "left").join(graph.select("query_id", "labels"), "query_id", "left")
+    # Only counts are gathered of the evidence: its rows, and those that a citation shows.
+    cited = citations.select("query_id", "doc_id").distinct().withColumn("cited", F.lit(1))
+    shares = evidence.join(cited, ["query_id", "doc_id"], "left").groupBy("query_id").agg((F.count("cited") / F.count("*")).alias("covered"))
+    out = out.join(shares, "query_id", "left")
     no = lambda c: F.coalesce(c, F.lit(False))
     answer, asks_graph = F.col("should_answer"), F.col("category") == "multihop-graph"
     on_path = lambda labels: F.forall("path", lambda w: F.exists(labels, lambda x: F.contains(F.lower(x), F.lower(w))))
-    covered = F.size(F.array_intersect("evidence", F.coalesce("cited", F.array().cast("array<bigint>")))) / F.greatest(F.size("evidence"), F.lit(1))
     refused = F.col("decision") == "refused"
     return out.select(
         "query_id", "category", "modality", "should_answer", "sources", "decision", F.when(answer, ~refused).otherwise(refused).alias("decision_correct"),
         F.when(answer, F.col("first_rank").isNotNull()).alias("recall_hit"), "first_rank", F.when(answer, no(F.col("first_hit"))).otherwise(F.col("top_score").isNull()).alias("citation_correct"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"),
         F.when(F.size("cells") > 0, no(F.col("cell"))).alias("table_cell_correct"), F.when(F.size("caption") > 0, no(F.col("caption_hit"))).alias("caption_aligned"), F.when(F.col("formula").isNotNull(), no(F.col("formula_hit"))).alias("formula_correct"),
-        F.when(asks_graph, no(F.exists("labels", on_path))).alias("graph_path_correct"), F.when(asks_graph, F.round(F.coalesce(covered, F.lit(0.0)), 9)).alias("graph_evidence_coverage"),
+        F.when(asks_graph, no(F.exists("labels", on_path))).alias("graph_path_correct"), F.when(asks_graph, F.round(F.coalesce("covered", F.lit(0.0)), 9)).alias("graph_evidence_coverage"),
     )
 
 

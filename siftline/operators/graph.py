@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
 from siftline.operators.entities import entity_list
+from siftline.operators.order import ranked_all
 from siftline.sources.scratch import written
 
 #: Words of a relation and its name.
@@ -65,18 +67,42 @@ def orphan_entities(nodes: DataFrame, mentions: DataFrame, edges: DataFrame) ->
     return nodes.join(mentions, "label", "left_anti").join(ends, "label", "left_anti")
 
 
-def graph_seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """query_id and label of nodes whose label occurs in the question, or that share a token with it.
+#: Labels of one automaton, and questions that meet it at a time.
+AUTOMATON, ASKED = 50_000, 5_000
+
 
-    A label lies inside one run of name characters, so substrings of the runs meet labels in an equality join.
+def labels_inside(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id and label of the labels that occur in the question in any case, whatever their script and however many words they have.
+
+    Labels are cut into blocks; each builds one automaton of all its patterns and runs once over each question. An empty label occurs nowhere.
     """
-    runs = queries.select("query_id", F.explode(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9_.-]+"), F.lit(0))).alias("run")).distinct()
-    starts = runs.select("query_id", "run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("a"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(64), F.length("run") - F.col("a") + 1))
-    inside = starts.select("query_id", F.explode(F.transform(lengths, lambda k: F.col("run").substr(F.col("a"), k))).alias("label")).distinct()
+    import ahocorasick
+
+    nq, nl = max(1, -(-queries.count() // ASKED)), max(1, -(-nodes.count() // AUTOMATON))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", F.lower("question").alias("question"), F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("a")).withColumn("b", every(nl))
+    named = nodes.where("label <> ''").select("label", F.pmod(F.xxhash64("label"), F.lit(nl)).alias("b")).withColumn("a", every(nq))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: set[tuple] = set()
+        if len(left) and len(right):
+            automaton = ahocorasick.Automaton()
+            for label in right["label"].to_pylist():
+                automaton.add_word(label, label)
+            automaton.make_automaton()
+            for key, question in zip(left["query_id"].to_pylist(), left["question"].to_pylist(), strict=True):
+                found |= {(key, label) for _, label in automaton.iter(question or "")}
+        return pa.Table.from_arrays([pa.array([x[0] for x in found], left["query_id"].type), pa.array([x[1] for x in found], pa.string())], ["query_id", "label"])
+
+    kind = dict(queries.dtypes)["query_id"]
+    return asked.groupBy("a", "b").cogroup(named.groupBy("a", "b")).applyInArrow(search, f"query_id {kind}, label string")
+
+
+def graph_seeds(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id and label of nodes whose label occurs in the question, or that share a token with it."""
     tokens = queries.select("query_id", F.explode(F.array_distinct(tx.retrieval_tokens(F.col("question")))).alias("token"))
     named = nodes.select("label", F.explode(F.array_distinct(tx.retrieval_tokens(F.col("label")))).alias("token"))
-    return inside.join(nodes, "label").unionByName(tokens.join(named, "token").select("query_id", "label")).select("query_id", "label").distinct()
+    return labels_inside(queries, nodes).unionByName(tokens.join(named, "token").select("query_id", "label")).select("query_id", "label").distinct()
 
 
 def sorted_seeds(seeds: DataFrame, n: int = 12) -> DataFrame:
@@ -131,65 +157,93 @@ def graph_summary(rows: DataFrame) -> DataFrame:
     return nodes.join(counts, "lang").join(evidence, "lang")
 
 
-#: Evidence that an edge hands on to the paths that use it, its smallest ids.
-EDGE_EVIDENCE = 20
+def sure_edges(relations: DataFrame) -> DataFrame:
+    """Undirected edges a, b and confidence from rows a, b, doc_id: more rows make an edge surer, up to 1."""
+    rows = relations.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+    return rows.groupBy("a", "b").agg(F.least(F.lit(1.0), 0.5 + 0.1 * F.count("*")).alias("confidence"))
 
 
-def evidenced(relations: DataFrame) -> DataFrame:
-    """Undirected edges a, b, confidence and evidence from rows a, b, doc_id: more rows make an edge surer, up to 1."""
-    rows = relations.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "doc_id").where("a <> b")
-    sure = rows.groupBy("a", "b").agg(F.least(F.lit(1.0), 0.5 + 0.1 * F.count("*")).alias("confidence"))
-    # A hot edge never gathers all its documents: the rank cuts them first.
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("doc_id"))
-    few = rows.distinct().withColumn("rank", rank).where(F.col("rank") <= EDGE_EVIDENCE).groupBy("a", "b").agg(F.array_sort(F.collect_list("doc_id")).alias("evidence"))
-    return sure.join(few, ["a", "b"])
+#: Edges of a node in one slice; a node with more is a hub, whose edges are dealt over slices.
+HUB = 1000
 
 
 def bounded_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 2) -> DataFrame:
-    """source, target, path, hops, score and evidence of a shortest undirected path for each pair (source, target), if there is one.
+    """source, target, path, hops and score of a shortest undirected path for each pair (source, target), if there is one; ``edges``: a, b, confidence.
 
-    ``edges``: a, b, confidence and, if it is known, evidence. Each hop is one join; a node reached before from a source is not reached again, and
-    of equally short paths the smallest stays, so that a frontier holds at most one row for each source and node. Frontiers are
-    written, so that no hop computes the hops before it again. The evidence
-    is the ordered distinct union of that of the edges.
+    The search starts at both ends and meets in the middle: with four hops, each side takes two, so that the nodes four hops around a source
+    are never listed. A side keeps one row for each end and node, at the node's exact distance; of equally short paths the smallest
+    by its nodes stays. The edges of a hub are dealt over slices, and the rows that reach it are repeated for each.
     """
-    if "evidence" not in edges.columns:
-        edges = edges.withColumn("evidence", F.array().cast("array<bigint>"))
-    one = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("confidence").alias("c"), F.max_by("evidence", "confidence").alias("e")).where("a <> b")
-    both = one.select("a", "b", "c", "e")
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "c", "e"))
-    step = F.struct(F.col("source").alias("node"), F.lit(0.0).alias("c"), F.array().cast("array<bigint>").alias("e"))
-    frontier = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.array(step).alias("path"))
-    seen, found = frontier, None
     hops = max(1, min(max_hops, 4))
-    for hop in range(hops):
-        moved = frontier.join(both, frontier["node"] == both["a"]).select("source", F.col("b").alias("node"), F.array_append("path", F.struct(F.col("b").alias("node"), "c", "e")).alias("path"))
-        frontier = moved.groupBy("source", "node").agg(F.min("path").alias("path")).join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        frontier = written(frontier, "frontier") if hop + 1 < hops else frontier
-        seen = seen.unionByName(frontier)
-        hit = pairs.join(frontier.withColumnRenamed("node", "target"), ["source", "target"])
+    one = edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("confidence").alias("c"))
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    degrees = both.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("slices"))
+    both = written(both.join(degrees, "a").withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int")), "edges")
+    slices = both.select(F.col("a").alias("node"), "slices").distinct()
+
+    def levels(ends: DataFrame, n: int, forward: bool) -> list[DataFrame]:
+        """For each distance the rows end, node and p (path from the source, or to the target, and the sum of its confidences)."""
+        start = F.struct(F.array("end").alias("path"), F.lit(0.0).alias("total")).alias("p")
+        out = [ends.select("end", F.col("end").alias("node"), start)]
+        seen = out[0].select("end", "node")
+        for _ in range(n):
+            dealt = out[-1].join(slices, "node").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+            path = F.array_append("p.path", F.col("b")) if forward else F.array_prepend("p.path", F.col("b"))
+            moved = dealt.join(both.drop("slices").withColumnRenamed("a", "node"), ["node", "slice"])
+            moved = moved.select("end", F.col("b").alias("node"), F.struct(path.alias("path"), (F.col("p.total") + F.col("c")).alias("total")).alias("p"))
+            level = written(moved.groupBy("end", "node").agg(F.min("p").alias("p")).join(seen, ["end", "node"], "left_anti"), "frontier")
+            seen = seen.unionByName(level.select("end", "node"))
+            out.append(level)
+        return out
+
+    ahead = levels(pairs.select(F.col("source").alias("end")).distinct(), (hops + 1) // 2, True)
+    back = levels(pairs.select(F.col("target").alias("end")).distinct(), hops // 2, False)
+    left, found = pairs.select("source", "target").where("source <> target").distinct(), None
+    for d in range(1, hops + 1):
+        here = ahead[(d + 1) // 2].select(F.col("end").alias("source"), "node", F.col("p").alias("f"))
+        there = back[d // 2].select(F.col("end").alias("target"), "node", F.col("p").alias("g"))
+        met = left.join(here, "source").join(there, ["target", "node"])
+        whole = F.concat("f.path", F.slice("g.path", F.lit(2), F.greatest(F.size("g.path") - 1, F.lit(1))))
+        best = met.groupBy("source", "target").agg(F.min(F.struct(whole.alias("path"), (F.col("f.total") + F.col("g.total")).alias("total"))).alias("p"))
+        hit = written(best.select("source", "target", "p.path", F.lit(d).alias("hops"), F.round(F.col("p.total") / d, 6).alias("score")), "paths")
         found = hit if found is None else found.unionByName(hit)
-    length = F.size("path") - 1
-    total = F.aggregate("path", F.lit(0.0), lambda s, x: s + x["c"])
-    union = F.array_distinct(F.flatten(F.transform("path", lambda x: x["e"])))
-    return found.select("source", "target", F.transform("path", lambda x: x["node"]).alias("path"), length.alias("hops"), F.round(total / length, 6).alias("score"), union.alias("evidence"))
+        left = left.join(hit.select("source", "target"), ["source", "target"], "left_anti")
+    return found
+
+
+def path_evidence(paths: DataFrame, relations: DataFrame) -> DataFrame:
+    """source, target, doc_id and edge: a row for each document behind a path, with the first of the path's edges that it bears out; none is left out."""
+    step = lambda i: F.struct(F.least(F.element_at("path", i), F.element_at("path", i + 1)).alias("a"), F.greatest(F.element_at("path", i), F.element_at("path", i + 1)).alias("b"), i.alias("edge"))
+    steps = paths.select("source", "target", F.inline(F.transform(F.sequence(F.lit(1), F.col("hops")), step)))
+    known = relations.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "doc_id").where("a <> b").distinct()
+    return steps.join(known, ["a", "b"]).groupBy("source", "target", "doc_id").agg(F.min("edge").alias("edge"))
+
+
+def graph_evidence(seeds: DataFrame, pairs: DataFrame, paths: DataFrame, relations: DataFrame) -> DataFrame:
+    """query_id, doc_id and graph_rank: all documents behind a question's paths, best path first; without a path, all those of edges at its seeds.
+
+    Ranks come from sorted parts, so that no task holds all evidence of a question.
+    """
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "hops", "path"))
+    placed = pairs.join(paths, ["source", "target"]).withColumn("place", place).select("query_id", "source", "target", "place")
+    of_paths = placed.join(path_evidence(paths, relations), ["source", "target"]).groupBy("query_id", "doc_id").agg(F.min(F.struct("place", "edge")).alias("at"))
+    lonely = seeds.join(placed.select("query_id").distinct(), "query_id", "left_anti")
+    ends = relations.where("a <> b").select(F.explode(F.array("a", "b")).alias("label"), "doc_id")
+    of_seeds = lonely.join(ends, "label").select("query_id", "doc_id").distinct().withColumn("at", F.struct(F.lit(0).alias("place"), F.lit(0).alias("edge")))
+    rows = of_paths.unionByName(of_seeds)
+    return ranked_all(rows, ["query_id"], [F.col("at"), F.col("doc_id")], "graph_rank").select("query_id", "doc_id", "graph_rank")
 
 
-def graph_search(queries: DataFrame, seeds: DataFrame, pairs: DataFrame, paths: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
-    """For each question its seeds, best paths and evidence (of the paths, else of edges at its seeds), and whether they may answer it.
+def graph_search(queries: DataFrame, seeds: DataFrame, pairs: DataFrame, paths: DataFrame, most: int = 20) -> DataFrame:
+    """For each question its seeds, first paths (``most``) with their labels, and whether they may answer it; their evidence: graph_evidence().
 
     They may if there is a path and there are two seeds, or the question asks for several hops.
     """
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "source", "target"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "hops", "path"))
     best = pairs.join(paths, ["source", "target"]).withColumn("place", place).where(F.col("place") <= most)
-    item = F.struct("place", "evidence", "score", "path")
-    found = best.groupBy("query_id").agg(F.count("*").alias("paths"), F.max("score").alias("best"), F.array_sort(F.collect_list(item)).alias("l"))
-    found = found.select("query_id", "paths", "best", F.array_distinct(F.flatten(F.transform("l", lambda x: x["evidence"]))).alias("of_paths"), F.transform("l", lambda x: x["path"]).alias("labels"))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("label"), "evidence")
-    near = seeds.join(ends, "label").select("query_id", F.explode("evidence").alias("doc_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
-    near = near.withColumn("rank", rank).where(F.col("rank") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("of_seeds"))
-    rows = queries.join(seeds.groupBy("query_id").agg(F.count("*").alias("seeds")), "query_id", "left").join(found, "query_id", "left").join(near, "query_id", "left").na.fill(0, ["seeds", "paths"])
+    found = best.groupBy("query_id").agg(F.count("*").alias("paths"), F.max("score").alias("best"), F.array_sort(F.collect_list(F.struct("place", "path"))).alias("l"))
+    rows = queries.join(seeds.groupBy("query_id").agg(F.count("*").alias("seeds")), "query_id", "left").join(found, "query_id", "left").na.fill(0, ["seeds", "paths"])
     asks = F.greatest(*[F.contains(F.lower("question"), F.lit(m)) for m in MULTIHOP])
     eligible = (F.col("paths") > 0) & ((F.col("seeds") >= 2) | asks)
-    return rows.select("query_id", "seeds", "paths", "best", F.coalesce("of_paths", "of_seeds", F.array().cast("array<bigint>")).alias("evidence"), F.coalesce("labels", F.array().cast("array<array<string>>")).alias("labels"), eligible.alias("eligible"))
+    labels = F.coalesce(F.transform("l", lambda x: x["path"]), F.array().cast("array<array<string>>"))
+    return rows.select("query_id", "seeds", "paths", "best", labels.alias("labels"), eligible.alias("eligible"))

@@ -254,11 +254,10 @@ def evl13(spark: S, sf: str) -> DataFrame:
 
 _ASKED = QUESTIONS.replace("questions AS", "asked AS")
 _PIECES = CHUNKS.replace("chunks AS", "pieces AS") + ", chunks AS (SELECT p.*, source AS file_name, d.doc_id FROM pieces p JOIN documents d ON d.doc_id::VARCHAR = document_id WHERE lang IN ('en', 'fr'))"
-_STAGES = f"""graph AS (SELECT * FROM (WITH {_PATHS}, {_SEARCH} SELECT query_id, evidence FROM graph)), {_ASKED},
+_STAGES = f"""ev AS (SELECT * FROM (WITH RECURSIVE {_PATHS}, {_SEARCH} SELECT query_id, doc_id, graph_rank FROM evidence)), {_ASKED},
 questions AS (SELECT query_id * 2 AS query_id, question FROM asked UNION ALL SELECT query_id * 2 + 1, array_to_string(string_split(question, ' ')[1:6], ' ') FROM asked), {_PIECES}, {BM25}, {COSINE}, {BOOSTS},
 kb AS (SELECT query_id // 2 AS query_id, chunk_id, max(score) AS s FROM bm25 GROUP BY 1, 2), vb AS (SELECT query_id // 2 AS query_id, chunk_id, max(score) AS s FROM cos GROUP BY 1, 2),
 base AS (SELECT query_id, chunk_id, keyword, vector, round(round(0.62 * keyword + 0.38 * vector, 9) * boost, 9) AS score FROM (SELECT query_id, chunk_id, coalesce(k.s / (k.s + 1), 0) AS keyword, coalesce(v.s, 0) AS vector FROM kb k FULL JOIN vb v USING (query_id, chunk_id)) JOIN chunks USING (chunk_id) JOIN boosts b ON b.chunk_id = document_id || ':0'),
-ev AS (SELECT query_id, unnest(evidence) AS doc_id, generate_subscripts(evidence, 1) AS graph_rank FROM graph),
 fused AS (SELECT b.query_id, b.chunk_id, keyword, vector, row_number() OVER w AS base_rank, graph_rank, CASE WHEN bool_or(graph_rank IS NOT NULL) OVER (PARTITION BY b.query_id) THEN round(61 * (0.75 / (60 + row_number() OVER w) + coalesce(0.25 / (60 + graph_rank), 0)), 9) ELSE score END AS score
 FROM base b JOIN chunks c ON b.chunk_id = c.chunk_id LEFT JOIN ev ON ev.query_id = b.query_id AND ev.doc_id = c.doc_id WINDOW w AS (PARTITION BY b.query_id ORDER BY score DESC, b.chunk_id)),
 once AS (SELECT * FROM (SELECT f.*, file_name, text, row_number() OVER (PARTITION BY query_id, file_name, {_FLAT('text')} ORDER BY score DESC, f.chunk_id) AS nth FROM fused f JOIN chunks c ON f.chunk_id = c.chunk_id) WHERE nth = 1),
@@ -275,8 +274,7 @@ def search_stages(spark: S, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, D
     known = table(spark, sf, "documents").where(F.col("lang").isin("en", "fr")).select(F.col("doc_id").cast("string").alias("document_id"), "doc_id", F.col("source").alias("file_name"))
     scope = chunk_table(spark, sf).join(known, "document_id")
     weight = boosts(spark, sf).select(F.split("chunk_id", ":").getItem(0).alias("document_id"), "boost")
-    evidence = graph_found(spark, sf).select("query_id", F.posexplode("evidence").alias("place", "doc_id"))
-    return ranking.search_pipeline(asked, rewrites, 2, scope, weight, evidence.select("query_id", "doc_id", (F.col("place") + 1).alias("graph_rank")), graph_weight=0.25, candidates=24, min_score=0.3, k=5)
+    return ranking.search_pipeline(asked, rewrites, 2, scope, weight, graph_found(spark, sf)[1], graph_weight=0.25, candidates=24, min_score=0.3, k=5)
 
 
 @query("RET-08", f"""WITH RECURSIVE {_STAGES}, w AS (SELECT chunk_id, array_agg(chunk_id) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS window_ids FROM chunks)

@@ -58,7 +58,7 @@ def evl05(spark: S, sf: str) -> DataFrame:
 
 _HOLDS = lambda words: f"bool_or(len(list_filter({words}, lambda w: NOT contains(lower(text), lower(w)))) = 0)"
 _BARE = lambda t: rf"lower(regexp_replace({t}, '\s+', '', 'g'))"
-_ROWS = f"""graph AS (SELECT * FROM (WITH {_PATHS}, {_SEARCH} SELECT query_id, labels, evidence FROM graph)),
+_ROWS = f"""graph AS (SELECT * FROM (WITH RECURSIVE {_PATHS}, {_SEARCH} SELECT query_id, labels, coalesce(l, []) AS evidence FROM graph LEFT JOIN (SELECT query_id, list(doc_id) AS l FROM evidence GROUP BY 1) USING (query_id))),
 t AS (SELECT query_id, score AS top_score, matched FROM cited WHERE rank = 1),
 dec AS (SELECT q.query_id, CASE WHEN {REASON} IS NULL THEN 'answered' ELSE 'refused' END AS decision FROM questions q LEFT JOIN t USING (query_id)),
 f AS (SELECT query_id, min(rank) FILTER (WHERE hit) AS first_rank, bool_or(rank = 1 AND hit) AS first_hit, max(score) AS top_score, {_HOLDS('cells')} AS cell, {_HOLDS('caption')} AS caption_hit, bool_or(contains({_BARE('text')}, {_BARE('formula')})) AS formula_hit, list(DISTINCT doc_id) AS cited
@@ -73,10 +73,10 @@ _EVALUATED = f"{_CITED}, {_CASES}, {_ROWS}"
 
 def evaluated(spark: S, sf: str) -> DataFrame:
     citations = case_citations(spark, sf)
-    return ev.evaluate_cases(cases(spark, sf), citations, ranking.refusal_decision(case_questions(spark, sf), citations), graph_found(spark, sf))
+    return ev.evaluate_cases(cases(spark, sf), citations, ranking.refusal_decision(case_questions(spark, sf), citations), *graph_found(spark, sf))
 
 
-@query("EVL-06", f"WITH {_EVALUATED} SELECT * FROM result")
+@query("EVL-06", f"WITH RECURSIVE {_EVALUATED} SELECT * FROM result")
 def evl06(spark: S, sf: str) -> DataFrame:
     return evaluated(spark, sf)
 
@@ -92,12 +92,12 @@ _SUMMARY = f"""summary AS (SELECT count(*) AS cases, count(*) FILTER (WHERE shou
 (SELECT list_sort(list(c)) FROM (SELECT category || '=' || count(*) AS c FROM result GROUP BY category)) AS categories, (SELECT coalesce(list_sort(list(c)), []) FROM (SELECT s || '=' || count(*) AS c FROM (SELECT unnest(sources) AS s FROM result) GROUP BY s)) AS sources FROM result)"""
 
 
-@query("AGG-14", f"WITH {_EVALUATED}, {_SUMMARY} SELECT * FROM summary")
+@query("AGG-14", f"WITH RECURSIVE {_EVALUATED}, {_SUMMARY} SELECT * FROM summary")
 def agg14(spark: S, sf: str) -> DataFrame:
     return ev.evaluation_summary(written(evaluated(spark, sf), "evaluated"))
 
 
-@query("EVL-08", f"WITH {_EVALUATED}, {_SUMMARY} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}::DOUBLE AS actual, {v} AS minimum, {m} >= {v} AS passed FROM summary" for m, v in ev.THRESHOLDS.items()))
+@query("EVL-08", f"WITH RECURSIVE {_EVALUATED}, {_SUMMARY} " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}::DOUBLE AS actual, {v} AS minimum, {m} >= {v} AS passed FROM summary" for m, v in ev.THRESHOLDS.items()))
 def evl08(spark: S, sf: str) -> DataFrame:
     return ev.threshold_checks(agg14(spark, sf), ev.THRESHOLDS)
 

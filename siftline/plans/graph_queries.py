@@ -143,7 +143,7 @@ def grf07(spark: S, sf: str) -> DataFrame:
     return gr.orphan_entities(named.select("label").distinct(), good, explicit(spark, sf).select(F.col("a").alias("source"), F.col("b").alias("target")))
 
 
-_SEEDS = f"{QUESTIONS}, {_NODES}, seeds AS (SELECT query_id, label FROM questions, nodes WHERE contains(lower(question), label) OR list_has_any({tok('label')}, {tok('question')}))"
+_SEEDS = f"{QUESTIONS}, {_NODES}, seeds AS (SELECT query_id, label FROM questions, nodes WHERE label <> '' AND (contains(lower(question), label) OR list_has_any({tok('label')}, {tok('question')})))"
 _TOP = "top AS (SELECT * FROM (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY length(label) DESC, label) AS place FROM seeds) WHERE place <= 12)"
 
 
@@ -151,9 +151,23 @@ def seeds(spark: S, sf: str) -> DataFrame:
     return gr.graph_seeds(questions(spark, sf), labels_of(table(spark, sf, "documents")).select("label").distinct())
 
 
-@query("GRF-08", f"WITH {_SEEDS} SELECT * FROM seeds")
+_HAN = f"translate(question, '{LETTERS}', '{CHARACTERS[:26]}')"
+_ANY = f"""asked AS (SELECT * FROM ({QUESTIONS.split('AS (', 1)[1]}), questions AS (SELECT query_id, question || ' ' || {_HAN} AS question FROM asked),
+own AS (SELECT * FROM ({_NODES.split('AS (', 1)[1]}), words AS (SELECT query_id, string_split(question, ' ') AS w, string_split({_HAN}, ' ') AS h FROM asked),
+nodes AS (SELECT label FROM own UNION SELECT array_to_string(w[4:5], ' ') FROM words UNION SELECT h[3] FROM words UNION SELECT array_to_string(h[2:4], ' ') FROM words WHERE query_id % 2 = 0),
+seeds AS (SELECT query_id, label FROM questions, nodes WHERE label <> '' AND (contains(lower(question), label) OR list_has_any({tok('label')}, {tok('question')})))"""
+
+
+@query("GRF-08", f"WITH {_ANY} SELECT * FROM seeds")
 def grf08(spark: S, sf: str) -> DataFrame:
-    return seeds(spark, sf)
+    """Names of the documents, labels of several words and Chinese ones; each question comes with its words in Chinese characters as well."""
+    asked = questions(spark, sf)
+    han = F.translate("question", LETTERS, CHARACTERS[:26])
+    word, sign = F.split("question", " "), F.split(han, " ")
+    part = lambda c: asked.select(c.alias("label"))
+    nodes = labels_of(table(spark, sf, "documents")).select("label").unionByName(part(F.array_join(F.slice(word, 4, 2), " "))).unionByName(part(F.get(sign, F.lit(2))))
+    nodes = nodes.unionByName(asked.where("query_id % 2 = 0").select(F.array_join(F.slice(sign, 2, 3), " ").alias("label")))
+    return gr.graph_seeds(asked.withColumn("question", F.concat_ws(" ", "question", han)), nodes.where("label IS NOT NULL").distinct())
 
 
 @query("TOP-06", f"WITH {_SEEDS}, {_TOP} SELECT * FROM top")
@@ -161,46 +175,54 @@ def top06(spark: S, sf: str) -> DataFrame:
     return gr.sorted_seeds(seeds(spark, sf))
 
 
+#: Walks of up to four hops, the smallest to each node for each number of hops; the first number that reaches a target is its distance.
 _PATHS = f"""{_EXPLICIT}, {_SEEDS}, {_TOP}, pairs AS (SELECT a.query_id, a.label AS source, b.label AS target FROM top a JOIN top b ON a.query_id = b.query_id AND a.place < b.place),
-one AS (SELECT least(a, b) AS a, greatest(a, b) AS b, least(1.0, 0.5 + 0.1 * count(*)) AS c, list_sort(list(DISTINCT doc_id))[1:20] AS e FROM rel WHERE a <> b GROUP BY 1, 2), both_ways AS (SELECT * FROM one UNION ALL SELECT b, a, c, e FROM one),
-p1 AS (SELECT DISTINCT source, target, [source, target] AS path, 1 AS hops, c AS score, e AS evidence FROM (SELECT DISTINCT source, target FROM pairs) p JOIN both_ways e ON e.a = source AND e.b = target),
-p2 AS (SELECT source, target, min(m) AS m FROM (SELECT p.source, p.target, struct_pack(v := e.b, c := e.c, d := f.c, e := e.e, f := f.e) AS m FROM (SELECT DISTINCT source, target FROM pairs) p JOIN both_ways e ON e.a = p.source JOIN both_ways f ON f.a = e.b AND f.b = p.target
-WHERE (p.source, p.target) NOT IN (SELECT (source, target) FROM p1)) GROUP BY 1, 2),
-paths AS (SELECT * FROM p1 UNION ALL SELECT source, target, [source, m.v, target], 2, (m.c + m.d) / 2, list_concat(m.e, list_filter(m.f, lambda x: NOT list_contains(m.e, x))) FROM p2)"""
+one AS (SELECT least(a, b) AS a, greatest(a, b) AS b, least(1.0, 0.5 + 0.1 * count(*)) AS c FROM rel WHERE a <> b GROUP BY 1, 2), known AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, doc_id FROM rel WHERE a <> b),
+both_ways AS (SELECT * FROM one UNION ALL SELECT b, a, c FROM one),
+walk AS (SELECT source, source AS node, [source] AS path, 0 AS hops FROM (SELECT DISTINCT source FROM pairs) UNION ALL SELECT source, b, min(list_append(path, b)), hops + 1 FROM walk JOIN both_ways ON a = node WHERE hops < 4 GROUP BY source, b, hops),
+least_hops AS (SELECT source, target, min(hops) AS hops FROM (SELECT DISTINCT source, target FROM pairs) p JOIN walk w USING (source) WHERE w.node = target GROUP BY 1, 2),
+found AS (SELECT l.source, target, path, l.hops FROM least_hops l JOIN walk w ON w.source = l.source AND w.node = l.target AND w.hops = l.hops),
+steps AS (SELECT source, target, i AS edge, least(path[i], path[i + 1]) AS a, greatest(path[i], path[i + 1]) AS b FROM (SELECT source, target, path, unnest(range(1, hops + 1)) AS i FROM found)),
+paths AS (SELECT f.source, f.target, path, hops, round(s.score, 6)::DOUBLE AS score FROM found f JOIN (SELECT source, target, avg(c) AS score FROM steps JOIN one USING (a, b) GROUP BY 1, 2) s ON s.source = f.source AND s.target = f.target),
+behind AS (SELECT source, target, doc_id, min(edge) AS edge FROM steps JOIN known USING (a, b) GROUP BY 1, 2, 3)"""
 
 
 def found_paths(spark: S, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Seeds, their pairs for each question, paths, and the edges."""
+    """Seeds, their pairs for each question, paths of up to four hops, and the relations."""
     top = written(gr.sorted_seeds(seeds(spark, sf)), "seeds")
     other = top.select("query_id", F.col("label").alias("target"), F.col("place").alias("after"))
-    pairs = top.withColumnRenamed("label", "source").join(other, "query_id").where("place < after").select("query_id", "source", "target")
-    known = written(gr.evidenced(explicit(spark, sf)), "edges")
-    return top, pairs, gr.bounded_paths(pairs.select("source", "target").distinct(), known), known
+    pairs = written(top.withColumnRenamed("label", "source").join(other, "query_id").where("place < after").select("query_id", "source", "target"), "pairs")
+    known = written(explicit(spark, sf).select("a", "b", "doc_id"), "relations")
+    return top, pairs, gr.bounded_paths(pairs, gr.sure_edges(known), 4), known
 
 
-@query("GRF-09", f"WITH {_PATHS} SELECT source, target, path, hops, round(score, 6)::DOUBLE AS score, evidence FROM paths")
+@query("GRF-09", f"WITH RECURSIVE {_PATHS} SELECT source, target, path, hops, score, doc_id, edge FROM paths JOIN behind USING (source, target)")
 def grf09(spark: S, sf: str) -> DataFrame:
-    return found_paths(spark, sf)[2]
+    """Paths of up to four hops, with a row for each document behind them."""
+    *_, paths, known = found_paths(spark, sf)
+    return paths.join(gr.path_evidence(paths, known), ["source", "target"])
 
 
-_SEARCH = """best AS (SELECT * FROM (SELECT query_id, evidence, path, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, source, target) AS place FROM pairs JOIN paths USING (source, target)) WHERE place <= 20),
-flat AS (SELECT query_id, doc_id, min((place, i)) AS first FROM (SELECT query_id, place, unnest(evidence) AS doc_id, generate_subscripts(evidence, 1) AS i FROM best) GROUP BY 1, 2),
-of_paths AS (SELECT query_id, list(doc_id ORDER BY first) AS evidence FROM flat GROUP BY 1),
-n AS (SELECT query_id, count(*) AS paths, round(max(score), 6)::DOUBLE AS best, list(path ORDER BY place) AS labels FROM best GROUP BY 1), s AS (SELECT query_id, count(*) AS seeds FROM top GROUP BY 1),
-near AS (SELECT query_id, list_sort(list(DISTINCT doc_id))[1:20] AS evidence FROM (SELECT query_id, unnest(e) AS doc_id FROM top JOIN one ON a = label OR b = label) GROUP BY 1),
-graph AS (SELECT q.query_id, coalesce(seeds, 0) AS seeds, coalesce(paths, 0) AS paths, best, coalesce(o.evidence, near.evidence, []) AS evidence, coalesce(labels, []) AS labels,
+_SEARCH = """placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hops, path) AS place FROM pairs JOIN paths USING (source, target)), best AS (SELECT * FROM placed WHERE place <= 20),
+evidence AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY first, doc_id) AS graph_rank FROM (
+SELECT query_id, doc_id, min((place, edge)) AS first FROM placed JOIN behind USING (source, target) GROUP BY 1, 2
+UNION ALL SELECT DISTINCT query_id, doc_id, (0, 0) FROM top JOIN known ON a = label OR b = label WHERE query_id NOT IN (SELECT query_id FROM placed))),
+n AS (SELECT query_id, count(*) AS paths, max(score) AS best, list(path ORDER BY place) AS labels FROM best GROUP BY 1), s AS (SELECT query_id, count(*) AS seeds FROM top GROUP BY 1),
+graph AS (SELECT q.query_id, coalesce(seeds, 0) AS seeds, coalesce(paths, 0) AS paths, best, coalesce(labels, []) AS labels,
 coalesce(paths, 0) > 0 AND (coalesce(seeds, 0) >= 2 OR """ + " OR ".join(f"contains(lower(question), '{m}')" for m in gr.MULTIHOP) + """) AS eligible
-FROM questions q LEFT JOIN n USING (query_id) LEFT JOIN s USING (query_id) LEFT JOIN of_paths o USING (query_id) LEFT JOIN near USING (query_id))"""
+FROM questions q LEFT JOIN n USING (query_id) LEFT JOIN s USING (query_id))"""
 
 
-def graph_found(spark: S, sf: str) -> DataFrame:
+def graph_found(spark: S, sf: str) -> tuple[DataFrame, DataFrame]:
+    """What graph_search() says of each question, and its evidence."""
     top, pairs, paths, known = found_paths(spark, sf)
-    return gr.graph_search(questions(spark, sf), top, pairs, paths, known)
+    return gr.graph_search(questions(spark, sf), top, pairs, paths), written(gr.graph_evidence(top, pairs, paths, known), "evidence")
 
 
-@query("GRF-10", f"WITH {_PATHS}, {_SEARCH} SELECT query_id, seeds, paths, best, evidence, eligible FROM graph")
+@query("GRF-10", f"WITH RECURSIVE {_PATHS}, {_SEARCH} SELECT query_id, seeds, paths, best, eligible, doc_id, graph_rank FROM graph LEFT JOIN evidence USING (query_id)")
 def grf10(spark: S, sf: str) -> DataFrame:
-    return graph_found(spark, sf).drop("labels")
+    found, evidence = graph_found(spark, sf)
+    return found.drop("labels").join(evidence, "query_id", "left")
 
 
 _LISTED = lambda rows, order: f"SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {order}) AS place FROM {rows}"
