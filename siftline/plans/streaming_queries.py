@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.operators.corpus import hard_split
 from siftline.plans.registry import query
 from siftline.plans.sql import CHUNKS
+from siftline.sources.scratch import fresh_path
 from siftline.sources.tables import table
-from siftline.streaming import streams
+from siftline.streaming import stateful, streams
 
 S = SparkSession
 #: In append mode a window comes out once the watermark, the latest time less an hour, has passed its end.
@@ -37,12 +38,16 @@ def str05(spark: S, sf: str) -> DataFrame:
     return rows.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("stop", F.col("stop").cast("timestamp_ntz"))
 
 
-@query("STR-09", f"""WITH h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS start, sum(CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END) AS change FROM events GROUP BY 1 HAVING date_trunc('hour', min(ts)) + INTERVAL 1 HOUR <= {_CLOSED})
-SELECT start, change::BIGINT AS change, (sum(change) OVER (ORDER BY start))::BIGINT AS depth FROM h""")
+@query("STR-09", f"""WITH e AS (SELECT user_id, date_trunc('millisecond', ts) AS ts, event_id, event_type = 'view' AS queued FROM events WHERE event_type IN ('view', 'click') AND ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IN ('view', 'click'))),
+g AS (SELECT *, count(*) FILTER (WHERE NOT queued) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS life FROM e), w AS (SELECT user_id, life, min(ts) FILTER (WHERE queued) AS start FROM g GROUP BY 1, 2),
+t AS (SELECT w.user_id, start, stop FROM w LEFT JOIN (SELECT user_id, life, min(ts) AS stop FROM g WHERE NOT queued GROUP BY 1, 2) n ON n.user_id = w.user_id AND n.life = w.life + 1 WHERE start IS NOT NULL),
+h AS (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM e)::TIMESTAMP, (SELECT max(ts) FROM e)::TIMESTAMP + INTERVAL 2 HOUR, INTERVAL 1 HOUR)) AS stop)
+SELECT h.stop, count(*) AS depth, (epoch_ms(h.stop) - epoch_ms(min(t.start))) / 1000.0 AS age FROM h JOIN t ON t.start < h.stop AND (t.stop IS NULL OR t.stop >= h.stop) WHERE h.stop <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IN ('view', 'click')) GROUP BY h.stop""")
 def str09(spark: S, sf: str) -> DataFrame:
-    rows = streams.finished(streams.queue_lag(streams.event_stream(spark, sf)))
-    depth = F.sum("change").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, 0))  # one row an hour
-    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "change", depth.alias("depth"))
+    """Users stand for jobs: a view queues one and a click starts it; depth and age at the end of each hour."""
+    events = streams.event_stream(spark, sf).where("event_type IN ('view', 'click')")
+    jobs = events.select(F.col("user_id").alias("job_id"), "ts", "event_id", F.when(F.col("event_type") == "view", "queued").otherwise("started").alias("what"))
+    return stateful.index_lag(streams.finished(stateful.open_jobs(jobs), stateful.STORE)).withColumn("stop", F.col("stop").cast("timestamp_ntz"))
 
 
 _WHAT = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'started' WHEN 'view' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'cancelled' END"
@@ -59,16 +64,25 @@ def str06(spark: S, sf: str) -> DataFrame:
     return streams.job_states(streams.finished(streams.job_transitions(events)))
 
 
-@query("STR-08", """SELECT conv_id * 1000 + turn AS message_id, coalesce(text, '') AS text, CASE turn % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'refused' WHEN 2 THEN 'failed' ELSE 'cancelled' END AS status, turn % 4 >= 2 AS partial FROM conversations""")
+#: A message's first piece comes at so many seconds, a piece each second, and a fourth of the messages has no end.
+_SAID = "conv_id * 60 + turn * 5"
+
+
+@query("STR-08", f"""WITH m AS (SELECT conv_id * 1000 + turn AS message_id, coalesce(text, '') AS text, turn % 4 AS kind, {_SAID} AS begins, ceil(length(coalesce(text, '')) / 20.0)::INT AS n FROM conversations),
+e AS (SELECT *, begins + n + CASE WHEN kind < 3 THEN 1 ELSE 600 END AS ended, begins + n + CASE WHEN kind < 3 THEN 1 ELSE 0 END AS latest FROM m)
+SELECT message_id, text, CASE kind WHEN 0 THEN 'completed' WHEN 1 THEN 'refused' WHEN 2 THEN 'failed' ELSE 'cancelled' END AS status, kind >= 2 AS partial FROM e WHERE ended < (SELECT max(latest) - 600 FROM e)""")
 def str08(spark: S, sf: str) -> DataFrame:
-    """Turns come as pieces of 20 characters, each twice, and an end that depends on the turn."""
+    """Turns come as pieces of 20 characters, each twice, and an end that depends on the turn; what has not ended by the watermark is not told yet."""
     stream = spark.readStream.schema(table(spark, sf, "conversations").schema).option("pathGlobFilter", "conversations*.parquet").parquet(sf)
     text = F.coalesce("text", F.lit(""))
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / 20).cast("int")), lambda i: F.struct(i.alias("sequence"), F.lit("delta").alias("what"), text.substr(i * 20 + 1, F.lit(20)).alias("delta")))
-    end = F.when(F.col("turn") % 4 == 0, "done").when(F.col("turn") % 4 == 1, "refusal").when(F.col("turn") % 4 == 2, "error").otherwise("delta")
-    last = F.array(F.struct(F.lit(2_000_000_000).alias("sequence"), end.alias("what"), F.lit("").alias("delta")))
-    deltas = stream.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.inline(F.concat(starts, starts, last)))
-    return streams.finished(streams.assembled_messages(deltas), "complete")
+    count = F.ceil(F.length(text) / 20).cast("int")
+    piece = lambda i: F.struct(i.alias("sequence"), F.lit("delta").alias("what"), text.substr(i * 20 + 1, F.lit(20)).alias("delta"))
+    starts = F.transform(F.sequence(F.lit(0), count), piece)
+    end = F.when(F.col("turn") % 4 == 0, "done").when(F.col("turn") % 4 == 1, "refusal").when(F.col("turn") % 4 == 2, "error")
+    last = F.when(end.isNotNull(), F.array(F.struct((count + 1).alias("sequence"), end.alias("what"), F.lit("").alias("delta")))).otherwise(F.slice(starts, 1, 0))
+    deltas = stream.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.expr(_SAID).alias("begins"), F.inline(F.concat(starts, last, starts)))
+    deltas = deltas.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("begins") + F.col("sequence")))
+    return streams.finished(stateful.assembled_messages(deltas), stateful.STORE)
 
 
 @query("STR-01", r"SELECT event_id, user_id, lower(trim(regexp_replace(props, '\s+', ' ', 'g'))) AS props, sha256(lower(trim(regexp_replace(props, '\s+', ' ', 'g')))) AS content_hash FROM events")
@@ -89,16 +103,26 @@ def str02(spark: S, sf: str) -> DataFrame:
     return streams.upserted(rows, "chunk_id", "version").select("chunk_id", "document_id", "text_md5")
 
 
-_RUN_STATUS = "CASE WHEN day(run) % 6 = 0 THEN 'partial' WHEN day(run) % 7 = 1 THEN 'not_modified' ELSE 'complete' END"
+_RUN_STATUS = "CASE WHEN day(run) % 6 = 0 THEN 'partial' WHEN day(run) % 7 = 1 THEN 'not_modified' WHEN day(run) % 11 = 5 THEN 'empty' ELSE 'complete' END"
 
 
-@query("STR-07", f"""WITH r AS (SELECT date_trunc('day', ts) AS run, user_id, arg_max(event_id, (ts, event_id)) AS version FROM events GROUP BY 1, 2), o AS (SELECT *, {_RUN_STATUS} AS status FROM r WHERE run + INTERVAL 1 DAY <= {_CLOSED}),
-l AS (SELECT user_id AS item_id, max(run) AS run, arg_max(version, run) AS version FROM o WHERE status <> 'not_modified' GROUP BY 1), d AS (SELECT DISTINCT run FROM o WHERE status = 'complete')
-SELECT item_id, version, (SELECT count(*) FROM d WHERE d.run > l.run) AS missing, (SELECT count(*) FROM d WHERE d.run > l.run) >= 2 AS deletion_candidate FROM l""")
+@query("STR-07", f"""WITH r AS (SELECT user_id % 3 AS source, date_trunc('day', ts)::TIMESTAMP AS run, user_id AS item_id, arg_max(event_id, (ts, event_id)) AS version FROM events GROUP BY 1, 2, 3),
+o AS (SELECT *, {_RUN_STATUS} AS status FROM r WHERE run < (SELECT max(run) FROM r)), d AS (SELECT DISTINCT source, run, status FROM o),
+known AS (SELECT source, item_id, run, version, 0 AS missing FROM o WHERE status IN ('complete', 'partial') UNION ALL SELECT s, -1 - s, NULL, 7, 1 FROM range(3) t(s)),
+l AS (SELECT source, item_id, max(run) AS run, arg_max(version, coalesce(run, '1970-01-01'::TIMESTAMP)) AS version, arg_max(missing, coalesce(run, '1970-01-01'::TIMESTAMP)) AS missing FROM known GROUP BY 1, 2),
+n AS (SELECT source, item_id, version, missing + (SELECT count(*) FROM d WHERE d.source = l.source AND d.status = 'complete' AND (l.run IS NULL OR d.run > l.run)) AS missing FROM l)
+SELECT source, item_id, version, missing, missing >= 2 AS deletion_candidate FROM n""")
 def str07(spark: S, sf: str) -> DataFrame:
-    """Users stand for items, days for runs; some days are partial runs, some were not modified, and the day after the last found nothing."""
-    events = streams.event_stream(spark, sf).select("ts", F.col("user_id").alias("item_id"), F.col("event_id").alias("version"))
-    seen = streams.finished(streams.item_sightings(events))
-    runs = seen.select("run").distinct().withColumn("status", F.expr(_RUN_STATUS))
-    nothing = seen.agg((F.max("run") + F.expr("INTERVAL 1 DAY")).alias("run")).where("run IS NOT NULL").withColumn("status", F.lit("empty"))
-    return streams.item_states(seen, runs.unionByName(nothing))
+    """Users stand for items of three sources, days for runs; some runs are partial, not modified or empty. One item of each source is known from a snapshot only."""
+    source, run = (F.col("user_id") % 3).alias("source"), F.date_trunc("day", "ts").alias("run")
+    path = fresh_path(spark, "runs")
+    runs = table(spark, sf, "events").select(source, F.date_trunc("day", F.col("ts").cast("timestamp")).alias("run")).distinct()
+    ends = runs.select("source", (F.col("run") + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MILLISECOND")).alias("ts"), "run", F.expr(_RUN_STATUS).alias("status"))
+    ends.write.parquet(path)
+    none = F.lit(None).cast("long")
+    ended = spark.readStream.schema(ends.schema).parquet(path).select("source", "ts", "run", "status", none.alias("item_id"), none.alias("version"))
+    seen = streams.event_stream(spark, sf).select(source, "ts", run, F.lit(None).cast("string").alias("status"), F.col("user_id").alias("item_id"), F.col("event_id").alias("version"))
+    snapshot = spark.range(3).select(F.col("id").alias("source"), (-1 - F.col("id")).alias("item_id"), F.lit(7).cast("long").alias("version"), F.lit(1).cast("long").alias("missing"))
+    moved = streams.finished(stateful.source_items(seen.unionByName(ended), snapshot), stateful.STORE)
+    last = moved.groupBy("source", "item_id").agg(F.max_by(F.struct("version", "missing", "deletion_candidate"), "run").alias("s"))
+    return last.select("source", "item_id", "s.*")

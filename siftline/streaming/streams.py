@@ -20,14 +20,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is available, into a Parquet table (append) or the last complete result."""
+def finished(stream: DataFrame, store: tuple[str, str] | None = None) -> DataFrame:
+    """Run a stream over all that is available, into a Parquet table. ``store``: the setting of the state store that it needs."""
     spark, path = stream.sparkSession, fresh_path(stream.sparkSession, "stream")
-    if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", f"{path}/rows").outputMode("append")
-    else:
-        writer = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/rows")).outputMode(mode)
-    query = writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    before = spark.conf.get(store[0]) if store else None
+    if store:
+        spark.conf.set(*store)
+    try:
+        # A query takes the settings that hold when it starts.
+        query = stream.writeStream.format("parquet").option("path", f"{path}/rows").outputMode("append").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        if store:
+            spark.conf.set(store[0], before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
@@ -48,13 +52,6 @@ def health_sessions(events: DataFrame, gap: str) -> DataFrame:
     return rows.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("stop"), "n")
 
 
-def queue_lag(events: DataFrame) -> DataFrame:
-    """Change of the queue's depth for each hour."""
-    change = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", -1).otherwise(0)
-    rows = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(F.sum(change).alias("change"))
-    return rows.select(F.col("window.start").alias("start"), "change")
-
-
 def job_transitions(events: DataFrame, delay: str = "1 hour", lease: float = 6 * 3600.0) -> DataFrame:
     """job_id, ts, event_id, status and attempts after each event, or end of a lease, that moved a job's state.
 
@@ -108,19 +105,6 @@ def job_states(transitions: DataFrame, max_attempts: int = 3) -> DataFrame:
     return last.select("job_id", F.col("s.status").alias("status"), n.alias("attempts"), delay.alias("delay"), (failed & (n >= max_attempts)).alias("dead"))
 
 
-def item_sightings(events: DataFrame, run: str = "1 day") -> DataFrame:
-    """item_id, the run's start and the newest version of each item in each run that the watermark has closed."""
-    rows = events.withWatermark("ts", "1 hour").groupBy(F.window("ts", run), "item_id").agg(F.max_by("version", F.struct("ts", "version")).alias("version"))
-    return rows.select("item_id", F.col("window.start").alias("run"), "version")
-
-
-def assembled_messages(deltas: DataFrame) -> DataFrame:
-    """Text and status of each message (message_id, sequence, what, delta); a delta that comes twice counts once."""
-    rows = deltas.groupBy("message_id").agg(F.array_sort(F.collect_set(F.when(F.col("what") == "delta", F.struct("sequence", "delta")))).alias("d"), F.max(F.when(F.col("what") != "delta", F.col("what"))).alias("last"))
-    status = F.when(F.col("last") == "done", "completed").when(F.col("last") == "refusal", "refused").when(F.col("last") == "error", "failed").otherwise("cancelled")
-    return rows.select("message_id", F.array_join(F.transform("d", lambda x: x["delta"]), "").alias("text"), status.alias("status"), (status.isin("failed", "cancelled")).alias("partial"))
-
-
 def ingest(events: DataFrame, content: str, delay: str = "1 hour") -> DataFrame:
     """Content with white space and case made even, its hash, and no re-delivery of a key within the watermark."""
     even = F.lower(F.trim(F.regexp_replace(content, r"\s+", " ")))
@@ -137,18 +121,3 @@ def upserted(stream: DataFrame, key: str, version: str) -> DataFrame:
     last = F.max_by(F.struct(*stream.columns), F.struct("batch", version))
     return rows.groupBy(key).agg(last.alias("last")).select("last.*")
 
-
-def item_states(sightings: DataFrame, runs: DataFrame) -> DataFrame:
-    """Last version of each item, complete runs since, and whether it may be deleted (two or more).
-
-    ``runs`` (run, status) is one row for each run. Partial runs show items, but do not count; runs that were not modified or
-    found nothing neither show items nor count.
-    """
-    from pyspark.sql import Window
-
-    counted = runs.withColumn("c", F.sum((F.col("status") == "complete").cast("int")).over(Window.orderBy("run")))  # one row a run
-    total = counted.agg(F.coalesce(F.max("c"), F.lit(0)).alias("total"))
-    shown = sightings.join(runs.where(F.col("status").isin("complete", "partial")).select("run"), "run", "left_semi")
-    last = shown.groupBy("item_id").agg(F.max("run").alias("run"), F.max_by("version", "run").alias("version"))
-    missing = F.col("total") - F.col("c")
-    return last.join(counted, "run").crossJoin(F.broadcast(total)).select("item_id", "version", missing.alias("missing"), (missing >= 2).alias("deletion_candidate"))  # one row
