@@ -1,7 +1,7 @@
 """Quality rules: counts that any text can fail, and the distance of a text from its language.
 
 The method compares two histograms of each document, of character classes and of common words,
-with those of all documents of its language by the Jensen-Shannon distance. Texts under a minimum
+with those of all other documents of its language by the Jensen-Shannon distance. Texts under a minimum
 length are not judged by a histogram: theirs is mostly chance.
 """
 
@@ -165,10 +165,11 @@ def judge(text: bytes, language: str | None, references: dict[str, tuple[np.ndar
     reference = references.get(language)
     by_class = by_word = 0.0
     if reference is not None:
+        # What the others of the language say: a document is no reference for itself.
         if word_chars >= rules.judged_chars:
-            by_class = js_distance(classes, reference[0])
+            by_class = js_distance(classes, np.maximum(reference[0] - classes, 0))
         if n >= rules.judged_words:
-            by_word = js_distance(common, reference[1])
+            by_word = js_distance(common, np.maximum(reference[1] - common, 0))
     kept = not failed and by_class <= rules.max_class_distance and by_word <= rules.max_word_distance
     return n, word_chars, symbols, duplicate_lines(text), repeated, by_class, by_word, failed, kept
 
@@ -177,8 +178,8 @@ def with_verdict(docs: DataFrame, out: str, rules: Rules = Rules()) -> DataFrame
     """Add the struct column ``out`` (see VERDICT) to each row.
 
     Words are runs without ASCII white space. Null and empty texts have no words and fail. Documents
-    of unknown (null) language, and of a language without a reference, and texts under the minimum lengths, have distance 0: only
-    the base rules judge them. Ties and repeated rows are judged alike, each by itself; further columns pass.
+    of unknown (null) language, of a language without a reference, those that are the only ones of their language with a text, and texts
+    under the minimum lengths, have distance 0: only the base rules judge them. The reference of a document leaves its own counts out. Ties and repeated rows are judged alike, each by itself; further columns pass.
     """
     table = written(language_references(docs), "references")
     words = F.aggregate("common", F.lit(0).cast("long"), lambda n, v: n + v)

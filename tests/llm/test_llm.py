@@ -541,14 +541,24 @@ def test_distances_and_verdicts_against_brute_force(spark, sf):
     for r in quality.quality_report(docs_of(spark, sf)).collect():
         d = next(x for x in docs if x.doc_id == r.doc_id)
         n_chars = sum(len(w) for w in TOKEN.findall(d.text or ""))
-        by_class = plain_distance(chars[d.doc_id], by_lang[d.lang][0]) if d.lang is not None and n_chars >= rules.judged_chars else 0.0
-        by_word = plain_distance(words[d.doc_id], by_lang[d.lang][1]) if d.lang is not None and r.n_words >= rules.judged_words else 0.0
+        # Of the language's counts the document's own are left out.
+        others = [by_lang[d.lang][i] - own[d.doc_id] for i, own in enumerate((chars, words))]
+        by_class = plain_distance(chars[d.doc_id], others[0]) if d.lang is not None and n_chars >= rules.judged_chars else 0.0
+        by_word = plain_distance(words[d.doc_id], others[1]) if d.lang is not None and r.n_words >= rules.judged_words else 0.0
         assert math.isclose(r.class_distance, by_class, abs_tol=1e-6) and math.isclose(r.word_distance, by_word, abs_tol=1e-6), d.doc_id
         assert r.kept == (not r.base_failed and by_class <= rules.max_class_distance and by_word <= rules.max_word_distance)
         judged += by_class > 0
     assert judged > 50
 
 
+def test_a_document_is_no_reference_for_itself(spark):
+    plain, odd = "The plain words of an old book and the rest of its pages. " * 40, " ".join(f"$$%&{i} ##|" for i in range(400))
+    docs = spark.createDataFrame([(1, odd, "xx"), (2, odd, "en"), (3, plain, "en"), (4, odd, "yy"), (5, plain, "yy")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.quality_report(docs, quality.Rules(most_repeated_percent=100)).collect()}
+    assert got[1].class_distance == got[1].word_distance == 0 and got[1].kept
+    assert got[2].class_distance == got[4].class_distance > 0.5 and not got[2].kept and not got[4].kept
+
+
 def test_quality_awkward_rows(spark):
     docs = awkward(spark, "n_words")
     assert quality.quality_report(docs).count() == len(AWKWARD) and quality.keep_good(docs).columns == docs.columns
