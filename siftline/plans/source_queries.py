@@ -45,26 +45,33 @@ def src06(spark: S, sf: str) -> DataFrame:
     return readers.feed_entries(table(spark, sf, "pages").select(F.col("page_id").alias("feed_id"), F.expr(payload).alias("payload")))
 
 
-def _unescaped(text: str) -> str:
-    for entity, character in readers.HTML_ENTITIES.items():
-        text = f"replace({text}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
-    return text
-
-
-_HTML = "html"
-for _tag in ("script", "style", "noscript", "svg", "title"):
-    _HTML = rf"regexp_replace({_HTML}, '(?is)<{_tag}\b.*?</{_tag}>', ' ', 'g')"
-_HTML = rf"regexp_replace(regexp_replace({_HTML}, '(?s)<!--.*?-->', ' ', 'g'), '\s+', ' ', 'g')"
-_LINES = f"regexp_replace(regexp_replace({_HTML}, '{readers.BLOCK_TAG}', chr(10), 'g'), '<[^>]*>', ' ', 'g')"
-_TITLE = rf"trim(regexp_replace({_unescaped("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g'))"
-
-
-@query("SRC-07", rf"""WITH t AS (SELECT page_id, CASE WHEN {_TITLE} = '' THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE {_TITLE} END AS title,
-regexp_replace(regexp_replace(regexp_replace({_unescaped(_LINES)}, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM pages),
+#: Planted at the end of pages: skipped tags inside each other, references of all kinds, an end tag too many, an attribute that holds a bracket.
+PLANTED = (
+    "<svg>a<svg>b</svg>c</svg><p>dash &#8212; and &#x2014; here</p>", "<noscript>x<noscript>y</noscript>z</noscript></svg>&eacute;&Omega; &unknown; &amp;lt;<br/>1 < 2 &#0;&#xD800;",
+    """<script>if (a < b) { document.write("<p>no</p>") }</script><div title="a > b">shown&nbsp;text</div><!-- <p>no</p> -->end""", "<style>p { x }</style><title>late title</title>&copy;&apos;&quot;&#39",
+)
+_NAMED = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in readers.NAMED.items()) + "}"
+_CODE = rf"coalesce(TRY_CAST('0x' || nullif(regexp_extract(p, '(?i)^&#x([0-9a-f]+)', 1), '') AS BIGINT), TRY_CAST(regexp_extract(p, '^&#([0-9]+)', 1) AS BIGINT), {_NAMED}[regexp_extract(p, '^&([A-Za-z][A-Za-z0-9]*);$', 1)]::BIGINT)"
+_CHARACTER = f"list_transform([{_CODE}], lambda c: CASE WHEN NOT starts_with(p, '&') OR c IS NULL THEN p WHEN c > 0 AND c < 1114112 AND c NOT BETWEEN 55296 AND 57343 THEN chr(c::INT) ELSE chr(65533) END)[1]"
+_PIECE = readers.PIECES.replace("'", "''")
+_PAGES = "CASE page_id % 4 " + " ".join(f"WHEN {i} THEN '{x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(PLANTED)) + " END"
+
+
+@query("SRC-07", rf"""WITH h AS (SELECT page_id, url, regexp_extract_all(coalesce(html, '') || {_PAGES}, '{_PIECE}') AS l FROM pages),
+q AS (SELECT page_id, unnest(l) AS piece, generate_subscripts(l, 1) AS place FROM h),
+k AS (SELECT *, CASE WHEN regexp_matches(piece, '(?is)^<(?:script|style)\b') THEN '' ELSE lower(regexp_extract(piece, '(?s)^</?([A-Za-z][A-Za-z0-9]*)', 1)) END AS tag, NOT starts_with(piece, '</') AS opens FROM q),
+r AS (SELECT *, sum(CASE WHEN tag IN ('noscript', 'svg') THEN CASE WHEN opens THEN 1 ELSE -1 END ELSE 0 END) OVER w AS s, coalesce(last_value(CASE WHEN tag = 'title' THEN opens END IGNORE NULLS) OVER w, false) AS in_title FROM k WINDOW w AS (PARTITION BY page_id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY place ROWS UNBOUNDED PRECEDING)) AS depth, regexp_matches(tag, '{readers.BLOCKS}') AND (tag <> 'br' OR opens) AS block FROM r),
+e AS (SELECT page_id, place, in_title AND NOT block AS in_title, CASE WHEN block THEN chr(10) ELSE trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(piece, '{readers.REFERENCES}'), lambda p: {_CHARACTER}), ''), '[\s\x{{a0}}]+', ' ', 'g')) END AS part
+FROM d WHERE block OR (depth = 0 AND NOT regexp_matches(piece, '(?is)^<[a-z!?/]'))),
+j AS (SELECT page_id, coalesce(string_agg(part, ' ' ORDER BY place) FILTER (WHERE in_title), '') AS title, coalesce(string_agg(part, ' ' ORDER BY place) FILTER (WHERE NOT in_title), '') AS text FROM e WHERE part <> '' GROUP BY 1),
+t AS (SELECT h.page_id, CASE WHEN coalesce(title, '') = '' THEN regexp_extract(url, '://([^/?#]*)', 1) ELSE title END AS title, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\s*\n\s*', chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM h LEFT JOIN j USING (page_id)),
 s AS (SELECT *, regexp_replace(regexp_replace(title, '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g') AS safe FROM t)
 SELECT page_id, title, text, substr(CASE WHEN safe = '' THEN 'page' ELSE safe END, 1, 80) || '.url.txt' AS file_name FROM s""")
 def src07(spark: S, sf: str) -> DataFrame:
-    return readers.extract_page_text(table(spark, sf, "pages"))
+    """The pages, each with one of four planted ends."""
+    ends = F.element_at(F.array(*[F.lit(x) for x in PLANTED]), (F.col("page_id") % 4 + 1).cast("int"))
+    return readers.extract_page_text(table(spark, sf, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), ends)))
 
 
 _LINE_ID = "CASE WHEN doc_id % 5 > 0 THEN 'c' || (doc_id - doc_id % 7) || source END"
@@ -101,14 +108,13 @@ def set06(spark: S, sf: str) -> DataFrame:
     return records.query_rewrites(q.select("query_id", F.substring("text", 1, 60).alias("question")), rewrites, 2)
 
 
-_META = """'{"Source_Path": "/x/' || page_id || '", "lang": "en", "page": "' || page_id || '", "object_key": "k", "nested": "' || url || '"}'"""
+_META = """'{"Source_Path": "/x/' || page_id || '", "lang": "en", "parts": [{"OBJECT_KEY": "k", "page": ' || page_id || ', "box": [1, 2.5, null]}, [{"file_path": {"a": 1}}], "output_dir"], "nested": {"url": "' || url || '", "deep": {"image_path": "p", "ok": true}}}'"""
 
 
-@query("SCL-06", "SELECT page_id, ['lang=en', 'nested=' || url, 'page=' || page_id] AS metadata FROM pages")
+@query("SCL-06", """SELECT page_id, '{"lang":"en","parts":[{"page":' || page_id || ',"box":[1,2.5,null]},[{}],"output_dir"],"nested":{"url":"' || url || '","deep":{"ok":true}}}' AS metadata FROM pages""")
 def scl06(spark: S, sf: str) -> DataFrame:
-    meta = records.public_metadata(F.from_json(F.expr(_META), "map<string,string>"))
-    shown = F.array_sort(F.transform(F.map_entries(meta), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return table(spark, sf, "pages").select("page_id", shown.alias("metadata"))
+    """Private keys on three levels, inside a list and in a list of lists."""
+    return table(spark, sf, "pages").select("page_id", records.public_json(F.expr(_META)).alias("metadata"))
 
 
 @query("SCL-14", f"""SELECT page_id, ['X-Api-Key=[Filtered]', 'note=sent [REDACTED] on', 'status=ok', 'url=' || u.url] AS record FROM pages JOIN ({ORACLES['TXT-19']}) u USING (page_id)""")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from html.entities import name2codepoint
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import normalize_text
 
-#: Entities of HTML and their characters; the ampersand comes last.
-HTML_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
-BLOCK_TAG = r"(?i)<br[^>]*>|</?(?:p|div|section|article|h1|h2|h3|li)(?:\s[^>]*)?>"
+#: Code points of the named references of HTML 4, from Python's table, and of the apostrophe.
+NAMED = {**name2codepoint, "apos": 39}
+#: Pieces of a page: comments and declarations, scripts and styles with all they hold (no tag in them counts), tags, texts, stray characters.
+PIECES = r"""(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)|<[!?][^>]*>|</?[a-z](?:"[^"]*"|'[^']*'|[^'">])*>|[^<]+|<"""
+REFERENCES = r"(?i)&#[0-9]{1,7};?|&#x[0-9a-f]{1,6};?|&[a-z][a-z0-9]{1,31};|[^&]+|&"
+BLOCKS = "^(?:p|div|section|article|h1|h2|h3|li|br)$"
 
 
 def scan_text_files(spark: SparkSession, root: str) -> DataFrame:
@@ -44,25 +49,51 @@ def feed_entries(feeds: DataFrame) -> DataFrame:
 
 
 def unescaped(text: Column) -> Column:
-    for entity, character in HTML_ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return text
+    """Character references as characters: named ones of HTML 4 by a map, numeric ones by code point (those that are none: U+FFFD)."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def character(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "(?i)^&#x([0-9a-f]+)", 1)
+        number = F.when(digits != "", F.conv(digits, 16, 10).cast("long")).otherwise(F.regexp_extract(piece, "^&#([0-9]+)", 1).try_cast("long"))
+        code = F.coalesce(number, F.try_element_at(names, F.regexp_extract(piece, "^&([A-Za-z][A-Za-z0-9]*);$", 1)).cast("long"))
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(code.isNull(), piece).when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    found = F.regexp_extract_all(text, F.lit(REFERENCES), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(found, lambda p: F.when(F.startswith(p, F.lit("&")), character(p)).otherwise(p)), "")).otherwise(text)
 
 
-def page_text(html: Column) -> Column:
-    """Readable text: no scripts, styles, title or comments, a line for each block, white space collapsed."""
-    for drop in (r"(?is)<(script|style|noscript|svg)\b.*?</\1>", r"(?is)<title\b.*?</title>", r"(?s)<!--.*?-->"):
-        html = F.regexp_replace(html, drop, " ")
-    lines = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, r"\s+", " "), BLOCK_TAG, "\n"), "<[^>]*>", " ")
-    text = F.regexp_replace(F.regexp_replace(unescaped(lines), r"[ \t]+", " "), r"\s*\n\s*", "\n")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+def page_parts(pages: DataFrame) -> DataFrame:
+    """page_id, place, in_title and part: the texts of each page outside skipped tags, and a line break for each block tag.
+
+    A page is a stream of tags and texts. The depth of skipped tags (noscript, svg; script and style are one piece each) is a running sum over
+    the page that an end tag too many doesn't take below 0, so that a tag inside one of the same name does not end the skip.
+    """
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(PIECES), F.lit(0))).alias("place", "piece"))
+    tag = F.lower(F.regexp_extract("piece", r"(?s)^</?([A-Za-z][A-Za-z0-9]*)", 1))
+    opens, closes = ~F.startswith("piece", F.lit("</")), F.startswith("piece", F.lit("</"))
+    whole = F.regexp_like("piece", F.lit(r"(?is)^<(?:script|style)\b"))
+    rows = rows.withColumn("tag", F.when(whole, "").otherwise(tag)).withColumn("is_text", ~F.regexp_like("piece", F.lit(r"(?is)^<[a-z!?/]")))
+    order = Window.partitionBy("page_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("tag").isin("noscript", "svg"), F.when(opens, 1).otherwise(-1)).otherwise(0)
+    rows = rows.withColumn("sum", F.sum(step).over(order))
+    rows = rows.withColumn("depth", F.col("sum") - F.least(F.lit(0), F.min("sum").over(order)))
+    rows = rows.withColumn("in_title", F.coalesce(F.last(F.when(F.col("tag") == "title", opens), ignorenulls=True).over(order), F.lit(False)))
+    block = F.regexp_like("tag", F.lit(BLOCKS)) & ~((F.col("tag") == "br") & closes)
+    text = F.trim(F.regexp_replace(unescaped(F.col("piece")), r"[\s\x{a0}]+", " "))
+    rows = rows.where(block | (F.col("is_text") & (F.col("depth") == 0)))
+    parts = rows.select("page_id", "place", (F.col("in_title") & ~block).alias("in_title"), F.when(block, "\n").otherwise(text).alias("part"))
+    return parts.where(F.col("part") != "")
 
 
 def extract_page_text(pages: DataFrame) -> DataFrame:
-    """page_id, title (else the host), file_name and text."""
-    title = F.trim(F.regexp_replace(unescaped(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
+    """page_id, title (else the host), file_name and text of pages (page_id, url, html) with distinct ids; a page without html has no text."""
+    joined = lambda keep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("place", "part")))), lambda x: x["part"]), " ")
+    parts = page_parts(pages).groupBy("page_id").agg(joined(F.col("in_title")).alias("title"), joined(~F.col("in_title")).alias("text"))
     host = F.regexp_extract("url", r"://([^/?#]*)", 1)
-    rows = pages.select("page_id", F.when(title == "", host).otherwise(title).alias("title"), page_text(F.col("html")).alias("text"))
+    rows = pages.select("page_id", "url").join(parts, "page_id", "left").na.fill("", ["title", "text"])
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\s*\n\s*", "\n"), r"[ \t]{2,}", " "), r"^\s+|\s+$", "")
+    rows = rows.select("page_id", F.when(F.col("title") == "", host).otherwise(F.col("title")).alias("title"), text.alias("text"))
     safe = F.regexp_replace(F.regexp_replace("title", r"[^A-Za-z0-9._-]+", "-"), r"^[.-]+|[.-]+$", "")
     return rows.withColumn("file_name", F.concat(F.substring(F.when(safe == "", "page").otherwise(safe), 1, 80), F.lit(".url.txt")))
 
