@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,27 +64,41 @@ def distinct_words(words: Column, limit: int) -> Column:
 
 
 def template_enrichment(elements: DataFrame) -> DataFrame:
-    """Description, keywords, entities and confidence from doc_id, n, kind, text and rows (the cells of a table)."""
+    """Description, keywords, entities, confidence and warnings from doc_id, n, kind, text, caption, latex, rows (the cells of a table) and context (the text beside it)."""
     cells = F.flatten("rows")
     headers = F.coalesce(F.get("rows", F.lit(0)), F.array().cast("array<string>"))
-    words = F.when(F.col("kind") == "table", F.concat(headers, tx.tokenize(F.col("text")))).otherwise(tx.tokenize(F.col("text")))
+    said = F.coalesce(F.nullif("caption", F.lit("")), F.nullif("text", F.lit("")), F.lit("an image without text"))
+    near = F.coalesce("context", F.lit(""))
+    words = F.when(F.col("kind") == "table", F.concat(headers, tx.tokenize(F.col("text")))).when(F.col("kind") == "equation", tx.tokenize(F.concat_ws(" ", "latex", near)))
+    words = words.otherwise(tx.tokenize(F.concat_ws(" ", "caption", "text", near)))
     columns = F.coalesce(F.array_max(F.transform("rows", lambda r: F.size(r))), F.lit(0)).cast("string")
     table = F.concat(F.size("rows").cast("string"), F.lit(" x "), columns, F.lit(": "), F.array_join(headers, ", "))
-    description = F.when(F.col("kind") == "table", table).when(F.col("kind") == "equation", F.concat(F.lit("formula: "), "text")).otherwise(F.col("text"))
-    keywords = distinct_words(words, 16)
-    found = elements.select("doc_id", "n", F.substring(description, 1, 2000).alias("description"), keywords.alias("keywords"), F.when((F.col("text") != "") | (F.size(cells) > 0), 1.0).otherwise(0.4).alias("confidence"))
+    beside = F.when((near != "") & ~F.contains(said, near), F.concat(said, F.lit(". beside it: "), F.substring(near, 1, 500))).otherwise(said)
+    description = F.when(F.col("kind") == "table", table).when(F.col("kind") == "equation", F.trim(F.concat(F.lit("formula: "), F.coalesce(F.nullif("latex", F.lit("")), "text")))).otherwise(beside)
+    known = (F.col("text") != "") | (F.size(cells) > 0) | (F.coalesce("latex", F.lit("")) != "")
+    found = elements.select("doc_id", "n", F.substring(description, 1, 2000).alias("description"), distinct_words(words, 16).alias("keywords"), F.when(known, 1.0).otherwise(0.4).alias("confidence"), F.when(known, F.array().cast("array<string>")).otherwise(F.array(F.lit("no text was found"))).alias("warnings"))
     return found.withColumn("entities", F.slice(F.filter("keywords", lambda w: F.regexp_like(w, F.lit(r"^[A-Za-z][A-Za-z0-9_.-]{1,40}$"))), 1, 8))
 
 
 def validate_enrichment(payloads: DataFrame) -> DataFrame:
-    """Trimmed and capped fields of a JSON payload; relations need an evidence span; confidences lie in 0 to 1."""
-    schema = "description string, keywords array<string>, confidence double, relationships array<struct<source: string, relation: string, target: string, evidence_span: string, confidence: double>>"
+    """Trimmed and capped fields of a JSON payload; relations need an evidence span and have capped fields; confidences lie in 0 to 1; where another
+    provider stood in, its names and a reason that tells nothing private."""
+    relation = "struct<source: string, relation: string, target: string, evidence_span: string, confidence: double>"
+    schema = f"description string, keywords array<string>, entities array<string>, warnings array<string>, confidence double, relationships array<{relation}>, fallback struct<`from`: string, `to`: string, reason: string>"
     p = payloads.withColumn("p", F.from_json("payload", schema))
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.coalesce(c, F.lit(0.0)), F.lit(1.0)))
-    words = F.slice(F.filter(F.transform("p.keywords", lambda w: F.trim(w)), lambda w: w != ""), 1, 32)
+    text = lambda c, default, most: F.substring(F.coalesce(F.nullif(c, F.lit("")), F.lit(default)), 1, most)
+    none = F.array().cast("array<string>")
+    words = lambda c: F.filter(F.transform(F.coalesce(c, none), lambda w: F.trim(w)), lambda w: w != "")
+    told = F.filter(F.coalesce("p.warnings", none), lambda w: F.trim(w) != "")
     good = F.filter("p.relationships", lambda r: F.trim(F.coalesce(r["evidence_span"], F.lit(""))) != "")
-    kept = F.slice(F.transform(good, lambda r: F.concat_ws("|", r["source"], F.coalesce(F.nullif(r["relation"], F.lit("")), F.lit("related_to")), r["target"], unit(r["confidence"]).cast("string"))), 1, 32)
-    return p.select("doc_id", F.substring(F.trim("p.description"), 1, 4000).alias("description"), words.alias("keywords"), unit(F.col("p.confidence")).alias("confidence"), kept.alias("relations"))
+    cut = F.transform(good, lambda r: F.struct(text(r["source"], "", 160).alias("source"), text(r["relation"], "related_to", 80).alias("relation"), text(r["target"], "", 160).alias("target"), F.substring(r["evidence_span"], 1, 1000).alias("evidence_span"), unit(r["confidence"]).alias("confidence")))
+    shown = F.transform(F.slice(F.coalesce(cut, F.array().cast(f"array<{relation}>")), 1, 32), lambda r: F.concat_ws("|", r["source"], r["relation"], r["target"], r["evidence_span"], r["confidence"].cast("string")))
+    stood_in = F.when(F.col("p.fallback").isNotNull(), F.concat_ws("|", text(F.col("p.fallback.from"), "unknown", 80), text(F.col("p.fallback.to"), "template", 80), F.lit("the provider is away")))
+    return p.select(
+        "doc_id", F.substring(F.trim(F.coalesce("p.description", F.lit(""))), 1, 4000).alias("description"), F.slice(words("p.keywords"), 1, 32).alias("keywords"), F.slice(words("p.entities"), 1, 32).alias("entities"), unit(F.col("p.confidence")).alias("confidence"),
+        shown.alias("relations"), F.slice(F.transform(told, lambda w: F.substring(w, 1, 300)), 1, 20).alias("warnings"), stood_in.alias("fallback"),
+    )
 
 
 def multimodal_quality(elements: DataFrame) -> DataFrame:
@@ -158,38 +175,72 @@ def content_elements(lists: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n", kind.alias("kind"), text.alias("text"), page.alias("page"), (F.size("b.bbox") == 4).alias("has_bbox"), n_cells.alias("n_cells")).where("text <> ''")
 
 
+_CHUNK = "chunk_index int, text string, element_ids array<string>, modality string, page int, heading_path array<string>"
+
+
 def split_chunks(elements: DataFrame, size: int = 520, overlap: int = 90) -> DataFrame:
     """Chunks of a document's elements (doc_id, n, element_id, kind, text, page, heading_path), packed greedily in order.
 
     Images, tables, equations and code stand alone; a longer text is cut into windows; the rest is joined by
     blank lines while it fits, and a full chunk hands its last characters on. A chunk names its elements in order (and those
-    whose end it was handed), its modality (mixed if theirs differ), their first page and their last heading path. A document
-    is one row here: its elements are bounded by what one source file holds.
+    whose end it was handed), its modality (mixed if theirs differ), their first page and their last heading path. Elements
+    pass by in order, a batch at a time, with one open chunk as state, so that the work grows with a document and its memory does not.
     """
-    item = F.struct("n", "element_id", "kind", "text", "page", "heading_path")
-    docs = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    chunk = "struct<text:string,element_ids:array<string>,kinds:array<string>,page:int,heading_path:array<string>>"
-    nothing = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("element_ids"), F.array().cast("array<string>").alias("kinds"), F.lit(None).cast("int").alias("page"), F.array().cast("array<string>").alias("heading_path")).cast(chunk)
-    start = F.struct(F.array().cast(f"array<{chunk}>").alias("out"), nothing.alias("current"))
-
-    def made(text: Column, e: Column, before: Column | None = None) -> Column:
-        of = lambda name, own: F.array(own) if before is None else F.array_union(before[name], F.array(own))
-        page = e["page"].cast("int") if before is None else F.coalesce(before["page"], e["page"].cast("int"))
-        return F.struct(text.alias("text"), of("element_ids", e["element_id"]).alias("element_ids"), of("kinds", e["kind"]).alias("kinds"), page.alias("page"), e["heading_path"].alias("heading_path")).cast(chunk)
-
-    def step(acc: Column, e: Column) -> Column:
-        now = acc["current"]
-        blank = now["text"] == ""
-        flushed = F.when(blank, acc["out"]).otherwise(F.array_append(acc["out"], now))
-        alone, long = e["kind"].isin("image", "table", "equation", "code"), F.length(e["text"]) > size
-        windows = F.transform(tx.window_starts(F.length(e["text"]), size, overlap), lambda s: made(e["text"].substr(s + 1, F.lit(size)), e))
-        joined = F.when(blank, made(e["text"], e)).otherwise(made(F.concat_ws("\n\n", now["text"], e["text"]), e, now))
-        tail = F.when(blank, made(e["text"], e)).otherwise(made(F.concat_ws("\n\n", F.right(now["text"], F.lit(overlap)), e["text"]), e, now))
-        fits = F.length(joined["text"]) <= size
-        out = F.when(alone, F.array_append(flushed, made(e["text"], e))).when(long, F.concat(flushed, windows)).when(fits, acc["out"]).otherwise(flushed)
-        return F.struct(out.alias("out"), F.when(alone | long, nothing).when(fits, joined).otherwise(tail).alias("current"))
-
-    done = lambda acc: F.when(acc["current"]["text"] != "", F.array_append(acc["out"], acc["current"])).otherwise(acc["out"])
-    rows = docs.select("doc_id", F.posexplode(F.aggregate("items", start, step, done)).alias("chunk_index", "c"))
-    modality = F.when(F.size("c.kinds") == 1, F.get("c.kinds", F.lit(0))).otherwise("mixed")
-    return rows.select("doc_id", "chunk_index", "c.text", "c.element_ids", modality.alias("modality"), "c.page", "c.heading_path")
+    kind = dict(elements.dtypes)["doc_id"]
+    rows = elements.select("doc_id", F.col("element_id").cast("string"), "kind", "text", F.col("page").cast("int").alias("page"), F.col("heading_path").cast("array<string>").alias("heading_path"), "n")
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id", "n").drop("n")
+    step = size - overlap
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        doc, index, now, began = None, 0, None, False
+
+        def close() -> None:
+            nonlocal index, now
+            if now is not None and now[0] != "":
+                give(now)
+            now = None
+
+        def give(c: tuple) -> None:
+            nonlocal index
+            out.append((doc, index, c[0], c[1], c[2][0] if len(c[2]) == 1 else "mixed", c[3], c[4]))
+            index += 1
+
+        def added(text: str, e: tuple) -> tuple:
+            union = lambda old, x: old if x in old else [*old, x]
+            return text, union(now[1], e[0]), union(now[2], e[1]), e[3] if now[3] is None else now[3], e[4]
+
+        for batch in batches:
+            for key, *e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not began or key != doc:
+                    close()
+                    doc, index, began = key, 0, True
+                text = e[2] or ""
+                own = lambda t, e=e: (t, [e[0]], [e[1]], e[3], e[4])
+                if e[1] in ("image", "table", "equation", "code"):
+                    close()
+                    give(own(text))
+                elif len(text) > size:
+                    close()
+                    for i in range(-(-(len(text) - size) // step) + 1):
+                        give(own(text[i * step : i * step + size]))
+                elif now is None or now[0] == "":
+                    now = own(text)
+                elif len(now[0]) + 2 + len(text) <= size:
+                    now = added(f"{now[0]}\n\n{text}", e)
+                else:
+                    give(now)
+                    now = added(f"{now[0][-overlap:]}\n\n{text}", e)
+            if len(out) >= 4096:
+                yield packed(out)
+                out = []
+        close()
+        if out:
+            yield packed(out)
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        types = [pa.from_numpy_dtype("int64") if kind == "bigint" else pa.int32() if kind == "int" else pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.list_(pa.string())]
+        names = ["doc_id", "chunk_index", "text", "element_ids", "modality", "page", "heading_path"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return rows.mapInArrow(pack, f"doc_id {kind}, {_CHUNK}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
@@ -91,22 +91,30 @@ def txt30(spark: S, sf: str) -> DataFrame:
     return typed(spark, sf).select("doc_id", "n", el.rendered(F.col("heading_path"), F.col("text"), caption, notes).alias("text"))
 
 
-_WORDS = f"CASE WHEN kind = 'table' THEN list_concat(string_split(text, ' | '), {tok('text')}) ELSE {tok('text')} END"
+#: Each third element has a caption, each image but every fourth loses its text, formulas have one of their own, and the text before stands beside.
+_RICH = f"""rich AS (SELECT doc_id, n, kind, CASE WHEN kind = 'image' AND n % 4 <> 0 THEN '' ELSE text END AS text, CASE WHEN n % 3 = 0 THEN 'Caption ' || n ELSE '' END AS caption, CASE WHEN kind = 'equation' AND n % 2 = 0 THEN 'x_' || n || ' = y' ELSE '' END AS latex,
+coalesce(lag(text) OVER (PARTITION BY doc_id ORDER BY n), '') AS context FROM typed)"""
+_SAID = "coalesce(nullif(caption, ''), nullif(text, ''), 'an image without text')"
+_WORDS = f"CASE kind WHEN 'table' THEN list_concat(string_split(text, ' | '), {tok('text')}) WHEN 'equation' THEN {tok("latex || ' ' || context")} ELSE {tok("caption || ' ' || text || ' ' || context")} END"
 
 
-@query("TXT-24", rf"""WITH {PLAIN}, w AS (SELECT *, {_WORDS} AS w FROM typed), k AS (SELECT *, list_transform(w, lambda x: lower(x)) AS l FROM w),
+@query("TXT-24", rf"""WITH {PLAIN}, {_RICH}, w AS (SELECT *, {_WORDS} AS w FROM rich), k AS (SELECT *, list_transform(w, lambda x: lower(x)) AS l FROM w),
 d AS (SELECT *, list_filter(w, lambda x, i: trim(x) <> '' AND list_position(l, lower(x)) = i)[1:16] AS keywords FROM k)
-SELECT doc_id, n, substr(CASE kind WHEN 'table' THEN '1 x ' || len(string_split(text, ' | ')) || ': ' || array_to_string(string_split(text, ' | '), ', ') WHEN 'equation' THEN 'formula: ' || text ELSE text END, 1, 2000) AS description,
-keywords, 1.0::DOUBLE AS confidence, list_filter(keywords, lambda x: regexp_full_match(x, '[A-Za-z][A-Za-z0-9_.-]{{1,40}}'))[1:8] AS entities FROM d""")
+SELECT doc_id, n, substr(CASE kind WHEN 'table' THEN '1 x ' || len(string_split(text, ' | ')) || ': ' || array_to_string(string_split(text, ' | '), ', ') WHEN 'equation' THEN trim('formula: ' || coalesce(nullif(latex, ''), text))
+ELSE {_SAID} || CASE WHEN context <> '' AND NOT contains({_SAID}, context) THEN '. beside it: ' || substr(context, 1, 500) ELSE '' END END, 1, 2000) AS description,
+keywords, CASE WHEN text <> '' OR latex <> '' THEN 1.0 ELSE 0.4 END::DOUBLE AS confidence, CASE WHEN text <> '' OR latex <> '' THEN [] ELSE ['no text was found'] END AS warnings, list_filter(keywords, lambda x: regexp_full_match(x, '[A-Za-z][A-Za-z0-9_.-]{{1,40}}'))[1:8] AS entities FROM d""")
 def txt24(spark: S, sf: str) -> DataFrame:
-    return el.template_enrichment(cells(typed(spark, sf)))
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("doc_id").orderBy("n")), F.lit(""))
+    rows = cells(typed(spark, sf)).withColumn("context", before)
+    rows = rows.withColumn("caption", F.when(F.col("n") % 3 == 0, F.concat(F.lit("Caption "), F.col("n").cast("string"))).otherwise("")).withColumn("latex", F.when((F.col("kind") == "equation") & (F.col("n") % 2 == 0), F.format_string("x_%d = y", "n")).otherwise(""))
+    return el.template_enrichment(rows.withColumn("text", F.when((F.col("kind") == "image") & (F.col("n") % 4 != 0), "").otherwise(F.col("text"))))
 
 
-_PAYLOAD = """'{"description": "  about ' || source || ' ", "keywords": ["' || lang || '", "  ", " ' || source || '"], "confidence": ' || ((doc_id % 7 - 2) * 0.5) || ', "relationships": [{"source": "a' || doc_id || '", "relation": "", "target": "b", "evidence_span": "' || CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE ' ' END || '", "confidence": 0.5}]}'"""
+_PAYLOAD = """'{"description": "  about ' || source || ' ", "keywords": ["' || lang || '", "  ", " ' || source || '"], "entities": [" E' || doc_id || ' ", ""], "warnings": ["' || repeat('w', 299 + (doc_id % 3)::INT) || '", " "], "confidence": ' || ((doc_id % 7 - 2) * 0.5) || ', "relationships": [{"source": "a' || repeat('s', (100 + doc_id % 90)::INT) || '", "relation": "", "target": "b", "evidence_span": "' || CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE ' ' END || '", "confidence": ' || (doc_id % 3) || '}]' || CASE WHEN doc_id % 5 = 0 THEN ', "fallback": {"from": "vision", "reason": "/private/path"}' ELSE '' END || '}'"""
 
 
-@query("TXT-25", """SELECT doc_id, 'about ' || source AS description, [lang, source] AS keywords, greatest(0, least(1, (doc_id % 7 - 2) * 0.5))::DOUBLE AS confidence,
-CASE WHEN doc_id % 2 = 0 THEN ['a' || doc_id || '|related_to|b|0.5'] ELSE [] END AS relations FROM documents""")
+@query("TXT-25", """SELECT doc_id, 'about ' || source AS description, [lang, source] AS keywords, ['E' || doc_id] AS entities, [repeat('w', least(300, 299 + doc_id % 3))] AS warnings, greatest(0, least(1, (doc_id % 7 - 2) * 0.5))::DOUBLE AS confidence,
+CASE WHEN doc_id % 2 = 0 THEN [substr('a' || repeat('s', 100 + doc_id % 90), 1, 160) || '|related_to|b|x|' || CASE WHEN doc_id % 3 = 0 THEN '0.0' ELSE '1.0' END] ELSE [] END AS relations, CASE WHEN doc_id % 5 = 0 THEN 'vision|template|the provider is away' END AS fallback FROM documents""")
 def txt25(spark: S, sf: str) -> DataFrame:
     return el.validate_enrichment(table(spark, sf, "documents").select("doc_id", F.expr(_PAYLOAD).alias("payload")))
 

@@ -133,3 +133,13 @@ def test_sources(spark, sf, tmp_path):
 def test_public_metadata_keeps_order_of_nothing_private(spark):
     row = spark.sql("SELECT map('File_Path', 'x', 'lang', 'en') AS m").select(records.public_metadata(F.col("m"))).first()[0]
     assert row == {"lang": "en"}
+
+
+def test_chunks_of_a_document_of_100_000_elements(spark):
+    rows = spark.range(100_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("int").alias("n"), F.concat(F.lit("e"), F.col("id").cast("string")).alias("element_id"), F.when(F.col("id") % 50 == 7, "table").otherwise("text").alias("kind"), F.format_string("text of element %06d", "id").alias("text"), (F.col("id") / 100).cast("int").alias("page"), F.array(F.lit("h")).alias("heading_path"))
+    chunks = elements.split_chunks(rows.repartition(5)).collect()
+    chunks.sort(key=lambda r: r.chunk_index)
+    assert [c.chunk_index for c in chunks] == list(range(len(chunks))) and all(len(c.text) <= 520 for c in chunks)
+    order = list(dict.fromkeys(e for c in chunks for e in c.element_ids))
+    assert order == [f"e{i}" for i in range(100_000)] and sum(c.modality == "table" for c in chunks) == 2000
+    assert elements.split_chunks(rows.limit(0)).count() == 0
