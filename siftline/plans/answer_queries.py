@@ -13,7 +13,7 @@ from siftline.operators import corpus, hooks, ranking, records, windows
 from siftline.operators import registry_ops as ops
 from siftline.operators.elements import text_elements
 from siftline.plans import evaluation_queries, more_queries, text_queries, window_queries  # noqa: F401  whose SQL is used here
-from siftline.plans.element_queries import _MD, KIND, PLAIN, marked
+from siftline.plans.element_queries import _MD, _RICH, KIND, PLAIN, marked, rich
 from siftline.plans.graph_queries import _PATHS, _SEARCH, graph_found
 from siftline.plans.more_queries import _MARKED, mmr_sql
 from siftline.plans.ranking_queries import REASON, BASE, BOOSTS, KEYWORD, TOP, boosts, chunks, keyword
@@ -143,18 +143,31 @@ def ret11(spark: S, sf: str) -> DataFrame:
     return an.diagnose(q, keyword(spark, sf), chunks(spark, sf).agg(F.count("*").alias("n")), 0.95, True, "keyword")
 
 
-@query("JN-09", rf"""WITH {PLAIN}, r AS (SELECT doc_id, n, sha256('{{"kind":"' || kind || '","model":"m1","text":"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(9), '\t') || '"}}') AS key FROM typed),
+_TEXT = lambda c: rf"""'"' || replace(replace(replace(replace({c}, '\', '\\'), '"', '\"'), chr(9), '\t'), chr(10), '\n') || '"'"""
+_KEY = " || ',' || ".join(
+    f"""'"{name}":' || {value}"""
+    for name, value in {
+        "caption": _TEXT("caption"), "context": _TEXT("context"), "kind": _TEXT("kind"), "latex": _TEXT("latex"), "model": """'"m' || doc_id % 2 || '"'""", "prompt_version": """'"1"'""", "provider": """'"template"'""",
+        "rows": f"CASE WHEN kind = 'table' THEN '[[' || array_to_string(list_transform(string_split(text, ' | '), lambda x: {_TEXT('x')}), ',') || ']]' ELSE '[]' END", "text": _TEXT("text"),
+    }.items()
+)
+
+
+@query("JN-09", f"""WITH {PLAIN}, {_RICH}, r AS (SELECT doc_id, n, sha256('{{' || {_KEY} || '}}') AS key FROM rich),
 c AS (SELECT DISTINCT key FROM r JOIN labels USING (doc_id)) SELECT key, count(*) AS n_requests, bool_or(key IN (SELECT key FROM c)) AS hit, CASE WHEN key IN (SELECT key FROM c) THEN 0 ELSE 1 END AS computed FROM r GROUP BY key""")
 def jn09(spark: S, sf: str) -> DataFrame:
-    return probed(spark, sf).groupBy("key").agg(F.count("*").alias("n_requests"), F.bool_or("hit").alias("hit"), F.sum(F.col("first").cast("int")).alias("computed"))
+    """The key holds all that an enrichment depends on: the element's kind, text, caption, cells and formula, its context, the provider, its model and the version of the prompt."""
+    return requests(spark, sf).groupBy("key").agg(F.count("*").alias("n_requests"), F.bool_or("hit").alias("hit"), F.sum(F.col("first").cast("int")).alias("computed"))
+
 
+FIELDS = ["kind", "text", "caption", "rows", "latex", "context", "provider", "model", "prompt_version"]
 
-def probed(spark: S, sf: str) -> DataFrame:
-    """Elements as requests; those of labelled documents are in the cache."""
-    rows = text_elements(marked(spark, sf)).withColumn("kind", F.expr(KIND)).select("doc_id", "n", "kind", "text", F.lit("m1").alias("model"))
-    fields = ["kind", "text", "model"]
-    cache = rows.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(records.cache_key(fields).alias("key"))
-    return records.cache_probe(rows, cache, fields, ["doc_id", "n"])
+
+def requests(spark: S, sf: str) -> DataFrame:
+    """Elements as requests to one of two models; those of labelled documents are in the cache."""
+    rows = rich(spark, sf).withColumn("model", F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string"))).withColumn("provider", F.lit("template")).withColumn("prompt_version", F.lit("1"))
+    cache = rows.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select(records.cache_key(FIELDS).alias("key"))
+    return records.cache_probe(rows, cache, FIELDS, ["doc_id", "n"])
 
 
 @query("EVL-11", rf"""WITH d AS (SELECT doc_id, source AS title, CASE WHEN lang = 'de' THEN 'zh' ELSE lang END AS lang, {_MD} AS text FROM documents), h AS (SELECT *, regexp_extract(text, '(?:^|\n)#{{1,4}}[ \t]+([^\n]+)', 1) AS head FROM d),
@@ -204,10 +217,10 @@ def counted(fields: dict) -> str:
     return f'{{"description": "{fields["kind"]} of {len(fields["text"])}"}}'
 
 
-@query("UDF-03", rf"""WITH j AS ({ORACLES['JN-09']}), {PLAIN}, r AS (SELECT any_value(kind) AS kind, any_value(text) AS text, sha256('{{"kind":"' || kind || '","model":"m1","text":"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(9), '\t') || '"}}') AS key FROM typed GROUP BY 3)
+@query("UDF-03", rf"""WITH j AS ({ORACLES['JN-09']}), {PLAIN}, {_RICH}, r AS (SELECT any_value(kind) AS kind, any_value(text) AS text, sha256('{{' || {_KEY} || '}}') AS key FROM rich GROUP BY 3)
 SELECT key, '{{"description": "' || kind || ' of ' || least(length(text), 6000) || '"}}' AS payload, NULL AS error FROM j JOIN r USING (key) WHERE NOT hit""")
 def udf03(spark: S, sf: str) -> DataFrame:
-    return hooks.enrich_with(probed(spark, sf).where("first"), counted, {"kind": 200, "text": 6000})
+    return hooks.enrich_with(requests(spark, sf).where("first"), counted, {"kind": 200, "text": 6000})
 
 
 @query("EVL-10", f"""WITH {BASE}, {KEYWORD}, c AS (SELECT query_id, token, min((rank, i)) AS first FROM (SELECT query_id, rank, unnest(matched) AS token, generate_subscripts(matched, 1) AS i FROM ranked WHERE rank <= 3) GROUP BY 1, 2), m AS (SELECT query_id, list(token ORDER BY first)[1:8] AS matched FROM c GROUP BY 1),
@@ -221,20 +234,35 @@ def evl10(spark: S, sf: str) -> DataFrame:
     return an.feedback_cases(told.join(cited_terms.select("query_id", F.flatten(F.transform("l", lambda x: x["matched"])).alias("matched")), "query_id", "left"))
 
 
-_HALVES = "restored AS (SELECT * FROM events WHERE event_id % 2 = 0 UNION ALL SELECT * FROM events WHERE event_id % 2 = 1)"
-_SOAK = "soak AS (SELECT bool_and(event_id >= 0) AS valid, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS seconds, (SELECT NOT EXISTS (SELECT * FROM events EXCEPT ALL SELECT * FROM restored) AND NOT EXISTS (SELECT * FROM restored EXCEPT ALL SELECT * FROM events)) AS restored FROM events)"
+#: Part 0 is in order; in part 1 some events were tampered with and some documents are not in the index.
+_SOAK = """chain AS (SELECT *, user_id % 2 AS part, sha256(event_id || ':' || event_type) AS own FROM events), links AS (SELECT *, CASE WHEN part = 1 AND event_id % 97 = 5 THEN 'broken' ELSE own END AS event_hash, coalesce(lag(own) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS previous_hash FROM chain),
+checked AS (SELECT *, event_hash = own AND previous_hash = coalesce(lag(event_hash) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS good FROM links),
+halves AS (SELECT * FROM events WHERE event_id % 2 = 0 UNION ALL SELECT * FROM events WHERE event_id % 2 = 1),
+soak AS (SELECT part, bool_and(good) AS valid, epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6 AS seconds, (SELECT NOT EXISTS (SELECT * FROM events EXCEPT ALL SELECT * FROM halves) AND NOT EXISTS (SELECT * FROM halves EXCEPT ALL SELECT * FROM events)) AS restored FROM checked GROUP BY part),
+files AS (SELECT sha256(concat_ws(':', doc_id, text)) AS h, doc_id % 10 = 3 AS lost FROM documents),
+held AS (SELECT 0 AS part, count(*) = count(DISTINCT h) AS whole, count(*) AS n FROM files UNION ALL SELECT 1, count(*) = count(DISTINCT h) AND count(*) FILTER (WHERE lost) = 0, count(*) FILTER (WHERE NOT lost) FROM files)"""
 
 
-@query("EVL-14", f"""WITH {_HALVES}, {_SOAK} SELECT (SELECT count(DISTINCT source) FROM documents) AS licensed_materials, (SELECT count(*) FROM documents) AS non_fixture_documents, (SELECT count(*) FROM labels) AS annotated_questions,
-(SELECT count(*) FROM conversations WHERE role = 'user') AS real_questions, round(seconds / 86400, 6) AS soak_days, restored::INT AS restore_drill, (restored AND seconds >= 14 * 86400)::INT AS no_data_loss FROM soak""")
+@query("EVL-14", f"""WITH {_SOAK} SELECT part, (SELECT count(DISTINCT source) FROM documents) AS licensed_materials, CASE WHEN whole THEN n ELSE 0 END AS non_fixture_documents, (SELECT count(*) FROM labels) AS annotated_questions,
+(SELECT count(*) FROM conversations WHERE role = 'user') AS real_questions, round(CASE WHEN valid THEN seconds ELSE 0 END / 86400, 6) AS soak_days, restored::INT AS restore_drill, (restored AND valid AND seconds >= 14 * 86400)::INT AS no_data_loss FROM soak JOIN held USING (part)""")
 def evl14(spark: S, sf: str) -> DataFrame:
-    """Documents with their ids are manifest and index; the events are a chain, and are restored from two partial backups."""
+    """Documents with their ids are the manifest; each user's events are a chain of hashes, checked as WIN-07 does, and are restored from two partial backups."""
     docs, events = table(spark, sf, "documents"), table(spark, sf, "events")
-    hashed = docs.select(F.sha2(F.concat_ws(":", "doc_id", "text"), 256).alias("sha256"), F.col("source").alias("license"))
+    hashed = docs.select("doc_id", F.sha2(F.concat_ws(":", "doc_id", "text"), 256).alias("sha256"), F.col("source").alias("license"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    own = F.sha2(F.concat_ws(":", "event_id", "event_type"), 256)
+    chain = events.withColumn("part", F.col("user_id") % 2).withColumn("own", own).withColumn("previous_hash", F.coalesce(F.lag("own").over(w), F.lit("")))
+    chain = chain.withColumn("event_hash", F.when((F.col("part") == 1) & (F.col("event_id") % 97 == 5), "broken").otherwise(F.col("own")))
     ts = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    drill = ops.copy_verified(events, events.where("event_id % 2 = 0"), ["event_id"]).where("step = 'after'").select(F.col("same").alias("restored"))
-    soak = events.agg(F.bool_and(F.col("event_id") >= 0).alias("valid"), (F.max(ts) - F.min(ts)).alias("seconds")).crossJoin(drill)  # one row each
-    return an.release_evidence(hashed, hashed.select("sha256"), table(spark, sf, "labels"), table(spark, sf, "conversations").where("role = 'user'"), soak)
+    drill = written(ops.copy_verified(events, events.where("event_id % 2 = 0"), ["event_id"]).where("step = 'after'").select(F.col("same").alias("restored")), "drill")
+    out = None
+    for part, indexed in ((0, hashed), (1, hashed.where("doc_id % 10 <> 3"))):
+        here = chain.where(F.col("part") == part)
+        valid = windows.verify_hash_chain(here).agg(F.bool_and("valid").alias("valid"))
+        soak = here.agg((F.max(ts) - F.min(ts)).alias("seconds")).crossJoin(valid).crossJoin(drill)  # one row each
+        one = an.release_evidence(hashed, indexed.select("sha256"), table(spark, sf, "labels"), table(spark, sf, "conversations").where("role = 'user'"), soak).withColumn("part", F.lit(part).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _GATE = "MAP {" + ", ".join(f"'{g}': {v}" for g, v in an.GATES.items()) + "}"
@@ -242,14 +270,14 @@ _EVIDENCE = ["licensed_materials", "non_fixture_documents", "annotated_questions
 _MEASURED = {"recall_at_5": "recall_at_5", "mrr": "mrr", "citation_accuracy": "citation_accuracy", "refusal_accuracy": "refusal_accuracy", "answer_acceptance": "answer_acceptance_accuracy"}
 
 
-@query("EVL-13", f"""WITH e AS ({ORACLES['EVL-14']}), m AS ({ORACLES['EVL-08']}), g AS ({" UNION ALL ".join(f"SELECT '{c}' AS gate, {c}::DOUBLE AS observed FROM e" for c in _EVIDENCE)}
+@query("EVL-13", f"""WITH e AS (SELECT * FROM ({ORACLES['EVL-14']}) WHERE part = 0), m AS ({ORACLES['EVL-08']}), g AS ({" UNION ALL ".join(f"SELECT '{c}' AS gate, {c}::DOUBLE AS observed FROM e" for c in _EVIDENCE)}
 UNION ALL {" UNION ALL ".join(f"SELECT '{g}', actual::DOUBLE FROM m WHERE metric = '{c}'" for g, c in _MEASURED.items())} UNION ALL SELECT 'citation_coverage', round(coalesce(avg(coverage), 0), 6) FROM ({ORACLES['EVL-03']})),
 r AS (SELECT gate, observed, {_GATE}[gate]::DOUBLE AS required, observed >= {_GATE}[gate] AS passed FROM g) SELECT *, count(*) FILTER (WHERE passed) OVER () AS n_passed, bool_and(passed) OVER () AS ready FROM r""")
 def evl13(spark: S, sf: str) -> DataFrame:
     metrics = QUERIES["EVL-08"](spark, sf)
     wide = metrics.agg(*[F.max(F.when(F.col("metric") == c, F.col("actual"))).alias(g) for g, c in _MEASURED.items()])
     coverage = QUERIES["EVL-03"](spark, sf).agg(F.round(F.coalesce(F.avg("coverage"), F.lit(0.0)), 6).alias("citation_coverage"))
-    return an.release_gates(QUERIES["EVL-14"](spark, sf).crossJoin(F.broadcast(wide)).crossJoin(F.broadcast(coverage)))  # one row each
+    return an.release_gates(QUERIES["EVL-14"](spark, sf).where("part = 0").drop("part").crossJoin(F.broadcast(wide)).crossJoin(F.broadcast(coverage)))  # one row each
 
 
 _ASKED = QUESTIONS.replace("questions AS", "asked AS")

@@ -98,16 +98,20 @@ _SAID = "coalesce(nullif(caption, ''), nullif(text, ''), 'an image without text'
 _WORDS = f"CASE kind WHEN 'table' THEN list_concat(string_split(text, ' | '), {tok('text')}) WHEN 'equation' THEN {tok("latex || ' ' || context")} ELSE {tok("caption || ' ' || text || ' ' || context")} END"
 
 
+def rich(spark: S, sf: str) -> DataFrame:
+    before = F.coalesce(F.lag("text").over(Window.partitionBy("doc_id").orderBy("n")), F.lit(""))
+    rows = cells(typed(spark, sf)).withColumn("context", before)
+    rows = rows.withColumn("caption", F.when(F.col("n") % 3 == 0, F.concat(F.lit("Caption "), F.col("n").cast("string"))).otherwise("")).withColumn("latex", F.when((F.col("kind") == "equation") & (F.col("n") % 2 == 0), F.format_string("x_%d = y", "n")).otherwise(""))
+    return rows.withColumn("text", F.when((F.col("kind") == "image") & (F.col("n") % 4 != 0), "").otherwise(F.col("text")))
+
+
 @query("TXT-24", rf"""WITH {PLAIN}, {_RICH}, w AS (SELECT *, {_WORDS} AS w FROM rich), k AS (SELECT *, list_transform(w, lambda x: lower(x)) AS l FROM w),
 d AS (SELECT *, list_filter(w, lambda x, i: trim(x) <> '' AND list_position(l, lower(x)) = i)[1:16] AS keywords FROM k)
 SELECT doc_id, n, substr(CASE kind WHEN 'table' THEN '1 x ' || len(string_split(text, ' | ')) || ': ' || array_to_string(string_split(text, ' | '), ', ') WHEN 'equation' THEN trim('formula: ' || coalesce(nullif(latex, ''), text))
 ELSE {_SAID} || CASE WHEN context <> '' AND NOT contains({_SAID}, context) THEN '. beside it: ' || substr(context, 1, 500) ELSE '' END END, 1, 2000) AS description,
 keywords, CASE WHEN text <> '' OR latex <> '' THEN 1.0 ELSE 0.4 END::DOUBLE AS confidence, CASE WHEN text <> '' OR latex <> '' THEN [] ELSE ['no text was found'] END AS warnings, list_filter(keywords, lambda x: regexp_full_match(x, '[A-Za-z][A-Za-z0-9_.-]{{1,40}}'))[1:8] AS entities FROM d""")
 def txt24(spark: S, sf: str) -> DataFrame:
-    before = F.coalesce(F.lag("text").over(Window.partitionBy("doc_id").orderBy("n")), F.lit(""))
-    rows = cells(typed(spark, sf)).withColumn("context", before)
-    rows = rows.withColumn("caption", F.when(F.col("n") % 3 == 0, F.concat(F.lit("Caption "), F.col("n").cast("string"))).otherwise("")).withColumn("latex", F.when((F.col("kind") == "equation") & (F.col("n") % 2 == 0), F.format_string("x_%d = y", "n")).otherwise(""))
-    return el.template_enrichment(rows.withColumn("text", F.when((F.col("kind") == "image") & (F.col("n") % 4 != 0), "").otherwise(F.col("text"))))
+    return el.template_enrichment(rich(spark, sf))
 
 
 _PAYLOAD = """'{"description": "  about ' || source || ' ", "keywords": ["' || lang || '", "  ", " ' || source || '"], "entities": [" E' || doc_id || ' ", ""], "warnings": ["' || repeat('w', 299 + (doc_id % 3)::INT) || '", " "], "confidence": ' || ((doc_id % 7 - 2) * 0.5) || ', "relationships": [{"source": "a' || repeat('s', (100 + doc_id % 90)::INT) || '", "relation": "", "target": "b", "evidence_span": "' || CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE ' ' END || '", "confidence": ' || (doc_id % 3) || '}]' || CASE WHEN doc_id % 5 = 0 THEN ', "fallback": {"from": "vision", "reason": "/private/path"}' ELSE '' END || '}'"""

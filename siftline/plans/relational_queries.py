@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.operators import registry_ops as ops
 from siftline.plans.registry import query
 from siftline.plans.sql import CHUNKS, tok
+from siftline.sources.scratch import written
 from siftline.sources.tables import chunk_table, scan_documents, table
 
 S = SparkSession
@@ -264,11 +265,25 @@ def agg13(spark: S, sf: str) -> DataFrame:
     return ops.metric_histogram(table(spark, sf, "events"), _BUCKETS)
 
 
-@query("AGG-15", """SELECT (SELECT count(*) FROM embeddings) AS vectors, (SELECT count(DISTINCT vec_id) FROM embeddings) AS ids, (SELECT list_sort(list(DISTINCT len(embedding))) FROM embeddings) AS dimensions, (SELECT count(*) FROM documents) AS documents,
-(SELECT count(*) FROM labels JOIN documents USING (doc_id)) AS joined_citations, (SELECT min(doc_id) FROM documents) AS sample_id, (SELECT md5(text) FROM documents ORDER BY doc_id LIMIT 1) AS sample_hash, true AS same_as_before""")
+_STATE = lambda vectors, docs: f"""SELECT (SELECT count(*) FROM {vectors}) AS vectors, (SELECT count(DISTINCT vec_id) FROM {vectors}) AS ids, (SELECT list_sort(list(DISTINCT len(embedding))) FROM {vectors}) AS dimensions, (SELECT count(*) FROM {docs}) AS documents,
+(SELECT count(*) FROM labels JOIN {docs} USING (doc_id)) AS joined_citations, (SELECT min(doc_id) FROM {docs}) AS sample_id, (SELECT md5(text) FROM {docs} ORDER BY doc_id LIMIT 1) AS sample_hash"""
+
+
+@query("AGG-15", f"""WITH fewer AS (SELECT * FROM embeddings WHERE vec_id % 50 <> 7), edited AS (SELECT doc_id, CASE WHEN doc_id = (SELECT min(doc_id) FROM documents) THEN text || '!' ELSE text END AS text FROM documents),
+s AS (SELECT 'moved' AS change, * FROM ({_STATE('embeddings', 'documents')}) UNION ALL SELECT 'vectors lost', * FROM ({_STATE('fewer', 'documents')}) UNION ALL SELECT 'text edited', * FROM ({_STATE('embeddings', 'edited')})),
+b AS (SELECT * FROM ({_STATE('embeddings', 'documents')})) SELECT s.*, EXISTS (SELECT 1 FROM b WHERE b.vectors = s.vectors AND b.ids = s.ids AND b.dimensions = s.dimensions AND b.documents = s.documents AND b.joined_citations = s.joined_citations AND b.sample_id = s.sample_id AND b.sample_hash = s.sample_hash) AS same_as_before FROM s""")
 def agg15(spark: S, sf: str) -> DataFrame:
-    parts = table(spark, sf, "embeddings"), table(spark, sf, "documents"), table(spark, sf, "labels")
-    return ops.compare_snapshots(ops.consistency_snapshot(*parts), ops.consistency_snapshot(*(p.repartition(3) for p in parts)))
+    """The state before, against that after the tables were written anew, after vectors were lost and after a text was edited."""
+    vectors, docs, labels = table(spark, sf, "embeddings"), table(spark, sf, "documents"), table(spark, sf, "labels")
+    before = written(ops.consistency_snapshot(vectors, docs, labels), "before")
+    first = docs.agg(F.min("doc_id").alias("first"))
+    edited = docs.crossJoin(F.broadcast(first)).withColumn("text", F.when(F.col("doc_id") == F.col("first"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))).drop("first")  # one row
+    changes = {"moved": (written(vectors, "vectors"), written(docs.repartition(3), "documents")), "vectors lost": (vectors.where("vec_id % 50 <> 7"), docs), "text edited": (vectors, edited)}
+    out = None
+    for change, (v, d) in changes.items():
+        one = ops.compare_snapshots(before, ops.consistency_snapshot(v, d, labels)).withColumn("change", F.lit(change))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _STATUSES = ("view", "click", "purchase", "error", "signup", "paused")
