@@ -1,8 +1,8 @@
 """Token ids in Parquet files with list columns, for selective reads of tokens and metadata.
 
 A row holds one document: its id, its place in its file, the number of its ids and the ids as a
-list column. Ids are dictionary-encoded (a vocabulary of up to 64 k fits the dictionary page) and
-the counters delta-encoded by the version 2 writer; row groups and pages have fixed sizes, and the
+list column. Ids, their numbers and the files' are dictionary-encoded (a vocabulary of up to 64 k fits the
+dictionary page), doc_id and row delta-encoded by the version 2 writer; row groups and pages have fixed sizes, and the
 column and page indexes of the files let a reader fetch the pages of a document range or only the
 metadata columns. Files hold contiguous ranges of doc_id, in ascending order of their numbers.
 """
