@@ -207,8 +207,9 @@ def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.crossJoin(then).withColumn("same_as_before", F.col("then").eqNullSafe(F.struct(*sorted(after.columns)))).drop("then")  # one row each
 
 
-def knowledge_gaps(questions: DataFrame, docs: DataFrame, cited: DataFrame, feedback: DataFrame, topics: dict[str, list[str]]) -> DataFrame:
-    """conv_id, turn, gap and words of questions on topics that no document mentions, and of questions without citations.
+def knowledge_gaps(questions: DataFrame, docs: DataFrame, cited: DataFrame, feedback: DataFrame, topics: dict[str, list[str]], most: int = 8) -> DataFrame:
+    """conv_id, turn, gap, words and suggestion of questions on topics that no document mentions, and of questions without citations: the
+    first eight gaps of a question, with a suggestion for the first four.
 
     Down-rated feedback gives one row for each failure type, with conv_id -1 and its number as turn. The corpus is read once, and
     only its topics (a bounded list) leave the tasks.
@@ -216,12 +217,15 @@ def knowledge_gaps(questions: DataFrame, docs: DataFrame, cited: DataFrame, feed
     hits = lambda text: F.filter(F.array(*[F.struct(F.lit(t).alias("topic"), F.filter(F.array(*[F.lit(w) for w in sorted(ws)]), lambda w: F.contains(text, w)).alias("words")) for t, ws in topics.items()]), lambda x: F.size(x["words"]) > 0)
     known = docs.select(F.explode(hits(F.lower(F.concat_ws("\n", "source", "text")))).alias("t")).select("t.topic").distinct()
     asked = questions.select("conv_id", "turn", F.explode(hits(F.lower("question"))).alias("t")).select("conv_id", "turn", F.col("t.topic").alias("topic"), F.col("t.words").alias("words"))
-    missing = asked.join(F.broadcast(known), "topic", "left_anti").select("conv_id", "turn", F.col("topic").alias("gap"), "words")
-    bare = questions.join(cited, "conv_id", "left_anti").select("conv_id", "turn", F.lit("direct evidence").alias("gap"), F.slice(F.array_sort(F.array_distinct(tx.tokenize(F.lower("question")))), 1, 8).alias("words"))
+    missing = asked.join(F.broadcast(known), "topic", "left_anti").select("conv_id", "turn", F.col("topic").alias("gap"), "words", F.concat(F.lit("add material on "), "topic").alias("suggestion"), F.lit(0).alias("last"))
+    bare = questions.join(cited, "conv_id", "left_anti").select("conv_id", "turn", F.lit("direct evidence").alias("gap"), F.slice(F.array_sort(F.array_distinct(tx.tokenize(F.lower("question")))), 1, 8).alias("words"), F.lit("import closer sources, or ask for one fact at a time").alias("suggestion"), F.lit(1).alias("last"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("last", "gap"))
+    gaps = missing.unionByName(bare).withColumn("place", place).where(F.col("place") <= most).withColumn("suggestion", F.when(F.col("place") <= 4, F.col("suggestion"))).drop("last", "place")
     kind = F.coalesce(F.nullif("failure_type", F.lit("")), F.lit("unclassified"))
     told = feedback.where("rating = 'down'").groupBy(kind.alias("kind")).agg(F.count("*").cast("int").alias("turn"))
-    told = told.select(F.lit(-1).alias("conv_id"), "turn", F.concat(F.lit("feedback: "), "kind").alias("gap"), F.array().cast("array<string>").alias("words"))
-    return missing.unionByName(bare).unionByName(told)
+    advice = F.when(F.col("kind") == "retrieval_miss", "make cases of the misses and compare profiles").when(F.col("kind") == "wrong_citation", "check the context of citations")
+    told = told.select(F.lit(-1).alias("conv_id"), "turn", F.concat(F.lit("feedback: "), "kind").alias("gap"), F.array().cast("array<string>").alias("words"), advice.alias("suggestion"))
+    return gaps.unionByName(told)
 
 
 def status_counts(jobs: DataFrame, statuses: list[str], waiting: tuple[str, ...], max_failures: int) -> DataFrame:

@@ -299,17 +299,22 @@ def agg20(spark: S, sf: str) -> DataFrame:
 _TOPICS = {"deployment": ["docker", "there"], "database": ["schema", "thand"], "interface": ["api", "ering"], "performance": ["latency", "ation"], "tests": ["test", "recall"], "security": ["token", "der"], "media": ["ocr", "video"]}
 
 
+_FAILED = "CASE WHEN toxic = 1 THEN 'wrong_citation' WHEN doc_id % 3 = 0 THEN 'retrieval_miss' ELSE 'unclassified' END"
+
+
 @query("AGG-19", "WITH t(topic, word) AS (VALUES " + ", ".join(f"('{t}', '{w}')" for t, ws in _TOPICS.items() for w in ws) + """), q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS question FROM conversations WHERE role = 'user'),
 corpus AS (SELECT DISTINCT topic FROM t JOIN documents ON doc_id % 2 = 0 AND contains(lower(source || chr(10) || text), word)),
 hit AS (SELECT conv_id, turn, topic, list_sort(list(word)) AS words FROM q JOIN t ON contains(question, word) GROUP BY 1, 2, 3),
-cited AS (SELECT DISTINCT conv_id FROM conversations JOIN labels ON doc_id = conv_id)
-SELECT conv_id, turn, topic AS gap, words FROM hit WHERE topic NOT IN (SELECT topic FROM corpus) UNION ALL SELECT conv_id, turn, 'direct evidence', list_sort(list_distinct(""" + tok("question") + """))[1:8] FROM q WHERE conv_id NOT IN (SELECT conv_id FROM cited)
-UNION ALL SELECT -1, count(*)::INT, 'feedback: ' || """ + _KIND + """, [] FROM labels WHERE quality = 0 GROUP BY """ + _KIND)
+cited AS (SELECT DISTINCT conv_id FROM conversations JOIN labels ON doc_id = conv_id),
+g AS (SELECT conv_id, turn, topic AS gap, words, 'add material on ' || topic AS suggestion, 0 AS last FROM hit WHERE topic NOT IN (SELECT topic FROM corpus) UNION ALL SELECT conv_id, turn, 'direct evidence', list_sort(list_distinct(""" + tok("question") + """))[1:8], 'import closer sources, or ask for one fact at a time', 1 FROM q WHERE conv_id NOT IN (SELECT conv_id FROM cited)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY last, gap) AS place FROM g)
+SELECT conv_id, turn, gap, words, CASE WHEN place <= 4 THEN suggestion END AS suggestion FROM p WHERE place <= 8
+UNION ALL SELECT -1, count(*)::INT, 'feedback: ' || """ + _FAILED + """, [], CASE """ + _FAILED + """ WHEN 'retrieval_miss' THEN 'make cases of the misses and compare profiles' WHEN 'wrong_citation' THEN 'check the context of citations' END FROM labels WHERE quality = 0 GROUP BY """ + _FAILED)
 def agg19(spark: S, sf: str) -> DataFrame:
     """User turns are questions, even documents the corpus, labels the feedback and, by number, the citations of a conversation."""
     asked = table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("question"))
     labels = table(spark, sf, "labels")
-    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "quality").otherwise("")
+    kind = F.when(F.col("toxic") == 1, "wrong_citation").when(F.col("doc_id") % 3 == 0, "retrieval_miss").otherwise("")
     feedback = labels.select(F.when(F.col("quality") == 0, "down").otherwise("up").alias("rating"), kind.alias("failure_type"))
     return ops.knowledge_gaps(asked, table(spark, sf, "documents").where("doc_id % 2 = 0"), labels.select(F.col("doc_id").alias("conv_id")).distinct(), feedback, _TOPICS)
 
