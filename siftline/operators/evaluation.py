@@ -89,3 +89,29 @@ def keyword_checks(cases: DataFrame, citations: DataFrame, refuse_below: float =
     rows = cases.select("query_id", "keywords").join(citations.select("query_id", "text", "score"), "query_id", "left")
     found = rows.groupBy("query_id", "keywords").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("hit"), F.coalesce(F.max("score"), F.lit(0.0)).alias("top"))
     return found.select("query_id", F.when(F.size("keywords") == 0, F.col("top") < refuse_below).otherwise(F.col("hit")).alias("passed"))
+
+
+def evaluation_report(rows: DataFrame, summary: DataFrame, checks: DataFrame) -> DataFrame:
+    """section, key and line of the whole report: 0 its head, 1 the checks, 2 distributions, 3 a line for each case, 4 the cases that failed, 5 each case as JSON.
+
+    Lines are rows, so that a report of many cases is written by many tasks; in order of section and key they are the Markdown text, the last section aside.
+    """
+    mark = lambda c: F.when(c.isNull(), "-").when(c, "yes").otherwise("no")
+    number = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+    part = lambda df, section, key, line: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), line.alias("line"))
+    key, text = F.col("query_id"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    head = F.concat(F.lit("cases: "), text("cases"), F.lit(" ("), text("answerable_cases"), F.lit(" to answer, "), text("refusal_cases"), F.lit(" to refuse)"))
+    spread = F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.concat(F.lit(f"- {n}: "), F.array_join(n, ", ")).alias("line")) for n in ("categories", "sources")]))
+    failed = ~F.col("decision_correct") | ~F.col("citation_correct") | ~F.coalesce("recall_hit", F.lit(True))
+    wanted = F.when(F.size("sources") > 0, F.array_join("sources", ", ")).when(F.col("should_answer"), "an answer").otherwise("a refusal")
+    told = F.to_json(F.struct("query_id", "category", "decision", "decision_correct", "citation_correct", "recall_hit", "first_rank"), {"ignoreNullFields": "false"})
+    case = F.concat(F.lit("| "), F.concat_ws(" | ", text("query_id"), "decision", mark(F.col("recall_hit")), text("first_rank"), mark(F.col("citation_correct"))), F.lit(" |"))
+    spreads = summary.select(spread.alias("d")).select(F.lit(2).alias("section"), "d.key", "d.line")
+    return (
+        part(summary, 0, F.lit(""), head)
+        .unionByName(part(checks, 1, F.col("metric"), F.concat(F.lit("| "), F.concat_ws(" | ", "metric", number("actual"), number("minimum"), F.when(F.col("passed"), "pass").otherwise("fail")), F.lit(" |"))))
+        .unionByName(spreads)
+        .unionByName(part(rows, 3, key, case))
+        .unionByName(part(rows.where(failed), 4, key, F.concat(F.lit("- "), text("query_id"), F.lit(" (wanted: "), wanted, F.lit("; was: "), "decision", F.lit(")"))))
+        .unionByName(part(rows, 5, key, told))
+    )

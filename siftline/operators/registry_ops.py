@@ -145,8 +145,11 @@ def corpus_overview(docs: DataFrame, labels: DataFrame, chunks: DataFrame, turns
     return out.join(worst, "lang", "left").join(themes, "lang", "left").crossJoin(F.broadcast(recent))  # one row
 
 
-def system_metrics(events: DataFrame, docs: DataFrame, turns: DataFrame, jobs: DataFrame) -> DataFrame:
-    """block, name and value: what is known, answered, ingested and linked, operations by type and level, and recommendations."""
+def system_metrics(events: DataFrame, docs: DataFrame, turns: DataFrame, jobs: DataFrame, graph: DataFrame) -> DataFrame:
+    """block, name and value: what is known, answered, ingested and linked, operations by type and level, and recommendations.
+
+    ``graph``: nodes, edges, mentions and evidence of each knowledge base, as graph_summary() gives them.
+    """
 
     def block(df: DataFrame, name: str, **values: Column) -> DataFrame:
         wide = df.agg(*[v.cast("double").alias(k) for k, v in values.items()]).withColumn("block", F.lit(name))
@@ -162,7 +165,7 @@ def system_metrics(events: DataFrame, docs: DataFrame, turns: DataFrame, jobs: D
         counted(events, "type", F.col("event_type")),
         counted(events, "level", level),
         block(jobs, "ingestion", jobs=F.count("*"), retries=retries),
-        block(docs, "graph", entities=F.count_distinct("source"), relations=F.count_distinct("lang", "source")),
+        block(graph, "graph", **{name: F.coalesce(F.sum(name), F.lit(0)) for name in ("nodes", "edges", "mentions", "evidence")}),
         block(events, "recommendation", check_errors=(errors * 20 > F.count("*")).cast("int")),
         block(jobs, "recommendation", check_retries=(retries > F.count("*")).cast("int")),
     ]

@@ -105,3 +105,20 @@ def evl08(spark: S, sf: str) -> DataFrame:
 @query("EVL-07", f"WITH {_CITED}, {_CASES} SELECT query_id, CASE WHEN len(any_value(keywords)) = 0 THEN coalesce(max(score), 0) < 0.05 ELSE coalesce(bool_or(len(list_filter(keywords, lambda w: contains(lower(text), lower(w)))) > 0), false) END AS passed FROM cs LEFT JOIN cited USING (query_id) GROUP BY 1")
 def evl07(spark: S, sf: str) -> DataFrame:
     return ev.keyword_checks(cases(spark, sf), case_citations(spark, sf))
+
+
+_MARK = lambda c: f"CASE WHEN {c} IS NULL THEN '-' WHEN {c} THEN 'yes' ELSE 'no' END"
+_JSON = lambda c, quoted=False: f"'\"{c}\":' || coalesce(" + (f"'\"' || {c} || '\"'" if quoted else f"({c})::VARCHAR") + ", 'null')"
+_CHECKED = " UNION ALL ".join(f"SELECT '{m}' AS metric, {m}::DOUBLE AS actual, {v}::DOUBLE AS minimum FROM summary" for m, v in ev.THRESHOLDS.items())
+
+
+@query("SRC-15", f"""WITH RECURSIVE {_EVALUATED}, {_SUMMARY} SELECT 0 AS section, '' AS key, 'cases: ' || cases || ' (' || answerable_cases || ' to answer, ' || refusal_cases || ' to refuse)' AS line FROM summary
+UNION ALL SELECT 1, metric, '| ' || metric || ' | ' || printf('%.4f', actual) || ' | ' || printf('%.4f', minimum) || ' | ' || CASE WHEN actual >= minimum THEN 'pass' ELSE 'fail' END || ' |' FROM ({_CHECKED})
+UNION ALL SELECT 2, 'categories', '- categories: ' || array_to_string(categories, ', ') FROM summary UNION ALL SELECT 2, 'sources', '- sources: ' || array_to_string(sources, ', ') FROM summary
+UNION ALL SELECT 3, query_id::VARCHAR, '| ' || query_id || ' | ' || decision || ' | ' || {_MARK('recall_hit')} || ' | ' || coalesce(first_rank::VARCHAR, '-') || ' | ' || {_MARK('citation_correct')} || ' |' FROM result
+UNION ALL SELECT 4, query_id::VARCHAR, '- ' || query_id || ' (wanted: ' || CASE WHEN len(sources) > 0 THEN array_to_string(sources, ', ') WHEN should_answer THEN 'an answer' ELSE 'a refusal' END || '; was: ' || decision || ')' FROM result WHERE NOT decision_correct OR NOT citation_correct OR NOT coalesce(recall_hit, true)
+UNION ALL SELECT 5, query_id::VARCHAR, '{{' || {_JSON('query_id')} || ',' || {_JSON('category', True)} || ',' || {_JSON('decision', True)} || ',' || {_JSON('decision_correct')} || ',' || {_JSON('citation_correct')} || ',' || {_JSON('recall_hit')} || ',' || {_JSON('first_rank')} || '}}' FROM result""")
+def src15(spark: S, sf: str) -> DataFrame:
+    rows = written(evaluated(spark, sf), "evaluated")
+    summary = written(ev.evaluation_summary(rows), "summary")
+    return ev.evaluation_report(rows, summary, ev.threshold_checks(summary, ev.THRESHOLDS))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.operators import registry_ops as ops
+from siftline.operators.graph import graph_summary
+from siftline.plans.graph_queries import _EDGES, edge_rows
 from siftline.plans.registry import query
 from siftline.plans.sql import CHUNKS, tok
 from siftline.sources.scratch import written
@@ -225,11 +227,11 @@ _JOBS = "jobs AS (SELECT user_id AS job_id, event_type AS status, count(*) AS at
 UNION ALL SELECT 'answering', 'questions', count(*) FILTER (WHERE role = 'user') FROM conversations UNION ALL SELECT 'answering', 'answers', count(*) FILTER (WHERE role = 'assistant') FROM conversations UNION ALL SELECT 'answering', 'mean_length', round(avg(length(text)) FILTER (WHERE role = 'assistant'), 6) FROM conversations
 UNION ALL SELECT 'operations', 'total', count(*) FROM events UNION ALL SELECT 'operations', 'errors', count(*) FILTER (WHERE event_type = 'error') FROM events UNION ALL SELECT 'operations', 'mean_value', round(avg(value), 6) FROM events UNION ALL SELECT 'operations', 'users', count(DISTINCT user_id) FROM events
 UNION ALL SELECT 'type', event_type, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'level', CASE WHEN value < 1 THEN 'low' WHEN value < 10 THEN 'normal' ELSE 'high' END, count(*) FROM events GROUP BY 2
-UNION ALL SELECT 'ingestion', 'jobs', count(*) FROM jobs UNION ALL SELECT 'ingestion', 'retries', sum(greatest(0, attempts - 1)) FROM jobs UNION ALL SELECT 'graph', 'entities', count(DISTINCT source) FROM documents UNION ALL SELECT 'graph', 'relations', count(DISTINCT (lang, source)) FROM documents
+UNION ALL SELECT 'ingestion', 'jobs', count(*) FROM jobs UNION ALL SELECT 'ingestion', 'retries', sum(greatest(0, attempts - 1)) FROM jobs UNION ALL SELECT 'graph', name, value FROM (UNPIVOT (SELECT sum(nodes)::DOUBLE AS nodes, sum(edges)::DOUBLE AS edges, sum(mentions)::DOUBLE AS mentions, sum(evidence)::DOUBLE AS evidence FROM (WITH {_EDGES} SELECT * FROM summary)) ON nodes, edges, mentions, evidence INTO NAME name VALUE value)
 UNION ALL SELECT 'recommendation', 'check_errors', (count(*) FILTER (WHERE event_type = 'error') * 20 > count(*))::INT FROM events UNION ALL SELECT 'recommendation', 'check_retries', (sum(greatest(0, attempts - 1)) > count(*))::INT FROM jobs""")
 def agg07(spark: S, sf: str) -> DataFrame:
     jobs = table(spark, sf, "events").groupBy(F.col("user_id").alias("job_id"), F.col("event_type").alias("status")).agg(F.count("*").alias("attempts"))
-    return ops.system_metrics(table(spark, sf, "events"), table(spark, sf, "documents"), table(spark, sf, "conversations"), jobs)
+    return ops.system_metrics(table(spark, sf, "events"), table(spark, sf, "documents"), table(spark, sf, "conversations"), jobs, graph_summary(edge_rows(spark, sf)))
 
 
 _KIND = "coalesce(nullif(CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' ELSE '' END, ''), 'unclassified')"

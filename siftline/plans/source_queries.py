@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import records
 from siftline.plans import more_queries, text_queries  # noqa: F401  whose SQL is used here
-from siftline.plans.registry import ORACLES, QUERIES, query
+from siftline.plans.registry import ORACLES, query
 from siftline.sources import readers
 from siftline.sources.tables import table
 from siftline.sources.scratch import fresh_path
@@ -84,11 +84,6 @@ def src10(spark: S, sf: str) -> DataFrame:
     return readers.eval_cases(table(spark, sf, "documents").select(F.col("doc_id").alias("line_no"), value.alias("value")))
 
 
-@query("SRC-15", f"""SELECT '| metric | actual | minimum | result |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || metric || ' | ' || printf('%.4f', actual::DOUBLE) || ' | ' || printf('%.4f', minimum::DOUBLE) || ' | ' || CASE WHEN passed THEN 'pass' ELSE 'fail' END || ' |', chr(10) ORDER BY metric) AS report FROM ({ORACLES['EVL-08']})""")
-def src15(spark: S, sf: str) -> DataFrame:
-    return readers.markdown_report(QUERIES["EVL-08"](spark, sf))
-
-
 @query("SRC-17", """SELECT doc_id, concat_ws(chr(10), '---', 'doc_id: ' || doc_id, 'lang: "' || lang || '"', 'source: "' || source || '"', '---', '', substr(text, 1, 120000)) AS text FROM documents""")
 def src17(spark: S, sf: str) -> DataFrame:
     return readers.front_matter(table(spark, sf, "documents"), ["doc_id", "lang", "source"])

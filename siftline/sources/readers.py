@@ -113,14 +113,6 @@ def front_matter(docs: DataFrame, fields: list[str], limit: int = 120_000) -> Da
     return docs.select("doc_id", F.concat_ws("\n", F.lit("---"), *head, F.lit("---"), F.lit(""), F.substring("text", 1, limit)).alias("text"))
 
 
-def markdown_report(checks: DataFrame) -> DataFrame:
-    """One row: a Markdown table of metric, actual, minimum and passed (as many rows as metrics)."""
-    cell = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", "metric", cell("actual"), cell("minimum"), F.when(F.col("passed"), "pass").otherwise("fail")), F.lit(" |"))
-    rows = checks.agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    return rows.select(F.concat_ws("\n", F.lit("| metric | actual | minimum | result |"), F.lit("| --- | --- | --- | --- |"), "lines").alias("report"))
-
-
 def discover_directory(spark: SparkSession, root: str, pattern: str, max_items: int, max_bytes: int) -> DataFrame:
     """path (below the root), bytes, sha256 and failure (too_large, over_cap) of a folder's files in order of path, and of the whole
     run whether it is complete (no failure) and its result empty.
