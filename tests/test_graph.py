@@ -70,3 +70,23 @@ def test_evidence_is_ranked_by_paths_then_by_documents(spark):
     paths = graph.bounded_paths(pairs, graph.sure_edges(relations), 2)
     got = {(r.query_id, r.graph_rank): r.doc_id for r in graph.graph_evidence(seeds, pairs, paths, relations).collect()}
     assert got == {(1, 1): 4, (1, 2): 9, (1, 3): 7, (2, 1): 2, (2, 2): 3}
+
+
+def test_second_steps_are_taken_for_open_pairs_only(spark, monkeypatch):
+    """Ends around a hub meet at it; the few that do not are searched from their lighter side."""
+    rows = {}
+    kept = graph.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    spokes = spark.range(3000).select(F.lit("hub").alias("a"), F.format_string("s%04d", "id").alias("b"), F.lit(0.6).alias("confidence"))
+    tail = spark.createDataFrame([("hub", "near", 0.9), ("near", "far", 0.7), ("lone", "own", 1.0)], "a string, b string, confidence double")
+    pairs = [(f"s{i:04d}", f"s{i + 1:04d}") for i in range(100)] + [("far", "s0005"), ("s0006", "lone"), ("s0007", "unknown")]
+    got = {(r.source, r.target): (r.path, r.score) for r in graph.bounded_paths(spark.createDataFrame(pairs, "source string, target string"), spokes.unionByName(tail), 4).collect()}
+    assert len(got) == 101 and got["s0003", "s0004"] == (["s0003", "hub", "s0004"], 0.6)
+    assert got["far", "s0005"] == (["far", "near", "hub", "s0005"], round((0.7 + 0.9 + 0.6) / 3, 6))
+    assert max(n for name, n in rows.items() if name not in ("sure", "edges", "nodes", "placed")) < 10_000
