@@ -73,7 +73,7 @@ e AS (SELECT *, begins + n + CASE WHEN kind < 3 THEN 1 ELSE 600 END AS ended, be
 SELECT message_id, text, CASE kind WHEN 0 THEN 'completed' WHEN 1 THEN 'refused' WHEN 2 THEN 'failed' ELSE 'cancelled' END AS status, kind >= 2 AS partial FROM e WHERE ended < (SELECT max(latest) - 600 FROM e)""")
 def str08(spark: S, sf: str) -> DataFrame:
     """Turns come as pieces of 20 characters, each twice, and an end that depends on the turn; what has not ended by the watermark is not told yet."""
-    stream = spark.readStream.schema(table(spark, sf, "conversations").schema).option("pathGlobFilter", "conversations*.parquet").parquet(sf)
+    stream = streams.table_stream(spark, sf, "conversations")
     text = F.coalesce("text", F.lit(""))
     count = F.ceil(F.length(text) / 20).cast("int")
     piece = lambda i: F.struct(i.alias("sequence"), F.lit("delta").alias("what"), text.substr(i * 20 + 1, F.lit(20)).alias("delta"))
@@ -95,7 +95,7 @@ def str01(spark: S, sf: str) -> DataFrame:
 @query("STR-02", f"WITH {CHUNKS} SELECT chunk_id, document_id, md5(text) AS text_md5 FROM chunks")
 def str02(spark: S, sf: str) -> DataFrame:
     """The documents as a stream; every chunk comes in an older version as well."""
-    stream = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
+    stream = streams.table_stream(spark, sf, "documents")
     docs = stream.select(F.col("doc_id").cast("string").alias("document_id"), "text")
     versions = hard_split(docs).withColumn("version", F.explode(F.array(F.lit(2), F.lit(1))))
     text = F.when(F.col("version") == 1, F.concat(F.lit("~"), "text")).otherwise(F.col("text"))
