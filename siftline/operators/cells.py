@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.sources.scratch import written
@@ -95,12 +95,16 @@ def build_cells(vectors: DataFrame, cells: int = 512, block: int = 64, dim: int
 _AT_ONCE = 1024
 
 
+def _every(n: int) -> Column:
+    """One row for each number below n, as long: both sides of a group are dealt by its hash, and that of an int is another."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
 def _bounds(questions: DataFrame, index: CellIndex, most: int | None, dim: int) -> DataFrame:
     """query_id, block and bound of the blocks that reach each question's ``least``; with ``most``, of so many with the highest bounds."""
     nq, nb = (max(1, -(-c // _AT_ONCE)) for c in (questions.count(), index.n_blocks))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = questions.select("query_id", "idx", "value", "least", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("a")).withColumn("b", every(nb))
-    right = index.blocks.withColumn("b", F.pmod(F.xxhash64("block"), F.lit(nb))).withColumn("a", every(nq))
+    left = questions.select("query_id", "idx", "value", "least", F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("a")).withColumn("b", _every(nb))
+    right = index.blocks.withColumn("b", F.pmod(F.xxhash64("block"), F.lit(nb))).withColumn("a", _every(nq))
 
     def compare(q: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(s):
@@ -130,7 +134,7 @@ def _visited(visits: DataFrame, questions: DataFrame, index: CellIndex, k: int,
     """query_id, chunk_id and score: the k best of each question in each block that it visits, among vectors that share a component with it."""
     nq = max(1, -(-questions.count() // _AT_ONCE))
     left = visits.select("query_id", "block").join(questions.select("query_id", "idx", "value"), "query_id").withColumn("a", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
-    right = index.vectors.join(visits.select("block").distinct(), "block", "left_semi").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    right = index.vectors.join(visits.select("block").distinct(), "block", "left_semi").withColumn("a", _every(nq))
 
     kind = dict(questions.dtypes)["query_id"]
 
