@@ -90,3 +90,16 @@ def test_second_steps_are_taken_for_open_pairs_only(spark, monkeypatch):
     assert len(got) == 101 and got["s0003", "s0004"] == (["s0003", "hub", "s0004"], 0.6)
     assert got["far", "s0005"] == (["far", "near", "hub", "s0005"], round((0.7 + 0.9 + 0.6) / 3, 6))
     assert max(n for name, n in rows.items() if name not in ("sure", "edges", "nodes", "placed")) < 10_000
+
+
+def test_a_clause_over_a_line_break_is_that_of_the_sql(spark, tmp_path):
+    import duckdb
+    from oracle import spark_rows, sql_rows
+
+    from siftline.plans.registry import ORACLES, QUERIES
+
+    spark.createDataFrame([(1, "ab cd\nc ef gh"), (2, "2.0.\nc gh"), (3, "abcde\n c \n fgh\n\nabccd")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sql_rows(connection, ORACLES["GRF-03"])
+    assert spark_rows(QUERIES["GRF-03"](spark, str(tmp_path))) == want and any("\n" in str(row) for row in want[1])
