@@ -96,10 +96,10 @@ def test_a_clause_over_a_line_break_is_that_of_the_sql(spark, tmp_path):
     import duckdb
     from oracle import spark_rows, sql_rows
 
-    from siftline.plans.registry import ORACLES, QUERIES
+    from siftline import catalog
 
-    spark.createDataFrame([(1, "ab cd\nc ef gh"), (2, "2.0.\nc gh"), (3, "abcde\n c \n fgh\n\nabccd")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "ab cd\nc ef gh"), (2, "2.0.\ncgh"), (3, "abcde\n c \n fgh\n\nabccd")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    want = sql_rows(connection, ORACLES["GRF-03"])
-    assert spark_rows(QUERIES["GRF-03"](spark, str(tmp_path))) == want and any("\n" in str(row) for row in want[1])
+    want = sql_rows(connection, catalog.oracle_sql()["GRF-03"])
+    assert spark_rows(catalog.queries()["GRF-03"](spark, str(tmp_path))) == want and any("\n" in str(row) for row in want[1])

@@ -40,10 +40,10 @@ def test_jobs_keep_their_order_over_batches_and_lose_their_leases(spark, tmp_pat
 
 def test_tables_that_are_folders_of_files(spark, sf, tmp_path):
     """A table may be one file or a folder of parts; both give the same stream."""
-    from siftline.plans.registry import QUERIES
+    from siftline import catalog
 
     for name in ("documents", "conversations", "events"):
         spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
     for key in ("STR-02", "STR-08", "STR-03"):
-        rows = lambda folder, key=key: sorted(map(str, QUERIES[key](spark, str(folder)).collect()))
+        rows = lambda folder, key=key: sorted(map(str, catalog.queries()[key](spark, str(folder)).collect()))
         assert rows(sf) == rows(tmp_path) != []
