@@ -47,7 +47,7 @@ def case_questions(spark: S, sf: str) -> DataFrame:
 
 def case_citations(spark: S, sf: str) -> DataFrame:
     c = chunks(spark, sf)
-    found = ranking.keyword_search(case_questions(spark, sf), c, 5, boosts(spark, sf)).join(c, "chunk_id")
+    found = ranking.with_chunks(ranking.keyword_search(case_questions(spark, sf), c, 5, boosts(spark, sf)), c)
     return written(found.select("query_id", "chunk_id", "rank", "score", "matched", "file_name", "text", F.col("document_id").cast("long").alias("doc_id")), "citations")
 
 
