@@ -141,7 +141,7 @@ def _visited(visits: DataFrame, questions: DataFrame, index: CellIndex, k: int,
     def compare(q: pa.Table, c: pa.Table) -> pa.Table:
         c = c.sort_by("b_chunk_id")
         x, y = (dense(t[f"{side}_idx"].to_pylist(), t[f"{side}_value"].to_pylist(), dim) for t, side in ((q, "a"), (c, "b")))
-        score = np.round(np.round(np.maximum(x @ y.T, 0), 9) * c["b_boost"].to_numpy()[None, :], 9)
+        score = np.floor(np.floor(np.maximum(x @ y.T, 0) * 1e9 + 0.5) / 1e9 * c["b_boost"].to_numpy()[None, :] * 1e9 + 0.5) / 1e9  # as scores.places()
         shared = ((x != 0).astype(np.float32) @ (y != 0).T.astype(np.float32)) > 0
         if len(c) > k:
             place = np.argsort(np.where(shared, -score, np.inf), axis=1, kind="stable")[:, :k]
