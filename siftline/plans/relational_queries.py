@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators import registry_ops as ops
 from siftline.operators.graph import graph_summary
-from siftline.plans.graph_queries import _EDGES, edge_rows
+from siftline.plans.graph_queries import _EDGES, edge_tables, parts
 from siftline.plans.registry import query
 from siftline.plans.sql import CHUNKS, tok
 from siftline.sources.scratch import written
@@ -231,7 +231,8 @@ UNION ALL SELECT 'ingestion', 'jobs', count(*) FROM jobs UNION ALL SELECT 'inges
 UNION ALL SELECT 'recommendation', 'check_errors', (count(*) FILTER (WHERE event_type = 'error') * 20 > count(*))::INT FROM events UNION ALL SELECT 'recommendation', 'check_retries', (sum(greatest(0, attempts - 1)) > count(*))::INT FROM jobs""")
 def agg07(spark: S, sf: str) -> DataFrame:
     jobs = table(spark, sf, "events").groupBy(F.col("user_id").alias("job_id"), F.col("event_type").alias("status")).agg(F.count("*").alias("attempts"))
-    return ops.system_metrics(table(spark, sf, "events"), table(spark, sf, "documents"), table(spark, sf, "conversations"), jobs, graph_summary(edge_rows(spark, sf)))
+    rows, edges = edge_tables(spark, sf)
+    return ops.system_metrics(table(spark, sf, "events"), table(spark, sf, "documents"), table(spark, sf, "conversations"), jobs, graph_summary(rows, parts(spark, sf), edges))
 
 
 _KIND = "coalesce(nullif(CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'quality' ELSE '' END, ''), 'unclassified')"

@@ -103,3 +103,17 @@ def test_a_clause_over_a_line_break_is_that_of_the_sql(spark, tmp_path):
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sql_rows(connection, catalog.oracle_sql()["GRF-03"])
     assert spark_rows(catalog.queries()["GRF-03"](spark, str(tmp_path))) == want and any("\n" in value for row in want[1] for value in row)
+
+
+def test_edges_nodes_and_totals_over_given_parts(spark):
+    """The rows that one task groups must not grow with the table."""
+    from siftline.plans.graph_queries import edge_rows
+    from siftline.sources.tables import parts_for
+
+    rows = edge_rows(spark, "/root/testdata/sf0.001").cache()
+    edges, nodes = graph.graph_edges(rows, 40), graph.graph_nodes(graph.graph_edges(rows), 40)
+    assert edges.rdd.getNumPartitions() == nodes.rdd.getNumPartitions() == 40
+    assert sorted(map(str, edges.collect())) == sorted(map(str, graph.graph_edges(rows).collect()))
+    assert sorted(map(str, graph.graph_summary(rows, 40, edges).collect())) == sorted(map(str, graph.graph_summary(rows).collect()))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert parts_for(docs, 100_000) > parts_for(docs, 1_000_000) >= 8
