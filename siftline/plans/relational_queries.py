@@ -11,7 +11,7 @@ from siftline.plans.graph_queries import _EDGES, edge_tables, parts
 from siftline.plans.registry import query
 from siftline.plans.sql import CHUNKS, tok
 from siftline.sources.scratch import written
-from siftline.sources.tables import chunk_table, scan_documents, table
+from siftline.sources.tables import chunk_table, parts_for, scan_documents, table
 
 S = SparkSession
 
@@ -281,7 +281,7 @@ def agg15(spark: S, sf: str) -> DataFrame:
     before = written(ops.consistency_snapshot(vectors, docs, labels), "before")
     first = docs.agg(F.min("doc_id").alias("first"))
     edited = docs.crossJoin(F.broadcast(first)).withColumn("text", F.when(F.col("doc_id") == F.col("first"), F.concat("text", F.lit("!"))).otherwise(F.col("text"))).drop("first")  # one row
-    changes = {"moved": (written(vectors, "vectors"), written(docs.repartition(3), "documents")), "vectors lost": (vectors.where("vec_id % 50 <> 7"), docs), "text edited": (vectors, edited)}
+    changes = {"moved": (written(vectors, "vectors"), written(docs.repartition(parts_for(docs)), "documents")), "vectors lost": (vectors.where("vec_id % 50 <> 7"), docs), "text edited": (vectors, edited)}
     out = None
     for change, (v, d) in changes.items():
         one = ops.compare_snapshots(before, ops.consistency_snapshot(v, d, labels)).withColumn("change", F.lit(change))
