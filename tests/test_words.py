@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import registered, words
 from siftline.functions import text as tx
+from siftline.operators import corpus
 
 LOW = str.maketrans(tx.UPPER, tx.LOWER)
 
@@ -55,3 +56,12 @@ def test_words_equal_the_sql_function_and_need_no_expression_search(spark):
     assert all(r.a == r.b for r in both.collect())
     plan = rows.select(tx.tokenize(F.col("text")))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "regexp" not in plan
+
+
+def test_words_of_a_corpus_are_counted_by_batches(spark):
+    texts = ["b a a", "a", "", None] + ["c d"] * 500
+    chunks = spark.createDataFrame([(f"{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string").coalesce(1)
+    assert {r.token: (r.df, r.occurrences, r.n, r.avg_len) for r in corpus.corpus_statistics(chunks).collect()} == {
+        "a": (2, 3, 504, 1004 / 504), "b": (1, 1, 504, 1004 / 504), "c": (500, 500, 504, 1004 / 504), "d": (500, 500, 504, 1004 / 504),
+    }
+    assert corpus.batch_counts(chunks).where("token = 'c'").count() == 1
