@@ -56,7 +56,8 @@ _PHRASE = "text || CASE WHEN doc_id % 3 = 0 THEN ' 重复提交' WHEN doc_id % 3
 @query("TXT-03", f"""WITH t AS (SELECT doc_id, {_PHRASE} AS text FROM documents), k AS (SELECT doc_id, text, {tok('text')} AS t FROM t)
 SELECT doc_id, list_concat(t, CASE WHEN contains(text, '重复提交') OR contains(text, '重复投递') THEN list_filter(['幂等', '等键', '幂等键'], lambda x: NOT list_contains(t, x)) ELSE [] END) AS tokens FROM k""")
 def txt03(spark: S, sf: str) -> DataFrame:
-    return dealt_docs(spark, sf).withColumn("text", F.expr(_PHRASE)).select("doc_id", tx.retrieval_tokens(F.col("text")).alias("tokens"))
+    tokens = tx.retrieval_tokens(F.expr(_PHRASE))
+    return dealt_docs(spark, sf).select("doc_id", F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens"))
 
 
 @query("TXT-04", f"""WITH {CHUNKS}, w AS (SELECT chunk_id, {tok('text')} AS w FROM chunks), s AS (SELECT count(*) AS n, round(avg(len(w)), 6) AS avg_len FROM w)
