@@ -117,3 +117,20 @@ def test_edges_nodes_and_totals_over_given_parts(spark):
     assert sorted(map(str, graph.graph_summary(rows, 40, edges).collect())) == sorted(map(str, graph.graph_summary(rows).collect()))
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     assert parts_for(docs, 100_000) > parts_for(docs, 1_000_000) >= 8
+
+
+def test_all_names_of_an_element_are_mentioned(spark, tmp_path):
+    """GRF-06 takes no first 32; its SQL does not either."""
+    import duckdb
+    from oracle import spark_rows, sql_rows
+
+    from siftline import catalog
+
+    text = " ".join(f"Name{i}" for i in range(90)) + " Name3 uses Late_1\nAn other line"
+    spark.createDataFrame([(1, text, "en", "a", len(text)), (2, "Few Names", "en", "a", 9)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns, got = spark_rows(catalog.queries()["GRF-06"](spark, str(tmp_path)))
+    assert (columns, got) == sql_rows(connection, catalog.oracle_sql()["GRF-06"])
+    mentioned = {dict(zip(columns, row, strict=True))["target"] for row in got if "mentions" in row}
+    assert {f"e:name{i}" for i in range(90)} | {"e:late_1"} <= mentioned
