@@ -76,11 +76,13 @@ def str08(spark: S, sf: str) -> DataFrame:
     stream = streams.table_stream(spark, sf, "conversations")
     text = F.coalesce("text", F.lit(""))
     count = F.ceil(F.length(text) / 20).cast("int")
-    piece = lambda i: F.struct(i.alias("sequence"), F.lit("delta").alias("what"), text.substr(i * 20 + 1, F.lit(20)).alias("delta"))
-    starts = F.transform(F.sequence(F.lit(0), count), piece)
     end = F.when(F.col("turn") % 4 == 0, "done").when(F.col("turn") % 4 == 1, "refusal").when(F.col("turn") % 4 == 2, "error")
-    last = F.when(end.isNotNull(), F.array(F.struct((count + 1).alias("sequence"), end.alias("what"), F.lit("").alias("delta")))).otherwise(F.slice(starts, 1, 0))
-    deltas = stream.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.expr(_SAID).alias("begins"), F.inline(F.concat(starts, last, starts)))
+    numbers = F.sequence(F.lit(0), count)
+    # A row holds its text only until its piece is cut from it.
+    every = F.explode(F.concat(numbers, F.when(end.isNotNull(), F.array(count + 1)).otherwise(F.array().cast("array<int>")), numbers))
+    rows = stream.select((F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), F.expr(_SAID).alias("begins"), text.alias("text"), count.alias("count"), end.alias("end"), every.alias("sequence"))
+    last = F.col("sequence") > F.col("count")
+    deltas = rows.select("message_id", "begins", "sequence", F.when(last, F.col("end")).otherwise("delta").alias("what"), F.when(last, "").otherwise(F.col("text").substr(F.col("sequence") * 20 + 1, F.lit(20))).alias("delta"))
     deltas = deltas.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("begins") + F.col("sequence")))
     return streams.finished(stateful.assembled_messages(deltas), stateful.STORE)
 

@@ -53,6 +53,78 @@ def test_state_of_messages_is_empty_at_the_end(spark, tmp_path):
     assert max(rows) > 8 and rows[-1] <= 3, (rows, metrics[-1])  # the last message: its mark and its timer
 
 
+class Store:
+    """A list state and its timers in memory; counts what a processor asks of the state store."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self.__dict__.setdefault(name, Store())
+
+    def __getattribute__(self, name):
+        if name in ("exists", "get", "put", "appendList", "clear", "listTimers", "registerTimer", "deleteTimer"):
+            Store.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return iter(self.held)
+
+    def put(self, rows):
+        self.held = list(rows)
+
+    def appendList(self, rows):  # noqa: N802
+        self.held = self.held + list(rows)
+
+    def clear(self):
+        self.held = []
+
+    def listTimers(self):  # noqa: N802
+        return []
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+
+@pytest.mark.parametrize("batches", [1, 7])
+def test_a_slice_of_messages_asks_little_of_the_state_store(batches):
+    """Every call costs more than a message; each piece had two or more. Repetitions of other batches are not kept."""
+    import json
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    pieces = [(m, 1000 * (m + i), i, "done" if i == 20 else "delta", "" if i == 20 else f"{m}.{i} ") for m in range(300) for i in range(21)]
+    pieces.append((999, 10_000_000, 0, "delta", "later"))
+    rows = pieces * 2
+    random.Random(5).shuffle(rows)
+    store, calls, got = Store(), Store.calls, []
+    processor = stateful.Messages(600_000, "long")
+    processor.init(store)
+    frame = lambda part: pd.DataFrame(part, columns=["message_id", "at", "sequence", "what", "delta"])
+    time = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    for i in range(batches):
+        got += list(processor.handleInputRows((0,), iter([frame(rows[i::batches])]), time(0)))
+    assert {row[0] for row in store.open.held} == {p[0] for p in pieces}
+    got += list(processor.handleExpiredTimer((0,), time(5_000_000), None))
+    assert Store.calls - calls < 30 * (batches + 1)
+    told = pd.concat(got).sort_values("message_id")
+    assert told["message_id"].tolist() == list(range(300)) and set(told["status"]) == {"completed"} and not told["partial"].any()
+    assert told["text"].tolist() == ["".join(f"{m}.{i} " for i in range(20)) for m in range(300)]
+    assert [(m, json.loads(x)) for m, x in store.pieces.held] == [(999, [[0, 10_000_000, "delta", "later"]])]
+
+
+def test_repetitions_of_one_batch_are_dropped_before_they_are_shuffled(spark):
+    rows = spark.createDataFrame([(1, at(0), 0, "delta", "x"), (1, at(0), 0, "delta", "x"), (1, at(0), 0, "delta", None), (1, at(0), 0, "delta", None), (1, at(1), 0, "delta", "x")], "message_id long, ts timestamp, sequence long, what string, delta string").coalesce(1)
+    assert sorted(map(str, stateful.once(rows).collect())) == sorted(map(str, rows.distinct().collect()))
+
+
 JOBS = [(1, at(10), 1, "queued"), (2, at(70), 2, "queued"), (1, at(200), 3, "started"), (2, at(100), 4, "started"), (3, at(130), 5, "queued"), (3, at(150), 6, "queued"), (9, at(15), 7, "started")]
 
 
